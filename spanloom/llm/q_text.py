@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import bpe
+from spanloom.llm import bpe, langid, simhash
 from spanloom.llm.common import table
 
 
@@ -12,5 +12,13 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op3_bpe": op3_bpe}
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identified(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_bpe, op8_simhash, op9_language)}
 SQL: dict[str, str] = {}
