@@ -126,6 +126,17 @@ def predict(docs: DataFrame, learned: DataFrame, top: int = TOP, key: str = "doc
     return spread(docs.select(key, text)).mapInArrow(by_text(lambda t: profiles(sent.value, top).predict(t), key, text, types), f"{key} {docs.schema[key].dataType.simpleString()}, lang_pred string, score double")
 
 
+def known_language(docs: DataFrame, learned: DataFrame, top: int = TOP, text: str = "text") -> DataFrame:
+    """The rows of docs whose text has a language: those that predict() calls ``und`` go."""
+    sent = docs.sparkSession.sparkContext.broadcast(tuple(sorted(map(tuple, learned.collect()))))
+
+    def keep(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([profiles(sent.value, top).predict(t)[0] != "und" for t in batch.column(text).to_pylist()], pa.bool_()))
+
+    return spread(docs).mapInArrow(keep, docs.schema)
+
+
 def train_fold(doc_id: Column) -> Column:
     """Of three folds, the second is held out."""
     return fold(doc_id, 3) != 1

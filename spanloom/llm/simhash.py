@@ -158,3 +158,9 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = BITS, key: str
     least = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     member = joined.join(least, "root").select("fp", "component_id")
     return found.join(member, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def first_of_each(docs: DataFrame, words: int = 3, bits: int = BITS, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without those that are linked, over others perhaps, to a document of smaller key. Repeated rows of a key are one document."""
+    found = near_duplicates(docs, words, bits, key, text)
+    return docs.join(found.where(f"{key} <> component_id").select(key).distinct(), key, "left_anti")
