@@ -1 +1,30 @@
-QUERIES, SQL = {}, {}
+"""Queries over pages."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from spanloom.llm import warc
+from spanloom.llm.common import table
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.captures(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op6_warc": op6_warc}
+SQL = {
+    "op6_warc": """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (
+  SELECT page_id, octet_length(encode(html)) AS payload_bytes, sha1(html) AS h,
+         max(page_id) OVER (PARTITION BY sha1(html)) AS original
+  FROM p)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes,
+       list_aggregate(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+         CAST((CAST('0x' || substr(h, CAST(5 * (i // 4) + 1 AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31 AS BIGINT) + 1, 1)),
+         'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> original THEN original END AS refers_to
+FROM d"""
+}
