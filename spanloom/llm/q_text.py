@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import bpe, decontaminate, langid, secrets, simhash
+from spanloom.llm import bpe, decontaminate, langid, quality, secrets, simhash
 from spanloom.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -28,5 +32,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe, op4_decontamination, op8_simhash, op9_language, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op3_bpe, op4_decontamination, op5_quality, op8_simhash, op9_language, op10_secrets)}
 SQL: dict[str, str] = {}
