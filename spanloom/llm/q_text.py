@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import bpe, decontaminate, langid, quality, secrets, simhash
+from spanloom.llm import bpe, decontaminate, langid, quality, secrets, simhash, suffixes
 from spanloom.llm.common import table
 
 
+def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeats(table(spark, sf_dir, "documents")).withColumnRenamed("other", "other_doc_id")
+
+
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(table(spark, sf_dir, "documents"))
 
@@ -32,5 +36,5 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_bpe, op4_decontamination, op5_quality, op8_simhash, op9_language, op10_secrets)}
+QUERIES = {f.__name__: f for f in (op1_suffix_array, op3_bpe, op4_decontamination, op5_quality, op8_simhash, op9_language, op10_secrets)}
 SQL: dict[str, str] = {}
