@@ -2,7 +2,7 @@
 
 A text's words (runs of anything but white space) and their character n-grams are hashed into
 ``BUCKETS`` learned vectors; their average over the document goes through a softmax. A word that
-repeats the one before it also counts as the word ``AGAIN``, since an average can't see order. Vectors
+repeats the one before it also counts as ``AGAIN``, since an average can't see order. Vectors
 and output weights are trained by stochastic gradient descent in numpy, one document a step, on
 at most ``SAMPLE`` labelled documents: the first by a hash of their id. Their features are made by
 Spark from their whole texts. Every document is scored from its whole text.
@@ -18,55 +18,54 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import by_text, fold, spread
 
-BUCKETS = 1 << 15
+BITS = 15
+BUCKETS = 1 << BITS
 SIZE = 12
 GRAMS = (3, 4)
 SAMPLE = 4000
 EPOCHS = 4
 RATE = 0.5
-AGAIN = "\x00again"
-CACHE = 300_000
+MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Odd factors for a word's characters by place.
+PLACES = np.array([(0xD1342543DE82EF95 * (2 * i + 1) ^ 0x2545F4914F6CDD1D) % (1 << 64) | 1 for i in range(64)], np.uint64)
+#: Stands for a word that repeats the one before it.
+AGAIN = np.uint64(0xA5A5A5A5A5A5A5A5)
 FOLDS = 5
 
 
-def features(word: str) -> np.ndarray:
-    """Buckets of a word and of the n-grams of the word between marks."""
-    digest, marked = xxhash.xxh32_intdigest, f"<{word}>"
-    parts = [marked[i : i + n] for n in GRAMS for i in range(len(marked) - n + 1)]
-    return np.array([digest(p, s) % BUCKETS for s, ps in ((1, [word]), (2, parts)) for p in ps], np.int64)
-
-
-def words_of(text: str | None) -> list[str]:
+def features(text: str | None) -> np.ndarray:
+    """Buckets of all words, all n-grams of words between spaces, and all repetitions of a text."""
     words = (text or "").split()
-    return words + [AGAIN for a, b in zip(words, words[1:], strict=False) if a == b]
-
-
-class Buckets(dict):
-    def __missing__(self, word: str) -> np.ndarray:
-        found = features(word)
-        if len(self) >= CACHE:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = found
-        return found
-
-
-KNOWN = Buckets()
+    if not words:
+        return np.empty(0, np.int64)
+    c = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    inner = c != 32
+    hashes = []
+    for n in GRAMS:
+        h = c[: len(c) - n + 1] * MIX
+        whole = np.ones(max(0, len(c) - n + 1), bool)
+        for i in range(1, n):
+            h = (h ^ c[i : len(c) - n + 1 + i]) * MIX
+            if i < n - 1:
+                whole &= inner[i : len(c) - n + 1 + i]
+        hashes.append(h[whole] * MIX)
+    starts = np.flatnonzero(~inner)[:-1]
+    place = np.arange(len(c)) - np.repeat(starts, np.diff(np.append(starts, len(c))))
+    own = np.add.reduceat(c * PLACES[place % len(PLACES)], starts) * MIX
+    again = int((own[1:] == own[:-1]).sum())
+    hashes += [own, np.full(again, AGAIN)]
+    return (np.concatenate(hashes) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 def bag(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """The buckets of a document and their shares."""
-    words = words_of(text)
-    if not words:
-        return np.empty(0, np.int32), np.empty(0, np.float32)
-    ids, n = np.unique(np.concatenate([KNOWN[w] for w in words]), return_counts=True)
-    return ids.astype(np.int32), (n / n.sum()).astype(np.float32)
+    ids, n = np.unique(features(text), return_counts=True)
+    return ids.astype(np.int32), (n / max(1, n.sum())).astype(np.float32)
 
 
 def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], epochs: int = EPOCHS, rate: float = RATE, seed: int = 7) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,33 +114,16 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "
 
 
 class Scorer:
-    """Keeps the summed vectors of words it has seen, as rows of a table that starts anew when it is full."""
+    """The softmax of two classes over averaged vectors; what each bucket adds to the difference is worked out once."""
 
     def __init__(self, vectors: np.ndarray, weights: np.ndarray, bias: np.ndarray):
-        self.vectors, self.weights, self.bias = vectors, weights, bias
-        self.place: dict[str, int] = {}
-        self.sums = np.empty((CACHE, SIZE + 1), np.float32)
-
-    def row(self, word: str) -> int:
-        if (at := self.place.get(word)) is None:
-            ids = features(word)
-            at = self.place[word] = len(self.place)
-            self.sums[at, :SIZE], self.sums[at, SIZE] = self.vectors[ids].sum(axis=0), len(ids)
-        return at
+        self.lead = vectors.astype(np.float64) @ (weights[:, 1] - weights[:, 0])
+        self.bias = float(bias[1] - bias[0])
 
     def score(self, text: str | None) -> float:
-        words, total = words_of(text), np.zeros(SIZE + 1)
-        for i in range(0, len(words), 20_000):
-            part = words[i : i + 20_000]
-            if len(self.place) + len(part) > CACHE:
-                self.place.clear()
-            try:
-                rows = [self.place[w] for w in part]
-            except KeyError:
-                rows = [self.row(w) for w in part]
-            total += self.sums[rows].sum(axis=0, dtype=np.float64)
-        z = total[:SIZE] / max(1.0, total[SIZE]) @ self.weights + self.bias
-        return float(1 / (1 + np.exp(z[0] - z[1])))
+        ids = features(text)
+        z = (float(self.lead[ids].mean()) if len(ids) else 0.0) + self.bias
+        return float(1 / (1 + np.exp(-z)))
 
 
 @lru_cache(maxsize=1)
