@@ -4,9 +4,9 @@ A page is written as three records: its response (or, where another page has the
 revisit of that page's), the request, and metadata with the payload's length. Request and metadata
 name the response through WARC-Concurrent-To; assembly joins on it. Record ids are unique, so the join
 has no hot keys; pages are matched by payload digest on counts made beforehand, in a join that Spark may
-split. Files are plain text whose records end in two line breaks, so Spark's text writer makes them,
-in folders that need only be visible to Spark; ``RECORDS`` bounds a file. They are read whole, one
-at a time, each record by its Content-Length.
+split. Files are text whose records end in two line breaks, so Spark's text writer makes them, as gzip,
+in folders that need only be visible to Spark; ``RECORDS`` bounds a file. They are read one at a time (plain
+or gzip, of one member or many), each record by its Content-Length.
 
 Null html counts as empty. Of rows with equal payloads those with the largest page_id are responses
 (more than one if rows repeat), all others revisits. Line breaks and spaces in addresses are percent-encoded,
@@ -16,6 +16,7 @@ a null address has no header. Rows with a null page_id are captures like others,
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -28,7 +29,7 @@ from spanloom.llm.common import shared_dir
 
 END = "\r\n\r\n"
 #: Records in a file at most.
-RECORDS = 15_000
+RECORDS = 9_000
 DATE = "2024-01-01T00:00:00Z"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8" + END
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -78,7 +79,7 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     concurrent = header("WARC-Concurrent-To", F.concat(F.lit("<"), name("page"), F.lit(">")))
     request = record("request", name("request"), "application/http; msgtype=request", F.lit("GET / HTTP/1.1" + END), url, concurrent)
     metadata = record("metadata", name("metadata"), "application/warc-fields", F.concat(F.lit("payload-length: "), F.col("bytes").cast("string"), F.lit("\r\n")), url, concurrent)
-    p.select(F.explode(F.array(capture, request, metadata)).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", RECORDS).text(path)
+    p.select(F.explode(F.array(capture, request, metadata)).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", RECORDS).option("compression", "gzip").text(path)
 
 
 def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -119,7 +120,8 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
         for batch in batches:
             for content in batch.column("content"):
                 rows: list[tuple] = []
-                for headers, block in parsed(content.as_py()):
+                data = content.as_py()
+                for headers, block in parsed(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
                     rows.append(row(headers, block))
                     if len(rows) == 2000:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
