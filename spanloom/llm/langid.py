@@ -29,33 +29,17 @@ TOP = 400
 #: The profiles are sent to all executors; more languages than this aren't learned but refused.
 MAX_LANGUAGES = 2000
 LETTERS = regex.compile(r"\p{L}+")
-CACHE = 300_000
-
-
-class Grams(dict):
-    """The n-grams of a padded word, n from 1 to 3, each packed into an integer: 21 bits a character."""
-
-    def __missing__(self, word: str) -> np.ndarray:
-        c = np.frombuffer(f" {word} ".encode("utf-32-le"), dtype=np.uint32).astype(np.int64) + 1
-        two = c[:-1] << 21 | c[1:]
-        found = np.concatenate([c[1:-1], two, two[:-1] << 21 | c[2:]])
-        if len(self) >= CACHE:
-            self.clear()
-        if len(word) <= 64:
-            self[word] = found
-        return found
-
-
-GRAMS = Grams()
 
 
 def counted(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """A text's n-grams and their counts."""
+    """A text's n-grams, n from 1 to 3, and their counts; an n-gram is packed into an integer, 21 bits a character."""
     words = LETTERS.findall((text or "").lower())
     if not words:
         return np.empty(0, np.int64), np.empty(0, np.int64)
-    grams, counts = np.unique(np.concatenate([GRAMS[w] for w in words]), return_counts=True)
-    return grams, counts
+    c = np.frombuffer(f" {' '.join(words)} ".encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+    two = c[:-1] << 21 | c[1:]
+    inside = c[1:-1] != 32  # no n-gram reaches from one word into the next
+    return np.unique(np.concatenate([c[1:-1][inside], two, (two[:-1] << 21 | c[2:])[inside]]), return_counts=True)
 
 
 def ranked(text: str | None, top: int) -> np.ndarray:
