@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -24,7 +25,14 @@ def normal(text: str) -> str:
 
 
 def edit_distance(a, b) -> int:
-    """Rows are vectors: insertions along a row are a running minimum."""
+    """Short ones cell by cell; else rows are vectors, and insertions along a row a running minimum."""
+    if len(a) * len(b) < 400:
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            diagonal, row[0] = row[0], i
+            for j, d in enumerate(b, 1):
+                diagonal, row[j] = row[j], min(diagonal + (c != d), row[j] + 1, row[j - 1] + 1)
+        return row[-1]
     codes: dict = {}
     x, y = (np.array([codes.setdefault(c, len(codes)) for c in s], np.int64) for s in (a, b))
     offset = np.arange(len(y) + 1)
@@ -37,6 +45,7 @@ def edit_distance(a, b) -> int:
     return int(row[-1])
 
 
+@lru_cache(maxsize=1 << 18)
 def ratio(a: str, b: str) -> float:
     return 1.0 if a == b else 0.0 if not a or not b else 1.0 - edit_distance(a, b) / max(len(a), len(b))
 
@@ -44,21 +53,21 @@ def ratio(a: str, b: str) -> float:
 def align(reference: list[str], hypothesis: list[str], gap: float = 0.5) -> list[tuple[str, str | None, str | None, float | None]]:
     """Global word alignment by similarity: (status, reference, hypothesis, score) rows; a pair goes before a gap, a missing word before an extra one."""
     ref, hyp = ([w for w in s if w and w.strip()] for s in (reference, hypothesis))
-    known: dict[tuple[str, str], float] = {}
     a, b = [normal(w) for w in ref], [normal(w) for w in hyp]
-    same = np.array([[known[p] if (p := (u, v)) in known else known.setdefault(p, ratio(u, v)) for v in b] for u in a]).reshape(len(a), len(b))
-    score = np.empty((len(a) + 1, len(b) + 1))
-    score[0], score[:, 0] = -gap * np.arange(len(b) + 1), -gap * np.arange(len(a) + 1)
-    for i in range(1, len(a) + 1):
-        for j in range(1, len(b) + 1):
-            score[i, j] = max(score[i - 1, j - 1] + same[i - 1, j - 1], score[i - 1, j] - gap, score[i, j - 1] - gap)
+    same = [[ratio(u, v) for v in b] for u in a]
+    score = [[-gap * j for j in range(len(b) + 1)]]
+    for i, of in enumerate(same, 1):
+        above, row = score[-1], [-gap * i]
+        for j, s in enumerate(of):
+            row.append(max(above[j] + s, above[j + 1] - gap, row[j] - gap))
+        score.append(row)
     i, j, rows = len(a), len(b), []
     while i or j:
-        if i and j and score[i, j] == score[i - 1, j - 1] + same[i - 1, j - 1]:
-            s = float(same[i - 1, j - 1])
+        if i and j and score[i][j] == score[i - 1][j - 1] + same[i - 1][j - 1]:
+            s = same[i - 1][j - 1]
             rows.append(("match" if s >= 0.8 else "near" if s >= 0.5 else "mismatch", ref[i - 1], hyp[j - 1], s))
             i, j = i - 1, j - 1
-        elif i and (not j or score[i, j] == score[i - 1, j] - gap):
+        elif i and (not j or score[i][j] == score[i - 1][j] - gap):
             rows.append(("missing", ref[i - 1], None, None))
             i -= 1
         else:

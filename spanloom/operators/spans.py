@@ -4,15 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from spanloom.functions.text import normalize, words
 
-ORDERED = Window.partitionBy("chapter").orderBy("verse")
+
+
+def ordered() -> WindowSpec:
+    return Window.partitionBy("chapter").orderBy("verse")
 
 
 def spans(verses: DataFrame, longest: int) -> DataFrame:
     """chapter, first, last, text of every run of up to longest verses without a gap, joined by spaces."""
-    reach = ORDERED.rowsBetween(0, longest - 1)
+    reach = ordered().rowsBetween(0, longest - 1)
     ahead = verses.select("chapter", F.col("verse").alias("first"), F.collect_list(F.struct("verse", "text")).over(reach).alias("ahead"))
     taken = ahead.select("chapter", "first", "ahead", F.explode(F.sequence(F.lit(1), F.size("ahead"))).alias("n"))
     last = F.element_at("ahead", F.col("n"))["verse"]
@@ -35,7 +39,7 @@ def following(verses: DataFrame) -> DataFrame:
     firsts = verses.groupBy("chapter").agg(F.min("verse").alias("first"))
     ahead = Window.orderBy("chapter")
     after = firsts.select("chapter", F.lead("chapter").over(ahead).alias("c"), F.lead("first").over(ahead).alias("v"))
-    inside = verses.select("chapter", "verse", F.lead("verse").over(ORDERED).alias("n"))
+    inside = verses.select("chapter", "verse", F.lead("verse").over(ordered()).alias("n"))
     within = F.col("n").isNotNull()
     return inside.join(after, "chapter").select("chapter", "verse", F.when(within, F.col("chapter")).otherwise(F.col("c")).alias("next_chapter"), F.coalesce("n", "v").alias("next_verse"))
 
@@ -43,7 +47,7 @@ def following(verses: DataFrame) -> DataFrame:
 def word_offsets(verses: DataFrame) -> DataFrame:
     """chapter, verse, words, offset: words before the verse in its chapter."""
     counted = verses.select("chapter", "verse", F.size(words(normalize(F.col("text")))).alias("words"))
-    before = F.sum("words").over(ORDERED.rowsBetween(Window.unboundedPreceding, -1))
+    before = F.sum("words").over(ordered().rowsBetween(Window.unboundedPreceding, -1))
     return counted.withColumn("offset", F.coalesce(before, F.lit(0)))
 
 
@@ -56,7 +60,7 @@ def covered(verses: DataFrame, heard: DataFrame) -> DataFrame:
     hit = placed.join(heard.select("chapter", "word").distinct().withColumn("heard", F.lit(True)), ["chapter", "word"], "left")
     counts = hit.groupBy("chapter", "verse").agg(F.count("*").alias("n"), F.count("heard").alias("hits"), F.min(F.when(F.col("heard"), F.col("at"))).alias("a"), F.max(F.when(F.col("heard"), F.col("at"))).alias("b"))
     part = F.col("hits") < F.col("n")
-    return counts.where("hits > 0").select("chapter", "verse", (F.row_number().over(ORDERED) - 1).alias("ordinal"), F.when(part, F.col("a")).alias("word_start"), F.when(part, F.col("b")).alias("word_end"))
+    return counts.where("hits > 0").select("chapter", "verse", (F.row_number().over(ordered()) - 1).alias("ordinal"), F.when(part, F.col("a")).alias("word_start"), F.when(part, F.col("b")).alias("word_end"))
 
 
 def opening_split(verses: DataFrame, opening: list[str]) -> DataFrame:

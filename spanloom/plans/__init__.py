@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("relations",)
+MODULES = ("relations", "sequences", "events")
 
 
 def queries() -> dict:
