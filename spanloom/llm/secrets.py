@@ -80,7 +80,7 @@ def above(z: Column) -> Column:
 
 def tested(candidates: DataFrame) -> DataFrame:
     """Adds encoding, length class and bin of the chance to uid, start, end, found."""
-    plain = F.when(F.col("found").rlike("^[0-9A-F]+$"), F.lower("found")).otherwise(F.translate(F.rtrim(F.lit("="), F.col("found")), "-_=", "+/"))
+    plain = F.when(F.col("found").rlike("^[0-9A-F]+$"), F.lower("found")).otherwise(F.translate(F.rtrim(F.col("found"), F.lit("=")), "-_=", "+/"))
     df = candidates.withColumn("code", plain)
     encoding = F.when(F.col("code").rlike("^[0-9a-f]*$"), "hex").when(F.col("code").rlike("^[A-Z2-7]*$"), "b32").otherwise("b64")
     df = df.withColumn("encoding", encoding).withColumn("n", F.greatest(F.char_length("code"), F.lit(2)).cast("double"))
@@ -147,15 +147,15 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
 def redacted(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str = "[secret]") -> DataFrame:
     """docs with every span of every text replaced by a mark; keys must not repeat with different texts."""
-    found = scan(docs, key, text).where(F.size("spans") > 0).groupBy(key).agg(F.first("spans").alias("spans"))
-    t = F.col(text)
+    found = scan(docs, key, text).where(F.size("spans") > 0).groupBy(key).agg(F.first("spans").alias("_spans"))
+    t = docs[text]
     start = F.from_json(F.lit('{"out":[],"at":0}'), "out array<string>, at int")
 
     def step(acc: Column, s: Column) -> Column:
         kept = F.array_append(acc["out"], t.substr(acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0))))
         return F.when(s["end"] <= acc["at"], acc).otherwise(F.struct(kept.alias("out"), s["end"].alias("at")))
 
-    cut = F.aggregate("spans", start, step)
-    joined = docs.join(found, docs[key].eqNullSafe(found[key]), "left").select(*(docs[c] for c in docs.columns), "spans").withColumn("cut", F.when(F.size("spans") > 0, cut))
-    new = F.concat(F.array_join("cut.out", mark), F.lit(mark), t.substr(F.col("cut.at") + 1, F.char_length(t)))
-    return joined.withColumn(text, F.when(F.col("cut").isNotNull(), new).otherwise(t)).select(docs.columns)
+    cut = F.aggregate(found["_spans"], start, step)
+    joined = docs.join(found, docs[key].eqNullSafe(found[key]), "left").select(*(docs[c] for c in docs.columns), F.when(F.size(found["_spans"]) > 0, cut).alias("_cut"))
+    new = F.concat(F.array_join("_cut.out", mark), F.lit(mark), F.col(text).substr(F.col("_cut.at") + 1, F.char_length(text)))
+    return joined.withColumn(text, F.when(F.col("_cut").isNotNull(), new).otherwise(F.col(text))).select(docs.columns)

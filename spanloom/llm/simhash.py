@@ -163,4 +163,5 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = BITS, key: str
 def first_of_each(docs: DataFrame, words: int = 3, bits: int = BITS, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs without those that are linked, over others perhaps, to a document of smaller key. Repeated rows of a key are one document."""
     found = near_duplicates(docs, words, bits, key, text)
-    return docs.join(found.where(f"{key} <> component_id").select(key).distinct(), key, "left_anti")
+    # the same plan at every size: the copies' ids grow with the table
+    return docs.join(found.where(f"{key} <> component_id").select(key).distinct().hint("merge"), key, "left_anti")

@@ -137,7 +137,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, key: str = "vec_id
         q, at = matrix([r["v"] for r in mine])
         ids = np.array([r["id"] for r in mine], np.int64)[at]
         start = Best(ids, q, k, np.full(len(ids), -np.inf))
-        for more in first:
+        for more in first if len(ids) else ():
             start.add(*more)
         sent = spark.sparkContext.broadcast((ids, q, start.floor))
 
