@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("relations", "sequences", "events")
+MODULES = ("relations", "choices", "sequences", "events")
 
 
 def queries() -> dict:
