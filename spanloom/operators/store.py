@@ -87,3 +87,20 @@ def source_of(matches: Column, curated_text: Column, whole: Column) -> Column:
     source = F.when(matches == 0, "machineAsr").when(curated_text.isNotNull(), "curatedEdition").otherwise("machineCanonical")
     scope = F.when(matches == 0, "asr").when(whole, "fullVerses").when(curated_text.isNotNull(), "fullVerseContext").otherwise("confirmedRange")
     return F.struct(source.alias("source"), scope.alias("scope"))
+
+
+def job_outcome(missing: Column, curated_text: Column, cached: Column, error: Column) -> Column:
+    """State of a translation job: a missing record fails it; curated or cached text ends it; a model that may still come leaves it pending."""
+    waits = error.isin("modelMissing", "offlineDownloadUnavailable")
+    return F.when(missing, "failed").when(curated_text.isNotNull() | cached.isNotNull(), "done").when(waits, "pending").when(error.isNotNull(), "failed").otherwise("done")
+
+
+def requeued(jobs: DataFrame, record: Column) -> DataFrame:
+    """Jobs of the chosen records are pending again, with one more attempt."""
+    return changed(jobs, record, state=F.lit("pending"), attempts=F.col("attempts") + 1)
+
+
+def touched(cache: DataFrame, hits: DataFrame, at: Column) -> DataFrame:
+    """A cache after its entries were read: those hit are used last at a time."""
+    seen = hits.select("cache_key").distinct().withColumn("_h", F.lit(True))
+    return cache.join(seen, "cache_key", "left").withColumn("last_used_at", F.when(F.col("_h"), at).otherwise(F.col("last_used_at"))).select(cache.columns)

@@ -149,3 +149,37 @@ def flush_tracker(spark: SparkSession, d: str) -> DataFrame:
     before = F.lag("ref").over(Window.partitionBy("session").orderBy("n"))
     rows = e.withColumn("next", T.is_next(before, F.col("ref")))
     return S.run_batch(rows, "session", "n", S.Tracker, partial(S.tracker_step), S.TRACKED)
+
+
+@query()
+def audio_segments(spark: SparkSession, d: str) -> DataFrame:
+    """user_id, start, end: each user's events as frames of 0.2 seconds, cut at pauses."""
+    from spanloom.operators import choices
+
+    n = F.row_number().over(Window.partitionBy("user_id").orderBy("event_id"))
+    e = events(spark, d).select("user_id", n.cast("long").alias("n"), F.round(F.abs("value"), 6).alias("rms"))
+    total = e.groupBy("user_id").agg((F.max("n") * 0.2).alias("total"))
+    p = choices.pauses(e, "user_id", 0.2, 0.4, 0.4).select("user_id", F.col("first").alias("n"), "middle").join(total, "user_id")
+    end = total.select("user_id", F.lit(1 << 40).alias("n"), F.lit(None).cast("double").alias("middle"), "total")
+    return S.run_batch(p.select("user_id", "n", "middle", "total").unionByName(end), "user_id", "n", S.Cutter, S.cut_step, S.CUT)
+
+
+@query("""WITH j AS (SELECT event_id, event_id % 11 = 0 AS missing, CASE WHEN event_id % 5 = 0 THEN 'text' END AS curated, CASE WHEN event_id % 7 = 0 THEN 'text' END AS cached, CASE event_type WHEN 'click' THEN 'modelMissing' WHEN 'view' THEN 'network' END AS error FROM events)
+SELECT event_id, CASE WHEN missing THEN 'failed' WHEN curated IS NOT NULL OR cached IS NOT NULL THEN 'done' WHEN error = 'modelMissing' THEN 'pending' WHEN error IS NOT NULL THEN 'failed' ELSE 'done' END AS state FROM j""")
+def job_outcome(spark: SparkSession, d: str) -> DataFrame:
+    from spanloom.operators import store
+
+    e = events(spark, d)
+    k = F.col("event_id")
+    error = F.when(F.col("event_type") == "click", "modelMissing").when(F.col("event_type") == "view", "network")
+    state = store.job_outcome(k % 11 == 0, F.when(k % 5 == 0, "text"), F.when(k % 7 == 0, "text"), error)
+    return e.select("event_id", state.alias("state"))
+
+
+@query("""WITH j AS (SELECT event_id, event_type AS state, CAST(event_id % 3 AS INTEGER) AS attempts, user_id FROM events)
+SELECT event_id, CASE WHEN user_id % 10 = 0 THEN 'pending' ELSE state END AS state, CAST(CASE WHEN user_id % 10 = 0 THEN attempts + 1 ELSE attempts END AS INTEGER) AS attempts FROM j""")
+def job_requeue(spark: SparkSession, d: str) -> DataFrame:
+    from spanloom.operators import store
+
+    jobs = events(spark, d).select("event_id", F.col("event_type").alias("state"), (F.col("event_id") % 3).cast("int").alias("attempts"), "user_id")
+    return store.requeued(jobs, F.col("user_id") % 10 == 0).drop("user_id")

@@ -198,3 +198,24 @@ def levels(events: DataFrame) -> DataFrame:
     """session, n, seconds, rms, peak: events as sound levels, half a second each."""
     level = F.abs(F.col("value")) / 1000
     return events.select(F.col("user_id").alias("session"), F.col("event_id").alias("n"), F.lit(0.5).alias("seconds"), F.round(level * F.when(F.col("event_id") % 7 < 4, 0.01).otherwise(1.0), 9).alias("rms"), F.round(level * 4, 9).alias("peak"))
+
+
+@dataclass
+class Cutter:
+    """Cuts a recording at its pauses, not closer than a gap, nor near the end."""
+
+    last: float = 0.0
+
+
+CUT = "start double, end double"
+
+
+def cut_step(s: Cutter, chunk: dict, gap: float = 2.0, tail: float = 1.0) -> list[tuple]:
+    """chunk: middle of a pause, total length; a last row with middle null closes the recording."""
+    middle, total = chunk["middle"], chunk["total"]
+    if middle is None or math.isnan(middle):
+        return [(s.last, total)] if total > s.last else []
+    if middle - s.last >= gap and total - middle >= tail:
+        out, s.last = (s.last, middle), middle
+        return [out]
+    return []
