@@ -65,8 +65,9 @@ def sparse_fallback(texts: DataFrame, references: DataFrame, enough: int = 8) ->
 def gram_overlap(texts: DataFrame, references: DataFrame, k: int, third: float = 0.48) -> DataFrame:
     """text_id, ref_id, overlap, rank: shared character pairs, and triples at a weight."""
     def grams(df, key):
-        t = normalize(F.col("text"))
-        return df.select(key, F.explode(F.concat(ngrams(t, 2), ngrams(t, 3))).alias("gram"))
+        # a column of its own: inside the n-grams' lambda it would be worked out for each of them
+        t = df.select(key, normalize(F.col("text")).alias("t"))
+        return t.select(key, F.explode(F.concat(ngrams(F.col("t"), 2), ngrams(F.col("t"), 3))).alias("gram"))
 
     weight = F.when(F.char_length("gram") == 2, 1.0).otherwise(third)
     joined = grams(texts, "text_id").join(grams(references, "ref_id"), "gram").groupBy("text_id", "ref_id").agg(F.round(F.sum(weight), 6).alias("overlap"))

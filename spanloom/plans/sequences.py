@@ -212,3 +212,13 @@ def span_alignment(spark: SparkSession, d: str) -> DataFrame:
     second = v.where("verse = 1").select("chapter", T.words(T.normalize(F.col("text"))).alias("hypothesis"))
     pairs = spans.spans(v, 3).join(second, "chapter").select(F.concat_ws(":", *(F.col(c).cast("string") for c in ("chapter", "first", "last"))).alias("pair_id"), T.words(T.normalize(F.col("text"))).alias("reference"), "hypothesis")
     return K.alignments(dealt(pairs, "pair_id")).select("pair_id", "match", "missing", "extra", F.round("f1", 6).alias("f1"))
+
+
+@query
+def joint_match(spark: SparkSession, d: str) -> DataFrame:
+    """The first 120 letters of every fifth chapter's first two verses, looked for among all verses and spans."""
+    from spanloom.operators import joint
+
+    v = verses(spark, d)
+    asked = spans.spans(v.where("verse < 2"), 2).where("last > first and chapter % 5 = 0").select(F.col("chapter").alias("text_id"), F.substring("text", 1, 120).alias("text"))
+    return joint.champion(joint.joint(asked, v, 3, 20, 3, 3))
