@@ -75,6 +75,14 @@ def newer_letters() -> frozenset[str]:
     return frozenset(c for c in regex.findall(r"[\p{L}\p{N}]", every) if unicodedata.category(c) == "Cn")
 
 
+@lru_cache(maxsize=1)
+def latin_pattern() -> re.Pattern[str]:
+    """The same pattern for texts within Latin-1, with its classes spelt out; twice as fast."""
+    of = lambda p: "".join(re.escape(chr(c)) for c in range(256) if regex.match(p, chr(c)))
+    letters, numbers, spaces = of(r"\p{L}"), of(r"\p{N}"), of(r"\s")
+    return re.compile(f"'(?:s|t|re|ve|m|ll|d)| ?[{letters}]+| ?[{numbers}]+| ?[^{spaces}{letters}{numbers}]+|[{spaces}]+(?![^{spaces}])|[{spaces}]+")
+
+
 class Model:
     """A tokenizer file's vocabulary, merges and special tokens."""
 
@@ -221,7 +229,12 @@ class Encoder:
     m_spaces = staticmethod(regex.compile(r"(?r)(?<=\S)\s").finditer)
 
     def _words(self, text: str) -> list[str]:
-        if not text.isascii() and regex.search(r"[^\u0000-՗]", text) and not newer_letters().isdisjoint(text):
+        try:
+            text.encode("latin-1")
+            return latin_pattern().findall(text)
+        except UnicodeEncodeError:
+            pass
+        if regex.search(r"[^\u0000-՗]", text) and not newer_letters().isdisjoint(text):
             plain = text.translate({ord(c): "\U000e0080" for c in newer_letters()})  # an unassigned stand-in of the same length
             return [text[slice(*m.span())] for m in self.m.pattern.finditer(plain)]
         return self.m.pattern.findall(text)
