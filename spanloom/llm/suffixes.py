@@ -1,19 +1,16 @@
 """Repeated passages, by a sparse suffix array.
 
-Texts are taken as words (runs of anything but white space). Of every ``WINDOW`` word k-grams in a row
-the one of least hash is an anchor, so two texts that share ``least`` words or more share an anchor, at
-the same place in the passage and with ``least - WINDOW - K + 2`` shared words from it on. Only
-suffixes at anchors are kept, and of those only ones whose first words occur twice. Suffixes that
-begin alike meet in one task; a beginning of more than ``CROWD`` suffixes is dealt out over as many tasks
-as it takes, each with its share of the documents. There they are sorted by the words that follow, and once
-more by the words before, read backwards; in either order each is compared with the ``NEAR``
-neighbours on both sides, and a match is extended left and right word by word. Stretches of at least
-``least`` words are reported, overlapping ones of a document as one.
-
-Every stretch that is reported stands elsewhere. Where up to ``NEAR`` other suffixes begin alike, all are
-compared and the ends are exact. In larger groups the best match for the words just before an anchor may be
-near in neither order, or in another task: an end may then lie some words inside, and a stretch that
-only just reaches ``least`` words and differs from all its neighbours may be missed.
+Texts are taken as words (runs of anything but white space). A place repeats if the ``least`` words from it
+also stand elsewhere. Of the ``WINDOW`` word k-grams from a place the one of least hash is its anchor, so places
+with equal words have equal anchors, and at these the same ``least - WINDOW + 1`` words or more. Only anchors
+whose words occur twice are kept, each with the run of places that it is the anchor of.
+
+Anchors that begin alike meet in one task, where the places' words are compared by hash, each with all
+others. A beginning of more than ``CROWD`` suffixes isn't held in a task: its places are dealt out one by one by
+the hash of all their ``least`` words, and each class of equal ones comes down to its smallest keys by sums that
+Spark adds up before it deals them out. So every stretch of a repeated place is reported, from the first
+to the last of its words, whatever the size of the table or of a group; nothing else is, but for a clash
+of 64-bit hashes.
 
 A document is also compared with itself, apart from the place itself. Null and short texts repeat
 nothing. Repeated rows of an id count as copies; rows without an id are left out. Positions count words,
@@ -36,9 +33,7 @@ from spanloom.llm.common import spread, stored
 LEAST = 50
 K = 8
 WINDOW = 32
-#: Neighbours compared on either side.
-NEAR = 4
-#: Suffixes of one beginning in a task.
+#: Suffixes of one beginning that a task holds at once.
 CROWD = 2000
 WORD = re.compile(r"\S+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -70,133 +65,133 @@ def rolled(hashes: np.ndarray, k: int) -> np.ndarray:
     return (h ^ h >> np.uint64(29)) * MIX
 
 
-def anchors(hashes: np.ndarray, first: int, k: int = K, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the least k-grams of all windows that have first words from there, and a hash of those words."""
-    h = rolled(hashes, k)
-    if len(h) < window or len(hashes) < first:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    view = np.lib.stride_tricks.sliding_window_view(h, window)
-    at = np.unique(np.concatenate([view[i : i + 65536].argmin(axis=1) + np.arange(i, min(i + 65536, len(view))) for i in range(0, len(view), 65536)]))
-    at = at[at + first <= len(hashes)]
-    return at, rolled(hashes, first)[at].view(np.int64)
+def anchors(hashes: np.ndarray, least: int, window: int, k: int = K) -> tuple[np.ndarray, np.ndarray]:
+    """The first place of each run of places that share an anchor, with the end of the last run, and a hash of the words at each anchor."""
+    n = len(hashes) - least + 1
+    if n <= 0:
+        return np.zeros(1, np.int64), np.empty(0, np.int64)
+    view = np.lib.stride_tricks.sliding_window_view(rolled(hashes, min(k, least)), window)[:n]
+    at = np.concatenate([view[i : i + 65536].argmin(axis=1) + np.arange(i, min(i + 65536, n)) for i in range(0, n, 65536)])
+    runs = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+    return np.append(runs, n), rolled(hashes, least - window + 1)[at[runs]].view(np.int64)
 
 
-def anchor_rows(docs: DataFrame, first: int, window: int) -> DataFrame:
-    """id, at, prefix: every anchor."""
+def anchor_rows(docs: DataFrame, least: int, window: int) -> DataFrame:
+    """id, prefix, n: the beginnings at the anchors of every row, and how often each is there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [anchors(hashed(t), first, window=window) for t in batch.column("t").to_pylist()]
-            n = [len(at) for at, _ in found]
-            ids = batch.column("id").take(pa.array(np.repeat(np.arange(len(n)), n)))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate([at for at, _ in found]) if found else [], pa.int32()), pa.array(np.concatenate([p for _, p in found]) if found else [], pa.int64())], names=["id", "at", "prefix"])
-
-    return docs.mapInArrow(run, "id long, at int, prefix long")
+            found = [np.unique(anchors(hashed(t), least, window)[1], return_counts=True) for t in batch.column("t").to_pylist()]
+            ids = batch.column("id").take(pa.array(np.repeat(np.arange(len(found)), [len(p) for p, _ in found])))
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(np.concatenate([f[i] for f in found]) if found else [], pa.int64()) for i in (0, 1))], names=["id", "prefix", "n"])
 
+    return docs.mapInArrow(run, "id long, prefix long, n long")
 
-SUFFIX = [("at", pa.int32()), ("prefix", pa.int64()), ("share", pa.int32()), ("before", pa.string()), ("after", pa.string())]
 
+def suffixes(rows: DataFrame, least: int, window: int) -> DataFrame:
+    """key, id, at, hashes for rows of id, text and repeated beginnings: a run of places with the hash of the words from each.
 
-def suffixes(rows: DataFrame, least: int, first: int, window: int) -> DataFrame:
-    """id, at, prefix, share of a crowded beginning, words before the anchor (backwards) and words after the first ones, for rows of id, text and anchors."""
+    The key is the beginning; a crowded one's places are each a row, without hashes, of which the key is the hash.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, out = [], []
+            keys, ids, at, parts = [], [], [], []
 
             def packed():
-                return pa.RecordBatch.from_arrays([batch.column("id").take(pa.array(ids, pa.int64())), *(pa.array([r[i] for r in out], t) for i, (_, t) in enumerate(SUFFIX))], names=["id", *(n for n, _ in SUFFIX)])  # noqa: B023
-
-            for k, (i, t, places) in enumerate(zip(batch.column("id").to_pylist(), batch.column("t").to_pylist(), batch.column("places").to_pylist(), strict=True)):
-                words = (t or "").split()
-                for p in places:
-                    at = p["at"]
-                    ids.append(k)
-                    out.append((at, p["prefix"], hash(i) % p["shares"], " ".join(words[max(0, at - window + 1) : at][::-1]), " ".join(words[at + first : at + least])))
-                    if len(ids) == 5000:
+                return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(parts, pa.binary())], names=["key", "id", "at", "hashes"])  # noqa: B023
+
+            for i, t, places in zip(batch.column("id").to_pylist(), batch.column("t").to_pylist(), batch.column("places").to_pylist(), strict=True):
+                hashes, crowded = hashed(t), {p["prefix"]: p["crowded"] for p in places}
+                runs, prefixes = anchors(hashes, least, window)
+                whole = rolled(hashes, least).view(np.int64)
+                data = whole.tobytes()
+                for first, end, prefix in zip(runs[:-1].tolist(), runs[1:].tolist(), prefixes.tolist(), strict=True):
+                    if (many := crowded.get(prefix)) is None:
+                        continue
+                    if many:
+                        keys += whole[first:end].tolist()
+                        ids += [i] * (end - first)
+                        at += range(first, end)
+                        parts += [None] * (end - first)
+                    else:
+                        keys.append(prefix)
+                        ids.append(i)
+                        at.append(first)
+                        parts.append(data[8 * first : 8 * end])
+                    if len(ids) >= 5000:
                         yield packed()
-                        ids, out = [], []
+                        keys, ids, at, parts = [], [], [], []
             yield packed()
 
-    return rows.mapInArrow(run, "id long, at int, prefix long, share int, before string, after string")
-
-
-def common(a: list[str], b: list[str]) -> int:
-    """Equal words at the start."""
-    n = 0
-    for x, y in zip(a, b, strict=False):
-        if x != y:
-            break
-        n += 1
-    return n
-
-
-def matched(sorted_suffixes: DataFrame, least: int, first: int, near: int = NEAR) -> DataFrame:
-    """id, begin, end, other: around each suffix, the union of its matches with its neighbours, and the smallest id among them."""
+    return rows.mapInArrow(run, "key long, id long, at int, hashes binary")
+
+
+def classes(keys: np.ndarray, ids: np.ndarray, at: np.ndarray, parts: list[bytes], least: int) -> pa.RecordBatch:
+    """id, begin, end, other: of each run of whole groups what its repeated places cover, and the smallest id where one of them stands elsewhere."""
+    h, n = np.frombuffer(b"".join(parts), np.int64), np.array([len(p) // 8 for p in parts], np.int64)
+    row = np.repeat(np.arange(len(n)), n)
+    place = at[row] + np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
+    order = np.lexsort((ids[row], h, keys[row]))
+    row, place, h, key = row[order], place[order], h[order], keys[row[order]]
+    start = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (key[1:] != key[:-1])))[: len(h)]
+    size = np.diff(np.append(start, len(h)))
+    other = ids[row[np.repeat(start, size)]] if len(h) else ids[:0]
+    twice = np.repeat(size > 1, size)
+    other[start[size > 1]] = ids[row[start[size > 1] + 1]]
+    row, place, other = row[twice], place[twice], other[twice]
+    first, last, least_id = np.full(len(n), np.iinfo(np.int64).max), np.full(len(n), -1), np.full(len(n), np.iinfo(np.int64).max)
+    np.minimum.at(first, row, place)
+    np.maximum.at(last, row, place)
+    np.minimum.at(least_id, row, other)
+    hit = last >= 0
+    return pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(first[hit].astype(np.int32)), pa.array((last[hit] + least).astype(np.int32)), pa.array(least_id[hit])], names=["id", "begin", "end", "other"])
+
+
+def matched(by_key: DataFrame, least: int) -> DataFrame:
+    """id, begin, end, other from rows sorted by key, each compared with all of its key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list] = []  # prefix, share, id, place, words before, words after, both as text, then begin, end, other
-        done: list[tuple] = []
-
-        def leave(row: list) -> None:
-            if row[8] is not None:
-                done.append((row[2], row[8], row[9], row[10]))
-
-        def meets(row: list, back: int, ahead: int, other: int) -> None:
-            begin, end = row[3] - back, row[3] + first + ahead
-            if row[8] is None:
-                row[8:] = begin, end, other
-            else:
-                row[8:] = min(row[8], begin), max(row[9], end), min(row[10], other)
-
+        held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), []]
         for batch in batches:
-            for i, at, prefix, share, before, after in zip(*(batch.column(c).to_pylist() for c in ("id", *(n for n, _ in SUFFIX))), strict=True):
-                if held and (held[-1][0] != prefix or held[-1][1] != share):
-                    for row in held:
-                        leave(row)
-                    held = []
-                mine = [prefix, share, i, at, None, None, before, after, None, None, None]
-                for other in held:
-                    if other[2] == i and other[3] == at:
-                        continue
-                    for row in (mine, other):
-                        if row[4] is None:
-                            row[4], row[5] = row[6].split(), row[7].split()
-                    ahead = len(mine[5]) if other[7] == after else common(mine[5], other[5])
-                    back = len(mine[4]) if other[6] == before else common(mine[4], other[4])
-                    if first + ahead + back >= least:
-                        meets(mine, back, ahead, other[2])
-                        meets(other, back, ahead, i)
-                held.append(mine)
-                if len(held) > near:
-                    leave(held.pop(0))
-            yield packed(done)
-            done.clear()
-        for row in held:
-            leave(row)
-        yield packed(done)
-
-    def packed(done: list[tuple]) -> pa.RecordBatch:
-        types = (pa.int64(), pa.int32(), pa.int32(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array([r[k] for r in done], t) for k, t in enumerate(types)], names=["id", "begin", "end", "other"])
-
-    return sorted_suffixes.mapInArrow(run, "id long, begin int, end int, other long")
+            if not batch.num_rows:
+                continue
+            new = [batch.column(c).to_numpy().astype(np.int64) for c in ("key", "id", "at")]
+            held = [*(np.concatenate(x) for x in zip(held[:3], new, strict=True)), held[3] + batch.column("hashes").to_pylist()]
+            cut = int(np.flatnonzero(held[0] != held[0][-1])[-1:].sum() + 1) if held[0][0] != held[0][-1] else 0
+            if cut:
+                yield classes(*(x[:cut] for x in held), least)
+                held = [x[cut:] for x in held]
+        yield classes(*held, least)
+
+    return by_key.select("key", "id", "at", "hashes").mapInArrow(run, "id long, begin int, end int, other long")
+
+
+def matched_crowds(places: DataFrame, least: int) -> DataFrame:
+    """id, begin, end, other from rows of one place each, of which those of one key are equal."""
+    first = stored(places.groupBy("key").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first"), "classes")
+    met = stored(places.join(first, "key").select("key", "id", "at", "first"), "members")
+    end = (F.col("at") + least).cast("int")
+    others = met.where("id <> first.id or at <> first.at").select("id", F.col("at").alias("begin"), end.alias("end"), F.col("first.id").alias("other"))
+    # the first place's own partner: the smallest id of the rest, or its own if the id repeats
+    mine = F.col("id") == F.col("first.id")
+    again = F.sum(F.when(mine, 1).otherwise(0)) > 1
+    rest = met.groupBy("key").agg(F.first("first").alias("first"), F.when(again, F.first("first.id")).otherwise(F.min(F.when(~mine, F.col("id")))).alias("other"))
+    return others.union(rest.select("first.id", "first.at", (F.col("first.at") + least).cast("int"), "other"))
 
 
 def repeats(docs: DataFrame, least: int = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, word_start, word_end, other: maximal stretches made of passages that occur elsewhere, and the smallest key found there."""
     window = min(WINDOW, max(1, least - K - 2))
-    first = least - window - K + 2
     texts = spread(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).where("id is not null"))
-    found = stored(anchor_rows(texts, first, window), "anchors")
+    found = stored(anchor_rows(texts, least, window), "anchors")
     # written, so that the join stands on two exchanges, of which Spark may split the one with a hot beginning
-    twice = stored(found.groupBy("prefix").agg(F.count("*").alias("n")).where("n > 1").select("prefix", F.ceil(F.col("n") / CROWD).cast("int").alias("shares")), "beginnings")
-    places = found.join(twice, "prefix").groupBy("id").agg(F.collect_set(F.struct("at", "prefix", "shares")).alias("places"))
-    rows = suffixes(texts.join(places, "id"), least, first, window)
-    met = rows.repartition("prefix", "share")  # dealt out once, read in either order
-    forward = matched(met.sortWithinPartitions("prefix", "share", "after", "before", "id", "at"), least, first)
-    backward = matched(met.sortWithinPartitions("prefix", "share", "before", "after", "id", "at"), least, first)
-    return merged(forward.union(backward)).select(F.col("id").alias(key), F.col("begin").alias("word_start"), F.col("end").alias("word_end"), "other")
+    twice = stored(found.groupBy("prefix").agg(F.sum("n").alias("n")).where("n > 1").select("prefix", (F.col("n") > CROWD).alias("crowded")), "beginnings")
+    places = found.join(twice, "prefix").groupBy("id").agg(F.collect_set(F.struct("prefix", "crowded")).alias("places"))
+    rows = stored(suffixes(texts.join(places, "id"), least, window), "suffixes")
+    few, many = rows.where("hashes is not null"), rows.where("hashes is null").select("key", "id", "at")
+    spans = matched(few.repartition("key").sortWithinPartitions("key"), least).union(matched_crowds(many, least))
+    return merged(spans).select(F.col("id").alias(key), F.col("begin").alias("word_start"), F.col("end").alias("word_end"), "other")
 
 
 def merged(spans: DataFrame) -> DataFrame:

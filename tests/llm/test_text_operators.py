@@ -84,6 +84,29 @@ def test_suffixes_awkward(awkward, nothing):
     assert suffixes.without_repeats(awkward).count() == len(AWKWARD)
 
 
+def test_suffixes_within_a_crowd(spark, monkeypatch):
+    """A notice of 48 words in many documents; a few pairs also share the next 6 words, or the 6 before."""
+    monkeypatch.setattr(suffixes, "CROWD", 20)
+    rng = random.Random(8)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    notice, rows = words(48), []
+    for k in range(300):
+        rows.append([k, words(60), words(60)])
+    for k in range(20):
+        a, b = rows[k], rows[299 - 7 * k]
+        if k % 2:
+            b[2][:6] = a[2][:6]
+        else:
+            b[1][-6:] = a[1][-6:]
+    for k in (40, 41, 90):
+        rows[k] = [k, *rows[40][1:]]
+    texts = [(k, " ".join(a + notice + b)) for k, a, b in rows]
+    got = suffixes.repeats(spark.createDataFrame(texts, "doc_id long, text string")).collect()
+    assert {tuple(r)[:3] for r in got} == stretches(texts, 50)
+    other = {r["doc_id"]: r["other"] for r in got}
+    assert other[40] == 41 and other[41] == other[90] == 40 and all(other[k] == 299 - 7 * k and other[299 - 7 * k] == k for k in range(20))
+
+
 def test_removal_keeps_the_first_copy(spark):
     text = " ".join(f"w{k}" for k in range(60))
     rows = spark.createDataFrame([(1, f"a  {text} b"), (2, f"c  {text} d")], "doc_id long, text string")
