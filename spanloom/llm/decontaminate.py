@@ -5,12 +5,13 @@ agrees with a window of a benchmark item of ``span`` characters (with the whole
 up to ``errors`` edits a character. By the q-gram lemma a window of n characters with k edits keeps at
 least n + 1 - (k + 1) q of its q-grams, and they lie within k of one diagonal. Documents are scanned
 for the benchmark's q-grams; hits are counted in diagonal bands of width k that overlap by half, over
-stretches of the window's length; only bands that reach the bound are aligned, within the band, and
-the alignment's edits decide.
+stretches of the window's length; every window that reaches the bound in a band is aligned, within the
+band, and the alignment's edits decide. Items so short that the bound asks for nothing are looked for by
+shorter q-grams.
 
 Every document's whole text is scanned in one pass where it lies, without a shuffle. The benchmark is
 sent out in blocks of at most ``BLOCK`` characters, one pass each; an item is never split. Null and
-empty texts leak nothing; items without a q-gram are found only where they stand whole, none if empty.
+empty texts leak nothing; items that may have no edits and no q-gram are found where they stand whole, none if empty.
 Repeated rows of a document give repeated results; items with equal texts are each reported.
 """
 
@@ -86,6 +87,29 @@ def banded(a: np.ndarray, b: np.ndarray, low: int, high: int, most: int) -> tupl
     return int(cost[k]), int(begin[k]), low + len(a) + k
 
 
+def least_edits(item: np.ndarray, starts: np.ndarray, n: int, text: np.ndarray, low: int, high: int, most: int) -> np.ndarray:
+    """Least edits of the n characters of an item from each start against any stretch of text on the item's diagonals low to high; over most, some number over most."""
+    big, offset = most + 1, np.arange(high - low + 1)
+    out, left = np.full(len(starts), big), np.arange(len(starts))
+    j = starts[:, None] + low + offset
+    cost = np.where((j >= 0) & (j <= len(text)), 0, big)
+    for i in range(n):
+        inside = (j >= 0) & (j < len(text))
+        sub = cost + np.where(inside, item[starts + i][:, None] != text[np.clip(j, 0, len(text) - 1)], big)
+        j = j + 1
+        new = np.minimum(sub, np.pad(cost[:, 1:], ((0, 0), (0, 1)), constant_values=big) + 1)
+        new[(j < 0) | (j > len(text))] = big
+        cost = np.minimum(np.minimum.accumulate(new - offset, axis=1) + offset, big)
+        cost[(j < 0) | (j > len(text))] = big
+        if i % 8 == 7:
+            live = cost.min(axis=1) <= most
+            if not live.any():
+                return out
+            starts, left, j, cost = starts[live], left[live], j[live], cost[live]
+    out[left] = cost.min(axis=1)
+    return out
+
+
 class Block:
     """Benchmark items with an index of their q-grams."""
 
@@ -93,8 +117,14 @@ class Block:
         self.q, self.span, self.errors = q, span, errors
         self.ids = [i for i, _ in items]
         self.codes = [codes_of(plain(t)) for _, t in items]
-        hashes = [grams(c, q) for c in self.codes]
-        self.short = [k for k, c in enumerate(self.codes) if 0 < len(c) and (len(c) < q or self.need(min(len(c), span)) < 1)]
+        few = [k for k, c in enumerate(self.codes) if 0 < len(c) and self.need(min(len(c), span)) < 1]
+        edited = [k for k in few if int(min(len(self.codes[k]), span) * errors)]
+        self.short = [k for k in few if not int(min(len(self.codes[k]), span) * errors)]
+        # of a window cut into one piece more than it may have edits, one piece stays whole
+        piece = min((max(1, n // (int(n * errors) + 1)) for n in (min(len(self.codes[k]), span) for k in edited)), default=q)
+        self.finer = Block([items[k] for k in edited], piece, span, errors) if piece < q else None
+        passed = set(few)
+        hashes = [grams(c, q) if k not in passed else np.empty(0, np.uint64) for k, c in enumerate(self.codes)]
         of = np.repeat(np.arange(len(items)), [len(h) for h in hashes])
         at = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.empty(0, int)
         h = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
@@ -131,7 +161,7 @@ class Block:
         flat = plain(text)
         if not flat or not self.ids:
             return []
-        codes, found = codes_of(flat), []
+        codes, found = codes_of(flat), self.finer.leaks(text) if self.finer else []
         if self.short:
             for k in self.short:
                 if (p := flat.find("".join(map(chr, self.codes[k].tolist())))) >= 0:
@@ -139,7 +169,7 @@ class Block:
         if len(codes) >= self.q:
             best: dict[int, tuple] = {}
             for k, low, p, at in self.regions(*self.hits(codes)):
-                if k not in self.short and (k not in best or best[k][4]) and (got := self._align(codes, self.codes[k], low, p, at)) and (k not in best or got[4] < best[k][4]):
+                if (k not in best or best[k][4]) and (got := self._align(codes, self.codes[k], low, p, at)) and (k not in best or got[4] < best[k][4]):
                     best[k] = got
             found += [(self.ids[k], *x) for k, x in best.items()]
         return sorted(found)
@@ -166,26 +196,29 @@ class Block:
         """The best window of an item in one band of diagonals from low."""
         n = min(len(item), self.span)
         most, need = int(n * self.errors), self.need(n)
-        width, best, after = max(1, most), None, -1
+        width, whole = max(1, most), len(item) - n
         order = np.lexsort((p, at))
         p, at = p[order], at[order]
-        upto = np.searchsorted(at, at + n - self.q, "right")
-        for i in np.flatnonzero(upto - np.arange(len(at)) >= need).tolist():
-            if at[i] < after:
-                continue
-            after = at[i] + max(1, n // 8)
-            # the window may start before its first shared q-gram, but must hold the last
-            begin, least = min(int(at[i]), len(item) - n), max(0, int(at[upto[i] - 1]) + self.q - n)
-            f = int(p[i] - at[i]) + begin
-            if 0 <= f and np.array_equal(text[f : f + n], item[begin : begin + n]):
-                return f, f + n, begin, begin + n, 0
-            for first in sorted({*range(begin, least - 1, -max(1, n // 8)), min(least, begin)}, reverse=True):
+        # a window holds need hits in a row if it starts at the first of them or before, and not too far before for the last
+        last = at[need - 1 :]
+        begin, least = np.minimum(at[: len(last)], whole), np.maximum(0, last + self.q - n)
+        good = least <= begin
+        for i in np.flatnonzero(good).tolist():
+            f = int(p[i] - at[i] + begin[i])
+            if 0 <= f and np.array_equal(text[f : f + n], item[begin[i] : begin[i] + n]):
+                return f, f + n, int(begin[i]), int(begin[i]) + n, 0
+        steps = np.zeros(whole + 2, np.int64)
+        np.add.at(steps, least[good], 1)
+        np.add.at(steps, begin[good] + 1, -1)
+        starts, best = np.flatnonzero(np.cumsum(steps)[:-1]), None
+        for part in (starts[i : i + 512] for i in range(0, len(starts), 512)):
+            edits = least_edits(item, part, n, text, low - width, low + 3 * width, most)
+            k = int(edits.argmin())
+            if edits[k] <= most and (best is None or edits[k] < best[4]):
+                first = int(part[k])
                 from_ = max(0, low + first - width)
                 got = banded(item[first : first + n], text[from_ : low + first + 3 * width + n + 1], low + first - width - from_, low + first + 3 * width - from_, most)
-                if got and (best is None or got[0] < best[4]):
-                    best = (from_ + got[1], from_ + got[2], first, first + n, got[0])
-            if best:
-                return best
+                best = (from_ + got[1], from_ + got[2], first, first + n, got[0])
         return best
 
 

@@ -194,6 +194,38 @@ def test_decontamination_finds_edited_passages_and_nothing_else(spark, docs):
         assert block.leaks(f"Some words before. {''.join(s)} And some after.")
 
 
+def substring_edits(a, b):
+    """Least edits of a against any stretch of b."""
+    row = np.zeros(len(b) + 1, int)
+    for i, x in enumerate(a, 1):
+        new = np.minimum(np.append(i, row[:-1] + np.array([x != y for y in b], int)), np.append(i, row[1:] + 1))
+        row = np.minimum.accumulate(new - np.arange(len(b) + 1)) + np.arange(len(b) + 1)
+    return int(row.min())
+
+
+def test_decontamination_equals_brute_force():
+    """Windows anywhere in items of every length, with edits anywhere, up to and beyond what is allowed."""
+    rng = random.Random(11)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    text = lambda n: "".join(rng.choice(letters) for _ in range(n))
+    item = text(103)
+    spoilt = "".join("#" if k in (13, 30, 50, 70, 86) else c for k, c in enumerate(item))
+    cases = [(item, text(40) + spoilt[10:90] + text(40))]
+    for _ in range(150):
+        item = text(rng.choice([12, 15, 16, 19, 23, 24, 32, 35, 36, 80, 81, 103, 200]))
+        n = min(len(item), 80)
+        at = rng.randint(0, len(item) - n)
+        s = list(item[at : at + n])
+        for k in rng.sample(range(n), rng.randint(0, n // 16 + 1)):
+            s[k] = rng.choice(["", "#", s[k] + "#"])
+        cases.append((item, text(rng.choice([0, 30])) + "".join(s) + text(rng.choice([0, 30]))))
+    for item, doc in cases:
+        n = min(len(item), 80)
+        want = min(substring_edits(item[k : k + n], doc) for k in range(len(item) - n + 1))
+        got = decontaminate.Block([(1, item)], decontaminate.Q, decontaminate.SPAN, decontaminate.ERRORS).leaks(doc)
+        assert [x[5] for x in got] == ([want] if want <= n // 16 else []), (item, doc)
+
+
 def test_decontamination_awkward(spark, awkward, nothing):
     items = spark.createDataFrame([(1, None), (2, ""), (3, "few words"), (4, "same text of a few words"), (5, "word " * 30)], "item_id long, text string")
     found = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(awkward, items).collect()}
