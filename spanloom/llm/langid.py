@@ -111,12 +111,15 @@ def predict(docs: DataFrame, learned: DataFrame, top: int = TOP, key: str = "doc
 
 
 def known_language(docs: DataFrame, learned: DataFrame, top: int = TOP, text: str = "text") -> DataFrame:
-    """The rows of docs whose text has a language: those that predict() calls ``und`` go."""
+    """The rows of docs whose text has a language: those that predict() calls ``und`` go, or those without letters if nothing was learned."""
     sent = docs.sparkSession.sparkContext.broadcast(tuple(sorted(map(tuple, learned.collect()))))
 
+    def known(t: str | None) -> bool:
+        return profiles(sent.value, top).predict(t)[0] != "und" if sent.value else LETTERS.search(t or "") is not None
+
     def keep(batches):
         for batch in batches:
-            yield batch.filter(pa.array([profiles(sent.value, top).predict(t)[0] != "und" for t in batch.column(text).to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([known(t) for t in batch.column(text).to_pylist()], pa.bool_()))
 
     return spread(docs).mapInArrow(keep, docs.schema)
 

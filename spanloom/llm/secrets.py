@@ -145,9 +145,10 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return scan(docs, key, text).select(key, count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(listed("base"), 256).alias("base_sha256"), listed("spans").alias("spans"))
 
 
-def redacted(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str = "[secret]") -> DataFrame:
-    """docs with every span of every text replaced by a mark; keys must not repeat with different texts."""
-    found = scan(docs, key, text).where(F.size("spans") > 0).groupBy(key).agg(F.first("spans").alias("_spans"))
+def redacted(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFrame:
+    """docs with every span of every text replaced by a mark. Rows are told apart by a number of their own, so keys may be null or repeat."""
+    docs, names = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "secrets-rows"), docs.columns
+    found = scan(docs, "_row", text).where(F.size("spans") > 0).select("_row", F.col("spans").alias("_spans"))
     found = found.hint("merge")  # the same plan at every size: texts with secrets grow with the table
     t = docs[text]
     start = F.from_json(F.lit('{"out":[],"at":0}'), "out array<string>, at int")
@@ -157,6 +158,6 @@ def redacted(docs: DataFrame, key: str = "doc_id", text: str = "text", mark: str
         return F.when(s["end"] <= acc["at"], acc).otherwise(F.struct(kept.alias("out"), s["end"].alias("at")))
 
     cut = F.aggregate(found["_spans"], start, step)
-    joined = docs.join(found, docs[key].eqNullSafe(found[key]), "left").select(*(docs[c] for c in docs.columns), F.when(F.size(found["_spans"]) > 0, cut).alias("_cut"))
+    joined = docs.join(found, docs["_row"] == found["_row"], "left").select(*(docs[c] for c in names), F.when(F.size(found["_spans"]) > 0, cut).alias("_cut"))
     new = F.concat(F.array_join("_cut.out", mark), F.lit(mark), F.col(text).substr(F.col("_cut.at") + 1, F.char_length(text)))
-    return joined.withColumn(text, F.when(F.col("_cut").isNotNull(), new).otherwise(F.col(text))).select(docs.columns)
+    return joined.withColumn(text, F.when(F.col("_cut").isNotNull(), new).otherwise(F.col(text))).select(names)

@@ -371,3 +371,17 @@ def test_secrets_awkward(awkward, nothing):
 def test_redaction(spark):
     rows = spark.createDataFrame([(1, f"é password=abcdef {'0f' * 12} z"), (2, None), (3, "clean")], "doc_id long, text string")
     assert {r["doc_id"]: r["text"] for r in secrets.redacted(rows).collect()} == {1: "é [secret] [secret] z", 2: None, 3: "clean"}
+
+
+# stages of the pipeline
+
+
+def test_redaction_tells_rows_of_an_id_apart(spark):
+    rows = [(None, "password=hunter22 then words", 1), (None, "nothing secret in these plain words", 2), (7, "token: abcdef99 here", 3), (7, "first some words, passwd=qwerty77", 4), (8, None, 5)]
+    out = secrets.redacted(spark.createDataFrame(rows, "doc_id long, text string, place int")).collect()
+    assert {r["place"]: r["text"] for r in out} == {1: "[secret] then words", 2: rows[1][1], 3: "[secret] here", 4: "first some words, [secret]", 5: None}
+
+
+def test_language_stage_without_profiles(spark):
+    docs = spark.createDataFrame([(1, "plain words", None), (None, "more words", None), (3, "12 34", None), (4, None, None)], "doc_id long, text string, lang string")
+    assert {r["text"] for r in langid.known_language(docs, langid.learn(docs)).collect()} == {"plain words", "more words"}
