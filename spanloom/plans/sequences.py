@@ -181,9 +181,9 @@ def fragment_similarity(spark: SparkSession, d: str) -> DataFrame:
 def best_path(spark: SparkSession, d: str) -> DataFrame:
     """conv_id, path: for the cycles of a conversation (its turns), each with up to five scored refs, the refs of the best path.
 
-    A conversation's cycles are bounded by 80, the reference's own limit on a session.
+    Of a longer conversation the last 80 cycles count: the reference lets the oldest one go.
     """
-    c = read(spark, d, "conversations").withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))).where("n <= 80")
+    c = read(spark, d, "conversations").withColumn("n", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn")))).where("n <= 80")
     options = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda k: F.struct(F.concat_ws(":", (F.col("conv_id") % 114 + F.when(k == 4, 1).otherwise(0)).cast("string"), (F.col("turn") + k).cast("string")).alias("ref"), F.round((F.abs(F.xxhash64("text", k)) % 1000) / 1000.0, 3).alias("score")))
     cycles = c.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", options.alias("o")))).alias("cycles")).select("conv_id", F.to_json("cycles").alias("cycles"))
 

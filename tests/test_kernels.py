@@ -93,3 +93,12 @@ def test_other_kernels():
     assert K.follow_words(["one", "three"], ["one", "two", "three"]) == (3, [0, 2])
     assert K.fnv64("") == "cbf29ce484222325" and K.fnv64("a") == "af63dc4c8601ec8c"
     assert K.best_path([[("1:1", 0.5), ("2:1", 0.6)], [("1:2", 0.5)]], K.transition) == ["1:1", "1:2"]
+
+
+def test_best_path_keeps_the_last_cycles(spark, monkeypatch):
+    from spanloom.plans import sequences
+
+    turns = spark.createDataFrame([(1, n, f"turn {n}") for n in range(100)], "conv_id long, turn long, text string")
+    monkeypatch.setattr(sequences, "read", lambda *_: turns)
+    path = sequences.best_path(spark, "").collect()[0]["path"].split(",")
+    assert len(path) == 80 and 20 <= int(path[0].split(":")[1]) <= 24 and int(path[-1].split(":")[1]) >= 99
