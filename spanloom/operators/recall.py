@@ -57,7 +57,7 @@ def sparse_fallback(texts: DataFrame, references: DataFrame, enough: int = 8) ->
     rich = hits.groupBy("text_id").agg(F.count("*").alias("k")).where(F.col("k") >= enough).select("text_id")
     poor = texts.select("text_id").join(rich, "text_id", "left_anti")
     # only texts with next to no hits are set against the whole queried set
-    every = poor.withColumn("ref_id", F.explode(F.array(*[F.lit(r[0]) for r in references.select("ref_id").orderBy("ref_id").limit(10_000).collect()])))
+    every = poor.crossJoin(references.select("ref_id"))
     filled = every.join(hits, ["text_id", "ref_id"], "left").select("text_id", "ref_id", F.coalesce("hits", F.lit(0)).alias("hits"))
     return hits.join(rich, "text_id", "left_semi").unionByName(filled)
 
