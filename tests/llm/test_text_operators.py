@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -361,6 +362,38 @@ def test_random_strings_are_told_from_words(spark):
     assert len(found & set(range(60))) >= 50 and len(found - set(range(60))) <= 3
 
 
+def test_names_below_the_level_are_not_reported(spark):
+    """The level holds for what is reported: plain names are, alone or among as many true keys, next to never; keys mostly are."""
+    rng = random.Random(8)
+    words = "release version department information account customer invoice number report session update backup module driver".split()
+    names = [f"{rng.choice(words)}_{rng.choice(words)}_{1900 + k}" for k in range(200)] + ["".join(w.capitalize() for w in rng.sample(words, 3)) + str(k) for k in range(100)]
+    keys = ["".join(rng.choice(secrets.ALPHABETS["b64"]) for _ in range(40)) for _ in range(300)]
+    rows = [(k, f"the {s} end") for k, s in enumerate(names + keys)]
+    plain = secrets.report(spark.createDataFrame(rows[:300], "doc_id long, text string")).where("spans like '%random%'").count()
+    found = {r["doc_id"] for r in secrets.report(spark.createDataFrame(rows, "doc_id long, text string")).where("spans like '%random%'").collect()}
+    assert plain <= 6 and sum(k < 300 for k in found) <= 15 and sum(k >= 300 for k in found) >= 255
+
+
+def test_candidates_apart_from_base_spans(spark):
+    rng = random.Random(9)
+    key = lambda n: "".join(rng.choice(secrets.ALPHABETS["b64"][:62]) for _ in range(n))
+    apart, inside = key(60), key(60)
+    texts = [f"token={inside} and {apart} and {'0f' * 20}", f"{apart}", f"password: {inside}", f"{apart} secret={inside}"]
+    out = secrets.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    kinds = [[s["kind"] for s in r["spans"]] for r in out]
+    assert kinds == [[0, 3, 2], [3], [0], [3, 0]]
+
+
+def test_many_matches_in_one_text(spark):
+    """Sixteen thousand spans in a text: places are exact and the work isn't their square."""
+    text = " ".join(f"{k:06d} " + "0f" * 12 for k in range(16_000))
+    start = time.perf_counter()
+    r = secrets.report(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    cut = secrets.redacted(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()["text"]
+    assert r["base_sha256"] == hashlib.sha256(base_spans(text).encode()).hexdigest() and r["n_hex"] == 16_000
+    assert cut == text.replace("0f" * 12, "[secret]") and time.perf_counter() - start < 60
+
+
 def test_secrets_awkward(awkward, nothing):
     out = secrets.report(awkward).collect()
     assert len(out) == len(AWKWARD) and {r["n_hex"] for r in out} == {0}
