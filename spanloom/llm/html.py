@@ -21,6 +21,7 @@ import html as references
 import math
 import random
 import re
+from collections import defaultdict
 from functools import lru_cache
 
 import pyarrow as pa
@@ -29,10 +30,12 @@ from pyspark.sql import DataFrame
 from spanloom.llm.common import spread
 
 TOKEN = re.compile(r"""<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"<]*"|'[^'<]*')*|[^>]*)>|<!--.*?(?:--!?>|\Z)|<[!?/][^>]*>?""", re.S)
+REST = re.compile(r"<!--.*?(?:--!?>|\Z)|<[!?/][^>]*>?", re.S)
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""", re.I)
 WORDS = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 #: Elements whose content isn't page text.
 SKIPPED = frozenset("script style noscript template iframe object svg math textarea select title noembed noframes xmp audio video canvas".split())
+ENDING = {name: re.compile(rf"</{name}\b[^>]*>?", re.I) for name in SKIPPED}
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img input ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: What a start tag ends, and what keeps it from reaching further up.
@@ -49,26 +52,29 @@ class Page:
         self.tags, self.parents, self.names = ["#page"], [-1], [""]
         self.text: list[tuple[int, int, str]] = []
         self.chars, self.linked = [0], [0]
+        #: Open elements, and for each tag the places in that stack where it is open: what a tag ends is found without a search.
+        self.stack, self.open = [0], defaultdict(list)
         self._read(source)
 
     def _read(self, source: str) -> None:
-        stack, at, block, links, n = [0], 0, 0, 0, len(source)
-        tags = self.tags
+        at, block, links, n = 0, 0, 0, len(source)
+        tags, stack = self.tags, self.stack
+        closed = source.rfind(">")  # no tag ends after this, so none is looked for
         while at < n:
-            m = TOKEN.search(source, at)
+            m = (TOKEN if at <= closed else REST).search(source, at)
             start = m.start() if m else n
             if start > at:
                 self._add(stack[-1], block, source[at:start], links)
             if not m:
                 break
             at = m.end()
-            name = m[2]
+            name = m[2] if m.re is TOKEN else None
             if name is None:
                 continue
             name, closing = name.lower(), m[1]
             if name in SKIPPED:
                 if not closing and not m[3].endswith("/"):
-                    end = re.compile(rf"</{name}\b[^>]*>?", re.I).search(source, at)
+                    end = ENDING[name].search(source, at)
                     at = end.end() if end else n
                 continue
             if name in INLINE:
@@ -79,38 +85,42 @@ class Page:
                 continue
             block += 1
             if closing:
-                for k in range(len(stack) - 1, 0, -1):
-                    if tags[stack[k]] == name or name in HEADINGS and tags[stack[k]] in HEADINGS:
-                        del stack[k:]
-                        links = 0
-                        break
-                    if tags[stack[k]] in SCOPE and name not in SCOPE:
-                        break
+                k = self._last(HEADINGS if name in HEADINGS else (name,))
+                if k and (name in SCOPE or k >= self._last(SCOPE)):
+                    self._cut(k)
+                    links = 0
                 continue
             if name in VOID:
                 continue
             if name in CLOSES_P:
-                self._close(stack, {"p"}, SCOPE)
+                self._close(("p",), SCOPE)
             if name in HEADINGS and tags[stack[-1]] in HEADINGS:
-                stack.pop()
+                self._cut(len(stack) - 1)
             if name in ENDS:
-                self._close(stack, *ENDS[name])
+                self._close(*ENDS[name])
             names = m[3]
+            self.open[name].append(len(stack))
+            self.parents.append(stack[-1])
             stack.append(len(tags))
-            self.parents.append(stack[-2])
             tags.append(name)
             self.names.append(" ".join(x.strip("\"'") for x in NAMED.findall(names)) if names and ("=" in names) else "")
             self.chars.append(0)
             self.linked.append(0)
 
-    def _close(self, stack: list[int], ended: set[str], fence) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            tag = self.tags[stack[k]]
-            if tag in ended:
-                del stack[k:]
-                if tag == "p" or k == len(stack) and self.tags[stack[-1]] not in ended:
-                    return
-            elif tag in fence:
+    def _last(self, tags) -> int:
+        """The innermost place in the stack of open elements of one of these tags, 0 without one."""
+        return max([self.open[t][-1] for t in tags if self.open.get(t)], default=0)
+
+    def _cut(self, k: int) -> None:
+        """Ends the open elements from a place on."""
+        for node in self.stack[k:]:
+            self.open[self.tags[node]].pop()
+        del self.stack[k:]
+
+    def _close(self, ended, fence) -> None:
+        while (k := self._last(ended)) > self._last(fence):
+            self._cut(k)
+            if self.tags[self.stack[-1]] not in ended:
                 return
 
     def _add(self, node: int, block: int, text: str, links: int) -> None:
@@ -248,8 +258,12 @@ def labelled_pages(n: int = 400, seed: int = 11) -> list[str]:
         for kind in ("ad", "share", "side", "notice", "comments"):
             if rng.random() < 0.15:
                 inner = inner + boilerplate(kind) + (content() if rng.random() < 0.5 and kind != "comments" else "")
-        body = element(rng.choice(WRAPPERS[:-1]), inner, True)
-        if rng.random() < 0.3:
+        body, wraps = inner, rng.random()
+        if wraps < 0.85:  # else the text lies in the body itself
+            body = element(rng.choice(WRAPPERS[:-1]), inner, True)
+        elif wraps < 0.93:
+            return f"<html data-content><body data-content>{content()}</body></html>"
+        if wraps < 0.28:
             body = element(rng.choice(WRAPPERS[:-1]), body, True)
         before = [boilerplate(k) for k in ("notice", "header", "nav", "nav", "ad", "form") if rng.random() < 0.45]
         after = [boilerplate(k) for k in ("comments", "side", "ad", "share", "form", "nav", "footer", "notice") if rng.random() < 0.4]
