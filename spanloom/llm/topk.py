@@ -5,7 +5,8 @@ mean leaves), the inner product of x and y is at most the sum over segments of
 ``length * m(x) * m(y) + d(x) * d(y)``: large distances show in few numbers. Bounds are taken coarse
 to fine; pairs whose bound falls below the query's k-th best score so far go, and the exact integer
 product decides among the rest. The scores of a bounded sample of rows give every query a first
-threshold, which only ever rules out what can't be among the best.
+threshold, which only ever rules out what can't be among the best. Bounds and, where many pairs survive
+them, products are worked out tile by tile as matrix products.
 
 Queries are sent out in blocks of about ``BLOCK``, each with one pass over all rows; rows stay where they
 are, and each batch gives at most k rows a query. Components become floor(1024 x). Rows without id, null
@@ -30,6 +31,8 @@ SEGMENTS = (2, 4, 8, 16)
 BLOCK = 2048
 SAMPLE = 4096
 ROWS = 2048
+#: Pairs of a query and a row that a task looks at at once.
+PAIRS = 1 << 19
 
 
 def matrix(vectors: list) -> tuple[np.ndarray, np.ndarray]:
@@ -52,11 +55,16 @@ def whole(a: np.ndarray) -> np.ndarray:
     return a.astype(np.int64) if not a.size or np.abs(a).max() < 2.0**62 else np.array([[int(x) for x in r] for r in a], object)
 
 
+def fits(q: np.ndarray, x: np.ndarray) -> bool:
+    """Whether floating-point numbers hold the products of any two rows, and all sums on the way, exactly."""
+    return not q.size or not x.size or bool(np.abs(q).max() * np.abs(x).max() * q.shape[1] < 2.0**53)
+
+
 def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     """Exact inner products of paired rows."""
     if not q.size:
         return np.zeros(len(q), np.int64)
-    if np.abs(q).max() * np.abs(x).max() * q.shape[1] < 2.0**53:
+    if fits(q, x):
         return np.einsum("ij,ij->i", q, x).astype(np.int64)
     exact = [sum(int(a) * int(b) for a, b in zip(u, v, strict=True)) for u, v in zip(q, x, strict=True)]
     return np.array([min(max(s, -(2**63)), 2**63 - 1) for s in exact], np.int64)
@@ -83,26 +91,29 @@ class Best:
         self.stats: dict[int, dict[int, np.ndarray]] = {}
 
     def add(self, ids: np.ndarray, rows: np.ndarray) -> None:
+        """Rows are taken in tiles of at most PAIRS pairs of a query and a row."""
         n = max(rows.shape[1], self.vectors.shape[1])
-        q, x = widened(self.vectors, n), widened(rows, n)
+        q = widened(self.vectors, n)
         known = self.stats.setdefault(n, {s: statistics(q, s) for s in SEGMENTS if s < n})
-        at = None  # pairs of a query's and a row's place; all of them at first
-        for s in known:
-            theirs = statistics(x, s)
-            if at is None:
-                bound = known[s] @ theirs.T
-                at = np.nonzero(bound + np.abs(bound) * 1e-9 + 1 >= self.floor[:, None])
-            else:
-                bound = np.einsum("ij,ij->i", known[s][at[0]], theirs[at[1]])
-                keep = bound + np.abs(bound) * 1e-9 + 1 >= self.floor[at[0]]
-                at = at[0][keep], at[1][keep]
-            if len(at[0]) < len(ids):
+        step = max(1, PAIRS // max(1, len(q)))
+        for i in range(0, len(ids), step):
+            self._tile(ids[i : i + step], widened(rows[i : i + step], n), q, known)
+
+    def _tile(self, ids: np.ndarray, x: np.ndarray, q: np.ndarray, known: dict[int, np.ndarray]) -> None:
+        left = np.ones((len(q), len(x)), bool)
+        for s, mine in known.items():
+            bound = mine @ statistics(x, s).T
+            left &= bound + np.abs(bound) * 1e-9 + 1 >= self.floor[:, None]
+            if left.sum() < len(x):
                 break
-        if at is None:
-            at = tuple(x.ravel() for x in np.indices((len(q), len(x))))
-        own = self.ids[at[0]] == ids[at[1]]
-        a, b = at[0][~own], at[1][~own]
-        score = np.concatenate([products(q[a[i : i + 65536]], x[b[i : i + 65536]]) for i in range(0, len(a), 65536)] or [np.empty(0, np.int64)])
+        left &= self.ids[:, None] != ids
+        a, b = np.nonzero(left)
+        if not len(a):
+            return
+        if len(a) * 8 > left.size and fits(q, x):
+            score = (q @ x.T)[a, b].astype(np.int64)  # sums of whole numbers below 2 ** 53 are exact in any order
+        else:
+            score = np.concatenate([products(q[a[i : i + 65536]], x[b[i : i + 65536]]) for i in range(0, len(a), 65536)])
         keep = score >= self.floor[a]
         self.kept = self._cut(*(np.concatenate(p) for p in zip(self.kept, (a[keep], ids[b[keep]], score[keep]), strict=True)))
 
