@@ -5,8 +5,9 @@ revisit of that page's), the request, and metadata with the payload's length. Re
 name the response through WARC-Concurrent-To; assembly joins on it. Record ids are unique, so the join
 has no hot keys; pages are matched by payload digest on counts made beforehand, in a join that Spark may
 split. Files are text whose records end in two line breaks, so Spark's text writer makes them, as gzip,
-in folders that need only be visible to Spark; ``RECORDS`` bounds a file. They are read one at a time (plain
-or gzip, of one member or many), each record by its Content-Length.
+in folders that need only be visible to Spark. Gzip files, of one member or many, are read the same way: as
+pieces between such breaks, which a task puts together by each record's Content-Length, so that it holds one
+record at a time, however long the archive. Archives that aren't compressed are read whole, one at a time.
 
 Null html counts as empty. Of rows with equal payloads those with the largest page_id are responses
 (more than one if rows repeat), all others revisits. Line breaks and spaces in addresses are percent-encoded,
@@ -16,7 +17,6 @@ a null address has no header. Rows with a null page_id are captures like others,
 from __future__ import annotations
 
 import base64
-import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -28,8 +28,8 @@ from pyspark.sql import functions as F
 from spanloom.llm.common import shared_dir
 
 END = "\r\n\r\n"
-#: Records in a file at most.
-RECORDS = 9_000
+#: Bytes of records that a task gathers before it hands them on.
+BATCH = 1 << 22
 DATE = "2024-01-01T00:00:00Z"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8" + END
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -79,22 +79,41 @@ def write(pages: DataFrame, path: str, least_bytes: int = 0) -> None:
     concurrent = header("WARC-Concurrent-To", F.concat(F.lit("<"), name("page"), F.lit(">")))
     request = record("request", name("request"), "application/http; msgtype=request", F.lit("GET / HTTP/1.1" + END), url, concurrent)
     metadata = record("metadata", name("metadata"), "application/warc-fields", F.concat(F.lit("payload-length: "), F.col("bytes").cast("string"), F.lit("\r\n")), url, concurrent)
-    p.select(F.explode(F.array(capture, request, metadata)).alias("value")).write.option("lineSep", END).option("maxRecordsPerFile", RECORDS).option("compression", "gzip").text(path)
-
-
-def parsed(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """Headers (names in lower case) and block of each record."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        version, *lines = data[at:end].decode("utf-8", "replace").split("\r\n")
-        if not version.startswith("WARC/"):
-            raise ValueError(f"no WARC record at byte {at}")
-        headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        start = end + 4
-        at = start + int(headers["content-length"])
-        yield headers, data[start:at]
-        at += 4
+    p.select(F.explode(F.array(capture, request, metadata)).alias("value")).write.option("lineSep", END).option("compression", "gzip").text(path)
+
+
+class Records:
+    """Headers (names in lower case) and blocks of the records of an archive that comes in pieces."""
+
+    def __init__(self):
+        self.data, self.start, self.end, self.headers = bytearray(), 0, 0, None
+
+    def feed(self, piece: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
+        self.data += piece
+        while True:
+            if self.headers is None:
+                while self.data.startswith(b"\r\n"):  # more breaks than two between records, or at the end
+                    del self.data[:2]
+                at = self.data.find(b"\r\n\r\n")
+                if at < 0:
+                    return
+                version, *lines = self.data[:at].decode("utf-8", "replace").split("\r\n")
+                if not version.startswith("WARC/"):
+                    raise ValueError(f"no WARC record: {version[:40]!r}")
+                self.headers = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
+                if "content-length" not in self.headers:
+                    raise ValueError("a record without a length, or an archive that ends within a record")
+                self.start, self.end = at + 4, at + 4 + int(self.headers["content-length"])
+            if len(self.data) < self.end + 4:
+                return
+            headers, self.headers = self.headers, None
+            block = bytes(self.data[self.start : self.end])
+            del self.data[: self.end + 4]
+            yield headers, block
+
+    def finish(self) -> None:
+        if self.data.strip():
+            raise ValueError("an archive ends within a record")
 
 
 RECORD = "record_type string, record_id string, concurrent_to string, refers_to string, target_uri string, payload_digest string, payload_bytes long, fields string, payload string"
@@ -115,32 +134,59 @@ def read(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
         text = payload.decode("utf-8", "replace") if payloads and payload is not None else None
         return kind, bare(h["warc-record-id"]), bare(h.get("warc-concurrent-to")), bare(h.get("warc-refers-to")), h.get("warc-target-uri"), digest, n, fields, text
 
+    types = [pa.int64() if c.endswith(" long") else pa.string() for c in RECORD.split(", ")]
+
+    def packed(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = [pa.int64() if c.endswith(" long") else pa.string() for c in RECORD.split(", ")]
+        """Pieces of files, in order: each file's records."""
+        now, records, rows, size = None, Records(), [], 0
         for batch in batches:
-            for content in batch.column("content"):
-                rows: list[tuple] = []
-                data = content.as_py()
-                for headers, block in parsed(gzip.decompress(data) if data[:2] == b"\x1f\x8b" else data):
+            for path, piece in zip(batch.column("path").to_pylist(), batch.column("piece"), strict=True):
+                if path != now:
+                    records.finish()
+                    now, records = path, Records()
+                for headers, block in records.feed(piece.as_py() + (b"" if path is None else END.encode())):
                     rows.append(row(headers, block))
-                    if len(rows) == 2000:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
-                        rows = []
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                    size += len(block)
+                    if len(rows) == 2000 or size > BATCH:
+                        yield packed(rows)
+                        rows, size = [], 0
+        records.finish()
+        if rows:
+            yield packed(rows)
+
+    def run_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column("content"):
+                records, data = Records(), content.as_py()
+                for found in (list(records.feed(data[i : i + BATCH])) for i in range(0, len(data), BATCH)):
+                    if found:
+                        yield packed([row(*x) for x in found])
+                for found in records.feed(END.encode()):
+                    yield packed([row(*found)])
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content").mapInArrow(run, RECORD)
+    pieces = spark.read.option("lineSep", END).option("pathGlobFilter", "part-*.gz").text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").cast("binary").alias("piece"))
+    plain = spark.read.format("binaryFile").option("pathGlobFilter", "part-*[^z]").load(path).select("content")
+    return pieces.mapInArrow(run, RECORD).unionAll(plain.mapInArrow(run_whole, RECORD))
 
 
 def assemble(records: DataFrame) -> DataFrame:
-    """One row per capture: the response or revisit, with its requests and metadata nested in arrays (empty if it has none)."""
-    captures = records.where("record_type in ('response', 'revisit')")
-    nested = lambda kind, *cols: records.where(F.col("record_type") == kind).groupBy(F.col("concurrent_to").alias("record_id")).agg(F.sort_array(F.collect_list(F.struct(*cols))).alias(kind))
-    requests = nested("request", F.col("record_id").alias("request_id"), "target_uri")
-    metadata = nested("metadata", F.col("record_id").alias("metadata_id"), "fields")
-    joined = captures.join(requests, "record_id", "left").join(metadata, "record_id", "left")
-    empty = lambda kind: F.coalesce(kind, F.filter(kind, lambda x: F.lit(False)), F.array().cast(joined.schema[kind].dataType)).alias(kind)
-    return joined.select("record_id", "record_type", "target_uri", "refers_to", "payload_digest", "payload_bytes", "payload", empty("request"), empty("metadata"))
+    """One row per capture: the response or revisit, with its requests and metadata nested in arrays (empty if it has none).
+
+    Records are joined on what they are concurrent to (captures: on themselves) in one exchange; those of no capture are left out.
+    """
+    capture = F.col("record_type").isin("response", "revisit")
+    whole = F.struct("record_id", "record_type", "target_uri", "refers_to", "payload_digest", "payload_bytes", "payload")
+    request = F.struct(F.col("record_id").alias("request_id"), "target_uri")
+    metadata = F.struct(F.col("record_id").alias("metadata_id"), "fields")
+    joined = records.where(capture | F.col("record_type").isin("request", "metadata")).groupBy(F.when(capture, F.col("record_id")).otherwise(F.col("concurrent_to")).alias("id")).agg(
+        F.collect_list(F.when(capture, whole)).alias("captures"),
+        F.sort_array(F.collect_list(F.when(F.col("record_type") == "request", request))).alias("request"),
+        F.sort_array(F.collect_list(F.when(F.col("record_type") == "metadata", metadata))).alias("metadata"),
+    )
+    return joined.select(F.explode("captures").alias("c"), "request", "metadata").select("c.*", "request", "metadata")
 
 
 def page_of(urn: str) -> Column:

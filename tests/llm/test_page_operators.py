@@ -1,9 +1,13 @@
 """Operators over pages and vectors: expected texts, round trips, brute force, SQL, awkward inputs; and the pipeline."""
 
 import base64
+import gzip
 import hashlib
 import html as references
+import random
 import re
+import time
+import tracemalloc
 
 import duckdb
 import numpy as np
@@ -65,6 +69,23 @@ def test_held_out_layouts():
     assert wrong / n < 0.03
 
 
+@pytest.mark.parametrize("part", ["<a ", "<div>", "<li></li>", "</foo>", "<p><button><div>", "<!x", "<a '", '<a x="', "<td><div>", "<h1>", "<script", "<!--", "<li><ul>"])
+def test_html_work_is_linear(part):
+    """Hostile pages: four times the length takes about four times the time, not sixteen."""
+    took = []
+    for n in (20_000, 80_000):
+        start = time.perf_counter()
+        html.Page("<li><ul><foo><td>" + "<div>" * 2000 + part * n)
+        took.append(time.perf_counter() - start)
+    assert took[1] < 8 * took[0] + 0.5
+
+
+def test_html_body_without_containers():
+    model = html.trained()
+    assert html.extract("<body><p>Only one paragraph of plain text stands here, and nothing else does.</p></body>", model) == "Only one paragraph of plain text stands here, and nothing else does."
+    assert html.extract("<html><body><h1>A title</h1><p>Some words in the first paragraph of the page.</p><p>And more words in the second one.</p></body></html>", model) == "A title\nSome words in the first paragraph of the page.\nAnd more words in the second one."
+
+
 PAGES = [(1, "http://a b\n", "same ☃"), (2, None, None), (3, "u", ""), (4, "u", "same ☃"), (5, "u", "WARC/1.1\r\n\r\nx\r\n\r\nContent-Length: 5"), (5, "u", "again"), (None, "u", "null id"), (7, "u", "<p>" + "long " * 100_000)]
 
 
@@ -104,6 +125,23 @@ def test_warc_small_payloads_are_all_responses(pages):
     assert {r["record_type"] for r in warc.captures(pages, least_bytes=10**7).collect()} == {"response"}
 
 
+def test_warc_reads_what_others_write(spark, tmp_path):
+    """Members, plain files, and payloads made of line breaks, in archives of several records."""
+    rng = random.Random(4)
+    payloads = ["".join(rng.choice(["\r", "\n", "\r\n", "\r\n\r\n", "x", "WARC/1.1"]) for _ in range(rng.randint(0, 12))) for _ in range(300)]
+    one = lambda k, p: f"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:{k}>\r\nContent-Length: {len(p) + 4}\r\n\r\nH\r\n\r\n".encode().replace(b"H\r\n\r\n", b"\r\n\r\n") + p.encode() + b"\r\n\r\n"
+    records = [one(k, p) for k, p in enumerate(payloads)]
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "part-0.gz").write_bytes(b"".join(map(gzip.compress, records[:100])))
+    (tmp_path / "w" / "part-1.gz").write_bytes(gzip.compress(b"".join(records[100:200])))
+    (tmp_path / "w" / "part-2.warc").write_bytes(b"".join(records[200:]))
+    got = {r["record_id"]: r["payload"] for r in warc.read(spark, str(tmp_path / "w")).collect()}
+    assert got == {f"urn:{k}": p for k, p in enumerate(payloads)}
+    (tmp_path / "w" / "part-3.gz").write_bytes(gzip.compress(records[0][:-30]))
+    with pytest.raises(Exception, match="ends within a record"):
+        warc.read(spark, str(tmp_path / "w")).count()
+
+
 VECTORS = [(0, [1.0, -2.0]), (100, [0.5, 0.5]), (1, [1.0, 1.0]), (2, [1.0, 1.0]), (3, None), (4, [float("nan"), 1.0]), (5, [1.0, None]), (6, []), (7, [3.0]), (None, [9.0, 9.0]), (8, [1.0, 1.0]), (8, [1.0, 1.0]), (9, [float("inf"), 0.0])]
 
 
@@ -130,6 +168,19 @@ def test_top_k_equals_brute_force(spark, block):
     assert {tuple(r) for r in topk.search(df, F.col("id") % 20 == 0, block=block).collect()} == want
 
 
+def test_top_k_memory_of_a_full_block():
+    rng = np.random.default_rng(2)
+    q, x = np.floor(rng.normal(0, 300, (topk.BLOCK, 64))), np.floor(rng.normal(0, 300, (topk.ROWS, 64)))
+    tracemalloc.start()
+    best = topk.Best(np.arange(len(q)), q, 10, np.full(len(q), -np.inf))
+    best.add(np.arange(len(x)) + 10**6, x)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    a, ids, score = best.kept
+    want = np.sort(q @ x.T, axis=1)[:, ::-1][:, :10]
+    assert (score.reshape(len(q), 10) == want).all() and peak < 400e6
+
+
 def test_top_k_bounds_hold():
     rng = np.random.default_rng(1)
     q, x = np.floor(rng.normal(0, 300, (20, 64))), np.floor(rng.normal(5, 300, (50, 64)))
