@@ -4,7 +4,8 @@ Merging may still change a token while more text can come, but only so far back:
 uses text beyond the end takes a token from a merge of higher rank, which frees the token before,
 and so on to the left with ever higher ranks. ``lookahead`` adds up the longest such chain of the
 merge list. Tokens that end further than that from the end of what was read are final, so the
-encoder emits them and forgets their bytes. The decoder is the reverse machine: token bytes go
+encoder emits them and forgets their bytes; so is all of a pre-token once it has ended, since no merge
+reaches over its end. The decoder is the reverse machine: token bytes go
 through an incremental UTF-8 decoder that holds at most an unfinished character.
 
 Null and empty texts have no tokens. Text is never cut: a run of a million letters passes through
@@ -97,7 +98,7 @@ class Model:
         self.ranks = {m: r for r, m in reversed(list(enumerate(self.merges)))}
         self.single = [self.ids[bytes([b])] for b in range(256)]
         self.pairs = {self.ids[a] << 17 | self.ids[b]: (r, self.ids[a + b]) for (a, b), r in self.ranks.items()}
-        self.raw = {i: t for t, i in self.ids.items()}
+        self.sizes = {i: len(t) for t, i in self.ids.items()}
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         self.bytes = {str(i): t for t, i in self.ids.items()} | {str(i): s.encode() for s, i in self.special.items()}
         self.lookahead = sufficient_lookahead(self.merges)
@@ -106,9 +107,9 @@ class Model:
         self.runs = {k: regex.compile(p) for k, p in RUNS.items()}
         self.known = Known(self)
 
-    def tokens(self, data: bytes) -> list[bytes]:
-        """The tokens of one pre-token, in whose merging nothing from outside takes part."""
-        return [self.raw[i] for i in self._short(data)] if len(data) <= 64 else self._heap(data)
+    def tokens(self, data: bytes) -> list[int]:
+        """The tokens of a window, in whose merging nothing from outside takes part."""
+        return self._short(data) if len(data) <= 64 else [self.ids[t] for t in self._heap(data)]
 
     def _short(self, data: bytes) -> list[bytes]:
         pairs, never = self.pairs.get, (1 << 60, 0)
@@ -145,16 +146,20 @@ class Model:
         return [w for w in word if w is not None]
 
     def settled(self, tail: bytes, out: list[str], final: bool) -> bytes:
-        """Emits the tokens at the start of an open pre-token that nothing can change any more; gives the rest."""
+        """Emits the tokens at the start of a pre-token that nothing can change any more; gives the rest.
+
+        Every pre-token comes through here. Once it has ended, what ends the window settles it; before that, and in windows
+        that don't reach its end, only tokens that lie a lookahead before the window's end are settled.
+        """
         ids, ahead = self.ids, self.lookahead
         while len(tail) > 4 * ahead or final and tail:
             window = tail[: 8 * ahead]
             last, done = final and len(window) == len(tail), 0
-            for t in self.tokens(window):
-                if not last and done + len(t) > len(window) - ahead:
+            for i in self.tokens(window):
+                if not last and done + self.sizes[i] > len(window) - ahead:
                     break
-                out.append(str(ids[t]))
-                done += len(t)
+                out.append(str(i))
+                done += self.sizes[i]
             tail = tail[done:]
         return tail
 
@@ -167,18 +172,14 @@ class Known(dict):
         self.m = m
 
     def __missing__(self, text: str) -> str:
-        data, m = text.encode(), self.m
+        out: list[str] = []
+        data = text.encode()
+        self.m.settled(data, out, True)
+        found = ",".join(out)
         if len(data) <= 64:
-            found = ",".join(map(str, m._short(data)))
-        elif len(data) <= OPEN:
-            return ",".join(str(m.ids[t]) for t in m._heap(data))
-        else:
-            out: list[str] = []
-            m.settled(data, out, True)
-            return ",".join(out)
-        if len(self) >= CACHE:
-            self.clear()
-        self[text] = found
+            if len(self) >= CACHE:
+                self.clear()
+            self[text] = found
         return found
 
 
