@@ -4,8 +4,9 @@ A text's words (runs of anything but white space) and their character n-grams ar
 ``BUCKETS`` learned vectors; their average over the document goes through a softmax. A word that
 repeats the one before it also counts as ``AGAIN``, since an average can't see order. Vectors
 and output weights are trained by stochastic gradient descent in numpy, one document a step, on
-at most ``SAMPLE`` labelled documents: the first by a hash of their id. Their features are made by
-Spark from their whole texts. Every document is scored from its whole text.
+at most ``SAMPLE`` labelled documents: the first by a hash of their id, while their features
+stay within ``BYTES``. They are made by Spark from their whole texts. Every document is scored from
+its whole text.
 
 Null texts count as empty; a text without words gets the score of the bias alone, about the share of
 good labels. Without any labels all scores are 0.5. Labels other than 0 and 1 are ignored; repeated
@@ -18,7 +19,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import by_text, fold, spread
@@ -28,6 +29,8 @@ BUCKETS = 1 << BITS
 SIZE = 12
 GRAMS = (3, 4)
 SAMPLE = 4000
+#: Bytes of features that training takes at most, by a bound on each document's: 8 for a bucket, a word and a character at most having their own.
+BYTES = 128 << 20
 EPOCHS = 4
 RATE = 0.5
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -55,8 +58,8 @@ def features(text: str | None) -> np.ndarray:
                 whole &= inner[i : len(c) - n + 1 + i]
         hashes.append(h[whole] * MIX)
     starts = np.flatnonzero(~inner)[:-1]
-    place = np.arange(len(c)) - np.repeat(starts, np.diff(np.append(starts, len(c))))
-    own = np.add.reduceat(c * PLACES[place % len(PLACES)], starts) * MIX
+    place = np.arange(len(c) - 1) - np.repeat(starts, np.diff(np.append(starts, len(c) - 1)))
+    own = np.add.reduceat(c[:-1] * PLACES[place % len(PLACES)], starts) * MIX
     again = int((own[1:] == own[:-1]).sum())
     hashes += [own, np.full(again, AGAIN)]
     return (np.concatenate(hashes) >> np.uint64(64 - BITS)).astype(np.int64)
@@ -95,7 +98,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list[int], epochs:
     return vectors.astype(np.float32), weights, bias
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text", label: str = "quality") -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "doc_id", text: str = "text", label: str = "quality", most: int = BYTES) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
     """Trains on the driver, from the features of at most sample documents; None if there are no labels."""
     rows = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull()).groupBy(F.col(key).alias("k")).agg(F.max(label).cast("int").alias("y"))
     chosen = F.broadcast(rows.orderBy(F.xxhash64("k"), "k").limit(sample))
@@ -105,7 +108,11 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, key: str = "
             bags = [bag(t) for t in batch.column("t").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("k"), batch.column("y"), pa.array([i.tobytes() for i, _ in bags]), pa.array([p.tobytes() for _, p in bags])], names=["k", "y", "ids", "part"])
 
-    picked = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(chosen, "k").select("k", "y", "t")
+    texts = docs.select(F.col(key).alias("k"), F.col(text).alias("t"))
+    bound = F.least(F.lit(BUCKETS), 4 * F.coalesce(F.char_length("t"), F.lit(0)) + 4) * 8
+    sizes = texts.join(chosen, "k").groupBy("k", "y").agg(F.max(bound).cast("long").alias("bytes"))  # at most sample rows
+    within = sizes.withColumn("total", F.sum("bytes").over(Window.orderBy(F.xxhash64("k"), "k"))).where(F.col("total") <= most)
+    picked = texts.join(F.broadcast(within.select("k", "y")), "k").select("k", "y", "t")
     found = {r["k"]: r for r in picked.mapInArrow(run, f"k {docs.schema[key].dataType.simpleString()}, y int, ids binary, part binary").collect()}
     if not found:
         return None
