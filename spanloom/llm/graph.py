@@ -13,14 +13,16 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
 
     Each round hangs every node's larger neighbours, then its smaller ones, under the least of them, until nothing
     changes: the number of rounds grows with the logarithm of the longest path. A round's links are written to the
-    shared folder and read again, and only two numbers of them come to the driver.
+    shared folder and read again, and only two numbers of them come to the driver. Links that need more rounds are an error.
     """
     now = stored(links.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links")
     before = None
-    for _ in range(most_rounds):
+    for k in range(most_rounds + 1):
         mark = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if mark == before or not mark[0]:
             break
+        if k == most_rounds:
+            raise RuntimeError(f"components still change after {most_rounds} rounds")
         before = mark
         both = now.union(now.select("b", "a"))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))

@@ -10,8 +10,16 @@ other way round: about 32 keys, of 24 bits each, through which every link is fou
 in key order, and each is reduced to verified links that connect the same fingerprints as all of its
 links would; pairs are never listed. Equal fingerprints are one node from the start.
 
-A null text counts as empty; without words the fingerprint is zero, and is linked like any other.
-Repeated rows of an id have that id's results. Rows with a null id take part under it.
+``near_duplicates`` links by fingerprints alone. ``alike`` takes a similarity instead: texts whose word shingles
+agree to ``LEAST`` or more (Jaccard). One fingerprint can't show that: at 0.8 two texts' fingerprints differ in about
+ten bits. So a text has ``VIEWS`` fingerprints, each of the two shingles of least hash in one of as many parts of
+all shingles; at a similarity of 0.8 a view is the same in two texts of three, and all differ in one pair of 700.
+Views within one bit are found by Golay keys as above. The texts of a view, and those that share two views, are
+compared with each other if they are ``FEW``, else each with the same one of them, by their exact shingle sets,
+and linked if they agree: comparisons grow with the texts, not with the square of a group. Equal shingle sets are one node.
+
+A null text counts as empty; without words the fingerprint is zero, and is linked like any other (by ``alike``,
+texts without words are equal). Repeated rows of an id have that id's results. Rows with a null id take part under it.
 """
 
 from __future__ import annotations
@@ -54,10 +62,16 @@ def fingerprints(docs: DataFrame, words: int = 3, key: str = "doc_id", text: str
     return spread(docs.select(key, text)).mapInArrow(by_text(lambda t: (fingerprint(t, words),), key, text, [("fp", pa.int64())]), f"{key} {docs.schema[key].dataType.simpleString()}, fp long")
 
 
-def golay_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Position and key of every bucket entry. A key's lowest bit says which of the two segments has the indices around it."""
-    bits = fps.view(np.uint64)
-    around = [golay.around((bits >> np.uint64(at) & np.uint64((1 << n) - 1)).astype(np.int64)) for at, n in SEGMENTS]
+def golay_keys(fps: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Position and key of every bucket entry. A key's lowest bit says which of the two segments has the indices around it.
+
+    One bit leaves two segments as they are, so that their own indices do: an entry for both sides of each two segments.
+    """
+    if not 0 <= bits <= BITS:
+        raise ValueError(f"keys cover up to {BITS} bits")
+    value = fps.view(np.uint64)
+    words = [(value >> np.uint64(at) & np.uint64((1 << n) - 1)).astype(np.int64) for at, n in SEGMENTS]
+    around = [golay.around(w) if bits > 1 else golay.decode(w)[:, None] for w in words]
     at, keys = [], []
     for k, (i, j) in enumerate(PAIRS):
         for side, index in enumerate((around[i] << 12 | around[j][:, :1], around[i][:, :1] << 12 | around[j])):
@@ -68,12 +82,12 @@ def golay_keys(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(at), np.concatenate(keys)
 
 
-def file_under_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def file_under_keys(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         every = batch.column("fp").to_numpy()
         for i in range(0, len(every), CHUNK):
             fps = every[i : i + CHUNK]
-            at, keys = golay_keys(fps)
+            at, keys = golay_keys(fps, bits)
             yield pa.RecordBatch.from_arrays([pa.array(keys >> 1), pa.array((keys & 1).astype(np.int32)), pa.array(fps[at])], names=["key", "side", "fp"])
 
 
@@ -145,7 +159,7 @@ def links(nodes: DataFrame, bits: int = BITS) -> DataFrame:
             a, b = links_of(*(np.concatenate(x) for x in zip(*held, strict=True)), bits)
             yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
-    filed = nodes.select("fp").mapInArrow(file_under_keys, "key long, side int, fp long")
+    filed = nodes.select("fp").mapInArrow(lambda batches: file_under_keys(batches, bits), "key long, side int, fp long")
     return filed.repartition("key").sortWithinPartitions("key", "side").mapInArrow(verify, "a long, b long").distinct()
 
 
@@ -160,8 +174,89 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = BITS, key: str
     return found.join(member, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def first_of_each(docs: DataFrame, words: int = 3, bits: int = BITS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without those that are linked, over others perhaps, to a document of smaller key. Repeated rows of a key are one document."""
-    found = near_duplicates(docs, words, bits, key, text)
+VIEWS = 6
+#: Texts of a group that are all compared with each other.
+FEW = 16
+MIX = np.uint64(0x9E3779B97F4A7C15)
+VIEW_PATTERNS = np.array([xxhash.xxh64_intdigest(str(v)) for v in range(VIEWS)], np.uint64)
+WORDS, LEAST = 5, 0.8
+
+
+def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
+    """Distinct hashes of a text's word shingles, sorted; of all its words if there are fewer, none without words."""
+    w = (text or "").encode().lower().split()
+    if not w:
+        return np.empty(0, np.uint64)
+    parts = [w[k : max(1, len(w) - words + 1) + k] for k in range(words)] if len(w) >= words else [[b" ".join(w)]]
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in map(b" ".join, zip(*parts, strict=True))), np.uint64))
+
+
+def views(hashes: np.ndarray) -> list[int | None]:
+    """The fingerprints of the two least shingles of each part of a text's shingles, null for an empty part.
+
+    Of two shingles more than half have a bit set if both have. A pattern of its own for each view keeps the views apart.
+    """
+    out: list[int | None] = []
+    mixed, part = hashes * MIX, hashes % np.uint64(VIEWS)
+    for v in range(VIEWS):
+        mine = np.sort(mixed[part == v])[:2]
+        both = np.bitwise_and.reduce((mine ^ mine >> np.uint64(29)) * MIX) if len(mine) else None
+        out.append(None if both is None else int((both ^ VIEW_PATTERNS[v]).astype(np.int64)))
+    return out
+
+
+def alike(docs: DataFrame, words: int = WORDS, least: float = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """key, component_id: the smallest key reachable over links between texts of similar word shingles, for every row."""
+    kind = docs.schema[key].dataType.simpleString()
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t, words) for t in batch.column(text).to_pylist()]
+            nodes = pa.array([xxhash.xxh64_intdigest(s.tobytes()) >> 1 for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(key), nodes, pa.array([views(s) for s in sets], pa.list_(pa.int64())), pa.array([s.tobytes() for s in sets], pa.binary())], names=[key, "node", "views", "shingles"])
+
+    rows = stored(spread(docs.select(key, text)).mapInArrow(sketched, f"{key} {kind}, node long, views array<long>, shingles binary"), "shingles")
+    nodes = stored(rows.groupBy("node").agg(F.min(key).alias("first"), F.first("views").alias("views")), "shingle-nodes")
+    seen = nodes.select("node", F.posexplode("views").alias("view", "fp")).where("fp is not null")
+    fps = stored(seen.select("fp").distinct(), "views")
+    one = components(links(fps, 1))
+    placed = stored(seen.join(one, seen["fp"] == one["node"], "left").select(seen["node"], "view", F.coalesce("root", "fp").alias("fp")), "placed")
+    # the groups of a view, and of a view with the next one
+    after = placed.select("node", F.pmod(F.col("view") - 1, F.lit(VIEWS)).cast("int").alias("view"), F.col("fp").alias("next"))
+    both = placed.join(after, ["node", "view"]).select("node", F.xxhash64("view", "fp", "next").alias("group"))
+    groups = placed.select("node", F.xxhash64("view", "fp").alias("group")).union(both)
+    heads = groups.groupBy("group").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1")
+    met = groups.join(heads, "group")
+    few = met.where(F.col("n") <= FEW).groupBy("group").agg(F.array_sort(F.collect_list("node")).alias("m")).select("m", F.posexplode("m").alias("at", "head"))
+    every = few.select(F.explode(F.slice("m", F.col("at") + 2, FEW)).alias("node"), "head")
+    pairs = stored(every.union(met.where((F.col("n") > FEW) & (F.col("node") != F.col("head"))).select("node", "head")).distinct(), "pairs")
+    sets = rows.join(pairs.select("node").union(pairs.select("head")).distinct(), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    sets = stored(sets, "sets")
+
+    def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
+                x, y = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
+                # texts whose sizes alone keep them below the similarity aren't compared
+                if min(len(x), len(y)) < least * max(len(x), len(y)):
+                    good.append(False)
+                    continue
+                shared = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
+                good.append(shared >= least * (len(x) + len(y) - shared))
+            yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("head")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    left, right = sets.withColumnRenamed("shingles", "a"), sets.select(F.col("node").alias("head"), F.col("shingles").alias("b"))
+    linked = pairs.join(left, "node").join(right, "head").select("node", "head", "a", "b").mapInArrow(agreeing, "a long, b long")
+    roots = components(linked).withColumnRenamed("node", "n")
+    joined = nodes.join(roots, nodes["node"] == roots["n"], "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    first = joined.groupBy("root").agg(F.min("first").alias("component_id"))
+    member = joined.join(first, "root").select("node", "component_id")
+    return rows.select(key, "node").join(member, "node").select(key, "component_id")
+
+
+def first_of_each(docs: DataFrame, words: int = WORDS, least: float = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """docs without those that are alike, over others perhaps, to a document of smaller key. Repeated rows of a key are one document; rows without a key stay."""
+    found = alike(docs, words, least, key, text)
     # the same plan at every size: the copies' ids grow with the table
     return docs.join(found.where(f"{key} <> component_id").select(key).distinct().hint("merge"), key, "left_anti")

@@ -206,7 +206,7 @@ def test_pipeline_equals_its_stages_by_hand(spark):
     lang = {r["doc_id"]: r["lang_pred"] for r in langid.identified(docs).collect()}
     rows = {k: t for k, t in rows.items() if lang[k] != "und"}
     frame = lambda: spark.createDataFrame(list(rows.items()), "doc_id long, text string")
-    rows = {r["doc_id"]: rows[r["doc_id"]] for r in simhash.near_duplicates(frame()).collect() if r["doc_id"] == r["component_id"]}
+    rows = {r["doc_id"]: rows[r["doc_id"]] for r in simhash.alike(frame()).collect() if r["doc_id"] == r["component_id"]}
     items = [decontaminate.plain(r["text"]) for r in table(spark, D, "benchmark").collect()]
     rows = {k: t for k, t in rows.items() if not any(i in decontaminate.plain(t) for i in items)}
     spans = {r["doc_id"]: r["spans"] for r in secrets.report(frame()).collect()}
@@ -226,3 +226,28 @@ def test_pipeline_keeps_the_columns(spark):
         out = stored(stage(spark, docs, D), "stage")
         assert out.columns == docs.columns and 0 < out.count() <= docs.count()
         docs = out
+
+
+ROWS = [(1, None), (2, ""), (3, "plain words of a first text that stays as it is"), (3, "plain words of a first text that stays as it is"), (4, "plain words of a first text that stays as it is"), (None, "no id but a password=hunter2222 here"), (None, "no id and no secret in these words"), (5, "1234 5678"), (6, "long " * 60_000)]
+
+
+def test_pipeline_stages_on_awkward_documents(spark):
+    docs = spark.createDataFrame([(k, t, "en", "web", 0) for k, t in ROWS], "doc_id long, text string, lang string, source string, n_chars long").select("*", *(F.lit(1).alias(c) for c in ("id", "t", "k", "key", "node", "fp", "spans", "_row", "views", "component_id")))
+    left = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stored(stage(spark, docs, D), "stage")
+        left[name] = sorted((r["doc_id"] or 0 for r in out.select("doc_id").collect()))
+        if name != "tokens":
+            assert out.columns == docs.columns
+            docs = out
+    assert left["language"] == [0, 0, 3, 3, 4, 6] and left["near_duplicates"] == [0, 0, 3, 3, 6]
+    assert left["decontaminated"] == left["redacted"] == left["tokens"] == left["near_duplicates"]
+    texts = {r["text"] for r in docs.collect()}
+    assert "no id but a [secret] here" in texts and "no id and no secret in these words" in texts
+    assert all(r["n_chars"] == len(r["text"]) for r in docs.collect())
+
+
+def test_pipeline_stages_on_an_empty_table(spark):
+    docs = table(spark, D, "documents").where("false")
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, D).count() == 0

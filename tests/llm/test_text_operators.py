@@ -14,6 +14,7 @@ from tokenizers import Tokenizer
 
 from spanloom.llm import bpe, decontaminate, golay, langid, quality, secrets, simhash, suffixes
 from spanloom.llm.common import table
+from spanloom.llm.graph import components
 
 D = "/root/testdata/sf0.001"
 LONG = "word " * 40_000 + "x" * 20_000
@@ -331,6 +332,61 @@ def test_language_awkward(spark, awkward, nothing):
     assert langid.known_language(awkward, langid.learn(awkward)).count() == len(AWKWARD) - 2
 
 
+def test_quality_scores_equal_brute_force(spark, docs):
+    """Scores as by hashing every word and n-gram by hand, averaging their vectors and taking the softmax."""
+    model = quality.learn(docs, table(spark, D, "labels"))
+    vectors, weights, bias = model
+    top = (1 << 64) - 1
+    bucket = lambda h: h >> 64 - quality.BITS
+    mix = int(quality.MIX)
+
+    def naive(text):
+        ids, before = [], None
+        for w in (text or "").split():
+            p = f" {w} "
+            for n in quality.GRAMS:
+                for i in range(len(p) - n + 1):
+                    h = ord(p[i]) * mix & top
+                    for c in p[i + 1 : i + n]:
+                        h = (h ^ ord(c)) * mix & top
+                    ids.append(bucket(h * mix & top))
+            own = sum(ord(c) * int(quality.PLACES[i % len(quality.PLACES)]) for i, c in enumerate(f" {w}")) * mix & top
+            ids += [bucket(own)] + ([bucket(int(quality.AGAIN))] if own == before else [])
+            before = own
+        z = (np.mean([vectors[i] for i in ids], axis=0) if ids else np.zeros(quality.SIZE)) @ weights + bias
+        return float(np.exp(z[1]) / np.exp(z).sum())
+
+    rows = docs.where("doc_id % 5 = 0").limit(30).unionByName(spark.createDataFrame([(-1, None), (-2, "a a a")], "doc_id long, text string"), allowMissingColumns=True)
+    texts = {r["doc_id"]: r["text"] for r in rows.collect()}
+    for r in quality.score(rows, model).collect():
+        assert abs(r["score"] - naive(texts[r["doc_id"]])) < 1e-5
+
+
+def test_quality_features_are_bounded(spark, docs):
+    few = quality.learn(docs, table(spark, D, "labels"), most=40_000)
+    assert few is not None and quality.learn(docs, table(spark, D, "labels"), most=0) is None
+
+
+def test_distances_equal_brute_force(spark, docs):
+    """Predictions and scores as by counting every n-gram and rank by hand."""
+    learned = langid.learn(docs.where(langid.train_fold(F.col("doc_id")))).collect()
+    ranks = {}
+    for lang, gram, rank in learned:
+        ranks.setdefault(lang, {})[gram] = rank
+    for r in langid.identified(docs).where("doc_id % 7 = 0").collect():
+        counts = {}
+        text = docs.where(F.col("doc_id") == r["doc_id"]).first()["text"]
+        for w in re.findall(r"[^\W\d_]+", (text or "").lower()):
+            p = f" {w} "
+            for g in [*w, *(p[i : i + 2] for i in range(len(p) - 1)), *(p[i : i + 3] for i in range(len(p) - 2))]:
+                counts[g] = counts.get(g, 0) + 1
+        code = lambda g: sum(ord(c) << 21 * k for k, c in enumerate(reversed(g)))
+        mine = sorted(counts, key=lambda g: (-counts[g], code(g)))[: langid.TOP]
+        far = {lang: sum(abs(known[code(g)] - k) if code(g) in known else langid.TOP for k, g in enumerate(mine)) for lang, known in ranks.items()}
+        if mine:
+            assert r["lang_pred"] == min(sorted(far), key=far.get)
+
+
 # 10
 
 
@@ -409,12 +465,73 @@ def test_redaction(spark):
 # stages of the pipeline
 
 
+def similar_components(texts):
+    """Components of all pairs whose five-word shingles agree to 0.8, and those pairs."""
+    sets = {k: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if (w := t.lower().split()) else set() for k, t in texts}
+    root, pairs = {k: k for k in sets}, set()
+    find = lambda k: k if root[k] == k else find(root[k])
+    for a in sets:
+        for b in sets:
+            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                pairs.add((a, b))
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    return {k: find(k) for k in sets}, pairs
+
+
+def test_similar_texts_are_found(spark):
+    """Edited copies, chains of them, and texts that only share a long passage; nothing else is linked, next to nothing is missed."""
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 8))) for _ in range(400)]
+    words = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    texts, notice = [], words(60)
+    for _ in range(120):
+        base = words(rng.choice((30, 60, 120, 300, 900)))
+        for edits in range(rng.randint(1, 4)):
+            copy = list(base)
+            for _ in range(edits * max(1, len(base) // 100)):
+                copy[rng.randrange(len(copy)) if len(copy) > 100 else -1] = rng.choice(vocabulary)
+            texts.append(" ".join(copy))
+    texts += [" ".join(words(20) + notice + words(20)) for _ in range(80)]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    want, pairs = similar_components(rows)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.alike(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[a] == got[b] for a, b in pairs) >= 0.97 * len(pairs) and len(pairs) > 60
+    assert all(want[k] == want[c] for k, c in got.items())
+
+
+def test_similar_texts_awkward(awkward, nothing):
+    out = {(r["doc_id"], r["component_id"]) for r in simhash.alike(awkward).collect()}
+    assert {(1, 1), (2, 1), (3, 3), (4, 4), (5, 4), (6, 6)} <= out
+    assert simhash.alike(nothing).count() == 0
+    assert sorted(r["doc_id"] or 0 for r in simhash.first_of_each(awkward).collect()) == [0, 1, 3, 4, 4, 6]
+    with pytest.raises(ValueError):
+        simhash.golay_keys(np.zeros(1, np.int64), 4)
+
+
+def test_other_scripts_are_of_no_learned_language(spark):
+    docs = table(spark, D, "documents")
+    other = spark.createDataFrame([(1, "съешь же ещё этих мягких французских булок да выпей чаю " * 5), (2, "hund"), (3, "漢字かな交じり文の例をここに置いておきますよろしくお願いします漢字仮名")], "doc_id long, text string")
+    learned = langid.learn(docs).cache()
+    assert {r["doc_id"] for r in langid.known_language(other, learned).collect()} == {2}
+    kept = langid.known_language(docs, learned)
+    assert kept.count() == docs.where("text rlike '\\\\p{L}'").count()
+
+
 def test_redaction_tells_rows_of_an_id_apart(spark):
     rows = [(None, "password=hunter22 then words", 1), (None, "nothing secret in these plain words", 2), (7, "token: abcdef99 here", 3), (7, "first some words, passwd=qwerty77", 4), (8, None, 5)]
     out = secrets.redacted(spark.createDataFrame(rows, "doc_id long, text string, place int")).collect()
     assert {r["place"]: r["text"] for r in out} == {1: "[secret] then words", 2: rows[1][1], 3: "[secret] here", 4: "first some words, [secret]", 5: None}
 
 
+def test_components_that_do_not_settle_are_an_error(spark):
+    chain = spark.createDataFrame([(k + 1, k) for k in range(64)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        components(chain, most_rounds=1)
+    assert {r["root"] for r in components(chain).collect()} == {0}
+
+
 def test_language_stage_without_profiles(spark):
     docs = spark.createDataFrame([(1, "plain words", None), (None, "more words", None), (3, "12 34", None), (4, None, None)], "doc_id long, text string, lang string")
     assert {r["text"] for r in langid.known_language(docs, langid.learn(docs)).collect()} == {"plain words", "more words"}
