@@ -363,7 +363,7 @@ def test_quality_scores_equal_brute_force(spark, docs):
 
 
 def test_quality_features_are_bounded(spark, docs):
-    few = quality.learn(docs, table(spark, D, "labels"), most=40_000)
+    few = quality.learn(docs, table(spark, D, "labels"), most=400_000)
     assert few is not None and quality.learn(docs, table(spark, D, "labels"), most=0) is None
 
 
