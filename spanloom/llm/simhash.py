@@ -13,10 +13,11 @@ links would; pairs are never listed. Equal fingerprints are one node from the st
 ``near_duplicates`` links by fingerprints alone. ``alike`` takes a similarity instead: texts whose word shingles
 agree to ``LEAST`` or more (Jaccard). One fingerprint can't show that: at 0.8 two texts' fingerprints differ in about
 ten bits. So a text has ``VIEWS`` fingerprints, each of the two shingles of least hash in one of as many parts of
-all shingles; at a similarity of 0.8 a view is the same in two texts of three, and all differ in one pair of 700.
-Views within one bit are found by Golay keys as above. The texts of a view, and those that share two views, are
-compared with each other if they are ``FEW``, else each with the same one of them, by their exact shingle sets,
-and linked if they agree: comparisons grow with the texts, not with the square of a group. Equal shingle sets are one node.
+all shingles; at a similarity of 0.8 a view is the same in two texts of three, and fewer than two views are in one pair
+of 230. Views within one bit are found by Golay keys as above. Texts that share two views are compared by their exact
+shingle sets, and linked if they agree: all of a group with each other if they are ``FEW``, else, where the group has
+the next view in common too, each with the same one of them. So comparisons grow with the texts, not with the square of
+a group. Equal shingle sets are one node.
 
 A null text counts as empty; without words the fingerprint is zero, and is linked like any other (by ``alike``,
 texts without words are equal). Repeated rows of an id have that id's results. Rows with a null id take part under it.
@@ -174,7 +175,7 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = BITS, key: str
     return found.join(member, "fp").select(key, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-VIEWS = 6
+VIEWS = 8
 #: Texts of a group that are all compared with each other.
 FEW = 16
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -206,14 +207,17 @@ def views(hashes: np.ndarray) -> list[int | None]:
 
 
 def alike(docs: DataFrame, words: int = WORDS, least: float = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, component_id: the smallest key reachable over links between texts of similar word shingles, for every row."""
+    """key, component_id: the smallest key reachable over links between texts of similar word shingles, for every row.
+
+    Nodes are sets of 64-bit hashes; comparisons take 32 bits of each, in which two shingles of a text are next to never the same.
+    """
     kind = docs.schema[key].dataType.simpleString()
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t, words) for t in batch.column(text).to_pylist()]
             nodes = pa.array([xxhash.xxh64_intdigest(s.tobytes()) >> 1 for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(key), nodes, pa.array([views(s) for s in sets], pa.list_(pa.int64())), pa.array([s.tobytes() for s in sets], pa.binary())], names=[key, "node", "views", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column(key), nodes, pa.array([views(s) for s in sets], pa.list_(pa.int64())), pa.array([np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes() for s in sets], pa.binary())], names=[key, "node", "views", "shingles"])
 
     rows = stored(spread(docs.select(key, text)).mapInArrow(sketched, f"{key} {kind}, node long, views array<long>, shingles binary"), "shingles")
     nodes = stored(rows.groupBy("node").agg(F.min(key).alias("first"), F.first("views").alias("views")), "shingle-nodes")
@@ -221,23 +225,27 @@ def alike(docs: DataFrame, words: int = WORDS, least: float = LEAST, key: str =
     fps = stored(seen.select("fp").distinct(), "views")
     one = components(links(fps, 1))
     placed = stored(seen.join(one, seen["fp"] == one["node"], "left").select(seen["node"], "view", F.coalesce("root", "fp").alias("fp")), "placed")
-    # the groups of a view, and of a view with the next one
     after = placed.select("node", F.pmod(F.col("view") - 1, F.lit(VIEWS)).cast("int").alias("view"), F.col("fp").alias("next"))
     both = placed.join(after, ["node", "view"]).select("node", F.xxhash64("view", "fp", "next").alias("group"))
-    groups = placed.select("node", F.xxhash64("view", "fp").alias("group")).union(both)
-    heads = groups.groupBy("group").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1")
-    met = groups.join(heads, "group")
-    few = met.where(F.col("n") <= FEW).groupBy("group").agg(F.array_sort(F.collect_list("node")).alias("m")).select("m", F.posexplode("m").alias("at", "head"))
-    every = few.select(F.explode(F.slice("m", F.col("at") + 2, FEW)).alias("node"), "head")
-    pairs = stored(every.union(met.where((F.col("n") > FEW) & (F.col("node") != F.col("head"))).select("node", "head")).distinct(), "pairs")
-    sets = rows.join(pairs.select("node").union(pairs.select("head")).distinct(), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
-    sets = stored(sets, "sets")
+
+    def met(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Pairs of small groups, and members of large ones with the least of them."""
+        sized = groups.join(groups.groupBy("group").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1"), "group")
+        few = sized.where(F.col("n") <= FEW).groupBy("group").agg(F.array_sort(F.collect_list("node")).alias("m")).select("m", F.posexplode("m").alias("at", "head"))
+        return few.select(F.explode(F.slice("m", F.col("at") + 2, FEW)).alias("node"), "head"), sized.where((F.col("n") > FEW) & (F.col("node") != F.col("head"))).select("node", "head")
+
+    single, _ = met(placed.select("node", F.xxhash64("view", "fp").alias("group")))
+    twice = single.groupBy("node", "head").agg(F.count("*").alias("n")).where("n > 1").select("node", "head")
+    small, large = met(stored(both, "view-pairs"))
+    pairs = stored(twice.union(small).union(large).distinct(), "pairs")
+    asked = pairs.select("node").union(pairs.select("head")).distinct()
+    sets = rows.join(asked, "node", "left_semi").groupBy("node").agg(F.min("shingles").alias("shingles"))
 
     def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             good = []
             for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
-                x, y = np.frombuffer(a.as_py(), np.uint64), np.frombuffer(b.as_py(), np.uint64)
+                x, y = np.frombuffer(a.as_py(), np.uint32), np.frombuffer(b.as_py(), np.uint32)
                 # texts whose sizes alone keep them below the similarity aren't compared
                 if min(len(x), len(y)) < least * max(len(x), len(y)):
                     good.append(False)
