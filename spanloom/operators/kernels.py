@@ -50,30 +50,78 @@ def ratio(a: str, b: str) -> float:
     return 1.0 if a == b else 0.0 if not a or not b else 1.0 - edit_distance(a, b) / max(len(a), len(b))
 
 
+def ratios(a: list[str], b: list[str]) -> np.ndarray:
+    """ratio of every word of a with every one of b, all pairs at once."""
+    if not a or not b:
+        return np.zeros((len(a), len(b)))
+    size = [np.array([len(w) for w in s], np.int64) for s in (a, b)]
+    x, y = (np.zeros((len(s), max(1, int(n.max()))), np.int64) for s, n in zip((a, b), size, strict=True))
+    for codes, s in ((x, a), (y, b)):
+        for i, w in enumerate(s):
+            codes[i, : len(w)] = np.frombuffer(w.encode("utf-32-le", "surrogatepass"), np.uint32)
+    shape = (len(a), len(b))
+    row = [np.full(shape, j) for j in range(y.shape[1] + 1)]
+    edits = np.where(size[0][:, None] == 0, size[1][None, :], 0)
+    for i in range(x.shape[1]):
+        before, row = row, [np.full(shape, i + 1)]
+        for j in range(y.shape[1]):
+            row.append(np.minimum(np.minimum(before[j] + (x[:, i, None] != y[None, :, j]), before[j + 1] + 1), row[j] + 1))
+        ended = size[0] == i + 1
+        if ended.any():
+            edits[ended] = np.stack(row)[size[1], :, np.arange(len(b))].T[ended]
+    longest = np.maximum(size[0][:, None], size[1][None, :])
+    return np.where(longest == 0, 1.0, 1.0 - edits / np.maximum(longest, 1))
+
+
+def align_all(references: list[list[str]], hypothesis: list[str], gap: float = 0.5) -> list[list[tuple[str, int | None, int | None, float | None]]]:
+    """Global word alignments of one hypothesis with each of many references, all at once.
+
+    Rows are (status, place in the reference, place in the hypothesis, score). Of equally good ways a pair goes before a gap,
+    a missing word before an extra one. Words are compared as they are.
+    """
+    words, of = {w: k for k, w in enumerate(dict.fromkeys(w for r in references for w in r))}, {w: k for k, w in enumerate(dict.fromkeys(hypothesis))}
+    same = np.concatenate([ratios(list(words), list(of)), np.full((1, len(of)), -1e9)])  # the last row stands for what is past a reference's end
+    length = np.array([len(r) for r in references], np.int64)
+    most = int(length.max()) if len(length) else 0
+    ids = np.full((len(references), most), len(words), np.int64)
+    for k, r in enumerate(references):
+        ids[k, : len(r)] = [words[w] for w in r]
+    step = gap * np.arange(most + 1)
+    score = np.tile(-step, (len(references), 1))
+    way = np.full((len(hypothesis) + 1, len(references), most + 1), 1, np.int8)  # 0 a pair, 1 a missing word, 2 an extra one
+    for i, w in enumerate(hypothesis):
+        pair = score[:, :-1] + same[ids, of[w]]
+        new = score - gap
+        np.maximum(new[:, 1:], pair, out=new[:, 1:])
+        new = np.maximum.accumulate(new + step, axis=1) - step
+        way[i + 1] = 2
+        np.copyto(way[i + 1, :, 1:], 1, where=new[:, :-1] - gap >= new[:, 1:] - 1e-9)
+        np.copyto(way[i + 1, :, 1:], 0, where=pair >= new[:, 1:] - 1e-9)
+        score = new
+    out = []
+    for k, r in enumerate(references):
+        i, j, rows = len(hypothesis), len(r), []
+        while i or j:
+            kind = way[i, k, j]
+            if kind == 0:
+                i, j = i - 1, j - 1
+                s = float(same[ids[k, j], of[hypothesis[i]]])
+                rows.append(("match" if s >= 0.8 else "near" if s >= 0.5 else "mismatch", j, i, s))
+            elif kind == 1:
+                j -= 1
+                rows.append(("missing", j, None, None))
+            else:
+                i -= 1
+                rows.append(("extra", None, i, None))
+        out.append(rows[::-1])
+    return out
+
+
 def align(reference: list[str], hypothesis: list[str], gap: float = 0.5) -> list[tuple[str, str | None, str | None, float | None]]:
-    """Global word alignment by similarity: (status, reference, hypothesis, score) rows; a pair goes before a gap, a missing word before an extra one."""
+    """Global word alignment by similarity of normalised words: (status, reference, hypothesis, score) rows."""
     ref, hyp = ([w for w in s if w and w.strip()] for s in (reference, hypothesis))
-    a, b = [normal(w) for w in ref], [normal(w) for w in hyp]
-    same = [[ratio(u, v) for v in b] for u in a]
-    score = [[-gap * j for j in range(len(b) + 1)]]
-    for i, of in enumerate(same, 1):
-        above, row = score[-1], [-gap * i]
-        for j, s in enumerate(of):
-            row.append(max(above[j] + s, above[j + 1] - gap, row[j] - gap))
-        score.append(row)
-    i, j, rows = len(a), len(b), []
-    while i or j:
-        if i and j and score[i][j] == score[i - 1][j - 1] + same[i - 1][j - 1]:
-            s = same[i - 1][j - 1]
-            rows.append(("match" if s >= 0.8 else "near" if s >= 0.5 else "mismatch", ref[i - 1], hyp[j - 1], s))
-            i, j = i - 1, j - 1
-        elif i and (not j or score[i][j] == score[i - 1][j] - gap):
-            rows.append(("missing", ref[i - 1], None, None))
-            i -= 1
-        else:
-            rows.append(("extra", None, hyp[j - 1], None))
-            j -= 1
-    return rows[::-1]
+    rows = align_all([[normal(w) for w in ref]], [normal(w) for w in hyp], gap)[0]
+    return [(status, None if i is None else ref[i], None if j is None else hyp[j], s) for status, i, j, s in rows]
 
 
 def word_errors(reference: list[str], hypothesis: list[str]) -> tuple[int, int, int, int]:
@@ -116,11 +164,39 @@ def ctc_score(logs: np.ndarray, tokens: list[int], blank: int, per_token: bool =
     return -total / (n if per_token else frames) if math.isfinite(total) else INFEASIBLE
 
 
-def tolerant_score(logs: np.ndarray, tokens: list[int], blank: int, opening: list[int]) -> float:
-    """The better of the whole sequence and, where it begins with the opening, of what follows that."""
-    whole = ctc_score(logs, tokens, blank)
+def ctc_scores(logs: np.ndarray, sequences: list[list[int]], blank: int, per_token: bool = False) -> np.ndarray:
+    """ctc_score of many token sequences, the evidence read once for all of them."""
+    frames, n = len(logs), np.array([len(s) for s in sequences], np.int64)
+    out = np.full(len(sequences), INFEASIBLE)
+    fits = np.flatnonzero((n > 0) & (2 * n + 1 <= frames))
+    if not len(fits):
+        return out
+    n, width = n[fits], 2 * int(n[fits].max()) + 1
+    states = np.full((len(fits), width), blank)
+    for k, i in enumerate(fits):
+        states[k, 1 : 2 * len(sequences[i]) : 2] = sequences[i]
+    skips = np.zeros((len(fits), width), bool)
+    skips[:, 3::2] = states[:, 3::2] != states[:, 1:-2:2]
+    alpha = np.full((len(fits), width + 2), -np.inf)  # two columns before the first state
+    alpha[:, 2:4] = logs[0][states[:, :2]]
+    for t in range(1, frames):
+        two = np.where(skips, alpha[:, :-2], -np.inf)
+        alpha[:, 2:] = np.logaddexp(np.logaddexp(alpha[:, 2:], alpha[:, 1:-1]), two) + logs[t][states]
+    rows = np.arange(len(fits))
+    total = np.logaddexp(alpha[rows, 2 * n + 2], alpha[rows, 2 * n + 1])
+    good = np.isfinite(total)
+    out[fits[good]] = -total[good] / (n[good] if per_token else frames)
+    return out
+
+
+def tolerant_scores(logs: np.ndarray, sequences: list[list[int]], blank: int, opening: list[int]) -> np.ndarray:
+    """The better of each whole sequence and, where it begins with the opening, of what follows that."""
     k = len(opening)
-    return min(whole, ctc_score(logs, tokens[k:], blank)) if k and tokens[:k] == opening and len(tokens) > k else whole
+    short = [i for i, s in enumerate(sequences) if k and len(s) > k and list(s[:k]) == list(opening)]
+    scores = ctc_scores(logs, [*sequences, *(sequences[i][k:] for i in short)], blank)
+    out = scores[: len(sequences)].copy()
+    np.minimum.at(out, np.array(short, np.int64), scores[len(sequences) :])
+    return out
 
 
 def ctc_align(logs: np.ndarray, tokens: list[int], blank: int) -> list[tuple[int, int]] | None:
@@ -246,22 +322,34 @@ def stitch(texts: list[str], most: int = 80, least: int = 2) -> list[str]:
 
 
 def best_path(cycles: list[list[tuple[str, float]]], step) -> list[str]:
-    """One candidate of each cycle: the greatest sum of scores and of step(previous, next); the first of equals."""
+    """One candidate of each cycle: the greatest sum of scores and of step(previous, next, score of the next); the first of equals."""
     if not cycles:
         return []
-    best = [(s, [r]) for r, s in cycles[0]]
-    for cycle in cycles[1:]:
-        best = [max(((v + step(p[-1], r) + s, [*p, r]) for v, p in best), key=lambda x: x[0]) for r, s in cycle]
-    return max(best, key=lambda x: x[0])[1]
+    total, back = [s for _, s in cycles[0]], []
+    for before, cycle in zip(cycles, cycles[1:], strict=False):
+        found = [max(range(len(before)), key=lambda i: (total[i] + step(before[i][0], r, s), -i)) for r, s in cycle]
+        total = [total[i] + step(before[i][0], r, s) + s for i, (r, s) in zip(found, cycle, strict=True)]
+        back.append(found)
+    at = max(range(len(total)), key=lambda i: (total[i], -i))
+    path = [at]
+    for found in reversed(back):
+        path.append(at := found[at])
+    return [cycle[i][0] for cycle, i in zip(cycles, reversed(path), strict=True)]
+
+
+#: What a step within a chapter adds by how many verses it goes ahead; any other step ahead, back, or to another chapter (less if that is all but certain).
+AHEAD = {0: 0.15, 1: 0.35, 2: -0.3, 3: -0.45}
+FAR, BACK, ELSEWHERE, ELSEWHERE_SURE, SURE = -0.65, -1.0, -1.25, -0.35, 0.85
 
 
 def transition(previous: str, following: str, confidence: float = 0.0) -> float:
-    """What a step between refs chapter:verse adds to a path."""
-    (c, v), (d, w) = (map(int, r.split("-")[0].split(":")) for r in (previous, following))
-    if c != d:
-        return -0.35 if confidence >= 0.85 else -1.25
-    ahead = w - v
-    return 0.15 if ahead == 0 else 0.35 if ahead == 1 else -0.15 * ahead if 2 <= ahead <= 3 else -1.0 if ahead < 0 else -0.65
+    """What a step between refs (chapter:verse or chapter:first-last) adds to a path, from the last verse of one to the first of the next."""
+    c, verses = previous.split(":")
+    d, w = following.split("-")[0].split(":")
+    v, w = int(verses.split("-")[-1]), int(w)
+    if int(c) != int(d):
+        return ELSEWHERE_SURE if confidence >= SURE else ELSEWHERE
+    return BACK if w < v else AHEAD.get(w - v, FAR)
 
 
 def fnv64(text: str) -> str:

@@ -10,38 +10,56 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import ngrams, normalize, text_score, words
+from spanloom.operators.deal import dealt
+
+
+def worded(df: DataFrame, key: str) -> DataFrame:
+    """key, words (distinct), all_words (their number with repetitions); the text is normalised once for both."""
+    return df.select(key, words(normalize(F.col("text"))).alias("_w")).select(key, F.array_distinct("_w").alias("words"), F.size("_w").alias("all_words"))
+
+
+def counted_hits(texts: DataFrame, references: DataFrame) -> DataFrame:
+    """text_id, ref_id, hits, n, n_all, m: distinct words in common, those of the text, all its words, and those of the reference.
+
+    Sizes travel with the exploded words, so each side is read and normalised once and joined once. Words that all texts
+    share bring every pair together: the result is as large as the pairs that share a word.
+    """
+    left = worded(texts, "text_id").select("text_id", F.size("words").alias("n"), F.col("all_words").alias("n_all"), F.explode("words").alias("word"))
+    right = worded(references, "ref_id").select("ref_id", F.size("words").alias("m"), F.explode("words").alias("word"))
+    return left.join(right, "word").groupBy("text_id", "ref_id", "n", "n_all", "m").agg(F.count("*").alias("hits"))
 
 
 def word_hits(texts: DataFrame, references: DataFrame) -> DataFrame:
     """text_id, ref_id, hits: distinct words in common."""
-    left = texts.select("text_id", F.explode(F.array_distinct(words(normalize(F.col("text"))))).alias("word"))
-    right = references.select("ref_id", F.explode(F.array_distinct(words(normalize(F.col("text"))))).alias("word"))
-    return left.join(right, "word").groupBy("text_id", "ref_id").agg(F.count("*").alias("hits"))
+    return counted_hits(texts, references).select("text_id", "ref_id", "hits")
 
 
 def sizes(df: DataFrame, key: str) -> DataFrame:
-    w = words(normalize(F.col("text")))
-    return df.select(key, F.size(F.array_distinct(w)).alias("distinct_words"), F.size(w).alias("all_words"))
+    return worded(df, key).select(key, F.size("words").alias("distinct_words"), "all_words")
 
 
-def recall_scores(texts: DataFrame, references: DataFrame, balance: float = 0.5, fit: float = 0.0, floor: float = 0.35) -> DataFrame:
-    """text_id, ref_id, hits, score: covered share of the text's words, blended with that of the reference's.
+def recall_scores(texts: DataFrame, references: DataFrame, balance: float = 0.5, fit: float = 0.0, floor: float = 0.35, extra: tuple[str, ...] = ()) -> DataFrame:
+    """text_id, ref_id, hits, score: covered share of the text's words, blended with that of the reference's; extra names further columns of the counts.
 
     With fit, a reference of very different length loses fit times what the length quotient lacks of floor.
     """
-    n = sizes(texts, "text_id").withColumnsRenamed({"distinct_words": "n", "all_words": "n_all"})
-    m = sizes(references, "ref_id").withColumnRenamed("distinct_words", "m").drop("all_words")
-    h = word_hits(texts, references).join(n, "text_id").join(m, "ref_id")
     cover = (1 - balance) * F.col("hits") / F.col("n") + balance * F.col("hits") / F.col("m")
     short = F.greatest(F.lit(0.0), floor - F.least("n_all", "m") / F.greatest("n_all", "m")) * fit
-    return h.select("text_id", "ref_id", "hits", (0.85 * cover - short).alias("score"))
+    return counted_hits(texts, references).select("text_id", "ref_id", "hits", (0.85 * cover - short).alias("score"), *extra)
+
+
+def within_reach(scores: DataFrame, k: int, weight: float = 0.15) -> DataFrame:
+    """The rows that an edit term, of weight at most, can still bring among the first k of their text: all others are behind k rows whatever it is."""
+    w = Window.partitionBy("text_id").orderBy(F.desc("score"), "ref_id")
+    kth = F.min(F.when(F.col("_n") == k, F.col("score"))).over(Window.partitionBy("text_id"))
+    return scores.withColumn("_n", F.row_number().over(w)).withColumn("_k", kth).where(F.col("_k").isNull() | (F.col("score") + weight >= F.col("_k"))).drop("_n", "_k")
 
 
 def with_edits(scores: DataFrame, texts: DataFrame, references: DataFrame, weight: float = 0.15) -> DataFrame:
-    """Adds the weighted text score (whole and window similarity); meant for rows that a rank has cut."""
+    """Adds the weighted text score (whole and window similarity); meant for rows that within_reach has left."""
     t = texts.select("text_id", normalize(F.col("text")).alias("a"))
     r = references.select("ref_id", normalize(F.col("text")).alias("b"))
-    joined = scores.join(t, "text_id").join(r, "ref_id")
+    joined = dealt(scores.join(t, "text_id").join(r, "ref_id"), "text_id", "ref_id")
     return joined.withColumn("score", F.col("score") + weight * text_score(F.col("a"), F.col("b"))).drop("a", "b")
 
 
@@ -62,16 +80,30 @@ def sparse_fallback(texts: DataFrame, references: DataFrame, enough: int = 8) ->
     return hits.join(rich, "text_id", "left_semi").unionByName(filled)
 
 
-def gram_overlap(texts: DataFrame, references: DataFrame, k: int, third: float = 0.48) -> DataFrame:
-    """text_id, ref_id, overlap, rank: shared character pairs, and triples at a weight."""
+def gram_overlap(texts: DataFrame, references: DataFrame, k: int, third: float = 0.48, enough: int = 0, squeeze: bool = False) -> DataFrame:
+    """text_id, ref_id, overlap, rank: shared character pairs, and triples at a weight; with squeeze, of texts without spaces.
+
+    With enough, a text of under four characters, or that shares an n-gram with fewer references than that, gets every
+    reference: those it shares nothing with have no overlap and come last.
+    """
+    plain = lambda c: F.replace(normalize(c), F.lit(" "), F.lit("")) if squeeze else normalize(c)
+
     def grams(df, key):
         # a column of its own: inside the n-grams' lambda it would be worked out for each of them
-        t = df.select(key, normalize(F.col("text")).alias("t"))
+        t = df.select(key, plain(F.col("text")).alias("t"))
         return t.select(key, F.explode(F.concat(ngrams(F.col("t"), 2), ngrams(F.col("t"), 3))).alias("gram"))
 
     weight = F.when(F.char_length("gram") == 2, 1.0).otherwise(third)
     joined = grams(texts, "text_id").join(grams(references, "ref_id"), "gram").groupBy("text_id", "ref_id").agg(F.round(F.sum(weight), 6).alias("overlap"))
-    return best(joined, k, order=("-overlap", "ref_id"))
+    if not enough:
+        return best(joined, k, order=("-overlap", "ref_id"))
+    rich = joined.groupBy("text_id").agg(F.count("*").alias("_k")).where(F.col("_k") >= enough).select("text_id")
+    rich = rich.join(texts.where(F.char_length(plain(F.col("text"))) >= 4).select("text_id"), "text_id", "left_semi")
+    poor = texts.select("text_id").join(rich, "text_id", "left_anti")
+    # only texts that share next to nothing are set against the whole queried set, and keep all of it
+    filled = poor.crossJoin(references.select("ref_id")).join(joined, ["text_id", "ref_id"], "left").select("text_id", "ref_id", F.coalesce("overlap", F.lit(0.0)).alias("overlap"))
+    every = filled.withColumn("rank", F.row_number().over(Window.partitionBy("text_id").orderBy(F.desc("overlap"), "ref_id")))
+    return best(joined.join(rich, "text_id", "left_semi"), k, order=("-overlap", "ref_id")).unionByName(every)
 
 
 def margins(ranked: DataFrame) -> DataFrame:

@@ -39,7 +39,44 @@ def test_ctc_feasibility_and_preference():
     logs = evidence([1, 2, 3], 5, 6)
     assert K.ctc_score(logs, [1, 2, 3], 5) < K.ctc_score(logs, [1, 2], 5) < K.INFEASIBLE
     assert K.ctc_score(logs, [1, 2, 3, 4], 5) == K.ctc_score(logs, [], 5) == K.INFEASIBLE
-    assert K.tolerant_score(logs, [4, 1, 2, 3], 5, [4]) == K.ctc_score(logs, [1, 2, 3], 5)
+    assert K.tolerant_scores(logs, [[4, 1, 2, 3], [1, 2]], 5, [4]).tolist() == pytest.approx([K.ctc_score(logs, [1, 2, 3], 5), K.ctc_score(logs, [1, 2], 5)])
+
+
+def test_many_sequences_score_as_one_by_one():
+    rng = np.random.default_rng(3)
+    logs = np.log(rng.dirichlet(np.ones(7), 23))
+    every = [rng.integers(0, 6, rng.integers(0, 14)).tolist() for _ in range(60)] + [[2, 2, 2], []]
+    for per_token in (False, True):
+        assert K.ctc_scores(logs, every, 6, per_token) == pytest.approx(np.array([K.ctc_score(logs, s, 6, per_token) for s in every]))
+
+
+def plain_alignment(ref, hyp, gap=0.5):
+    score = [[-gap * (i + j) if not i or not j else 0.0 for j in range(len(hyp) + 1)] for i in range(len(ref) + 1)]
+    for i in range(1, len(ref) + 1):
+        for j in range(1, len(hyp) + 1):
+            score[i][j] = max(score[i - 1][j - 1] + K.ratio(ref[i - 1], hyp[j - 1]), score[i - 1][j] - gap, score[i][j - 1] - gap)
+    i, j, rows = len(ref), len(hyp), []
+    while i or j:
+        if i and j and abs(score[i][j] - score[i - 1][j - 1] - K.ratio(ref[i - 1], hyp[j - 1])) < 1e-9:
+            i, j = i - 1, j - 1
+            rows.append((i, j))
+        elif i and (not j or abs(score[i][j] - score[i - 1][j] + gap) < 1e-9):
+            i -= 1
+            rows.append((i, None))
+        else:
+            j -= 1
+            rows.append((None, j))
+    return rows[::-1]
+
+
+def test_many_alignments_equal_cell_by_cell():
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abcd") for _ in range(rng.randint(1, 6))) for _ in range(30)]
+    assert K.ratios(words, words[:7]) == pytest.approx(np.array([[K.ratio(a, b) for b in words[:7]] for a in words]))
+    for _ in range(15):
+        hyp = [rng.choice(words) for _ in range(rng.randint(0, 9))]
+        refs = [[rng.choice(words) for _ in range(rng.randint(0, 12))] for _ in range(6)]
+        assert [[(i, j) for _, i, j, _ in rows] for rows in K.align_all(refs, hyp)] == [plain_alignment(r, hyp) for r in refs]
 
 
 def test_ctc_align():
