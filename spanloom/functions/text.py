@@ -86,10 +86,35 @@ def text_score(decoded: Column, verse: Column) -> Column:
 
 
 def ngrams(text: Column, n: int) -> Column:
-    """The distinct character n-grams; a shorter text has none."""
-    count = F.char_length(text) - (n - 1)
-    grams = F.transform(F.sequence(F.lit(1), F.greatest(count, F.lit(1))), lambda i: F.substr(text, i, F.lit(n)))
-    return F.when(count > 0, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+    """The distinct character n-grams (n of 2 or 3); a shorter text has none. Characters are zipped, so the work grows with the text's length."""
+    chars = F.split(text, "")
+    count = F.greatest(F.char_length(text) - (n - 1), F.lit(0))
+    grams = F.slice(chars, F.lit(1), count)
+    for k in range(2, n + 1):
+        grams = F.zip_with(grams, F.slice(chars, F.lit(k), count), lambda a, b: F.concat(a, b))
+    return F.array_distinct(F.coalesce(grams, F.array().cast("array<string>")))
+
+
+def short_query_boost(query: Column, text: Column, first_word: Column) -> Column:
+    """Best sum_ratio of a short query without spaces against the beginning of a text without spaces, six characters longer at most, and against its first word."""
+    prefix = sum_ratio(query, F.substr(text, F.lit(1), F.char_length(query) + 6))
+    word = F.when(F.char_length(first_word) > 0, sum_ratio(query, first_word)).otherwise(0.0)
+    return F.when(F.char_length(text) > 0, F.greatest(prefix, word)).otherwise(0.0)
+
+
+def suffix_prefix_score(query: Column, text: Column) -> Column:
+    """Best sum_ratio of the query without its first one to four words (half of them at most) against as many words that the text begins with."""
+    q, t = F.split(query, " "), F.split(text, " ")
+    most = F.least(F.floor(F.size(q) / 2).cast("int"), F.lit(4))
+    score = lambda k: sum_ratio(F.array_join(F.slice(q, k + 1, F.size(q)), " "), F.array_join(F.slice(t, 1, F.size(q) - k), " "))
+    return F.when((F.size(q) >= 2) & (F.size(t) >= 2), F.array_max(F.transform(F.sequence(F.lit(1), most), score))).otherwise(0.0)
+
+
+def prefix_ratio(query: Column, text: Column) -> Column:
+    """sum_ratio of as many first words of both as the shorter has."""
+    q, t = words(query), words(text)
+    n = F.least(F.size(q), F.size(t))
+    return F.when(n > 0, sum_ratio(F.array_join(F.slice(q, F.lit(1), n), " "), F.array_join(F.slice(t, F.lit(1), n), " "))).otherwise(0.0)
 
 
 def words_match(a: Column, b: Column, threshold: float = 0.7) -> Column:
@@ -172,3 +197,45 @@ def rms(samples: Column) -> Column:
 
 def peak(samples: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(samples, F.abs)).cast("double"), F.lit(0.0))
+
+
+def strided_rms(samples: Column, most: int = 512) -> Column:
+    """Root mean square of every step-th sample, so that about most of them are taken."""
+    step = F.greatest(F.lit(1), F.floor(F.size(samples) / most).cast("int"))
+    return rms(F.filter(samples, lambda x, i: i % step == 0))
+
+
+def seconds(samples: Column, rate: int = 16_000) -> Column:
+    return samples / float(rate)
+
+
+def source_label(*parts: Column) -> Column:
+    """The parts that aren't empty, between middle dots."""
+    return F.concat_ws(" \u00b7 ", *(F.nullif(F.trim(p), F.lit("")) for p in parts))
+
+
+#: Names that languages had before.
+FORMER_LANGUAGES = {"zh": "chinese", "en": "english", "simplifiedChinese": "chinese"}
+
+
+def language_id(value: Column, known: list[str], former: dict[str, str] | None = None) -> Column:
+    """struct(id, known) of a stored language: former names give way to today's, unknown ones stay as they are; null for an empty one."""
+    table = F.create_map(*(F.lit(x) for pair in (FORMER_LANGUAGES if former is None else former).items() for x in pair))
+    trimmed = F.nullif(F.trim(value), F.lit(""))
+    now = F.coalesce(F.try_element_at(table, trimmed), trimmed)
+    return F.when(now.isNotNull(), F.struct(now.alias("id"), now.isin(*known).alias("known")))
+
+
+def match_label(matches: Column, status: Column) -> Column:
+    """What a record's matches are called: its only verse, the first and last of a chapter, or how many, and whether they are sure. matches have chapter and verse."""
+    n, first, last = F.size(matches), F.get(matches, F.lit(0)), F.element_at(matches, -1)
+    one = ref_key(first["chapter"], first["verse"])
+    same = F.forall(matches, lambda m: m["chapter"] == first["chapter"])
+    span = ref_key(first["chapter"], F.array_min(F.transform(matches, lambda m: m["verse"])), F.array_max(F.transform(matches, lambda m: m["verse"])))
+    name = F.when(n == 1, one).when(same, span).otherwise(F.concat(one, F.lit(" +"), (n - 1).cast("string")))
+    return F.when(n == 0, "no match").otherwise(F.concat(name, F.when(status == "confirmed", "").otherwise(F.concat(F.lit(" ("), status, F.lit(")")))))
+
+
+def shortened(text: Column, most: int) -> Column:
+    """The text, or its first characters and an ellipsis if it is longer."""
+    return F.when(F.char_length(text) > most, F.concat(F.rtrim(F.substr(text, F.lit(1), F.lit(most))), F.lit("\u2026"))).otherwise(text)
