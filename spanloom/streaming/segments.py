@@ -1,16 +1,16 @@
-"""Streams of sound levels and texts per session: transition functions, run in batch or by stateful streaming.
+"""Steps over streams of sound levels and texts: utterances, stitched texts, timed words, cuts, tracked refs.
 
-Each ``step`` is a pure function of a state and one chunk; ``run_batch`` folds it over a session's rows in order, and
-``run_stream`` keeps the state in Spark's state store. Both give the same rows.
+A state is a small dataclass of plain values; a step takes it and one chunk and gives the rows that the chunk settles.
+``folds`` runs them over tables and streams.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
-from dataclasses import asdict, dataclass, field
+from bisect import bisect_right
+from dataclasses import dataclass, field
+from itertools import accumulate
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +19,8 @@ from spanloom.operators.kernels import normal
 
 @dataclass
 class SegmenterConfig:
+    """Seconds of silence that end an utterance, its least and greatest length, what the next one repeats; levels of quiet and speech."""
+
     silence: float = 1.2
     least: float = 0.8
     most: float = 30.0
@@ -31,7 +33,7 @@ class SegmenterConfig:
 
 @dataclass
 class Segmenter:
-    """Closes an utterance on silence or at its greatest length, over a baseline that follows quiet passages."""
+    """An open utterance: where it starts and has come to, how long it has been still, its loudest peak; and the room's level."""
 
     start: float = 0.0
     now: float = 0.0
@@ -41,37 +43,41 @@ class Segmenter:
 
 
 SEGMENT = "start double, end double, reason string, has_speech boolean"
+#: What ends an utterance of an age after a silence, tried in this order.
+ENDINGS = {
+    "silence": lambda age, still, c: still >= c.silence and age >= c.least,
+    "maxDuration": lambda age, still, c: age >= c.most,
+}
+
+
+def room_level(before: float, rms: float, c: SegmenterConfig) -> float:
+    """The level follows down at once and rises slowly."""
+    return min(rms, c.least_rms if before < 0 else before * c.rise)
 
 
 def segment_step(s: Segmenter, chunk: dict, c: SegmenterConfig) -> list[tuple]:
     """chunk: seconds, rms, peak. Gives the utterance that the chunk closes, if any."""
-    if chunk["seconds"] <= 0:
+    length = chunk["seconds"]
+    if length <= 0:
         return []
-    if s.now <= s.start:
-        s.start = s.now
-    s.now += chunk["seconds"]
-    s.peak = max(s.peak, chunk["peak"])
-    rms = chunk["rms"]
-    s.baseline = min(rms, c.least_rms) if s.baseline < 0 else min(rms, s.baseline * c.rise) if rms >= s.baseline else rms
-    quiet = rms < max(c.least_rms, s.baseline * c.quiet_factor)
-    s.silent = s.silent + chunk["seconds"] if quiet else 0.0
-    length = s.now - s.start
-    if s.silent >= c.silence and length >= c.least:
-        return [closed(s, "silence", 0.0, c)]
-    if length >= c.most:
-        return [closed(s, "maxDuration", min(length, c.overlap), c)]
-    return []
+    s.baseline = room_level(s.baseline, chunk["rms"], c)
+    still = chunk["rms"] < max(c.least_rms, s.baseline * c.quiet_factor)
+    s.now, s.peak, s.silent = s.now + length, max(s.peak, chunk["peak"]), (s.silent + length) * still
+    reasons = [r for r, ends in ENDINGS.items() if ends(s.now - s.start, s.silent, c)]
+    return [cut_off(s, reasons[0], c)] if reasons else []
 
 
-def closed(s: Segmenter, reason: str, keep: float, c: SegmenterConfig) -> tuple:
-    out = (round(s.start, 6), round(s.now, 6), reason, s.peak >= max(c.least_rms, s.baseline) * c.speech_factor)
-    s.start, s.silent, s.peak = s.now - keep, 0.0, 0.0
-    return out
+def cut_off(s: Segmenter, reason: str, c: SegmenterConfig) -> tuple:
+    """The utterance as a row; the next one begins at its end, or within it if it was cut for its length."""
+    row = (round(s.start, 6), round(s.now, 6), reason, s.peak >= max(c.least_rms, s.baseline) * c.speech_factor)
+    repeated = min(s.now - s.start, c.overlap) if reason == "maxDuration" else 0.0
+    s.start, s.silent, s.peak = s.now - repeated, 0.0, 0.0
+    return row
 
 
 def segment_flush(s: Segmenter, c: SegmenterConfig) -> list[tuple]:
     """The end of a session: what is left, unless it is shorter than half an utterance."""
-    return [closed(s, "stopped", 0.0, c)] if s.now - s.start >= c.least * 0.5 and s.now > s.start else []
+    return [cut_off(s, "stopped", c)] if s.now - s.start >= max(c.least / 2, 1e-12) else []
 
 
 @dataclass
@@ -96,27 +102,37 @@ def stitch_step(s: Stitcher, chunk: dict, most: int = 80, least: int = 2) -> lis
 
 @dataclass
 class Reconciler:
-    """Timed words of overlapping windows: committed ones stay, those a window covers are replaced."""
+    """Timed words, as intervals (word, start, end): those before the boundary are told for good, the pending ones may still be heard otherwise."""
 
     pending: list = field(default_factory=list)
-    boundary: float = -math.inf
+    boundary: float | None = None
 
 
 TIMED = "word string, start double, end double"
 
 
+def beyond(interval: tuple, boundary: float | None, slack: float) -> bool:
+    """Whether an interval reaches past the boundary, and begins about there or has its middle there."""
+    if boundary is None:
+        return True
+    _, start, end = interval
+    reaches, begins, lies = end > boundary + slack, start >= boundary - slack, (start + end) / 2 > boundary
+    return reaches and (begins or lies)
+
+
 def reconcile_step(s: Reconciler, chunk: dict, lookahead: float = 2.0, slack: float = 0.12) -> list[tuple]:
-    """chunk: words (word, start, end), window_start, window_end, final. Gives newly committed words."""
-    kept = [w for w in s.pending if w[2] < chunk["window_start"]]
-    new = [tuple(w) for w in chunk["words"] if w[2] > s.boundary + slack and (w[1] >= s.boundary - slack or (w[1] + w[2]) / 2 > s.boundary)]
-    s.pending = kept + new
-    cutoff = math.inf if chunk["final"] else chunk["window_end"] - lookahead
-    eligible = s.pending if chunk["final"] else s.pending[:-1]
-    n = next((i for i, w in enumerate(eligible) if w[2] > cutoff), len(eligible))
-    out, s.pending = s.pending[:n], s.pending[n:]
-    if out:
-        s.boundary = out[-1][2]
-    return [tuple(w) for w in out]
+    """chunk: words (word, start, end), window_start, window_end, final. Gives newly told words.
+
+    What the window covers replaces what was pending there. Words that end a lookahead before the window does are settled, but for
+    the last one, which may be cut; a final window settles all.
+    """
+    before = [tuple(w) for w in s.pending if w[2] < chunk["window_start"]]
+    waiting = before + [tuple(w) for w in chunk["words"] if beyond(w, s.boundary, slack)]
+    ends = list(accumulate((w[2] for w in waiting), max))
+    settled = len(waiting) if chunk["final"] else min(bisect_right(ends, chunk["window_end"] - lookahead), max(len(waiting) - 1, 0))
+    told, s.pending = waiting[:settled], waiting[settled:]
+    s.boundary = told[-1][2] if told else s.boundary
+    return told
 
 
 @dataclass
@@ -155,45 +171,6 @@ def tracker_step(s: Tracker, chunk: dict, first: float = 0.75, later: float = 0.
     return [("verse_candidate", ref, float(score))]
 
 
-def run_batch(rows: DataFrame, key: str, order: str, state: Callable, step: Callable, out: str, flush: Callable | None = None) -> DataFrame:
-    """Each session's rows in order through step. Sorted partitions are read as they come, so no session has to fit in memory."""
-    names = [c.strip().split()[0] for c in out.split(",")]
-    kind = rows.schema[key].dataType.simpleString()
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        now, s = None, None
-        for pdf in batches:
-            found = []
-            for chunk in pdf.to_dict("records"):
-                if s is None or chunk[key] != now:
-                    found += [(now, *x) for x in flush(s)] if flush and s is not None else []
-                    now, s = chunk[key], state()
-                found += [(now, *x) for x in step(s, chunk)]
-            yield pd.DataFrame(found, columns=[key, *names])
-        if flush and s is not None:
-            yield pd.DataFrame([(now, *x) for x in flush(s)], columns=[key, *names])
-
-    return rows.repartition(key).sortWithinPartitions(key, order).mapInPandas(run, f"{key} {kind}, {out}")
-
-
-def run_stream(rows: DataFrame, key: str, order: str, state: type, step: Callable, out: str) -> DataFrame:
-    """The same over a stream: state is kept per session as JSON-like text; a micro-batch's rows are taken in order."""
-    import json
-
-    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-    names = [c.strip().split()[0] for c in out.split(",")]
-    kind = rows.schema[key].dataType.simpleString()
-
-    def update(k: tuple, pdfs: Iterator[pd.DataFrame], group: GroupState) -> Iterator[pd.DataFrame]:
-        s = state(**json.loads(group.get[0])) if group.exists else state()
-        found = [(k[0], *x) for chunk in pd.concat(list(pdfs)).sort_values(order, kind="stable").to_dict("records") for x in step(s, chunk)]
-        group.update((json.dumps(asdict(s)),))
-        yield pd.DataFrame(found, columns=[key, *names])
-
-    return rows.groupBy(key).applyInPandasWithState(update, f"{key} {kind}, {out}", "state string", "append", GroupStateTimeout.NoTimeout)
-
-
 def levels(events: DataFrame) -> DataFrame:
     """session, n, seconds, rms, peak: events as sound levels, half a second each."""
     level = F.abs(F.col("value")) / 1000

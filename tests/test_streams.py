@@ -1,7 +1,12 @@
 """Folds: expected values, and batch against stream."""
 
+import json
+
 import pytest
+from pyspark.sql import Window
+from pyspark.sql import functions as F
 
+from spanloom.streaming import folds, live
 from spanloom.streaming import segments as S
 from spanloom.streaming import windows as W
 
@@ -41,20 +46,87 @@ def chunks(spark):
     return spark.createDataFrame(rows, "session long, n long, text string")
 
 
-def test_batch_equals_stream(spark, tmp_path):
-    rows = chunks(spark)
-    batch = S.run_batch(rows, "session", "n", S.Stitcher, S.stitch_step, S.STITCHED)
-    rows.repartition(1).write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
-    out = S.run_stream(stream, "session", "n", S.Stitcher, S.stitch_step, S.STITCHED)
-    query = out.writeStream.format("memory").queryName("stitched").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).start()
+@pytest.fixture(scope="module")
+def stateful(spark):
+    name = "spark.sql.streaming.stateStore.providerClass"
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    yield spark
+    spark.conf.unset(name)
+
+
+def level_rows(spark):
+    rows = [(k, n, 0.5, [0.2, 0.001][(n // (4 + k)) % 2], 0.5) for k in range(3) for n in range(40)]
+    return spark.createDataFrame(rows, "session long, n long, seconds double, rms double, peak double")
+
+
+def timed_rows(spark):
+    rows = [(k, n, float(4 * n), 4.0 * n + 5, n == 5, [[f"w{k}{n}{i}", 4.0 * n + i, 4.0 * n + i + 0.8] for i in range(5)]) for k in range(2) for n in range(6)]
+    return spark.createDataFrame([(k, n, a, b, f, json.dumps(w)) for k, n, a, b, f, w in rows], "session long, n long, window_start double, window_end double, final boolean, words string")
+
+
+def tracked_rows(spark):
+    rows = [(k, n, "" if n % 7 > 3 else f"1:{n // 7 + k}", 0.8, 0.2, n % 7 == 0) for k in range(2) for n in range(30)]
+    return spark.createDataFrame(rows, "session long, n long, ref string, score double, margin double, next boolean")
+
+
+C = S.SegmenterConfig()
+FOLDS = {
+    "stitcher": (chunks, S.Stitcher, S.stitch_step, S.STITCHED, None),
+    "segmenter": (level_rows, S.Segmenter, lambda s, x: S.segment_step(s, x, C), S.SEGMENT, lambda s: S.segment_flush(s, C)),
+    "reconciler": (timed_rows, S.Reconciler, lambda s, x: S.reconcile_step(s, x | {"words": json.loads(x["words"])}), S.TIMED, None),
+    "tracker": (tracked_rows, S.Tracker, S.tracker_step, S.TRACKED, None),
+}
+
+
+@pytest.mark.parametrize("name", FOLDS)
+def test_batch_equals_stream(stateful, tmp_path, name):
+    """In two micro-batches; each session's last row closes it, and what is left is flushed."""
+    made, state, step, out, flush = FOLDS[name]
+    rows = made(stateful)
+    last = F.max("n").over(Window.partitionBy("session"))
+    rows = rows.withColumn("ended", F.col("n") == last)
+    batch = folds.run_batch(rows, "session", "n", state, step, out, flush)
+    half = rows.agg(F.max("n")).first()[0] // 2
+    rows.where(F.col("n") <= half).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = stateful.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    found = folds.run_stream(stream, "session", "n", state, step, out, flush, "ended")
+    query = found.writeStream.format("memory").queryName(f"of_{name}").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).start()
     try:
         query.processAllAvailable()
-        assert sorted(spark.table("stitched").collect()) == sorted(batch.collect())
+        rows.where(F.col("n") > half).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        query.processAllAvailable()
+        got, want = sorted(map(str, stateful.table(f"of_{name}").collect())), sorted(map(str, batch.collect()))
+        assert got == want and want
     finally:
         query.stop()
 
 
+def test_live_windows_commit_and_go_on():
+    c, s = live.LiveConfig(), live.Live()
+    say = lambda ref, rms=0.2, read=8: live.live_step(s, {"seconds": 0.5, "rms": rms, "frames": 100, "median": 0.01, "p90": 0.2, "ref": ref, "read": read, "words": 10, "end_frame": 39, "all_frames": 50, "follows": True}, c)
+    out = [x for _ in range(12) for x in say("1:1")]
+    assert [x[2] for x in out[:2]] == [False, True] and [x[3] for x in out].count(True) == 1
+    first = next(x for x in out if x[3])
+    assert first[5] == pytest.approx(min(0.8 * first[4] - 1.0, 0.6 * first[4])) and s.committed == "1:1"
+    assert not any(x[3] for _ in range(6) for x in say("1:2", read=2))
+    assert any(x[3] for _ in range(6) for x in say("1:2"))
+    end = [x for _ in range(3) for x in say("1:2", rms=0.001)]
+    assert end[-1][0] and s.held == 0 and s.leader == ""
+    assert live.advance(20.0, 15.0, -1, 50, c) == 0 and live.advance(20.0, 15.0, 49, 50, c) == pytest.approx(14.0)
+    assert live.kept_tail(9.0, True, False) == 1.0 and live.kept_tail(9.0, True, True) == 0.5 and live.kept_tail(9.0, False, False) == 9.0
+
+
+def test_final_sequence():
+    s = live.Hypotheses()
+    for k in range(100):
+        live.hypothesis_step(s, {"candidates": [(f"1:{k}", 0.9), ("9:9", 0.1)], "commit": ("1:5", 0.5) if k == 5 else None})
+    assert len(s.cycles) == live.CYCLES
+    refs, confidence = live.hypothesis_flush(s)[0]
+    assert refs.split(",") == [f"1:{k}" for k in range(20, 100)] and confidence == 0.9
+    assert live.hypothesis_flush(live.Hypotheses(committed=[["2:3-4", 0.55]])) == [("2:3,2:4", 0.55)]
+    assert live.hypothesis_flush(live.Hypotheses()) == []
+
+
 def test_windows_over_a_stream(spark, tmp_path):
     rows = spark.sql("SELECT timestamp_ntz'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, id, 0, 0) AS ts, id % 2 AS event_type, CAST(id AS double) AS value FROM range(48)")
     rows.write.parquet(str(tmp_path / "in"))
@@ -69,7 +141,7 @@ def test_windows_over_a_stream(spark, tmp_path):
 
 
 def test_a_stream_of_no_rows(spark):
-    assert S.run_batch(chunks(spark).where("false"), "session", "n", S.Stitcher, S.stitch_step, S.STITCHED).count() == 0
+    assert folds.run_batch(chunks(spark).where("false"), "session", "n", S.Stitcher, S.stitch_step, S.STITCHED).count() == 0
 
 
 @pytest.mark.parametrize("text", [None, ""])
