@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -69,10 +71,37 @@ def sliding_windows(lengths: DataFrame, size: float, hop: float, tail: float | N
     return rows.withColumn("start", F.round(start, 6)).withColumn("end", F.round(F.least(start + size, F.col("seconds")), 6))
 
 
+def upper_median(n: Column) -> Column:
+    return F.floor(n / 2)
+
+
+def ninetieth(n: Column) -> Column:
+    return F.floor((n - 1) * 0.9 + 0.5)
+
+
+def ranked_values(rows: DataFrame, key: str, value: str, **places: Callable[[Column], Column]) -> DataFrame:
+    """key and for each place (a number from 0, of the number of values) the value there in ascending order; nulls don't count.
+
+    Values are first counted in classes that follow their order, and only the class that holds a place is put in order, so
+    no key's values meet in one task or array.
+    """
+    known = rows.where(F.col(value).isNotNull()).withColumn("_class", F.floor(F.signum(value) * F.log1p(F.abs(value)) * 512))
+    counts = known.groupBy(key, "_class").agg(F.count("*").alias("_n"))
+    w = Window.partitionBy(key)
+    placed = counts.withColumn("_before", F.coalesce(F.sum("_n").over(w.orderBy("_class").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_all", F.sum("_n").over(w))
+    asked = placed.select(key, "_class", "_n", "_before", F.explode(F.array(*(F.struct(F.lit(n).alias("name"), at(F.col("_all")).cast("long").alias("at")) for n, at in places.items()))).alias("_p"))
+    asked = asked.where((F.col("_p.at") >= F.col("_before")) & (F.col("_p.at") < F.col("_before") + F.col("_n"))).select(key, "_class", F.col("_p.name").alias("_name"), (F.col("_p.at") - F.col("_before")).alias("_at"))
+    same = known.join(asked.select(key, "_class").distinct(), [key, "_class"], "left_semi").groupBy(key, "_class", value).agg(F.count("*").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(key, "_class").orderBy(value))
+    hit = same.withColumn("_to", upto).join(asked, [key, "_class"]).where((F.col("_at") >= F.col("_to") - F.col("_n")) & (F.col("_at") < F.col("_to")))
+    return hit.groupBy(key).agg(*(F.max(F.when(F.col("_name") == n, F.col(value))).alias(n) for n in places))
+
+
 def pauses(energy: DataFrame, key: str, frame: float = 0.02, share: float = 0.4, least: float = 0.35) -> DataFrame:
     """key, first, last, middle: runs of frames (n, rms) that are quiet for least seconds, against a share of the median."""
     order = Window.partitionBy(key).orderBy("n")
-    level = energy.groupBy(key).agg(F.array_sort(F.collect_list("rms")).alias("_e")).select(key, F.greatest(F.lit(1e-5), F.get("_e", F.floor(F.size("_e") / 2).cast("int")) * share).alias("_t"), F.array_max("_e").alias("_m")).where("_m >= 1e-5")
+    most = energy.groupBy(key).agg(F.max("rms").alias("_m")).where("_m >= 1e-5")
+    level = ranked_values(energy, key, "rms", _e=upper_median).join(most, key, "left_semi").select(key, F.greatest(F.lit(1e-5), F.col("_e") * share).alias("_t"))
     quiet = energy.join(level, key).withColumn("_q", F.col("rms") < F.col("_t"))
     runs = quiet.withColumn("_g", F.col("n") - F.row_number().over(Window.partitionBy(key, "_q").orderBy("n"))).where("_q")
     found = runs.groupBy(key, "_g").agg(F.min("n").alias("first"), F.max("n").alias("last")).where((F.col("last") - F.col("first") + 1) * frame >= least - 1e-9)
@@ -88,3 +117,56 @@ def argmax_agreement(left: DataFrame, right: DataFrame, keys: list[str]) -> Data
     """agreement: the share of frames (keys, scores) whose best token is the same in both."""
     best = lambda df, n: df.select(*keys, F.array_position("scores", F.array_max("scores")).alias(n))
     return best(left, "a").join(best(right, "b"), keys).agg(F.round(F.avg((F.col("a") == F.col("b")).cast("double")), 6).alias("agreement"))
+
+
+def preview_stability(previews: DataFrame, key: str, order: str, refs: str) -> DataFrame:
+    """Adds rounds (previews in a row with the same refs, 0 without any) and generation (how often the refs have changed) to a session's previews.
+
+    A preview without refs ends the run, so the same refs after it begin anew.
+    """
+    w = Window.partitionBy(key).orderBy(order)
+    same = F.col(refs).eqNullSafe(F.lag(refs).over(w)) & (F.coalesce(refs, F.lit("")) != "")
+    runs = previews.withColumn("_new", F.when(same, 0).otherwise(1)).withColumn("generation", F.sum("_new").over(w))
+    n = F.row_number().over(Window.partitionBy(key, "generation").orderBy(order))
+    return runs.withColumn("rounds", F.when(F.coalesce(refs, F.lit("")) == "", 0).otherwise(n)).drop("_new")
+
+
+def dropped_previews(previews: DataFrame, key: str, order: str, shown: str) -> DataFrame:
+    """Of rows with generation: the last of each generation that had something shown when the next one came."""
+    w = Window.partitionBy(key).orderBy(order)
+    return previews.withColumn("_next", F.lead("generation").over(w)).where((F.col("_next") != F.col("generation")) & F.col(shown)).drop("_next")
+
+
+def silence_so_far(levels: DataFrame, key: str, order: str, quiet: str, seconds: str) -> DataFrame:
+    """Adds still: the seconds of quiet in a row up to each chunk, 0 at a loud one."""
+    w = Window.partitionBy(key).orderBy(order)
+    runs = levels.withColumn("_run", F.sum(F.when(F.col(quiet), 0).otherwise(1)).over(w))
+    still = F.sum(F.when(F.col(quiet), F.col(seconds)).otherwise(0.0)).over(Window.partitionBy(key, "_run").orderBy(order))
+    return runs.withColumn("still", still).drop("_run")
+
+
+def unseen(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
+    """The first emission of every value of a key; repeated ones are dropped, in a row or not."""
+    return first_of(rows, [key, value], F.col(order))
+
+
+def mean_of_first(rows: DataFrame, key: str, value: str, order: str, score: str) -> DataFrame:
+    """key, n, confidence: how many values a key has and the mean of their scores where each came first, to two decimals."""
+    firsts = unseen(rows, key, value, order)
+    return firsts.groupBy(key).agg(F.count("*").alias("n"), (F.floor(F.avg(score) * 100 + 0.5) / 100).alias("confidence"))
+
+
+def best_variant(rows: DataFrame, key: str, variant: str, score: str) -> DataFrame:
+    """The variant of the highest score; the first of equals."""
+    return first_of(rows, [key], F.desc(score), F.col(variant))
+
+
+def weakest(rows: DataFrame, key: str, sort: str, *ties: str) -> DataFrame:
+    """The row of least sort, which is shown for what was rejected."""
+    return first_of(rows, [key], F.col(sort), *map(F.col, ties))
+
+
+def head_cut(words: Column, groups: Column) -> Column:
+    """struct(words, groups) of one length: more groups than words lose their first ones, more words than groups their last."""
+    n, m = F.size(words), F.size(groups)
+    return F.struct(F.when(m < n, F.slice(words, F.lit(1), m)).otherwise(words).alias("words"), F.when(m > n, F.slice(groups, m - n + 1, n)).otherwise(groups).alias("groups"))

@@ -34,11 +34,14 @@ def surrounding(verses: DataFrame, around: int = 2) -> DataFrame:
 def following(verses: DataFrame) -> DataFrame:
     """chapter, verse, next_chapter, next_verse: the next verse, or the next chapter's first; null after the last.
 
-    Only a row per chapter is put in order across chapters.
+    Chapters are put in order block by block (of a thousand numbers); only the first chapter of every block meets the others' in one place.
     """
-    firsts = verses.groupBy("chapter").agg(F.min("verse").alias("first"))
-    ahead = Window.orderBy("chapter")
-    after = firsts.select("chapter", F.lead("chapter").over(ahead).alias("c"), F.lead("first").over(ahead).alias("v"))
+    firsts = verses.groupBy("chapter").agg(F.min("verse").alias("first")).withColumn("block", F.floor(F.col("chapter") / 1000))
+    here = Window.partitionBy("block").orderBy("chapter")
+    heads = firsts.groupBy("block").agg(F.min(F.struct("chapter", "first")).alias("head"))
+    heads = heads.select("block", F.lead("head").over(Window.orderBy("block")).alias("head"))
+    ahead = F.coalesce(F.lead(F.struct("chapter", "first")).over(here), F.col("head"))
+    after = firsts.join(heads, "block").select("chapter", ahead.alias("n")).select("chapter", F.col("n.chapter").alias("c"), F.col("n.first").alias("v"))
     inside = verses.select("chapter", "verse", F.lead("verse").over(ordered()).alias("n"))
     within = F.col("n").isNotNull()
     return inside.join(after, "chapter").select("chapter", "verse", F.when(within, F.col("chapter")).otherwise(F.col("c")).alias("next_chapter"), F.coalesce("n", "v").alias("next_verse"))

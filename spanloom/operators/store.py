@@ -104,3 +104,38 @@ def touched(cache: DataFrame, hits: DataFrame, at: Column) -> DataFrame:
     """A cache after its entries were read: those hit are used last at a time."""
     seen = hits.select("cache_key").distinct().withColumn("_h", F.lit(True))
     return cache.join(seen, "cache_key", "left").withColumn("last_used_at", F.when(F.col("_h"), at).otherwise(F.col("last_used_at"))).select(cache.columns)
+
+
+def by_id(records: DataFrame, value, key: str = "id") -> DataFrame:
+    return records.where(F.col(key) == value)
+
+
+def pending(jobs: DataFrame, most: int = 20, state: str = "state", at: str = "created_at", key: str = "id") -> DataFrame:
+    """The oldest jobs that are to be done, as many as asked."""
+    return jobs.where(F.col(state).isin("pending", "running")).orderBy(at, key).limit(most)
+
+
+def cleared(records: DataFrame, *children: DataFrame) -> tuple[DataFrame, ...]:
+    """The tables after everything was deleted: numbers begin anew, caches aren't among them."""
+    return tuple(t.where("false") for t in (records, *children))
+
+
+def saved_matches(children: DataFrame, drafts: DataFrame, key: str) -> DataFrame:
+    """A child table after its records were saved again: the saved records' rows are replaced as a whole, even by none (a draft's row with a null ordinal)."""
+    return children.join(drafts.select(key).distinct(), key, "left_anti").unionByName(drafts.where("ordinal is not null"))
+
+
+def retried(jobs: DataFrame, failed: Column, wanted: Column) -> DataFrame:
+    """Failed jobs that are wanted again are pending, with one more attempt; others stay."""
+    return requeued(jobs, failed & wanted)
+
+
+def with_language(records: DataFrame, record: Column, language: str, targets: str = "targets") -> DataFrame:
+    """Records with one more target language, at the end and only once."""
+    added = F.when(F.array_contains(targets, language), F.col(targets)).otherwise(F.array_append(targets, F.lit(language)))
+    return changed(records, record, **{targets: added})
+
+
+def still_current(results: DataFrame, current: DataFrame, keys: list[str], version: str) -> DataFrame:
+    """Results made for the version of a key that is current now; later ones for what came before are dropped."""
+    return results.join(current.select(*keys, version), [*keys, version], "left_semi")

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("relations", "choices", "sequences", "events")
+MODULES = ("relations", "choices", "records", "sequences", "events")
 
 
 def queries() -> dict:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
 from spanloom.sources.tables import read, verses
+from spanloom.streaming import folds, live
 from spanloom.streaming import segments as S
 from spanloom.streaming import windows as W
 
@@ -81,8 +82,10 @@ def baseline_follower(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH v AS (SELECT user_id, list_sort(list(round(abs(value), 6))) AS x FROM events GROUP BY 1)
 SELECT user_id, x[len(x) // 2 + 1] AS median, x[CAST(floor((len(x) - 1) * 0.9 + 0.5) AS BIGINT) + 1] AS p90 FROM v""")
 def frame_median_p90(spark: SparkSession, d: str) -> DataFrame:
-    v = events(spark, d).groupBy("user_id").agg(F.collect_list(F.round(F.abs("value"), 6)).alias("x"))
-    return v.select("user_id", T.order_statistics(F.col("x")).alias("o")).select("user_id", "o.median", "o.p90")
+    from spanloom.operators import choices
+
+    v = events(spark, d).select("user_id", F.round(F.abs("value"), 6).alias("x"))
+    return choices.ranked_values(v, "user_id", "x", median=choices.upper_median, p90=choices.ninetieth)
 
 
 @query("""WITH v AS (SELECT user_id, event_id // 2000 AS part, list_sort(list(round(abs(value), 6))) AS x FROM events GROUP BY 1, 2),
@@ -114,19 +117,19 @@ def bounded_windows(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def segment_utterances(spark: SparkSession, d: str) -> DataFrame:
     c = S.SegmenterConfig()
-    return S.run_batch(S.levels(events(spark, d)), "session", "n", S.Segmenter, lambda s, x: S.segment_step(s, x, c), S.SEGMENT, lambda s: S.segment_flush(s, c))
+    return folds.run_batch(S.levels(events(spark, d)), "session", "n", S.Segmenter, lambda s, x: S.segment_step(s, x, c), S.SEGMENT, lambda s: S.segment_flush(s, c))
 
 
 @query()
 def stitch_stream(spark: SparkSession, d: str) -> DataFrame:
     v = verses(spark, d).select("chapter", F.col("verse").alias("n"), "text")
-    return S.run_batch(v, "chapter", "n", S.Stitcher, S.stitch_step, S.STITCHED).select("chapter", "count", F.md5("added").alias("digest"))
+    return folds.run_batch(v, "chapter", "n", S.Stitcher, S.stitch_step, S.STITCHED).select("chapter", "count", F.md5("added").alias("digest"))
 
 
 @query()
 def timed_reconcile(spark: SparkSession, d: str) -> DataFrame:
     """chapter and committed words: each verse a window of 5 seconds, 4 after the last, its words evenly spread."""
-    w = F.slice(T.words(T.normalize(F.col("text"))), 1, 10)
+    w = T.words(T.normalize(F.col("text")))
     step = F.lit(5.0) / F.greatest(F.size(w), F.lit(1))
     at = F.col("verse") * 4.0
     timed_words = F.transform(w, lambda x, i: F.struct(x.alias("word"), F.round(at + i * step, 6).alias("start"), F.round(at + (i + 1) * step, 6).alias("end")))
@@ -138,7 +141,37 @@ def timed_reconcile(spark: SparkSession, d: str) -> DataFrame:
 
         return S.reconcile_step(s, x | {"words": [(y["word"], y["start"], y["end"]) for y in json.loads(x["words"])]})
 
-    return S.run_batch(rows, "chapter", "n", S.Reconciler, step_of, S.TIMED)
+    return folds.run_batch(rows, "chapter", "n", S.Reconciler, step_of, S.TIMED)
+
+
+@query()
+def live_windows(spark: SparkSession, d: str) -> DataFrame:
+    """session and the windows listened to: events as half seconds of sound with what a recogniser would say of them."""
+    e = events(spark, d)
+    level = F.abs(F.col("value")) / 1000
+    k = F.col("event_id")
+    ref = F.when(k % 13 == 0, "").otherwise(T.ref_key(F.lit(1), F.floor(k / 300)))
+    rows = e.select(F.col("user_id").alias("session"), k.alias("n"), F.lit(0.5).alias("seconds"), F.round(level * F.when(k % 29 < 6, 0.01).otherwise(1.0), 9).alias("rms"), F.lit(100).alias("frames"), F.round(level * 0.3, 9).alias("median"), F.round(level * F.when(k % 5 == 0, 0.5).otherwise(1.0), 9).alias("p90"),
+                    ref.alias("ref"), (k % 9).cast("int").alias("read"), F.lit(10).alias("words"), (k % 40).cast("int").alias("end_frame"), F.lit(50).alias("all_frames"))
+    before = F.lag("ref").over(Window.partitionBy("session").orderBy("n"))
+    c = live.LiveConfig()
+    return folds.run_batch(rows.withColumn("follows", T.is_continuation(before, F.col("ref"))), "session", "n", live.Live, lambda s, x: live.live_step(s, x, c), live.LIVE)
+
+
+@query()
+def final_sequence(spark: SparkSession, d: str) -> DataFrame:
+    """session, refs, confidence: events as cycles of candidates, and what they come to at the end."""
+    k = F.col("event_id")
+    option = lambda j: F.struct(T.ref_key(F.lit(1) + F.when(F.lit(j) == 2, 1).otherwise(0), F.floor(k / 200) + j, F.floor(k / 200) + j + k % 2).alias("ref"), F.round((k * (j + 3) % 97) / 97, 4).alias("score"))
+    rows = events(spark, d).select(F.col("user_id").alias("session"), k.alias("n"), F.to_json(F.array(*(option(j) for j in range(3)))).alias("candidates"), F.when(F.col("event_type") == "purchase", T.ref_key(F.lit(1), F.floor(k / 200))).alias("commit"))
+
+    def step(s, x):
+        import json
+
+        found = [(o["ref"], o["score"]) for o in json.loads(x["candidates"])]
+        return live.hypothesis_step(s, {"candidates": found, "commit": (x["commit"], 0.5) if x["commit"] else None})
+
+    return folds.run_batch(rows, "session", "n", live.Hypotheses, step, live.FINAL, live.hypothesis_flush)
 
 
 @query()
@@ -148,7 +181,7 @@ def flush_tracker(spark: SparkSession, d: str) -> DataFrame:
     e = events(spark, d).select(F.col("user_id").alias("session"), F.col("event_id").alias("n"), ref.alias("ref"), F.round(F.least(F.abs(F.col("value")) / 100, F.lit(1.0)), 6).alias("score"), F.round((F.col("event_id") % 20) / 100, 6).alias("margin"))
     before = F.lag("ref").over(Window.partitionBy("session").orderBy("n"))
     rows = e.withColumn("next", T.is_next(before, F.col("ref")))
-    return S.run_batch(rows, "session", "n", S.Tracker, partial(S.tracker_step), S.TRACKED)
+    return folds.run_batch(rows, "session", "n", S.Tracker, partial(S.tracker_step), S.TRACKED)
 
 
 @query()
@@ -161,7 +194,7 @@ def audio_segments(spark: SparkSession, d: str) -> DataFrame:
     total = e.groupBy("user_id").agg((F.max("n") * 0.2).alias("total"))
     p = choices.pauses(e, "user_id", 0.2, 0.4, 0.4).select("user_id", F.col("first").alias("n"), "middle").join(total, "user_id")
     end = total.select("user_id", F.lit(1 << 40).alias("n"), F.lit(None).cast("double").alias("middle"), "total")
-    return S.run_batch(p.select("user_id", "n", "middle", "total").unionByName(end), "user_id", "n", S.Cutter, S.cut_step, S.CUT)
+    return folds.run_batch(p.select("user_id", "n", "middle", "total").unionByName(end), "user_id", "n", S.Cutter, S.cut_step, S.CUT)
 
 
 @query("""WITH j AS (SELECT event_id, event_id % 11 = 0 AS missing, CASE WHEN event_id % 5 = 0 THEN 'text' END AS curated, CASE WHEN event_id % 7 = 0 THEN 'text' END AS cached, CASE event_type WHEN 'click' THEN 'modelMissing' WHEN 'view' THEN 'network' END AS error FROM events)

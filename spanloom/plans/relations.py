@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
 from spanloom.operators import decode, recall, spans, store
-from spanloom.sources.tables import frames, passages, read, transcripts, verses
+from spanloom.sources.tables import frames, passages, read, spread, transcripts, verses
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -56,7 +56,7 @@ def inverted_index_hits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ranked(spark: SparkSession, d: str, k: int) -> DataFrame:
-    scores = recall.recall_scores(transcripts(spark, d), passages(spark, d))
+    scores = recall.recall_scores(transcripts(spark, d), passages(spark, d), extra=("n", "n_all", "m"))
     return recall.best(scores.withColumn("score", F.round("score", 9)), k)
 
 
@@ -70,9 +70,11 @@ def recall_topk(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def recall_with_edits(spark: SparkSession, d: str) -> DataFrame:
-    t, r = transcripts(spark, d), passages(spark, d)
-    short = t.where(F.char_length("text") <= 2000)
-    return recall.with_edits(recall.best(recall.recall_scores(short, r), 3), short, r).select("text_id", "ref_id", F.round("score", 6).alias("score"))
+    """The three leading verses of every passage, letters counted; only verses that the edit term can still bring there are compared."""
+    t = spread(passages(spark, d).withColumnRenamed("ref_id", "text_id"))
+    r = verses(spark, d).select(F.struct("chapter", "verse").alias("ref_id"), "text")
+    near = recall.within_reach(recall.recall_scores(t, r), 3)
+    return recall.best(recall.with_edits(near, t, r), 3).select("text_id", "ref_id.*", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"""WITH {HITS}, k AS (SELECT text_id, count(*) AS k FROM h GROUP BY 1)
@@ -152,15 +154,13 @@ def hint_bonus(spark: SparkSession, d: str) -> DataFrame:
     return spans.hint_bonus(v, v.select("chapter", "verse"))
 
 
-@query(f"""WITH t AS (SELECT doc_id AS text_id, {normal("substr(text, 1, 400)")} AS s FROM documents WHERE length(text) <= 2000), r AS (SELECT item_id AS ref_id, {normal("text")} AS s FROM benchmark),
+@query(f"""WITH t AS (SELECT doc_id AS text_id, {normal("text")} AS s FROM documents), r AS (SELECT item_id AS ref_id, {normal("text")} AS s FROM benchmark),
 g AS (SELECT DISTINCT text_id, unnest(list_concat(list_transform(range(1, CAST(greatest(length(s), 1) AS BIGINT)), lambda i: substr(s, i, 2)), list_transform(range(1, CAST(greatest(length(s) - 1, 1) AS BIGINT)), lambda i: substr(s, i, 3)))) AS gram FROM t),
 q AS (SELECT DISTINCT ref_id, unnest(list_concat(list_transform(range(1, CAST(greatest(length(s), 1) AS BIGINT)), lambda i: substr(s, i, 2)), list_transform(range(1, CAST(greatest(length(s) - 1, 1) AS BIGINT)), lambda i: substr(s, i, 3)))) AS gram FROM r),
 j AS (SELECT text_id, ref_id, round(sum(CASE WHEN length(gram) = 2 THEN 1.0 ELSE 0.48 END), 6) AS overlap FROM g JOIN q USING (gram) GROUP BY ALL)
 SELECT text_id, ref_id, CAST(overlap AS DOUBLE) AS overlap, CAST(row_number() OVER (PARTITION BY text_id ORDER BY overlap DESC, ref_id) AS INTEGER) AS rank FROM j QUALIFY rank <= 3""")
 def ngram_overlap_topk(spark: SparkSession, d: str) -> DataFrame:
-    # the reference compares windows of a few hundred letters
-    t = transcripts(spark, d).where(F.char_length("text") <= 2000).withColumn("text", F.substring("text", 1, 400))
-    return recall.gram_overlap(t, passages(spark, d), 3)
+    return recall.gram_overlap(transcripts(spark, d), passages(spark, d), 3)
 
 
 FRAMES = "f AS (SELECT vec_id // 20 AS utt_id, CAST(vec_id % 20 AS INTEGER) AS t, CAST(list_position(embedding, list_max(embedding)) - 1 AS INTEGER) AS token FROM embeddings)"
@@ -188,7 +188,7 @@ SORTED = f"{RANKED}, s AS (SELECT text_id, ref_id, hits, n, m, n_all, m_all, rou
 
 
 def sorted_five(spark: SparkSession, d: str) -> DataFrame:
-    return ranked(spark, d, 5).select("text_id", "ref_id", "hits", F.round(1 - F.col("score"), 6).alias("sort"), "rank")
+    return ranked(spark, d, 5).select("text_id", "ref_id", "hits", F.round(1 - F.col("score"), 6).alias("sort"), "rank", "n", "n_all", "m")
 
 
 @query(f"""{SORTED}, l AS (SELECT *, lead(sort) OVER (PARTITION BY text_id ORDER BY rank) AS nx FROM s)
@@ -202,32 +202,27 @@ def runner_up_margin(spark: SparkSession, d: str) -> DataFrame:
 k AS (SELECT *, CASE WHEN feasible THEN 1 - (sort - lo) / greatest(hi - lo, 1e-6) ELSE 0.0 END AS ev FROM e),
 z AS (SELECT text_id, ref_id, round(CASE WHEN weak THEN 0.45 * ev + 0.40 * tx ELSE 0.60 * ev + 0.25 * tx END + 0.15 * prior, 6) AS fusion FROM k) SELECT * FROM z""")
 def fusion_rank(spark: SparkSession, d: str) -> DataFrame:
-    n = recall.sizes(transcripts(spark, d), "text_id")
-    s = sorted_five(spark, d).join(n, "text_id")
-    rows = s.select("text_id", "ref_id", F.col("sort").alias("acoustic"), (F.col("hits") >= 3).alias("feasible"), (1.0 / F.col("rank")).alias("prior"), (F.col("hits") / F.col("distinct_words")).alias("text"), (F.col("distinct_words") <= 18).alias("weak"))
+    rows = sorted_five(spark, d).select("text_id", "ref_id", F.col("sort").alias("acoustic"), (F.col("hits") >= 3).alias("feasible"), (1.0 / F.col("rank")).alias("prior"), (F.col("hits") / F.col("n")).alias("text"), (F.col("n") <= 18).alias("weak"))
     return recall.fusion(rows).select("text_id", "ref_id", F.round("fusion", 6).alias("fusion"))
 
 
 @query(f"""{SORTED}, w AS (SELECT *, row_number() OVER (PARTITION BY text_id ORDER BY abs(m_all - n_all), sort, ref_id) AS near, row_number() OVER (PARTITION BY text_id ORDER BY sort, ref_id) AS c FROM s)
 SELECT text_id, ref_id, CAST(near AS INTEGER) AS near, c = 1 AS champion FROM w WHERE near <= 2 OR c = 1""")
 def shortlist_words(spark: SparkSession, d: str) -> DataFrame:
-    n = recall.sizes(transcripts(spark, d), "text_id").select("text_id", F.col("all_words").alias("text_words"))
     m = recall.sizes(passages(spark, d), "ref_id").select("ref_id", F.col("all_words").alias("ref_words"))
-    return recall.shortlist(sorted_five(spark, d).join(n, "text_id").join(m, "ref_id"), 2).select("text_id", "ref_id", "near", "champion")
+    return recall.shortlist(sorted_five(spark, d).withColumn("text_words", F.col("n_all")).join(m, "ref_id"), 2).select("text_id", "ref_id", "near", "champion")
 
 
-@query(f"""{SORTED}, c AS (SELECT text_id, ref_id, sort, round(CAST(hits AS DOUBLE) / n, 9) AS precision, round(CAST(hits AS DOUBLE) / m, 9) AS coverage, hits AS agreeing FROM s),
-k AS (SELECT *, CASE WHEN precision >= 0.6 AND agreeing >= 2 THEN 0 WHEN coverage >= 0.4 AND precision >= 0.3 AND agreeing >= 2 THEN 1 ELSE 2 END AS kind FROM c),
+@query(f"""{SORTED}, c AS (SELECT text_id, ref_id, sort, round(CAST(hits AS DOUBLE) / n, 9) AS precision, round(CAST(hits AS DOUBLE) / m, 9) AS coverage, hits AS agreeing, 1 - sort AS text_score FROM s),
+k AS (SELECT *, CASE WHEN precision >= 0.6 AND agreeing >= 2 THEN 0 WHEN coverage >= 0.4 AND precision >= 0.3 AND text_score >= 0.35 AND agreeing >= 2 THEN 1 ELSE 2 END AS kind FROM c),
 o AS (SELECT *, row_number() OVER (PARTITION BY text_id ORDER BY kind, CASE kind WHEN 0 THEN -round(precision / 0.05) WHEN 1 THEN -coverage ELSE 0.0 END, sort, ref_id) AS pos,
   (SELECT min(x.sort) FROM c x WHERE x.text_id = k.text_id AND x.ref_id <> k.ref_id) AS other FROM k),
 f AS (SELECT *, CASE WHEN kind < 2 THEN greatest(0.0, least(1.0, 0.7 * precision + 0.3 * CASE WHEN other IS NULL OR abs(sort) * 0.15 <= 1e-9 THEN 1.0 ELSE greatest(0.0, least(1.0, (other - sort) / (abs(sort) * 0.15))) END)) END AS confidence FROM o WHERE pos = 1)
 SELECT text_id, CASE WHEN kind < 2 THEN ref_id END AS ref_id, CASE WHEN kind = 2 THEN 'unmatched' WHEN kind = 0 AND coverage >= 0.5 AND confidence >= 0.35 THEN CASE WHEN coverage >= 1 THEN 'confirmed' ELSE 'partial' END ELSE 'candidate' END AS status,
 CASE WHEN kind = 2 THEN 'unknown' WHEN coverage >= 1 THEN 'completeVerses' ELSE 'partialVerse' END AS scope, round(confidence, 6) AS confidence FROM f""")
 def status_scope_case(spark: SparkSession, d: str) -> DataFrame:
-    n = recall.sizes(transcripts(spark, d), "text_id").select("text_id", F.col("distinct_words").alias("n"))
-    m = recall.sizes(passages(spark, d), "ref_id").select("ref_id", F.col("distinct_words").alias("m"))
-    c = sorted_five(spark, d).join(n, "text_id").join(m, "ref_id")
-    rows = c.select("text_id", "ref_id", "sort", F.round(F.col("hits") / F.col("n"), 9).alias("precision"), F.round(F.col("hits") / F.col("m"), 9).alias("coverage"), F.lit(1.0).alias("text_score"), F.col("hits").alias("agreeing"))
+    c = sorted_five(spark, d)
+    rows = c.select("text_id", "ref_id", "sort", F.round(F.col("hits") / F.col("n"), 9).alias("precision"), F.round(F.col("hits") / F.col("m"), 9).alias("coverage"), (1 - F.col("sort")).alias("text_score"), F.col("hits").alias("agreeing"))
     return recall.arbitrated(rows).select("text_id", "ref_id", "status", "scope", F.round("confidence", 6).alias("confidence"))
 
 
@@ -246,13 +241,16 @@ def penalty_allowed(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""{SORTED}, g AS (SELECT *, lag(ref_id) OVER (PARTITION BY text_id ORDER BY rank) AS before FROM s)
-SELECT count(*) AS rows, count(DISTINCT text_id) AS texts, round(avg(CASE WHEN hits * 2 >= m THEN 1.0 ELSE 0.0 END), 6) AS matched, round(avg(CAST(hits AS DOUBLE) / m), 6) AS mean_coverage, count(*) FILTER (ref_id < before) AS regressions FROM g""")
+SELECT count(*) AS rows, count(DISTINCT text_id) AS texts, round(avg(CASE WHEN hits * 2 >= m THEN 1.0 ELSE 0.0 END), 6) AS matched, round(avg(CAST(hits AS DOUBLE) / m), 6) AS mean_coverage, count(*) FILTER (ref_id < before) AS regressions, round(avg(CASE WHEN m > n THEN 1.0 ELSE 0.0 END), 6) AS inflated,
+round(avg(ref_id % 4 + 1), 6) AS mean_span, (SELECT string_agg(concat(span, ':', k), ',' ORDER BY span) FROM (SELECT ref_id % 4 + 1 AS span, count(*) AS k FROM g GROUP BY 1)) AS spans FROM g""")
 def tuning_report(spark: SparkSession, d: str) -> DataFrame:
-    m = recall.sizes(passages(spark, d), "ref_id").select("ref_id", F.col("distinct_words").alias("m"))
     before = F.lag("ref_id").over(Window.partitionBy("text_id").orderBy("rank"))
-    g = sorted_five(spark, d).join(m, "ref_id").withColumn("before", before)
+    g = sorted_five(spark, d).withColumn("before", before)
     matched = F.avg((F.col("hits") * 2 >= F.col("m")).cast("double"))
-    return g.agg(F.count("*").alias("rows"), F.count_distinct("text_id").alias("texts"), F.round(matched, 6).alias("matched"), F.round(F.avg(F.col("hits") / F.col("m")), 6).alias("mean_coverage"), F.count_if(F.col("ref_id") < F.col("before")).alias("regressions"))
+    span = F.col("ref_id") % 4 + 1
+    spans_seen = g.groupBy(span.alias("span")).agg(F.count("*").alias("k")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("span", "k"))), lambda x: F.concat_ws(":", x["span"].cast("string"), x["k"].cast("string"))), ",").alias("spans"))
+    told = g.agg(F.count("*").alias("rows"), F.count_distinct("text_id").alias("texts"), F.round(matched, 6).alias("matched"), F.round(F.avg(F.col("hits") / F.col("m")), 6).alias("mean_coverage"), F.count_if(F.col("ref_id") < F.col("before")).alias("regressions"), F.round(F.avg((F.col("m") > F.col("n")).cast("double")), 6).alias("inflated"), F.round(F.avg(span), 6).alias("mean_span"))
+    return told.crossJoin(spans_seen)  # a row each
 
 
 @query("""SELECT o.o_orderkey, o.o_custkey, o.o_totalprice, coalesce(c.c_name, '') AS name, CAST(coalesce(l.n, 0) AS INTEGER) AS n, coalesce(l.items, '') AS items

@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
 from spanloom.operators import kernels as K
-from spanloom.operators import spans
+from spanloom.operators import joint, matcher, spans
+from spanloom.operators.deal import dealt
 from spanloom.sources.tables import frames, read, verses
 
 QUERIES: dict = {}
@@ -33,11 +34,6 @@ def adjacent(spark: SparkSession, d: str) -> DataFrame:
     return dealt(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), words(F.col("text")).alias("reference"), words(F.col("next")).alias("hypothesis")), "pair_id")
 
 
-def dealt(df: DataFrame, key: str) -> DataFrame:
-    """Small tables too go to all cores before a kernel: partitions of a set number aren't merged by their size."""
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
-
-
 @query
 def alignment_metrics(spark: SparkSession, d: str) -> DataFrame:
     a = K.alignments(adjacent(spark, d))
@@ -85,7 +81,8 @@ def ctc_score(spark: SparkSession, d: str) -> DataFrame:
             rows = []
             for u, s in zip(pdf["utt_id"], pdf["scores"], strict=True):
                 m = logs(s)
-                rows += [(u, k, K.ctc_score(m, c, BLANK), K.tolerant_score(m, c, BLANK, [7, 10])) for k, c in enumerate(candidates())]
+                every = candidates()
+                rows += [(u, k, *x) for k, x in enumerate(zip(K.ctc_scores(m, every, BLANK), K.tolerant_scores(m, every, BLANK, [7, 10]), strict=True))]
             yield pd.DataFrame(rows, columns=["utt_id", "candidate", "score", "tolerant"])
 
     out = utterances(spark, d).mapInPandas(run, "utt_id long, candidate int, score double, tolerant double")
@@ -161,20 +158,45 @@ def follow_words(spark: SparkSession, d: str) -> DataFrame:
     return adjacent(spark, d).mapInPandas(run, "pair_id long, at int, found int")
 
 
-@query
+def query_sql(sql: str):
+    def keep(f):
+        SQL[f.__name__] = sql
+        return query(f)
+
+    return keep
+
+
+#: Pieces of DuckDB SQL for the similarities of two columns. Its edit distance counts bytes, so the texts are ASCII.
+RATIO = "CASE WHEN {a} = {b} THEN 1.0 WHEN length({a}) = 0 OR length({b}) = 0 THEN 0.0 ELSE 1.0 - levenshtein({a}, {b}) / CAST(greatest(length({a}), length({b})) AS DOUBLE) END"
+SUM_RATIO = "CASE WHEN length({a}) + length({b}) = 0 THEN 1.0 ELSE CAST(length({a}) + length({b}) - levenshtein({a}, {b}) AS DOUBLE) / (length({a}) + length({b})) END"
+WINDOW = "substr(l, CAST(i + 1 AS BIGINT), length(s))"
+
+
+@query_sql(f"""WITH p AS (SELECT p_partkey, p_brand, concat(p_name, ' ', p_type) AS a, lead(concat(p_type, ' ', p_name, ' ', p_brand)) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS b FROM part),
+w AS (SELECT p_partkey, a, b, CASE WHEN length(a) > length(b) THEN b ELSE a END AS s, CASE WHEN length(a) > length(b) THEN a ELSE b END AS l FROM p WHERE b IS NOT NULL),
+f AS (SELECT *, list_max(list_transform(range(0, length(l) - length(s) + 1, greatest(length(s) // 4, 1)), lambda i: {RATIO.format(a="s", b=WINDOW)})) AS fragment,
+  list_max(list_transform(range(0, length(l) - length(s) + 1), lambda i: {SUM_RATIO.format(a="s", b=WINDOW)})) AS partial FROM w)
+SELECT p_partkey, round({RATIO.format(a="a", b="b")}, 6) AS ratio, round({SUM_RATIO.format(a="a", b="b")}, 6) AS sum_ratio, round(fragment, 6) AS fragment, round(partial, 6) AS partial, round(0.55 * ({RATIO.format(a="a", b="b")}) + 0.45 * fragment, 6) AS text FROM f""")
 def fragment_similarity(spark: SparkSession, d: str) -> DataFrame:
-    """pair_id and the similarities of two short stretches: whole, windowed and semi-global, and their common subsequence."""
-    first = lambda c, n: F.array_join(F.slice(c, 1, n), " ")
-    p = adjacent(spark, d).select("pair_id", first("reference", 4).alias("a"), first("hypothesis", 12).alias("b")).where("a <> '' and b <> ''")
+    """p_partkey and the similarities of a part's name with the next one's of its brand: whole, windowed, and both."""
+    after = F.lead(F.concat_ws(" ", "p_type", "p_name", "p_brand")).over(Window.partitionBy("p_brand").orderBy("p_partkey"))
+    p = read(spark, d, "part").select("p_partkey", "p_brand", F.concat_ws(" ", "p_name", "p_type").alias("a"), "p_type", "p_name").withColumn("b", after).where("b is not null")
+    a, b = F.col("a"), F.col("b")
+    return dealt(p, "p_partkey").select("p_partkey", *(F.round(x, 6).alias(n) for n, x in (("ratio", T.ratio(a, b)), ("sum_ratio", T.sum_ratio(a, b)), ("fragment", T.fragment_score(a, b)), ("partial", T.partial_ratio(a, b)), ("text", T.text_score(a, b)))))
+
+
+@query
+def nearest_fragments(spark: SparkSession, d: str) -> DataFrame:
+    """pair_id and two similarities of whole turns with the next: semi-global edits, and the common subsequence."""
+    text = lambda c: F.array_join(c, " ")
+    p = adjacent(spark, d).select("pair_id", text("reference").alias("a"), text("hypothesis").alias("b")).where("a <> '' and b <> ''")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             pairs = list(zip(pdf["a"], pdf["b"], strict=True))
-            yield pd.DataFrame({"pair_id": pdf["pair_id"], "a": pdf["a"], "b": pdf["b"], "nearest": [K.nearest_fragment(a, b) for a, b in pairs], "shared": [K.shared_subsequence(a, b) for a, b in pairs]})
+            yield pd.DataFrame({"pair_id": pdf["pair_id"], "nearest": [K.nearest_fragment(a, b) for a, b in pairs], "shared": [K.shared_subsequence(a, b) for a, b in pairs]})
 
-    out = p.mapInPandas(run, "pair_id long, a string, b string, nearest double, shared double")
-    a, b = F.col("a"), F.col("b")
-    return out.select("pair_id", *(F.round(x, 6).alias(n) for n, x in (("ratio", T.ratio(a, b)), ("sum_ratio", T.sum_ratio(a, b)), ("fragment", T.fragment_score(a, b)), ("partial", T.partial_ratio(a, b)), ("text", T.text_score(a, b)), ("nearest", F.col("nearest")), ("shared", F.col("shared")))))
+    return p.mapInPandas(run, "pair_id long, nearest double, shared double").select("pair_id", F.round("nearest", 6).alias("nearest"), F.round("shared", 6).alias("shared"))
 
 
 @query
@@ -214,11 +236,70 @@ def span_alignment(spark: SparkSession, d: str) -> DataFrame:
     return K.alignments(dealt(pairs, "pair_id")).select("pair_id", "match", "missing", "extra", F.round("f1", 6).alias("f1"))
 
 
+def asked_passages(spark: SparkSession, d: str) -> DataFrame:
+    """text_id, text: the stated set of texts to look for, every passage of the benchmark, over all cores."""
+    return dealt(read(spark, d, "benchmark").select(F.col("item_id").alias("text_id"), "text"), "text_id")
+
+
 @query
 def joint_match(spark: SparkSession, d: str) -> DataFrame:
-    """The first 120 letters of every fifth chapter's first two verses, looked for among all verses and spans."""
-    from spanloom.operators import joint
+    """Every passage, looked for among all verses and the spans of the leading chapters."""
+    found = joint.champion(joint.joint(asked_passages(spark, d), verses(spark, d)))
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query
+def joint_best(spark: SparkSession, d: str) -> DataFrame:
+    """The same with rescues."""
+    return joint.best_joint(asked_passages(spark, d), verses(spark, d)).withColumn("score", F.round("score", 6))
 
+
+@query
+def retrieve_candidates(spark: SparkSession, d: str) -> DataFrame:
+    """The verses and spans for every passage; the one before it hints at the verses that may follow."""
     v = verses(spark, d)
-    asked = spans.spans(v.where("verse < 2"), 2).where("last > first and chapter % 5 = 0").select(F.col("chapter").alias("text_id"), F.substring("text", 1, 120).alias("text"))
-    return joint.champion(joint.joint(asked, v, 3, 20, 3, 3))
+    chapters = v.groupBy("chapter").agg(F.min("verse").alias("verse")).withColumn("text_id", F.col("chapter").cast("long"))
+    hints = asked_passages(spark, d).select("text_id").join(chapters, "text_id").select("text_id", "chapter", "verse")
+    return joint.retrieve(asked_passages(spark, d), v, hints).select("text_id", "kind", "chapter", "first", "last", F.round("bonus", 6).alias("bonus"), F.round("score", 6).alias("score"), "rank")
+
+
+@query
+def retrieved_best(spark: SparkSession, d: str) -> DataFrame:
+    return joint.best_retrieved(joint.retrieve(asked_passages(spark, d), verses(spark, d), longest=3, singles=5, chapters=20, wide=64)).select("text_id", "kind", "chapter", "first", "last", F.round("score", 6).alias("score"))
+
+
+@query
+def search_verses(spark: SparkSession, d: str) -> DataFrame:
+    """The five verses most similar to each passage, of all verses."""
+    return joint.search(asked_passages(spark, d), verses(spark, d)).withColumn("score", F.round("score", 6))
+
+
+def token_of(word):
+    return F.pmod(F.crc32(word.cast("binary")), F.lit(BLANK)).cast("int")
+
+
+def heard_corpus(spark: SparkSession, d: str) -> DataFrame:
+    """chapter, verse, text: all verses, and every passage as a chapter of its own."""
+    own = read(spark, d, "benchmark").select((F.col("item_id") + 1_000_000).cast("int").alias("chapter"), F.lit(1).alias("verse"), "text")
+    return verses(spark, d).unionByName(own)
+
+
+def fragments(spark: SparkSession, d: str) -> DataFrame:
+    """utt_id, text, scores: every passage as it would be heard, of every third one without its last three words; frames that name a token a word, between blanks."""
+    v = asked_passages(spark, d).select(F.col("text_id").alias("utt_id"), T.words(T.normalize(F.col("text"))).alias("w"))
+    cut = (F.col("utt_id") % 3 == 2) & (F.size("w") > 6)
+    said = v.withColumn("w", F.when(cut, F.slice("w", F.lit(1), F.greatest(F.size("w") - 3, F.lit(0)))).otherwise(F.col("w")))
+    frame = lambda token: F.transform(F.sequence(F.lit(0), F.lit(BLANK)), lambda k: F.when(k == token, F.lit(-0.01)).otherwise(F.lit(-14.0)).cast("float"))
+    blanks = F.array_repeat(frame(F.lit(BLANK)), 8)
+    scores = F.concat(F.array(frame(F.lit(BLANK))), F.flatten(F.transform("w", lambda x: F.array(frame(token_of(x)), frame(F.lit(BLANK))))), blanks)
+    return said.select("utt_id", F.array_join("w", " ").alias("text"), scores.alias("scores"))
+
+
+@query
+def match_fragments(spark: SparkSession, d: str) -> DataFrame:
+    """The outcome for every passage: status, scope, verses and measures, from words, frames and alignment together."""
+    v = heard_corpus(spark, d)
+    tokens = spans.spans(v.withColumn("text", T.normalize(F.col("text"))), 8).select("chapter", "first", "last", F.transform(T.words(F.col("text")), token_of).alias("tokens"))
+    out = matcher.match(fragments(spark, d), v, tokens, BLANK, ["The", "and"], [])
+    matched = F.array_join(F.transform("matches", lambda m: F.concat_ws(":", m["chapter"].cast("string"), m["verse"].cast("string"), F.coalesce(m["word_start"].cast("string"), F.lit("")), F.coalesce(m["word_end"].cast("string"), F.lit("")))), ",")
+    return out.select("utt_id", "status", "scope", "ref", matched.alias("matches"), *(F.round(c, 6).alias(c) for c in ("precision", "coverage", "f1", "confidence")), "reason")
