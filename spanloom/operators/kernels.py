@@ -239,6 +239,44 @@ def words_read(logs: np.ndarray, words: list[list[int]], blank: int, tolerance:
     return 0 if best is None else best + 1
 
 
+def progress(logs: np.ndarray, words: list[list[int]], blank: int) -> tuple[int, int]:
+    """Words read so far and the last frame of the last of them: those whose first token starts by the last frame that isn't blank.
+
+    Without a way through all tokens the number comes from prefix scores, and the frame is -1; so is it if all frames are blank.
+    """
+    flat = [t for w in words for t in w]
+    if not flat:
+        return 0, -1
+    spans = ctc_align(logs, flat, blank)
+    if spans is None:
+        return words_read(logs, words, blank), -1
+    content = np.flatnonzero(logs.argmax(axis=1) != blank)
+    if not len(content):
+        return 0, -1
+    firsts = np.cumsum([0, *map(len, words)])
+    read = int(np.searchsorted([spans[i][0] for i in firsts[:-1]], content[-1], side="right"))
+    return read, spans[firsts[read] - 1][1] if read else -1
+
+
+def heard_up_to(text: str, words: list[str], least: float = 0.55) -> int:
+    """The place of the word in which a shorter text's best stretch of a verse ends, spaces apart; -1 if none is alike enough.
+
+    Stretches a fifth of the text apart are compared, then all near the best one; the first of equals counts.
+    """
+    said, whole = text.replace(" ", ""), "".join(words)
+    n = len(said)
+    if n < 3 or n >= len(whole):
+        return -1
+    alike = lambda i: (2 * n - edit_distance(said, whole[i : i + n])) / (2 * n)
+    step, last = max(1, n // 5), len(whole) - n
+    coarse = max(range(0, last + 1, step), key=lambda i: (alike(i), -i))
+    near = range(max(0, coarse - step), min(last, coarse + step) + 1)
+    fine = max(near, key=lambda i: (alike(i), i == coarse, -i))
+    if alike(fine) < least:
+        return -1
+    return min(int(np.searchsorted(np.cumsum([len(w) for w in words]), fine + n)), len(words) - 1)
+
+
 def fewest_tokens(piece: str, vocabulary: set[str]) -> list[str] | None:
     """The split into known tokens of fewest parts, then of the largest sum of squared lengths; None if there is none."""
     longest = max(map(len, vocabulary), default=0)

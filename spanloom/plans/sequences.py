@@ -117,6 +117,30 @@ def words_read(spark: SparkSession, d: str) -> DataFrame:
     return utterances(spark, d).mapInPandas(run, "utt_id long, words int")
 
 
+@query
+def word_progress(spark: SparkSession, d: str) -> DataFrame:
+    """utt_id, words, frame: how far into a fixed sequence of words an utterance has come, by its best path."""
+    words = [[5], [9, 12], [20], [33, 4, 18]]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [K.progress(logs(s), words, BLANK) for s in pdf["scores"]]
+            yield pd.DataFrame({"utt_id": pdf["utt_id"], "words": [f[0] for f in found], "frame": [f[1] for f in found]})
+
+    return utterances(spark, d).mapInPandas(run, "utt_id long, words int, frame int")
+
+
+@query
+def letter_progress(spark: SparkSession, d: str) -> DataFrame:
+    """pair_id, word: in which word of a turn its own first half, and a word of the next turn, are last heard."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [K.heard_up_to("".join(list(a)[: len(a) // 2]) + "".join(list(b)[:1]), list(a)) for a, b in zip(pdf["reference"], pdf["hypothesis"], strict=True)]
+            yield pd.DataFrame({"pair_id": pdf["pair_id"], "word": rows})
+
+    return adjacent(spark, d).mapInPandas(run, "pair_id long, word int")
+
+
 @query
 def tokenizer_min_token(spark: SparkSession, d: str) -> DataFrame:
     """word, tokens, greedy, round_trip: distinct words split into the fewest pieces of a fixed vocabulary."""

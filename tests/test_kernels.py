@@ -139,3 +139,15 @@ def test_best_path_keeps_the_last_cycles(spark, monkeypatch):
     monkeypatch.setattr(sequences, "read", lambda *_: turns)
     path = sequences.best_path(spark, "").collect()[0]["path"].split(",")
     assert len(path) == 80 and 20 <= int(path[0].split(":")[1]) <= 24 and int(path[-1].split(":")[1]) >= 99
+
+
+def test_progress_by_frames_and_letters():
+    logs = evidence([1, 2, 3, 4], 5, 6)
+    assert K.progress(logs, [[1], [2, 3], [4]], 5) == (3, 7)
+    assert K.progress(evidence([1, 2], 5, 6), [[1], [2]], 5) == (2, 3)
+    assert K.progress(logs, [], 5) == (0, -1) and K.progress(evidence([], 5, 6), [[1]], 5)[1] == -1
+    more = np.concatenate([evidence([1, 2], 5, 6), evidence([], 5, 6), evidence([], 5, 6), evidence([], 5, 6), evidence([], 5, 6)])
+    assert K.progress(more, [[1], [2], [3]], 5)[0] in (2, 3)
+    words = "alpha beta gamma delta epsilon".split()
+    assert K.heard_up_to("alpha beta", words) == 1 and K.heard_up_to("beta gamma", words) == 2 and K.heard_up_to("delta", words) == 3
+    assert K.heard_up_to("zz", words) == -1 and K.heard_up_to("zzzzzzz", words) == -1 and K.heard_up_to(" ".join(words), words) == -1
