@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from spanloom.functions.text import file_range
+
 VERSE = "surah int, ayah int, text_uthmani string, text_clean string, surah_name string, surah_name_en string"
 RATE = 16_000
 
@@ -146,3 +148,64 @@ def capped(chunks: DataFrame, most_bytes: int) -> DataFrame:
     """Chunks (session, n, content) up to the first that would pass the cap of its session: the sink stops, it doesn't cut."""
     total = F.sum(F.octet_length("content")).over(Window.partitionBy("session").orderBy("n"))
     return chunks.withColumn("total", total).where(F.col("total") <= most_bytes).drop("total")
+
+
+EDITION = "languageId string, displayName string, editionId string, publisher string, version string, source string, license string, licenseUrl string, file string"
+
+
+def translations(spark: SparkSession, path: str) -> DataFrame:
+    """The editions that a catalog lists, one a language (the last of equals), with the verses they should have (0 if that isn't a number)."""
+    schema = f"verseCount string, editions array<struct<{', '.join(c.replace(' ', ':') for c in EDITION.split(', '))}>>"
+    rows = spark.read.schema(schema).option("multiLine", True).json(path).select(F.expr("coalesce(try_cast(verseCount AS int), 0)").alias("verses"), F.posexplode("editions").alias("position", "e"))
+    last = Window.partitionBy("languageId").orderBy(F.desc("position"))
+    return rows.select("e.*", "verses", "position").withColumn("_n", F.row_number().over(last)).where("_n = 1").drop("_n", "position")
+
+
+def translated_verses(spark: SparkSession, folder: str) -> DataFrame:
+    """language, chapter, verse, text of the files of a folder, each named after its language; a filter on language reads that file alone."""
+    pairs = whole(spark, folder).select(F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1).alias("language"), F.explode(F.from_json("value", "verses map<string,string>")["verses"]).alias("k", "text"))
+    part = lambda i: F.expr(f"try_cast(split_part(k, ':', {i}) AS int)")
+    return pairs.select("language", part(1).alias("chapter"), part(2).alias("verse"), "text").where("verse is not null")
+
+
+def store_translations(verses: DataFrame, path: str) -> None:
+    """The same as a table with a folder for each language, which a filter on language prunes to."""
+    verses.write.partitionBy("language").parquet(path)
+
+
+def available_keys(verses: DataFrame, language: str) -> DataFrame:
+    """chapter, verse: what a language's edition has."""
+    return verses.where(F.col("language") == language).select("chapter", "verse").distinct()
+
+
+def write_corpus(chapters: DataFrame, verses: DataFrame, path: str, version: str) -> None:
+    """A folder of the verses and chapters as JSON, a record a line, and a manifest with their counts and every file's bytes and SHA-256."""
+    spark = verses.sparkSession
+    for name, table in (("verses", verses), ("chapters", chapters)):
+        table.write.json(f"{path}/{name}")
+    files = digests(spark, f"{path}/verses").unionByName(digests(spark, f"{path}/chapters")).where("not startswith(element_at(split(path, '/'), -1), '_')")
+    listed = files.agg(F.array_sort(F.collect_list(F.struct(F.element_at(F.split("path", "/"), -1).alias("file"), "bytes", "sha256"))).alias("files"))
+    counts = verses.agg(F.count("*").cast("string").alias("verseCount")).crossJoin(chapters.agg(F.count("*").cast("string").alias("surahCount")))  # a row each
+    listed.crossJoin(counts).withColumn("corpusVersion", F.lit(version)).write.json(f"{path}/manifest")
+
+
+CLIP = "file string, surah int, ayahStart int, ayahEnd int, includesBismillah boolean"
+
+
+def clips(spark: SparkSession, manifest: str, folder: str | None = None) -> DataFrame:
+    """item, chapter, first, last, opening, reference of the built-in clips, then of a folder's sound files.
+
+    Entries of the manifest without a file or range are skipped. A sound file has its text beside it (reference is that file), or its range in
+    its name; one with neither is skipped.
+    """
+    listed = spark.read.schema(CLIP).option("multiLine", True).option("mode", "DROPMALFORMED").json(manifest).where("file is not null and surah is not null and ayahStart is not null and ayahEnd is not null")
+    known = listed.select(F.col("file").alias("item"), F.col("surah").alias("chapter"), F.col("ayahStart").alias("first"), F.col("ayahEnd").alias("last"), F.coalesce("includesBismillah", F.lit(True)).alias("opening"), F.lit(None).cast("string").alias("reference"))
+    if folder is None:
+        return known
+    files = spark.read.format("binaryFile").load(folder).select("path", F.regexp_replace("path", r"\.[^./]*$", "").alias("stem"), F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1)).alias("kind"))
+    texts = whole(spark, f"{folder}/*.txt").select(F.regexp_replace(F.col("_metadata.file_path"), r"\.[^./]*$", "").alias("stem"), F.col("value")).where("trim(value) <> ''") if files.where("kind = 'txt'").limit(1).count() else files.where("false").select("stem", F.lit("").alias("value"))
+    plain = lambda c: F.regexp_replace(c, r"^file:/+", "/")
+    found = files.where("kind = 'wav'").withColumn("stem", plain(F.col("stem"))).join(texts.select(plain(F.col("stem")).alias("stem"), F.lit(True).alias("told")), "stem", "left")
+    found = found.withColumn("r", file_range(F.element_at(F.split("path", "/"), -1))).where("told or r is not null")
+    mine = found.select(plain(F.col("path")).alias("item"), F.when(F.col("told").isNull(), F.col("r.chapter")).alias("chapter"), F.when(F.col("told").isNull(), F.col("r.first")).alias("first"), F.when(F.col("told").isNull(), F.col("r.last")).alias("last"), F.lit(True).alias("opening"), F.when(F.col("told"), F.concat("stem", F.lit(".txt"))).alias("reference"))
+    return known.unionByName(mine)

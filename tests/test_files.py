@@ -1,5 +1,6 @@
 """Sources and sinks over small files."""
 
+import hashlib
 import json
 import struct
 
@@ -86,3 +87,41 @@ def test_reference_text_and_traces(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "log")).count() == 10
     chunks = spark.createDataFrame([("s", k, b"abcd") for k in range(5)], "session string, n int, content binary")
     assert [r["n"] for r in files.capped(chunks, 10).orderBy("n").collect()] == [0, 1]
+
+
+def test_translations(spark, tmp_path):
+    editions = [{"languageId": "fr", "displayName": "French", "editionId": k, "file": "fr.json"} for k in ("a", "b")] + [{"languageId": "en", "displayName": "English", "editionId": "c", "file": "en.json"}]
+    (tmp_path / "index.json").write_text(json.dumps({"verseCount": "3", "editions": editions}))
+    (tmp_path / "t").mkdir()
+    (tmp_path / "t" / "fr.json").write_text(json.dumps({"verses": {"1:1": "un", "1:2": "deux", "bad": "x"}}))
+    (tmp_path / "t" / "en.json").write_text(json.dumps({"verses": {"1:1": "one"}}))
+    assert {r["languageId"]: (r["editionId"], r["verses"]) for r in files.translations(spark, str(tmp_path / "index.json")).collect()} == {"fr": ("b", 3), "en": ("c", 3)}
+    verses = files.translated_verses(spark, str(tmp_path / "t"))
+    assert {tuple(r) for r in verses.collect()} == {("fr", 1, 1, "un"), ("fr", 1, 2, "deux"), ("en", 1, 1, "one")}
+    files.store_translations(verses, str(tmp_path / "table"))
+    kept = spark.read.parquet(str(tmp_path / "table"))
+    assert {tuple(r) for r in files.available_keys(kept, "fr").collect()} == {(1, 1), (1, 2)}
+    assert "PartitionFilters: [isnotnull(language" in kept.where("language = 'fr'")._jdf.queryExecution().toString()
+
+
+def test_corpus_and_manifest(spark, tmp_path):
+    chapters = spark.createDataFrame([(1, "one"), (2, "two")], "chapter int, name string")
+    verses = spark.createDataFrame([(1, 1, "a"), (2, 1, "b"), (2, 2, "c")], "chapter int, verse int, text string")
+    files.write_corpus(chapters, verses, str(tmp_path / "c"), "v1")
+    m = spark.read.json(str(tmp_path / "c" / "manifest")).first()
+    assert (m["verseCount"], m["surahCount"], m["corpusVersion"]) == ("3", "2", "v1")
+    for f in m["files"]:
+        data = next((tmp_path / "c").glob(f"*/{f['file']}")).read_bytes()
+        assert (len(data), hashlib.sha256(data).hexdigest()) == (f["bytes"], f["sha256"])
+    assert spark.read.json(str(tmp_path / "c" / "verses")).count() == 3
+
+
+def test_clips(spark, tmp_path):
+    (tmp_path / "m.json").write_text(json.dumps([{"file": "a.wav", "surah": 1, "ayahStart": 1, "ayahEnd": 2}, {"file": "b.wav"}, {"file": "c.wav", "surah": 2, "ayahStart": 1, "ayahEnd": 1, "includesBismillah": False}]))
+    (tmp_path / "d").mkdir()
+    for name, text in (("corpus_003_001_004.wav", "x"), ("told.wav", "x"), ("told.txt", "some words"), ("odd.wav", "x"), ("blank.WAV", "x"), ("blank.txt", " ")):
+        (tmp_path / "d" / name).write_text(text)
+    out = {r["item"].split("/")[-1]: r for r in files.clips(spark, str(tmp_path / "m.json"), str(tmp_path / "d")).collect()}
+    assert set(out) == {"a.wav", "c.wav", "corpus_003_001_004.wav", "told.wav"}
+    assert out["a.wav"]["opening"] and not out["c.wav"]["opening"] and out["corpus_003_001_004.wav"]["last"] == 4
+    assert out["told.wav"]["reference"].endswith("told.txt") and out["told.wav"]["chapter"] is None
