@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
 from spanloom.operators import kernels as K
-from spanloom.operators import joint, matcher, spans
+from spanloom.operators import joint, matcher, spans, tokens
 from spanloom.operators.deal import dealt
 from spanloom.sources.tables import frames, read, verses
 
@@ -156,6 +156,17 @@ def tokenizer_min_token(spark: SparkSession, d: str) -> DataFrame:
     return distinct.mapInPandas(run, "word string, tokens int, greedy int, round_trip boolean")
 
 
+@query
+def token_table(spark: SparkSession, d: str) -> DataFrame:
+    """chapter, first, last, n, digest: spans of up to four verses in tokens of single letters and pairs of them."""
+    letters = [chr(c) for c in range(ord("a"), ord("z") + 1)]
+    pieces = ["<unk>", "\u2581", *letters, *("\u2581" + x for x in letters), *(x + y for x in "aeioust" for y in "nrstld")]
+    vocabulary = spark.createDataFrame(list(enumerate(pieces)), "token_id int, token_text string")
+    v = verses(spark, d).withColumn("text", F.lower("text"))
+    found = tokens.token_table(tokens.encoded(v, vocabulary), 4)
+    return found.select("chapter", "first", "last", F.size("tokens").alias("n"), F.md5(F.array_join("tokens", ",")).alias("digest"))
+
+
 @query
 def stitch_overlap(spark: SparkSession, d: str) -> DataFrame:
     """conv_id, words, digest: sliding windows of 12 words of a conversation, 5 on, put together again."""
