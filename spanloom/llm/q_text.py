@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from spanloom.llm import bpe, decontaminate, langid, quality, secrets, simhash, suffixes
+from spanloom.llm import bpe, crosstokens, decontaminate, langid, quality, secrets, simhash, suffixes
 from spanloom.llm.common import table
 
 
@@ -36,5 +36,9 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_suffix_array, op3_bpe, op4_decontamination, op5_quality, op8_simhash, op9_language, op10_secrets)}
+def op12_cross_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crosstokens.report(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_suffix_array, op3_bpe, op4_decontamination, op5_quality, op8_simhash, op9_language, op10_secrets, op12_cross_tokens)}
 SQL: dict[str, str] = {}
