@@ -1,10 +1,45 @@
-"""Dealing rows out before costly work."""
+"""Dealing rows out before costly work, and cutting lineage where a result is used more than once."""
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 
 def dealt(df: DataFrame, *keys: str) -> DataFrame:
     """Small tables too go to all cores before a kernel or letter-by-letter comparison: partitions of a set number aren't merged by their size."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """df as written to the checkpoint folder: spark.checkpoint.dir, or a new one for a local session without it."""
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            where = f"file://{tempfile.mkdtemp(prefix='spanloom-')}"
+        spark.sparkContext.setCheckpointDir(where)
+    return df.checkpoint()
+
+
+def in_blocks(df: DataFrame, name: str, parts: int, *keys: str) -> DataFrame:
+    """One column, name: the rows as so many arrays, dealt by the hash of keys."""
+    block = F.pmod(F.xxhash64(*keys), F.lit(parts))
+    return df.groupBy(block.alias("_block")).agg(F.collect_list(F.struct(*df.columns)).alias(name)).select(name)
+
+
+def tiles(asked: DataFrame, known: DataFrame, size: tuple[int, int], keys: tuple[str, ...], together: int = 4) -> DataFrame | None:
+    """asked, known: blocks of about size rows each, every block of a stated query set with every block of rows, a few to a partition; None without any.
+
+    No row meets another outside of a tile, so what is dealt out grows with the number of tiles, and a task holds one at a time.
+    """
+    n, m = -(-asked.count() // size[0]), -(-known.count() // size[1])
+    if not n or not m:
+        return None
+    pairs = in_blocks(asked, "asked", n, "text_id").crossJoin(in_blocks(known, "known", m, *keys))
+    return pairs.repartition(max(int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n * m // together)))

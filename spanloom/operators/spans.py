@@ -24,6 +24,15 @@ def spans(verses: DataFrame, longest: int) -> DataFrame:
     return taken.where(last == F.col("first") + F.col("n") - 1).select("chapter", "first", last.alias("last"), text.alias("text"))
 
 
+def runs(verses: DataFrame, longest: int) -> DataFrame:
+    """chapter, first, lasts, texts: from every verse on, the verses without a gap, up to longest; all spans that begin there are beginnings of it."""
+    reach = ordered().rowsBetween(0, longest - 1)
+    ahead = verses.select("chapter", F.col("verse").alias("first"), F.collect_list(F.struct("verse", "text")).over(reach).alias("ahead"))
+    # verses ascend, so whatever follows a gap stands too far on
+    taken = F.filter("ahead", lambda v, i: v["verse"] == F.col("first") + i)
+    return ahead.select("chapter", "first", F.transform(taken, lambda v: v["verse"]).alias("lasts"), F.transform(taken, lambda v: v["text"]).alias("texts"))
+
+
 def surrounding(verses: DataFrame, around: int = 2) -> DataFrame:
     """chapter, verse, near, is_current: the verses within around of each, where they exist."""
     near = verses.select("chapter", F.col("verse").alias("near"))

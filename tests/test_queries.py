@@ -40,8 +40,7 @@ def test_sql(spark, duck, name):
     assert rows(df.columns, df.collect()) == rows(columns, found.fetchall())
 
 
-# those left out compare letters of many pairs; their operators have tests of their own over small tables
-@pytest.mark.parametrize("name", sorted(set(plans.queries()) - set(plans.oracle_sql()) - {"span_alignment", "recall_with_edits", "joint_best", "retrieved_best", "retrieve_candidates", "joint_match", "match_fragments"}))
+@pytest.mark.parametrize("name", sorted(set(plans.queries()) - set(plans.oracle_sql())))
 def test_rows(spark, name):
     assert plans.queries()[name](spark, D).count() > 0
 
