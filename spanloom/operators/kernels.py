@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
@@ -24,25 +24,38 @@ def normal(text: str) -> str:
     return " ".join("".join(map(form, text)).translate(_DROP).split())
 
 
-def edit_distance(a, b) -> int:
-    """Short ones cell by cell; else rows are vectors, and insertions along a row a running minimum."""
-    if len(a) * len(b) < 400:
-        row = list(range(len(b) + 1))
-        for i, c in enumerate(a, 1):
-            diagonal, row[0] = row[0], i
-            for j, d in enumerate(b, 1):
-                diagonal, row[j] = row[j], min(diagonal + (c != d), row[j] + 1, row[j - 1] + 1)
-        return row[-1]
-    codes: dict = {}
-    x, y = (np.array([codes.setdefault(c, len(codes)) for c in s], np.int64) for s in (a, b))
-    offset = np.arange(len(y) + 1)
-    row = offset.copy()
-    for i, c in enumerate(x, 1):
-        new = np.empty_like(row)
-        new[0] = i
-        np.minimum(row[:-1] + (y != c), row[1:] + 1, out=new[1:])
-        row = np.minimum.accumulate(new - offset) + offset
-    return int(row[-1])
+def edits_along(query: Sequence, target: Sequence, free: bool = False) -> list[int]:
+    """Edits between the query and each beginning of the target, from the empty one on; if free, between it and the best stretch that ends there.
+
+    A column of the dynamic programme is two whole numbers, whose bits tell where it rises and falls.
+    """
+    if not query:
+        return [0] * (len(target) + 1) if free else list(range(len(target) + 1))
+    places: dict = {}
+    for i, c in enumerate(query):
+        places[c] = places.get(c, 0) | 1 << i
+    n, carry = len(query), 0 if free else 1
+    every, top = (1 << n) - 1, 1 << n - 1
+    rises, falls, score = every, 0, n
+    out = [n]
+    for c in target:
+        same = places.get(c, 0)
+        either = same | falls
+        level = (((same & rises) + rises) ^ rises) | same
+        up, down = falls | every & ~(level | rises), rises & level
+        if up & top:
+            score += 1
+        elif down & top:
+            score -= 1
+        out.append(score)
+        up = up << 1 | carry
+        rises = (down << 1 | ~(either | up)) & every
+        falls = up & either & every
+    return out
+
+
+def edit_distance(a: Sequence, b: Sequence) -> int:
+    return edits_along(a, b)[-1] if len(a) < len(b) else edits_along(b, a)[-1]
 
 
 @lru_cache(maxsize=1 << 18)
@@ -308,16 +321,7 @@ def longest_tokens(piece: str, vocabulary: set[str], unknown: str = "<unk>") ->
 
 def nearest_fragment(query: str, target: str) -> float:
     """1 less the edits of the query against its best stretch of the target, over its length."""
-    if not query:
-        return 1.0
-    y = np.array([ord(c) for c in target])
-    offset, row = np.arange(len(y) + 1), np.zeros(len(y) + 1, np.int64)
-    for i, c in enumerate(map(ord, query), 1):
-        new = np.empty_like(row)
-        new[0] = i
-        np.minimum(row[:-1] + (y != c), row[1:] + 1, out=new[1:])
-        row = np.minimum.accumulate(new - offset) + offset
-    return max(0.0, 1.0 - float(row.min()) / len(query))
+    return max(0.0, 1.0 - min(edits_along(query, target, free=True)) / len(query)) if query else 1.0
 
 
 def shared_subsequence(a: str, b: str) -> float:

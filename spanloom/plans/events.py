@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
 from spanloom.sources.tables import read, verses
-from spanloom.streaming import folds, live
+from spanloom.streaming import folds, live, tracking
 from spanloom.streaming import segments as S
 from spanloom.streaming import windows as W
 
@@ -184,6 +184,23 @@ def flush_tracker(spark: SparkSession, d: str) -> DataFrame:
     return folds.run_batch(rows, "session", "n", S.Tracker, partial(S.tracker_step), S.TRACKED)
 
 
+@query()
+def track_recitals(spark: SparkSession, d: str) -> DataFrame:
+    """session and what is told, provisionally or for good, of conversations read aloud: four words a chunk, every thirteenth misheard, a silence after every third turn."""
+    token = lambda w: (F.pmod(F.crc32(w.cast("binary")), F.lit(15)) + 1).cast("int")
+    known = verses(spark, d).select("chapter", "verse", T.normalize(F.col("text")).alias("text"))
+    known = known.withColumn("tokens", F.transform(T.words(F.col("text")), token))
+    said = known.select(F.col("chapter").alias("session"), "verse", F.posexplode(T.words(F.col("text"))).alias("at", "w"))
+    said = said.withColumn("w", F.when((F.col("verse") * 31 + F.col("at")) % 13 == 12, F.lit("hm")).otherwise(F.col("w")))
+    parts = said.groupBy("session", "verse", F.floor(F.col("at") / 4).alias("part")).agg(F.array_sort(F.collect_list(F.struct("at", "w"))).alias("x"))
+    spoken = parts.select("session", (F.col("verse") * 100_000 + F.col("part")).alias("n"), F.lit(1.6).alias("seconds"), F.lit(0.2).alias("rms"), F.transform("x", lambda x: x["w"]).alias("words"))
+    still = known.where("verse % 3 = 2").select(F.col("chapter").alias("session"), (F.col("verse") * 100_000 + 99_999).alias("n"), F.lit(1.5).alias("seconds"), F.lit(0.0).alias("rms"), F.array().cast("array<string>").alias("words"))
+    rows = tracking.with_near(spoken.unionByName(still), known)
+    frame = lambda k: F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.when(i == k, F.lit(-0.05)).otherwise(F.lit(-6.0)).cast("float"))
+    rows = rows.withColumn("frames", F.flatten(F.transform("words", lambda w: F.array(frame(F.lit(0)), frame(token(w))))))
+    return tracking.track(rows)
+
+
 @query()
 def audio_segments(spark: SparkSession, d: str) -> DataFrame:
     """user_id, start, end: each user's events as frames of 0.2 seconds, cut at pauses."""
