@@ -15,9 +15,11 @@ agree to ``LEAST`` or more (Jaccard). One fingerprint can't show that: at 0.8 tw
 ten bits. So a text has ``VIEWS`` fingerprints, each of the two shingles of least hash in one of as many parts of
 all shingles; at a similarity of 0.8 a view is the same in two texts of three, and fewer than two views are in one pair
 of 230. Views within one bit are found by Golay keys as above. Texts that share two views are compared by their exact
-shingle sets, and linked if they agree: all of a group with each other if they are ``FEW``, else, where the group has
-the next view in common too, each with the same one of them. So comparisons grow with the texts, not with the square of
-a group. Equal shingle sets are one node.
+shingle sets, and linked if they agree. Of a group of up to ``FEW`` texts that share two views all pairs are compared. A larger group's texts are
+compared with ``HEADS`` of them first, which mostly connects it; then those that aren't with the most of the group are compared with all of it,
+in tiles of two blocks that are dealt out, where numbers of shared shingles are a matrix product. So no pair that shares two views is left open,
+pairs of large groups are never listed, and the work grows with the texts where groups hang together, with the square of
+what doesn't where they don't. Equal shingle sets are one node.
 
 A null text counts as empty; without words the fingerprint is zero, and is linked like any other (by ``alike``,
 texts without words are equal). Repeated rows of an id have that id's results. Rows with a null id take part under it.
@@ -35,6 +37,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm import golay
 from spanloom.llm.common import by_text, spread, stored
+from spanloom.llm.collisions import least_reached
 from spanloom.llm.graph import components
 
 BITS = 3
@@ -176,8 +179,10 @@ def near_duplicates(docs: DataFrame, words: int = 3, bits: int = BITS, key: str
 
 
 VIEWS = 8
-#: Texts of a group that are all compared with each other.
-FEW = 16
+#: Texts of a group that are all compared with each other at once; larger groups' texts are first compared with so many of them.
+FEW, HEADS = 16, 4
+#: Texts and bytes of their shingles of a block, and columns of a block's shingles that are compared at a time.
+BLOCK, BLOCK_BYTES, COLUMNS = 512, 8_000_000, 4096
 MIX = np.uint64(0x9E3779B97F4A7C15)
 VIEW_PATTERNS = np.array([xxhash.xxh64_intdigest(str(v)) for v in range(VIEWS)], np.uint64)
 WORDS, LEAST = 5, 0.8
@@ -206,8 +211,88 @@ def views(hashes: np.ndarray) -> list[int | None]:
     return out
 
 
+def agree(x: np.ndarray, y: np.ndarray, least: float) -> bool:
+    """Whether two sorted sets share enough; sets whose sizes alone keep them below aren't compared."""
+    if min(len(x), len(y)) < least * max(len(x), len(y)):
+        return False
+    shared = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
+    return shared >= least * (len(x) + len(y) - shared)
+
+
+def linked_in(left: list[np.ndarray], right: list[np.ndarray], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a set of each side that agree: sizes and the number of shared hashes, of which only those on both sides count, decide."""
+    n, m = (np.array([len(x) for x in s], np.int64) for s in (left, right))
+    both = np.intersect1d(np.concatenate(left), np.concatenate(right))
+    places = [(np.repeat(np.arange(len(s)), k), np.concatenate(s)) for s, k in ((left, n), (right, m))]
+    held = [(r[known], np.searchsorted(both, h[known])) for r, h in places for known in [np.isin(h, both)]]
+    shared = np.zeros((len(left), len(right)), np.float32)
+    for at in range(0, len(both), COLUMNS):
+        parts = []
+        for (r, c), size in zip(held, (len(left), len(right)), strict=True):
+            mine = (c >= at) & (c < at + COLUMNS)
+            part = np.zeros((size, min(COLUMNS, len(both) - at)), np.float32)
+            part[r[mine], c[mine] - at] = 1
+            parts.append(part)
+        shared += parts[0] @ parts[1].T
+    shared = shared.astype(np.int64)
+    return np.nonzero((shared >= least * (n[:, None] + m - shared)) & ((n[:, None] > 0) | (m > 0)))
+
+
+def bridged(groups: DataFrame, roots: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """a, b: links between texts of a group that roots don't connect yet, enough of them to connect all that similar pairs would.
+
+    groups are (group, node). In each, the texts that aren't with the most are compared with all, block by block: a tile of two blocks is a
+    task's turn, and gives at most a link for each of its texts.
+    """
+    crowded = groups.join(roots, "node", "left").select("group", "node", F.coalesce("root", "node").alias("root"))
+    crowded = stored(crowded.join(sets.select("node", F.octet_length("shingles").alias("size")), "node"), "crowded")
+    parts = crowded.groupBy("group", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    whole = parts.groupBy("group").agg(F.max(F.struct("n", "root")).alias("main"), F.sum("n").alias("n"), F.sum("size").alias("size"), F.count("*").alias("kinds")).where("kinds > 1")
+    others = parts.join(whole.select("group", "main"), "group").where("root <> main.root").groupBy("group").agg(F.sum("n").alias("n_left"), F.sum("size").alias("size_left"))
+    blocks = lambda n, size: F.greatest(F.ceil(F.col(n) / BLOCK), F.ceil(F.col(size) / BLOCK_BYTES), F.lit(1)).cast("int")
+    plan = whole.join(others, "group").select("group", F.col("main.root").alias("main"), blocks("n_left", "size_left").alias("rows"), blocks("n", "size").alias("columns"))
+    met = stored(crowded.drop("size").join(plan, "group"), "met")
+    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
+    tile = lambda i, j: F.concat_ws("-", "group", i, j).alias("tile")
+    left = met.where("root <> main").withColumn("i", place("rows")).withColumn("j", F.explode(F.sequence(F.lit(0), F.col("columns") - 1))).select(tile("i", "j"), F.lit(0).alias("side"), "node", "root")
+    right = met.withColumn("j", place("columns")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).select(tile("i", "j"), F.lit(1).alias("side"), "node", "root")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+
+        def finished() -> pa.RecordBatch:
+            x = pa.Table.from_batches(held)
+            side, node, root = (x.column(c).to_numpy() for c in ("side", "node", "root"))
+            every = [np.frombuffer(b, np.uint32) for b in x.column("shingles").to_pylist()]
+            a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+            if not len(a) or not len(b):
+                return pa.RecordBatch.from_pydict({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+            i, j = linked_in([every[k] for k in a], [every[k] for k in b], least)
+            i, j = a[i], b[j]
+            new = root[i] != root[j]
+            known, back = np.unique(node, return_inverse=True)  # a text may stand on both sides
+            reached = known[least_reached(len(known), back[i[new]], back[j[new]])]
+            moved = reached != known
+            return pa.RecordBatch.from_arrays([pa.array(known[moved]), pa.array(reached[moved])], names=["a", "b"])
+
+        for batch in batches:
+            names = batch.column("tile").to_pylist()
+            at = [0, *(k for k in range(1, len(names)) if names[k] != names[k - 1]), len(names)]
+            for first, end in zip(at, at[1:], strict=False):
+                if first == end:
+                    continue
+                if held and held[0].column("tile")[0].as_py() != names[first]:
+                    yield finished()
+                    held.clear()
+                held.append(batch.slice(first, end - first))
+        if held:
+            yield finished()
+
+    return left.union(right).join(sets, "node").repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "a long, b long")
+
+
 def alike(docs: DataFrame, words: int = WORDS, least: float = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, component_id: the smallest key reachable over links between texts of similar word shingles, for every row.
+    """key, mark, component_id: the smallest key reachable over links between texts of similar word shingles, for every row; mark is a hash of the row's text.
 
     Nodes are sets of 64-bit hashes; comparisons take 32 bits of each, in which two shingles of a text are next to never the same.
     """
@@ -215,56 +300,65 @@ def alike(docs: DataFrame, words: int = WORDS, least: float = LEAST, key: str =
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [shingles(t, words) for t in batch.column(text).to_pylist()]
+            sets = [shingles(t, words) for t in batch.column("text").to_pylist()]
             nodes = pa.array([xxhash.xxh64_intdigest(s.tobytes()) >> 1 for s in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(key), nodes, pa.array([views(s) for s in sets], pa.list_(pa.int64())), pa.array([np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes() for s in sets], pa.binary())], names=[key, "node", "views", "shingles"])
+            yield pa.RecordBatch.from_arrays([batch.column("key"), batch.column("mark"), nodes, pa.array([views(s) for s in sets], pa.list_(pa.int64())), pa.array([np.unique((s >> np.uint64(32)).astype(np.uint32)).tobytes() for s in sets], pa.binary())], names=["key", "mark", "node", "views", "shingles"])
 
-    rows = stored(spread(docs.select(key, text)).mapInArrow(sketched, f"{key} {kind}, node long, views array<long>, shingles binary"), "shingles")
-    nodes = stored(rows.groupBy("node").agg(F.min(key).alias("first"), F.first("views").alias("views")), "shingle-nodes")
+    texts = spread(docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("mark"), F.col(text).alias("text")))
+    rows = stored(texts.mapInArrow(sketched, f"key {kind}, mark long, node long, views array<long>, shingles binary"), "shingles")
+    nodes = stored(rows.groupBy("node").agg(F.min("key").alias("first"), F.first("views").alias("views")), "shingle-nodes")
     seen = nodes.select("node", F.posexplode("views").alias("view", "fp")).where("fp is not null")
     fps = stored(seen.select("fp").distinct(), "views")
     one = components(links(fps, 1))
     placed = stored(seen.join(one, seen["fp"] == one["node"], "left").select(seen["node"], "view", F.coalesce("root", "fp").alias("fp")), "placed")
     after = placed.select("node", F.pmod(F.col("view") - 1, F.lit(VIEWS)).cast("int").alias("view"), F.col("fp").alias("next"))
-    both = placed.join(after, ["node", "view"]).select("node", F.xxhash64("view", "fp", "next").alias("group"))
-
-    def met(groups: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Pairs of small groups, and members of large ones with the least of them."""
-        sized = groups.join(groups.groupBy("group").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1"), "group")
-        few = sized.where(F.col("n") <= FEW).groupBy("group").agg(F.array_sort(F.collect_list("node")).alias("m")).select("m", F.posexplode("m").alias("at", "head"))
-        return few.select(F.explode(F.slice("m", F.col("at") + 2, FEW)).alias("node"), "head"), sized.where((F.col("n") > FEW) & (F.col("node") != F.col("head"))).select("node", "head")
-
-    single, _ = met(placed.select("node", F.xxhash64("view", "fp").alias("group")))
-    twice = single.groupBy("node", "head").agg(F.count("*").alias("n")).where("n > 1").select("node", "head")
-    small, large = met(stored(both, "view-pairs"))
-    pairs = stored(twice.union(small).union(large).distinct(), "pairs")
-    asked = pairs.select("node").union(pairs.select("head")).distinct()
-    sets = rows.join(asked, "node", "left_semi").groupBy("node").agg(F.min("shingles").alias("shingles"))
+    adjacent = placed.join(after, ["node", "view"]).select("node", F.xxhash64("view", "fp", "next").alias("group"))
+    sized = lambda groups: groups.join(groups.groupBy("group").agg(F.count("*").alias("n")).where("n > 1"), "group")
+
+    def pairs_of(groups: DataFrame) -> DataFrame:
+        """All pairs of small groups."""
+        few = groups.where(F.col("n") <= FEW).groupBy("group").agg(F.array_sort(F.collect_list("node")).alias("m")).select("m", F.posexplode("m").alias("at", "head"))
+        return few.select(F.explode(F.slice("m", F.col("at") + 2, FEW)).alias("node"), "head")
+
+    single = stored(sized(placed.select("node", "view", "fp", F.xxhash64("view", "fp").alias("group"))), "single-views")
+    twice = pairs_of(single).groupBy("node", "head").agg(F.count("*").alias("n")).where("n > 1").select("node", "head")
+    # texts whose view is crowded meet in groups of that view and any other, which two texts that share two views have in common
+    other = placed.select("node", F.col("view").alias("view_b"), F.col("fp").alias("fp_b"))
+    also = single.where(F.col("n") > FEW).join(other, "node").where("view <> view_b")
+    low = F.col("view") < F.col("view_b")
+    first, last = (F.when(low if k else ~low, F.struct("view", "fp")).otherwise(F.struct(F.col("view_b").alias("view"), F.col("fp_b").alias("fp"))) for k in (1, 0))
+    apart = ~F.pmod(F.col("view_b") - F.col("view"), F.lit(VIEWS)).isin(1, VIEWS - 1)  # neighbours are together anyway
+    also = also.where(apart).select("node", F.xxhash64(F.lit("any"), first, last).alias("group")).distinct()
+    groups = stored(sized(adjacent.union(also)), "groups")
+    large = groups.where(F.col("n") > FEW).select("group", "node")
+    chosen = large.groupBy("group").agg(*(F.min(F.struct(F.xxhash64(F.lit(k), "node"), "node"))["node"].alias(f"h{k}") for k in range(HEADS)))
+    some = large.join(chosen, "group").select("node", F.explode(F.array(*(f"h{k}" for k in range(HEADS)))).alias("head")).where("node <> head")
+    ordered = some.select(F.greatest("node", "head").alias("node"), F.least("node", "head").alias("head"))
+    pairs = stored(twice.union(pairs_of(groups)).union(ordered).distinct(), "pairs")
+    asked = stored(pairs.select("node").union(pairs.select("head")).union(large.select("node")).distinct(), "asked")
+    sets = stored(rows.join(asked, "node", "left_semi").groupBy("node").agg(F.min("shingles").alias("shingles")), "sets")
 
     def agreeing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for a, b in zip(batch.column("a"), batch.column("b"), strict=True):
-                x, y = np.frombuffer(a.as_py(), np.uint32), np.frombuffer(b.as_py(), np.uint32)
-                # texts whose sizes alone keep them below the similarity aren't compared
-                if min(len(x), len(y)) < least * max(len(x), len(y)):
-                    good.append(False)
-                    continue
-                shared = len(x) + len(y) - len(np.unique(np.concatenate([x, y])))
-                good.append(shared >= least * (len(x) + len(y) - shared))
+            good = [agree(np.frombuffer(a.as_py(), np.uint32), np.frombuffer(b.as_py(), np.uint32), least) for a, b in zip(batch.column("a"), batch.column("b"), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("node"), batch.column("head")], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     left, right = sets.withColumnRenamed("shingles", "a"), sets.select(F.col("node").alias("head"), F.col("shingles").alias("b"))
-    linked = pairs.join(left, "node").join(right, "head").select("node", "head", "a", "b").mapInArrow(agreeing, "a long, b long")
-    roots = components(linked).withColumnRenamed("node", "n")
+    linked = stored(pairs.join(left, "node").join(right, "head").select("node", "head", "a", "b").mapInArrow(agreeing, "a long, b long"), "linked")
+    known = stored(components(linked), "known")
+    more = bridged(large, known, sets, least)
+    roots = components(known.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)).withColumnRenamed("node", "n")
     joined = nodes.join(roots, nodes["node"] == roots["n"], "left").select("node", "first", F.coalesce("root", "node").alias("root"))
-    first = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    member = joined.join(first, "root").select("node", "component_id")
-    return rows.select(key, "node").join(member, "node").select(key, "component_id")
+    least_key = joined.groupBy("root").agg(F.min("first").alias("component_id"))
+    member = joined.join(least_key, "root").select("node", "component_id")
+    return rows.select(F.col("key").alias(key), "mark", "node").join(member, "node").select(key, "mark", "component_id")
 
 
 def first_of_each(docs: DataFrame, words: int = WORDS, least: float = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without those that are alike, over others perhaps, to a document of smaller key. Repeated rows of a key are one document; rows without a key stay."""
-    found = alike(docs, words, least, key, text)
+    """docs without rows whose text is alike, over others perhaps, to that of a row of smaller key.
+
+    Rows count one by one: of rows of one key with different texts each stays or goes by its own text, and equal rows go together. Rows without a key stay.
+    """
+    gone = alike(docs, words, least, key, text).where(f"`{key}` <> component_id").select(F.col(key).alias("_gone"), "mark").distinct()
     # the same plan at every size: the copies' ids grow with the table
-    return docs.join(found.where(f"{key} <> component_id").select(key).distinct().hint("merge"), key, "left_anti")
+    return docs.join(gone.hint("merge"), (docs[key] == gone["_gone"]) & (F.xxhash64(docs[text]) == gone["mark"]), "left_anti")

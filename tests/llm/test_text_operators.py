@@ -501,6 +501,41 @@ def test_similar_texts_are_found(spark):
     assert all(want[k] == want[c] for k, c in got.items())
 
 
+@pytest.mark.parametrize(("sizes", "length"), [((17,) * 4, 60), ((30, 30), 60), ((60,), 60), ((120,), 60), ((400,), 60), ((24, 48, 400, 33), 80)])
+def test_groups_of_any_size_are_found_whole(spark, sizes, length):
+    """Copies of a text with a word edited in each: pairs at 0.8 are those of edits close by, so that a group hangs together by chains."""
+    rng = random.Random(len(sizes) * 1000 + sizes[0])
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(3, 8)))
+    texts = []
+    for n in sizes:
+        base = [word() for _ in range(length)]
+        for _ in range(n):
+            copy = list(base)
+            copy[rng.randrange(length)] = word()
+            texts.append(" ".join(copy))
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    want, pairs = similar_components(rows)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.alike(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert len(pairs) > 10 and sum(got[a] == got[b] for a, b in pairs) >= 0.97 * len(pairs)
+    assert all(want[k] == want[c] for k, c in got.items())
+
+
+def test_shared_hashes_are_counted_by_blocks(monkeypatch):
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 60, rng.integers(0, 50))).astype(np.uint32) for _ in range(40)]
+    expected = sorted((i, j) for i, x in enumerate(sets[:15]) for j, y in enumerate(sets[15:]) if len(np.union1d(x, y)) and len(np.intersect1d(x, y)) >= 0.5 * len(np.union1d(x, y)))
+    for columns in (4096, 7):
+        monkeypatch.setattr(simhash, "COLUMNS", columns)
+        assert sorted(zip(*(x.tolist() for x in simhash.linked_in(sets[:15], sets[15:], 0.5)), strict=True)) == expected
+
+
+def test_rows_of_one_id_stay_or_go_by_their_own_text(spark):
+    a, b = "one text of some ten words that stands here twice", "quite another text that stands nowhere else at all in here"
+    rows = spark.createDataFrame([(3, a, 1, 1), (5, a, 2, 2), (5, b, 3, 3), (None, a, 4, 4), (5, a, 5, 5)], "doc_id long, text string, mark int, _gone int")
+    assert sorted((r["doc_id"] or 0, r["mark"], r["_gone"]) for r in simhash.first_of_each(rows).collect()) == [(0, 4, 4), (3, 1, 1), (5, 3, 3)]
+
+
 def test_similar_texts_awkward(awkward, nothing):
     out = {(r["doc_id"], r["component_id"]) for r in simhash.alike(awkward).collect()}
     assert {(1, 1), (2, 1), (3, 3), (4, 4), (5, 4), (6, 6)} <= out
