@@ -1,16 +1,18 @@
 """Repeated passages, by a sparse suffix array.
 
-Texts are taken as words (runs of anything but white space). A place repeats if the ``least`` words from it
-also stand elsewhere. Of the ``WINDOW`` word k-grams from a place the one of least hash is its anchor, so places
-with equal words have equal anchors, and at these the same ``least - WINDOW + 1`` words or more. Only anchors
-whose words occur twice are kept, each with the run of places that it is the anchor of.
-
-Anchors that begin alike meet in one task, where the places' words are compared by hash, each with all
-others. A beginning of more than ``CROWD`` suffixes isn't held in a task: its places are dealt out one by one by
-the hash of all their ``least`` words, and each class of equal ones comes down to its smallest keys by sums that
-Spark adds up before it deals them out. So every stretch of a repeated place is reported, from the first
-to the last of its words, whatever the size of the table or of a group; nothing else is, but for a clash
-of 64-bit hashes.
+Texts are taken as words (runs of anything but white space). Of the ``WINDOW`` word k-grams from a place on the one of least hash is the
+place's anchor; equal words have equal anchors, so a passage of ``least`` words that stands elsewhere has an anchor there too, with as
+many equal words before and after. Only suffixes that begin at anchors are kept, and of these only the ones whose first
+``least - WINDOW + 1`` words occur twice.
+
+A suffix is a row: the words before its anchor and those after its beginning, as far as a passage can reach (its surroundings). Suffixes with equal
+surroundings are one, with a count. The others that begin alike are sorted by their words to the right; for each number of words that
+neighbours share there, they are sorted by their words to the left, and neighbours compared again: who shares enough words in sum is a match, and
+it reaches as far to the left and right as the words are equal. So no pair is left out, whatever lies between two suffixes in one of the orders.
+Longer stretches are made of the matches of all their anchors.
+
+Beginnings with more than ``CROWD`` different surroundings aren't held in a task: each of their passages goes, by the hash of its ``least`` words, to where
+Spark adds up who has it. Words are compared by 32 bits of their hashes, first of all by 64 bits of the beginning's.
 
 A document is also compared with itself, apart from the place itself. Null and short texts repeat
 nothing. Repeated rows of an id count as copies; rows without an id are left out. Positions count words,
@@ -33,8 +35,8 @@ from spanloom.llm.common import spread, stored
 LEAST = 50
 K = 8
 WINDOW = 32
-#: Suffixes of one beginning that a task holds at once.
-CROWD = 2000
+#: Different surroundings of one beginning that a task holds at once.
+CROWD = 20_000
 WORD = re.compile(r"\S+")
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Odd factors for a word's characters by place.
@@ -65,133 +67,197 @@ def rolled(hashes: np.ndarray, k: int) -> np.ndarray:
     return (h ^ h >> np.uint64(29)) * MIX
 
 
-def anchors(hashes: np.ndarray, least: int, window: int, k: int = K) -> tuple[np.ndarray, np.ndarray]:
-    """The first place of each run of places that share an anchor, with the end of the last run, and a hash of the words at each anchor."""
+def anchors(hashes: np.ndarray, least: int, window: int, k: int = K) -> np.ndarray:
+    """The places of the anchors, each once."""
     n = len(hashes) - least + 1
     if n <= 0:
-        return np.zeros(1, np.int64), np.empty(0, np.int64)
+        return np.empty(0, np.int64)
     view = np.lib.stride_tricks.sliding_window_view(rolled(hashes, min(k, least)), window)[:n]
     at = np.concatenate([view[i : i + 65536].argmin(axis=1) + np.arange(i, min(i + 65536, n)) for i in range(0, n, 65536)])
-    runs = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-    return np.append(runs, n), rolled(hashes, least - window + 1)[at[runs]].view(np.int64)
+    return at[np.flatnonzero(np.append(True, at[1:] != at[:-1]))]
+
+
+def surroundings(hashes: np.ndarray, at: np.ndarray, least: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each place the words before it, the nearest first, and those after its beginning, by 32 bits each; zero beyond the text."""
+    short = (hashes >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    padded = np.concatenate([np.zeros(window, np.uint32), short, np.zeros(least + 1, np.uint32)])
+    before = padded[at[:, None] + window - 1 - np.arange(window - 1)]
+    return before, padded[at[:, None] + window + np.arange(least - window + 1, least)]
+
+
+def placed(hashes: np.ndarray, at: np.ndarray, least: int, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each place a hash of the words that it begins with, one that takes in its surroundings, and these."""
+    prefix = rolled(hashes, least - window + 1)[at]
+    words = np.concatenate(surroundings(hashes, at, least, window), axis=1)
+    return prefix.view(np.int64), mixed(prefix, words).view(np.int64), words
+
+
+def mixed(start: np.ndarray, words: np.ndarray) -> np.ndarray:
+    h = start.copy()
+    for column in words.T:
+        h = (h ^ column) * MIX
+        h ^= h >> np.uint64(29)
+    return h
 
 
 def anchor_rows(docs: DataFrame, least: int, window: int) -> DataFrame:
-    """id, prefix, n: the beginnings at the anchors of every row, and how often each is there."""
+    """id, at, rest, prefix, around: the anchors of every row, how many words there are from each on (least, if there are more), and hashes of the words they begin with and of their surroundings."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [np.unique(anchors(hashed(t), least, window)[1], return_counts=True) for t in batch.column("t").to_pylist()]
-            ids = batch.column("id").take(pa.array(np.repeat(np.arange(len(found)), [len(p) for p, _ in found])))
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(np.concatenate([f[i] for f in found]) if found else [], pa.int64()) for i in (0, 1))], names=["id", "prefix", "n"])
+            found = []
+            for t in batch.column("t"):
+                hashes = hashed(t.as_py())
+                at = anchors(hashes, least, window)
+                prefix, around, _ = placed(hashes, at, least, window) if len(at) else (at, at, at)
+                found.append((at.astype(np.int32), np.minimum(len(hashes) - at, least).astype(np.int32), prefix, around))
+            ids = batch.column("id").take(pa.array(np.repeat(np.arange(len(found)), [len(f[0]) for f in found])))
+            yield pa.RecordBatch.from_arrays([ids, *(pa.array(np.concatenate([f[i] for f in found]) if found else [], t) for i, t in enumerate((pa.int32(), pa.int32(), pa.int64(), pa.int64())))], names=["id", "at", "rest", "prefix", "around"])
 
-    return docs.mapInArrow(run, "id long, prefix long, n long")
+    return docs.mapInArrow(run, "id long, at int, rest int, prefix long, around long")
 
 
 def suffixes(rows: DataFrame, least: int, window: int) -> DataFrame:
-    """key, id, at, hashes for rows of id, text and repeated beginnings: a run of places with the hash of the words from each.
-
-    The key is the beginning; a crowded one's places are each a row, without hashes, of which the key is the hash.
-    """
+    """prefix, around, first, crowded, words for rows of id, t and places: the surroundings themselves. Of rows of one id those with other words there give none."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, ids, at, parts = [], [], [], []
-
-            def packed():
-                return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64()), pa.array(at, pa.int32()), pa.array(parts, pa.binary())], names=["key", "id", "at", "hashes"])  # noqa: B023
-
-            for i, t, places in zip(batch.column("id").to_pylist(), batch.column("t").to_pylist(), batch.column("places").to_pylist(), strict=True):
-                hashes, crowded = hashed(t), {p["prefix"]: p["crowded"] for p in places}
-                runs, prefixes = anchors(hashes, least, window)
-                whole = rolled(hashes, least).view(np.int64)
-                data = whole.tobytes()
-                for first, end, prefix in zip(runs[:-1].tolist(), runs[1:].tolist(), prefixes.tolist(), strict=True):
-                    if (many := crowded.get(prefix)) is None:
-                        continue
-                    if many:
-                        keys += whole[first:end].tolist()
-                        ids += [i] * (end - first)
-                        at += range(first, end)
-                        parts += [None] * (end - first)
-                    else:
-                        keys.append(prefix)
-                        ids.append(i)
-                        at.append(first)
-                        parts.append(data[8 * first : 8 * end])
-                    if len(ids) >= 5000:
-                        yield packed()
-                        keys, ids, at, parts = [], [], [], []
-            yield packed()
-
-    return rows.mapInArrow(run, "key long, id long, at int, hashes binary")
-
-
-def classes(keys: np.ndarray, ids: np.ndarray, at: np.ndarray, parts: list[bytes], least: int) -> pa.RecordBatch:
-    """id, begin, end, other: of each run of whole groups what its repeated places cover, and the smallest id where one of them stands elsewhere."""
-    h, n = np.frombuffer(b"".join(parts), np.int64), np.array([len(p) // 8 for p in parts], np.int64)
-    row = np.repeat(np.arange(len(n)), n)
-    place = at[row] + np.arange(len(h)) - np.repeat(np.cumsum(n) - n, n)
-    order = np.lexsort((ids[row], h, keys[row]))
-    row, place, h, key = row[order], place[order], h[order], keys[row[order]]
-    start = np.flatnonzero(np.append(True, (h[1:] != h[:-1]) | (key[1:] != key[:-1])))[: len(h)]
-    size = np.diff(np.append(start, len(h)))
-    other = ids[row[np.repeat(start, size)]] if len(h) else ids[:0]
-    twice = np.repeat(size > 1, size)
-    other[start[size > 1]] = ids[row[start[size > 1] + 1]]
-    row, place, other = row[twice], place[twice], other[twice]
-    first, last, least_id = np.full(len(n), np.iinfo(np.int64).max), np.full(len(n), -1), np.full(len(n), np.iinfo(np.int64).max)
-    np.minimum.at(first, row, place)
-    np.maximum.at(last, row, place)
-    np.minimum.at(least_id, row, other)
-    hit = last >= 0
-    return pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(first[hit].astype(np.int32)), pa.array((last[hit] + least).astype(np.int32)), pa.array(least_id[hit])], names=["id", "begin", "end", "other"])
-
-
-def matched(by_key: DataFrame, least: int) -> DataFrame:
-    """id, begin, end, other from rows sorted by key, each compared with all of its key."""
+            for i, t, places in zip(batch.column("id").to_pylist(), batch.column("t"), batch.column("places").to_pylist(), strict=True):
+                hashes = hashed(t.as_py())
+                places = [p for p in places if p["at"] + least - window + 1 <= len(hashes)]
+                for k in range(0, len(places), 5000):
+                    part = places[k : k + 5000]
+                    prefix, around, words = placed(hashes, np.array([p["at"] for p in part], np.int64), least, window)
+                    good = np.flatnonzero(around == np.array([p["around"] for p in part], np.int64))
+                    yield pa.RecordBatch.from_arrays([pa.array(prefix[good]), pa.array(around[good]), pa.array([i] * len(good), pa.int64()), pa.array([part[j]["crowded"] for j in good], pa.bool_()), pa.array([words[j].tobytes() for j in good], pa.binary())], names=["prefix", "around", "first", "crowded", "words"])
+
+    return rows.mapInArrow(run, "prefix long, around long, first long, crowded boolean, words binary")
+
+
+def shared(a: np.ndarray) -> np.ndarray:
+    """How many words each row begins with that the row before has too; zeros end a text and are never shared."""
+    equal = (a[1:] == a[:-1]) & (a[1:] != 0)
+    return np.append(0, np.where(equal.all(axis=1), a.shape[1], equal.argmin(axis=1)))
+
+
+def compared(prefix: np.ndarray, around: np.ndarray, first: np.ndarray, words: np.ndarray, least: int, window: int) -> pa.RecordBatch:
+    """around, before, after, other: what the suffixes of whole groups that begin alike share with others of their group, and the least id there."""
+    _, kept = np.unique(around, return_index=True)  # repeated rows of an id tell the same
+    prefix, around, first, words = prefix[kept], around[kept], first[kept], words[kept]
+    n, half = len(prefix), window - 1
+    left, right = words[:, :half], words[:, half:]
+    by_right = np.lexsort((*right.T[::-1], prefix))
+    prefix, around, first, left, right = prefix[by_right], around[by_right], first[by_right], left[by_right], right[by_right]
+    new_group = np.append(True, prefix[1:] != prefix[:-1])
+    to_right = np.where(new_group, -1, shared(right))
+    rank = np.empty(n, np.int64)
+    rank[np.lexsort(left.T[::-1])] = np.arange(n)
+    begin, end, other = np.full(n, -1), np.full(n, -1), np.full(n, np.iinfo(np.int64).max)
+    enough = (right != 0).sum(axis=1)
+    for extra in range(half + 1):  # so many words to the right of the beginning, and of the passage the rest to the left
+        after, need = least - half + extra, half - extra
+        kind = np.cumsum(to_right < extra)
+        rows = np.flatnonzero(enough >= extra)
+        if len(rows) < 2:
+            continue
+        order = rows[np.lexsort((rank[rows], kind[rows]))]
+        same = np.append(False, kind[order][1:] == kind[order][:-1])
+        to_left = np.where(same, shared(left[order]), -1)
+        linked = to_left >= need
+        if not linked.any():
+            continue
+        start = np.flatnonzero(~linked)
+        size = np.diff(np.append(start, len(order)))
+        run = np.repeat(np.arange(len(start)), size)
+        hit = np.repeat(size > 1, size)
+        ids = first[order]
+        low = np.minimum.reduceat(ids, start)
+        mine = ids == low[run]
+        alone = np.add.reduceat(mine.astype(np.int64), start) == 1
+        second = np.minimum.reduceat(np.where(mine, np.iinfo(np.int64).max, ids), start)
+        partner = np.where(mine & alone[run], second[run], low[run])
+        reach = np.maximum(to_left, np.append(to_left[1:], -1))[hit]
+        hit_rows = order[hit]
+        begin[hit_rows] = np.maximum(begin[hit_rows], reach)
+        end[hit_rows] = np.maximum(end[hit_rows], after)
+        other[hit_rows] = np.minimum(other[hit_rows], partner[hit])
+    found = end >= 0
+    return pa.RecordBatch.from_arrays([pa.array(around[found]), pa.array(begin[found].astype(np.int32)), pa.array(end[found].astype(np.int32)), pa.array(other[found])], names=["around", "before", "after", "other"])
+
+
+def matched(by_prefix: DataFrame, least: int, window: int) -> DataFrame:
+    """around, before, after, other from rows sorted by prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), []]
+        held: list[np.ndarray] = []
         for batch in batches:
             if not batch.num_rows:
                 continue
-            new = [batch.column(c).to_numpy().astype(np.int64) for c in ("key", "id", "at")]
-            held = [*(np.concatenate(x) for x in zip(held[:3], new, strict=True)), held[3] + batch.column("hashes").to_pylist()]
-            cut = int(np.flatnonzero(held[0] != held[0][-1])[-1:].sum() + 1) if held[0][0] != held[0][-1] else 0
+            new = [*(batch.column(c).to_numpy().astype(np.int64) for c in ("prefix", "around", "first")), np.frombuffer(b"".join(batch.column("words").to_pylist()), np.uint32).reshape(batch.num_rows, -1)]
+            held = [np.concatenate(x) for x in zip(held, new, strict=True)] if held else new
+            cut = int(np.searchsorted(held[0], held[0][-1]))  # the last group may go on in the next batch
             if cut:
-                yield classes(*(x[:cut] for x in held), least)
+                yield compared(*(x[:cut] for x in held), least, window)
                 held = [x[cut:] for x in held]
-        yield classes(*held, least)
+        if held:
+            yield compared(*held, least, window)
 
-    return by_key.select("key", "id", "at", "hashes").mapInArrow(run, "id long, begin int, end int, other long")
+    return by_prefix.select("prefix", "around", "first", "words").mapInArrow(run, "around long, before int, after int, other long")
 
 
-def matched_crowds(places: DataFrame, least: int) -> DataFrame:
-    """id, begin, end, other from rows of one place each, of which those of one key are equal."""
-    first = stored(places.groupBy("key").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first"), "classes")
-    met = stored(places.join(first, "key").select("key", "id", "at", "first"), "members")
-    end = (F.col("at") + least).cast("int")
-    others = met.where("id <> first.id or at <> first.at").select("id", F.col("at").alias("begin"), end.alias("end"), F.col("first.id").alias("other"))
-    # the first place's own partner: the smallest id of the rest, or its own if the id repeats
-    mine = F.col("id") == F.col("first.id")
-    again = F.sum(F.when(mine, 1).otherwise(0)) > 1
-    rest = met.groupBy("key").agg(F.first("first").alias("first"), F.when(again, F.first("first.id")).otherwise(F.min(F.when(~mine, F.col("id")))).alias("other"))
-    return others.union(rest.select("first.id", "first.at", (F.col("first.at") + least).cast("int"), "other"))
+def matched_crowds(rows: DataFrame, least: int, window: int) -> DataFrame:
+    """The same for beginnings of very many surroundings, passage by passage."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            words = np.frombuffer(b"".join(batch.column("words").to_pylist()), np.uint32).reshape(batch.num_rows, -1)
+            half = window - 1
+            line = np.concatenate([words[:, :half][:, ::-1], words[:, half:]], axis=1)
+            prefix = batch.column("prefix").to_numpy().view(np.uint64)
+            for k in range(half + 1):  # a passage that begins k words before the beginning
+                part = line[:, half - k : 2 * half - k]
+                key = mixed(prefix ^ np.uint64(k * int(MIX) % (1 << 64)), part)
+                whole = (part != 0).all(axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)[whole]), *(batch.column(c).filter(pa.array(whole)) for c in ("around", "first")), pa.array(np.full(int(whole.sum()), k, np.int32))], names=["key", "around", "first", "before"])
+
+    passages = stored(rows.mapInArrow(run, "key long, around long, first long, before int"), "passages")
+    least_of = passages.groupBy("key").agg(F.min(F.struct("first", "around")).alias("least"), F.min("around").alias("low"), F.max("around").alias("high")).where("low <> high")
+    met = stored(passages.join(least_of.select("key", "least"), "key"), "passage-members")
+    mine = F.col("around") == F.col("least.around")
+    others = met.where(~mine).select("around", "before", F.col("least.first").alias("other"))
+    rest = met.groupBy("key").agg(F.first("least.around").alias("around"), F.first("before").alias("before"), F.min(F.when(~mine, F.col("first"))).alias("other"))
+    every = others.unionByName(rest.select("around", "before", "other"))
+    return every.groupBy("around").agg(F.max("before").alias("before"), (least - F.min("before")).cast("int").alias("after"), F.min("other").alias("other"))
 
 
 def repeats(docs: DataFrame, least: int = LEAST, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, word_start, word_end, other: maximal stretches made of passages that occur elsewhere, and the smallest key found there."""
-    window = min(WINDOW, max(1, least - K - 2))
+    window = min(WINDOW, max(2, least - K - 2))
+    half = window - 1
     texts = spread(docs.select(F.col(key).cast("long").alias("id"), F.col(text).alias("t")).where("id is not null"))
     found = stored(anchor_rows(texts, least, window), "anchors")
-    # written, so that the join stands on two exchanges, of which Spark may split the one with a hot beginning
-    twice = stored(found.groupBy("prefix").agg(F.sum("n").alias("n")).where("n > 1").select("prefix", (F.col("n") > CROWD).alias("crowded")), "beginnings")
-    places = found.join(twice, "prefix").groupBy("id").agg(F.collect_set(F.struct("prefix", "crowded")).alias("places"))
-    rows = stored(suffixes(texts.join(places, "id"), least, window), "suffixes")
-    few, many = rows.where("hashes is not null"), rows.where("hashes is null").select("key", "id", "at")
-    spans = matched(few.repartition("key").sortWithinPartitions("key"), least).union(matched_crowds(many, least))
-    return merged(spans).select(F.col("id").alias(key), F.col("begin").alias("word_start"), F.col("end").alias("word_end"), "other")
+    # written, so that joins stand on two exchanges, of which Spark may split the one with a hot beginning
+    kinds = stored(found.groupBy("prefix", "around").agg(F.min(F.struct("id", "at")).alias("first"), F.count("*").alias("n")), "surroundings")
+    twice = kinds.groupBy("prefix").agg(F.count("*").alias("kinds"), F.sum("n").alias("n")).where("n > 1").select("prefix", "kinds")
+    known = stored(kinds.join(twice, "prefix"), "beginnings")
+    asked = known.where("kinds > 1").select(F.col("first.id").alias("id"), F.struct(F.col("first.at").alias("at"), "around", (F.col("kinds") > CROWD).alias("crowded")).alias("place"))
+    rows = stored(suffixes(texts.join(asked.groupBy("id").agg(F.collect_list("place").alias("places")), "id"), least, window), "suffixes")
+    few, many = rows.where(~F.col("crowded")), rows.where("crowded")
+    matches = matched(few.repartition("prefix").sortWithinPartitions("prefix"), least, window).unionByName(matched_crowds(many, least, window))
+    matches = stored(matches.withColumnRenamed("other", "elsewhere"), "matches")
+    classes = known.join(matches, "around", "left").where("n > 1 or after is not null").select("around", "first", "n", "before", "after", "elsewhere")
+    members = stored(found.join(classes, "around"), "members")
+    several = F.col("n") > 1
+    begin = F.when(several, F.greatest(F.col("at") - half, F.lit(0))).otherwise(F.col("at") - F.col("before"))
+    end = F.col("at") + F.when(several, F.col("rest")).otherwise(F.col("after"))
+    mine = (F.col("id") == F.col("first.id")) & (F.col("at") == F.col("first.at"))
+    spans = members.where(~several | ~mine).select("id", begin.alias("begin"), end.alias("end"), F.least(F.when(several, F.col("first.id")), "elsewhere").alias("other"))
+    # of equal surroundings the first has the others' smallest id: its own, if it is there again
+    first = members.where(several).groupBy("around").agg(F.count(F.when(mine, 1)).alias("same"), F.min(F.when(~mine, F.col("id"))).alias("second"), F.first(F.when(mine, F.struct("id", begin.alias("begin"), end.alias("end"), "elsewhere")), ignorenulls=True).alias("x"))
+    firsts = first.select("x.id", "x.begin", "x.end", F.least(F.when(F.col("same") > 1, F.col("x.id")), "second", "x.elsewhere").alias("other"))
+    return merged(spans.union(firsts)).select(F.col("id").alias(key), F.col("begin").alias("word_start"), F.col("end").alias("word_end"), "other")
 
 
 def merged(spans: DataFrame) -> DataFrame:

@@ -109,6 +109,48 @@ def test_suffixes_within_a_crowd(spark, monkeypatch):
     assert other[40] == 41 and other[41] == other[90] == 40 and all(other[k] == 299 - 7 * k and other[299 - 7 * k] == k for k in range(20))
 
 
+def partners(rows, least):
+    """Of every repeated stretch the smallest id where one of its passages stands elsewhere."""
+    places = {}
+    for i, t in rows:
+        w = (t or "").split()
+        for k in range(len(w) - least + 1):
+            places.setdefault(tuple(w[k : k + least]), []).append((i, k))
+    out = {}
+    for i, a, b in stretches(rows, least):
+        found = []
+        for p in places.values():
+            mine = [x for x in p if x[0] == i and a <= x[1] and x[1] + least <= b]
+            if mine and len(p) > 1:
+                rest = sorted(p)
+                rest.remove(mine[0])
+                found.append(rest[0][0])
+        out[i, a, b] = min(found)
+    return out
+
+
+@pytest.mark.parametrize(("seed", "crowd", "least"), [(1, 20_000, 50), (2, 20_000, 50), (3, 5, 50), (4, 20_000, 14), (5, 3, 14)])
+def test_suffixes_are_all_repeats_of_edited_copies(spark, monkeypatch, seed, crowd, least):
+    """Copies with words edited, dropped and moved, passages around the least length, texts that repeat themselves: as by all passages."""
+    monkeypatch.setattr(suffixes, "CROWD", crowd)
+    rng = random.Random(seed)
+    words = lambda n: [f"w{rng.randrange(300)}" for _ in range(n)]
+    shelf, rows = [words(rng.randint(least - 4, 3 * least)) for _ in range(8)], []
+    for k in range(90):
+        t = words(rng.randint(0, 20))
+        for _ in range(rng.randint(1, 3)):
+            part = list(rng.choice(shelf))
+            for _ in range(rng.randint(0, 2)):
+                part[rng.randrange(len(part))] = rng.choice(words(1))
+            cut = rng.randint(0, 6)
+            t += part[cut : len(part) - rng.randint(0, 6)] + words(rng.randint(0, 3))
+        rows.append((rng.choice((k, k, 1000 - k)), " ".join(t)))
+    rows = list(dict(rows).items())
+    got = {tuple(r)[:3]: r["other"] for r in suffixes.repeats(spark.createDataFrame(rows, "doc_id long, text string"), least).collect()}
+    assert set(got) == stretches(rows, least)
+    assert got == partners(rows, least)
+
+
 def test_removal_keeps_the_first_copy(spark):
     text = " ".join(f"w{k}" for k in range(60))
     rows = spark.createDataFrame([(1, f"a  {text} b"), (2, f"c  {text} d")], "doc_id long, text string")
