@@ -155,7 +155,7 @@ def live_windows(spark: SparkSession, d: str) -> DataFrame:
                     ref.alias("ref"), (k % 9).cast("int").alias("read"), F.lit(10).alias("words"), (k % 40).cast("int").alias("end_frame"), F.lit(50).alias("all_frames"))
     before = F.lag("ref").over(Window.partitionBy("session").orderBy("n"))
     c = live.LiveConfig()
-    return folds.run_batch(rows.withColumn("follows", T.is_continuation(before, F.col("ref"))), "session", "n", live.Live, lambda s, x: live.live_step(s, x, c), live.LIVE)
+    return folds.run_batch(rows.withColumn("follows", T.is_continuation(before, F.col("ref"))), "session", "n", live.Live, lambda s, x: live.live_step(s, x, c), live.LIVE, lambda s: live.live_flush(s, c))
 
 
 @query()

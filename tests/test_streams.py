@@ -101,9 +101,13 @@ def test_batch_equals_stream(stateful, tmp_path, name):
         query.stop()
 
 
+def said(ref, rms=0.2, read=8, p90=0.2):
+    return {"seconds": 0.5, "rms": rms, "frames": 100, "median": 0.01, "p90": p90, "ref": ref, "read": read, "words": 10, "end_frame": 39, "all_frames": 50, "follows": True}
+
+
 def test_live_windows_commit_and_go_on():
     c, s = live.LiveConfig(), live.Live()
-    say = lambda ref, rms=0.2, read=8: live.live_step(s, {"seconds": 0.5, "rms": rms, "frames": 100, "median": 0.01, "p90": 0.2, "ref": ref, "read": read, "words": 10, "end_frame": 39, "all_frames": 50, "follows": True}, c)
+    say = lambda *a, **k: live.live_step(s, said(*a, **k), c)
     out = [x for _ in range(12) for x in say("1:1")]
     assert [x[2] for x in out[:2]] == [False, True] and [x[3] for x in out].count(True) == 1
     first = next(x for x in out if x[3])
@@ -111,9 +115,25 @@ def test_live_windows_commit_and_go_on():
     assert not any(x[3] for _ in range(6) for x in say("1:2", read=2))
     assert any(x[3] for _ in range(6) for x in say("1:2"))
     end = [x for _ in range(3) for x in say("1:2", rms=0.001)]
-    assert end[-1][0] and s.held == 0 and s.leader == ""
-    assert live.advance(20.0, 15.0, -1, 50, c) == 0 and live.advance(20.0, 15.0, 49, 50, c) == pytest.approx(14.0)
-    assert live.kept_tail(9.0, True, False) == 1.0 and live.kept_tail(9.0, True, True) == 0.5 and live.kept_tail(9.0, False, False) == 9.0
+    assert end[-1][0] and s.start == s.now and s.run == ["", 0]
+
+
+def test_the_cut_after_a_commit_is_a_point_within_the_window():
+    c = live.LiveConfig()
+    cut = lambda end_frame, frames=50: live.cut_point(0.0, 5.0, 20.0, end_frame, frames, c)
+    assert cut(-1) == 0 and cut(10, 0) == 0 and cut(2) == 0  # nothing read beyond the overlap
+    assert cut(49) == pytest.approx(14.0) and cut(9) == pytest.approx(5 + 0.2 * 15 - 1)
+
+
+def test_a_session_that_ends_without_silence_keeps_its_last_window():
+    c, s = live.LiveConfig(), live.Live()
+    for _ in range(2):
+        assert live.live_step(s, said("2:1"), c) == []
+    assert live.live_flush(s, c) == [(True, "2:1", False, False, 1.0, 0.0)] and live.live_flush(s, c) == []
+    assert live.live_flush(live.Live(), c) == []
+    s = live.Live()
+    live.live_step(s, said("2:1", p90=0.011), c)
+    assert live.live_flush(s, c) == []  # no speech in it
 
 
 def test_final_sequence():
