@@ -6,8 +6,14 @@ queried set: hits are counted for each text against them, and only ranked rows g
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from spanloom.functions.text import ngrams, normalize, text_score, words
 from spanloom.operators.deal import dealt
@@ -43,9 +49,93 @@ def recall_scores(texts: DataFrame, references: DataFrame, balance: float = 0.5,
 
     With fit, a reference of very different length loses fit times what the length quotient lacks of floor.
     """
+    return scored(counted_hits(texts, references), balance, fit, floor, extra)
+
+
+def scored(hits: DataFrame, balance: float, fit: float, floor: float, extra: tuple[str, ...]) -> DataFrame:
     cover = (1 - balance) * F.col("hits") / F.col("n") + balance * F.col("hits") / F.col("m")
     short = F.greatest(F.lit(0.0), floor - F.least("n_all", "m") / F.greatest("n_all", "m")) * fit
-    return counted_hits(texts, references).select("text_id", "ref_id", "hits", (0.85 * cover - short).alias("score"), *extra)
+    return hits.select("text_id", "ref_id", "hits", (0.85 * cover - short).alias("score"), *extra)
+
+
+#: Bytes of words of references that go to a task at once, and the share of references above which a word's postings are bits.
+SENT, COMMON = 32_000_000, 0.125
+
+
+class Postings:
+    """References by word: numbers of those that have a rare word, bits for common ones; with their numbers of words."""
+
+    def __init__(self, rows: list):
+        self.ids, self.m = [r["ref_id"] for r in rows], np.array([len(r["words"]) for r in rows], np.int64)
+        by_word: dict[str, list[int]] = {}
+        for i, r in enumerate(rows):
+            for w in r["words"]:
+                by_word.setdefault(w, []).append(i)
+        common = sorted(w for w, p in by_word.items() if len(p) > COMMON * len(rows))
+        self.rare = {w: np.array(p, np.int64) for w, p in by_word.items() if len(p) <= COMMON * len(rows)}
+        self.common = {w: k for k, w in enumerate(common)}
+        self.bits = np.zeros((len(common), len(rows)), bool)
+        for w, k in self.common.items():
+            self.bits[k, by_word[w]] = True
+
+    def scores(self, hits: np.ndarray, n: int, n_all: int, at: np.ndarray, balance: float, fit: float, floor: float) -> np.ndarray:
+        cover = (1 - balance) * hits / n + balance * hits / self.m[at]
+        short = np.maximum(0.0, floor - np.minimum(n_all, self.m[at]) / np.maximum(n_all, self.m[at])) * fit
+        return 0.85 * cover - short
+
+    def leading(self, words: list[str], n_all: int, k: int, *rule: float) -> tuple[np.ndarray, np.ndarray]:
+        """The references that may be among the first k, and their hits.
+
+        Rare words are counted first. A reference that couldn't be among the first k if it had all common words of the text is left there.
+        """
+        rare = [self.rare[w] for w in words if w in self.rare]
+        common = np.array([self.common[w] for w in words if w in self.common], np.int64)
+        hits = np.bincount(np.concatenate(rare), minlength=len(self.ids)) if rare else np.zeros(len(self.ids), np.int64)
+        at, n = np.arange(len(self.ids)), len(words)
+        if len(common):
+            low = self.scores(hits, n, n_all, at, *rule)
+            best = np.partition(low, len(low) - k)[len(low) - k] if len(low) > k else -np.inf
+            at = np.flatnonzero(self.scores(np.minimum(hits + len(common), np.minimum(n, self.m)), n, n_all, at, *rule) >= best - 1e-8)
+            hits = hits[at] + self.bits[common][:, at].sum(axis=0)
+        at, hits = at[hits > 0], hits[hits > 0]
+        score = self.scores(hits, n, n_all, at, *rule)
+        if len(score) > k:
+            good = score >= np.partition(score, len(score) - k)[len(score) - k] - 1e-8  # ties are left to whoever ranks
+            at, hits = at[good], hits[good]
+        return at, hits
+
+
+def leading_hits(texts: DataFrame, references: DataFrame, k: int, balance: float = 0.5, fit: float = 0.0, floor: float = 0.35) -> DataFrame:
+    """The rows of counted_hits that may be among the first k of their text by recall_scores, without the others' pairs.
+
+    References are a queried set: their words go to the tasks, in as many passes over the texts as they have SENT bytes.
+    """
+    known = worded(references, "ref_id").where("size(words) > 0")
+    size = known.agg(F.sum(F.octet_length(F.array_join("words", " ")) + 8 * F.size("words"))).first()[0] or 0
+    parts, asked = max(1, -(-int(size) // SENT)), worded(texts, "text_id").where("size(words) > 0")
+    kind = to_arrow_type(references.schema["ref_id"].dataType)
+
+    def passed(part: int) -> DataFrame:
+        rows = known.where(F.pmod(F.xxhash64("ref_id"), F.lit(parts)) == part).collect()  # about SENT bytes
+        sent = references.sparkSession.sparkContext.broadcast(rows)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            index = Postings(sent.value)
+            for batch in batches:
+                found = [index.leading(w, n, k, balance, fit, floor) if index.ids else (np.empty(0, np.int64),) * 2 for w, n in zip(batch.column("words").to_pylist(), batch.column("all_words").to_pylist(), strict=True)]
+                of = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
+                at, hits = (np.concatenate([np.empty(0, np.int64), *(f[i] for f in found)]) for i in (0, 1))
+                n = np.array([len(w) for w in batch.column("words")], np.int32)
+                yield pa.RecordBatch.from_arrays([batch.column("text_id").take(pa.array(of)), pa.array([index.ids[i] for i in at], kind), pa.array(n[of]), batch.column("all_words").take(pa.array(of)), pa.array(index.m[at].astype(np.int32) if index.ids else [], pa.int32()), pa.array(hits)], names=["text_id", "ref_id", "n", "n_all", "m", "hits"])
+
+        return asked.mapInArrow(run, f"text_id {dict(texts.dtypes)['text_id']}, ref_id {dict(references.dtypes)['ref_id']}, n int, n_all int, m int, hits long")
+
+    return reduce(DataFrame.unionAll, map(passed, range(parts)))
+
+
+def leading_scores(texts: DataFrame, references: DataFrame, k: int, balance: float = 0.5, fit: float = 0.0, floor: float = 0.35, extra: tuple[str, ...] = ()) -> DataFrame:
+    """recall_scores of the rows that may be among the first k of their text."""
+    return scored(leading_hits(texts, references, k, balance, fit, floor), balance, fit, floor, extra)
 
 
 def within_reach(scores: DataFrame, k: int, weight: float = 0.15) -> DataFrame:

@@ -56,7 +56,7 @@ def inverted_index_hits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ranked(spark: SparkSession, d: str, k: int) -> DataFrame:
-    scores = recall.recall_scores(transcripts(spark, d), passages(spark, d), extra=("n", "n_all", "m"))
+    scores = recall.leading_scores(transcripts(spark, d), passages(spark, d), k, extra=("n", "n_all", "m"))
     return recall.best(scores.withColumn("score", F.round("score", 9)), k)
 
 

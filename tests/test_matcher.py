@@ -60,3 +60,24 @@ def test_outcomes(spark, corpus):
         assert (out[k]["status"], out[k]["reason"], out[k]["matches"], out[k]["precision"]) == ("unmatched", reason, [], None)
     assert out["off"]["status"] == "unmatched" and out["off"]["matches"] == []
     assert out["opening"]["asr_text"] == "in the name"
+
+
+def test_leading_scores_are_the_best_of_all(spark, monkeypatch):
+    """Words that most references share, rare ones, ties, texts and references without words, repeated words; in one pass and in several."""
+    import random
+
+    from pyspark.sql import functions as F
+
+    from spanloom.operators import recall
+
+    rng = random.Random(6)
+    line = lambda n: " ".join(rng.choice(("the", "of", "and")) if rng.random() < 0.5 else f"w{rng.randrange(60)}" for _ in range(n))
+    references = spark.createDataFrame([(k, line(rng.randint(0, 9))) for k in range(60)] + [(99, ""), (98, None)], "ref_id long, text string")
+    texts = spark.createDataFrame([(f"t{k}", line(rng.randint(0, 12))) for k in range(50)] + [("none", ""), ("null", None), ("common", "the of and")], "text_id string, text string")
+    for rule in ({}, {"balance": 0.2, "fit": 0.5}):
+        rank = lambda df: sorted(map(tuple, recall.best(df.withColumn("score", F.round("score", 9)), 4).collect()))
+        expected = rank(recall.recall_scores(texts, references, **rule))
+        for sent in (32_000_000, 500):
+            monkeypatch.setattr(recall, "SENT", sent)
+            assert rank(recall.leading_scores(texts, references, 4, **rule)) == expected
+    assert recall.leading_scores(texts, references.where("false"), 3).count() == 0 and recall.leading_scores(texts.where("false"), references, 3).count() == 0
