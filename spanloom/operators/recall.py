@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from spanloom.functions.text import ngrams, normalize, text_score, words
+from spanloom.functions.text import ngrams, normalize, words
+from spanloom.operators import edits
 from spanloom.operators.deal import dealt
 
 
@@ -83,8 +84,8 @@ class Postings:
         short = np.maximum(0.0, floor - np.minimum(n_all, self.m[at]) / np.maximum(n_all, self.m[at])) * fit
         return 0.85 * cover - short
 
-    def leading(self, words: list[str], n_all: int, k: int, *rule: float) -> tuple[np.ndarray, np.ndarray]:
-        """The references that may be among the first k, and their hits.
+    def leading(self, words: list[str], n_all: int, k: int, slack: float, *rule: float) -> tuple[np.ndarray, np.ndarray]:
+        """The references that may be among the first k, or come within slack of them, and their hits.
 
         Rare words are counted first. A reference that couldn't be among the first k if it had all common words of the text is left there.
         """
@@ -95,18 +96,18 @@ class Postings:
         if len(common):
             low = self.scores(hits, n, n_all, at, *rule)
             best = np.partition(low, len(low) - k)[len(low) - k] if len(low) > k else -np.inf
-            at = np.flatnonzero(self.scores(np.minimum(hits + len(common), np.minimum(n, self.m)), n, n_all, at, *rule) >= best - 1e-8)
+            at = np.flatnonzero(self.scores(np.minimum(hits + len(common), np.minimum(n, self.m)), n, n_all, at, *rule) >= best - slack - 1e-8)
             hits = hits[at] + self.bits[common][:, at].sum(axis=0)
         at, hits = at[hits > 0], hits[hits > 0]
         score = self.scores(hits, n, n_all, at, *rule)
         if len(score) > k:
-            good = score >= np.partition(score, len(score) - k)[len(score) - k] - 1e-8  # ties are left to whoever ranks
+            good = score >= np.partition(score, len(score) - k)[len(score) - k] - slack - 1e-8  # ties are left to whoever ranks
             at, hits = at[good], hits[good]
         return at, hits
 
 
-def leading_hits(texts: DataFrame, references: DataFrame, k: int, balance: float = 0.5, fit: float = 0.0, floor: float = 0.35) -> DataFrame:
-    """The rows of counted_hits that may be among the first k of their text by recall_scores, without the others' pairs.
+def leading_hits(texts: DataFrame, references: DataFrame, k: int, balance: float = 0.5, fit: float = 0.0, floor: float = 0.35, slack: float = 0.0) -> DataFrame:
+    """The rows of counted_hits that may be among the first k of their text by recall_scores, or score by slack less, without the others' pairs.
 
     References are a queried set: their words go to the tasks, in as many passes over the texts as they have SENT bytes.
     """
@@ -122,7 +123,7 @@ def leading_hits(texts: DataFrame, references: DataFrame, k: int, balance: float
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = Postings(sent.value)
             for batch in batches:
-                found = [index.leading(w, n, k, balance, fit, floor) if index.ids else (np.empty(0, np.int64),) * 2 for w, n in zip(batch.column("words").to_pylist(), batch.column("all_words").to_pylist(), strict=True)]
+                found = [index.leading(w, n, k, slack, balance, fit, floor) if index.ids else (np.empty(0, np.int64),) * 2 for w, n in zip(batch.column("words").to_pylist(), batch.column("all_words").to_pylist(), strict=True)]
                 of = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
                 at, hits = (np.concatenate([np.empty(0, np.int64), *(f[i] for f in found)]) for i in (0, 1))
                 n = np.array([len(w) for w in batch.column("words")], np.int32)
@@ -133,9 +134,9 @@ def leading_hits(texts: DataFrame, references: DataFrame, k: int, balance: float
     return reduce(DataFrame.unionAll, map(passed, range(parts)))
 
 
-def leading_scores(texts: DataFrame, references: DataFrame, k: int, balance: float = 0.5, fit: float = 0.0, floor: float = 0.35, extra: tuple[str, ...] = ()) -> DataFrame:
-    """recall_scores of the rows that may be among the first k of their text."""
-    return scored(leading_hits(texts, references, k, balance, fit, floor), balance, fit, floor, extra)
+def leading_scores(texts: DataFrame, references: DataFrame, k: int, balance: float = 0.5, fit: float = 0.0, floor: float = 0.35, slack: float = 0.0, extra: tuple[str, ...] = ()) -> DataFrame:
+    """recall_scores of the rows that may be among the first k of their text, or come within slack of them."""
+    return scored(leading_hits(texts, references, k, balance, fit, floor, slack), balance, fit, floor, extra)
 
 
 def within_reach(scores: DataFrame, k: int, weight: float = 0.15) -> DataFrame:
@@ -150,7 +151,7 @@ def with_edits(scores: DataFrame, texts: DataFrame, references: DataFrame, weigh
     t = texts.select("text_id", normalize(F.col("text")).alias("a"))
     r = references.select("ref_id", normalize(F.col("text")).alias("b"))
     joined = dealt(scores.join(t, "text_id").join(r, "ref_id"), "text_id", "ref_id")
-    return joined.withColumn("score", F.col("score") + weight * text_score(F.col("a"), F.col("b"))).drop("a", "b")
+    return joined.withColumn("score", F.col("score") + weight * edits.text_similarity(F.col("a"), F.col("b"))).drop("a", "b")
 
 
 def best(scores: DataFrame, k: int, by: str = "text_id", order: tuple = ("-score", "ref_id")) -> DataFrame:

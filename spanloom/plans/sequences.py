@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
 from spanloom.operators import kernels as K
-from spanloom.operators import joint, matcher, spans, tokens
+from spanloom.operators import edits, joint, matcher, spans, tokens
 from spanloom.operators.deal import dealt
 from spanloom.sources.tables import frames, read, verses
 
@@ -220,6 +220,15 @@ def fragment_similarity(spark: SparkSession, d: str) -> DataFrame:
     return dealt(p, "p_partkey").select("p_partkey", *(F.round(x, 6).alias(n) for n, x in (("ratio", T.ratio(a, b)), ("sum_ratio", T.sum_ratio(a, b)), ("fragment", T.fragment_score(a, b)), ("partial", T.partial_ratio(a, b)), ("text", T.text_score(a, b)))))
 
 
+@query
+def turn_similarity(spark: SparkSession, d: str) -> DataFrame:
+    """pair_id and the similarities of whole turns with the next: windows of one in the other, and both measures together."""
+    p = adjacent(spark, d).select("pair_id", F.array_join("reference", " ").alias("a"), F.array_join("hypothesis", " ").alias("b"))
+    a, b = F.col("a"), F.col("b")
+    kinds = (("whole", edits.similarity), ("fragment", edits.fragment_similarity), ("partial", edits.partial_similarity), ("text", edits.text_similarity))
+    return dealt(p, "pair_id").select("pair_id", *(F.round(f(a, b), 6).alias(n) for n, f in kinds))
+
+
 @query
 def nearest_fragments(spark: SparkSession, d: str) -> DataFrame:
     """pair_id and two similarities of whole turns with the next: semi-global edits, and the common subsequence."""
