@@ -1,10 +1,13 @@
 """A keyed record store on tables: every change gives the new table, to be written by the caller.
 
-Stock Parquet tables have no MERGE: read, change, write aside, swap.
+Stock Parquet tables have no MERGE: read, change, write aside, swap. Changes of several tables at once (``saved_records`` and those after it)
+are for sources.versions, which commits them together.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -139,3 +142,40 @@ def with_language(records: DataFrame, record: Column, language: str, targets: st
 def still_current(results: DataFrame, current: DataFrame, keys: list[str], version: str) -> DataFrame:
     """Results made for the version of a key that is current now; later ones for what came before are dropped."""
     return results.join(current.select(*keys, version), [*keys, version], "left_semi")
+
+
+RECORD, MATCH, JOB, DONE = "id string, text string, at timestamp, display_sequence long", "id string, ordinal int, chapter int, verse int", "id string, language string, revision long, state string, attempts int", "id string, language string, revision long, text string"
+
+
+def saved_records(tables: Callable[..., DataFrame], drafts: DataFrame, matches: DataFrame, languages: list[str]) -> dict[str, DataFrame]:
+    """A change of all tables that saving records means: records keep or get their number, their matches are replaced, and a job waits for each language.
+
+    drafts are (id, text, at), matches (id, ordinal, chapter, verse). A record saved again gets a new revision, its number of jobs so far, so
+    that what is still on its way for the old text comes too late.
+    """
+    records, known, jobs = tables("records", RECORD), tables("matches", MATCH), tables("jobs", JOB)
+    new = save(records, drafts.select("id", "text", "at"), ["id"])
+    before = jobs.groupBy("id", "language").agg(F.max("revision").alias("revision"))
+    asked = drafts.select("id").distinct().crossJoin(F.broadcast(drafts.sparkSession.createDataFrame([(x,) for x in languages], "language string")))
+    waiting = asked.join(before, ["id", "language"], "left").select("id", "language", (F.coalesce("revision", F.lit(0)) + 1).alias("revision"), F.lit("pending").alias("state"), F.lit(0).alias("attempts"))
+    return {"records": new.select("id", "text", "at", "display_sequence"), "matches": saved_matches(known, drafts.select("id").distinct().join(matches, "id", "left"), "id"), "jobs": upsert(jobs, waiting, ["id", "language"])}
+
+
+def finished_jobs(tables: Callable[..., DataFrame], results: DataFrame, most: int = 3) -> dict[str, DataFrame]:
+    """A change of jobs and translations by results (id, language, revision, text, error): only those of a job's present revision count.
+
+    A text ends its job and replaces the translation; an error puts the job back, after as many attempts it fails.
+    """
+    jobs, done = tables("jobs", JOB), tables("translations", DONE)
+    current = still_current(results, jobs.where(F.col("state").isin("pending", "running")), ["id", "language"], "revision")
+    joined = jobs.join(current.select("id", "language", "revision", F.col("text").isNotNull().alias("_done")), ["id", "language", "revision"], "left")
+    tried = F.col("attempts") + F.when(F.col("_done").isNull(), 0).otherwise(1)
+    state = F.when(F.col("_done").isNull(), F.col("state")).when(F.col("_done"), "done").when(tried >= most, "failed").otherwise("pending")
+    texts = current.where("text is not null").select("id", "language", "revision", "text")
+    return {"jobs": joined.select("id", "language", "revision", state.alias("state"), tried.cast("int").alias("attempts")), "translations": upsert(done, texts, ["id", "language"])}
+
+
+def deleted_records(tables: Callable[..., DataFrame], gone: DataFrame) -> dict[str, DataFrame]:
+    """A change of all tables that deleting records means."""
+    kinds = {"records": RECORD, "matches": MATCH, "jobs": JOB, "translations": DONE}
+    return {name: without(tables(name, schema), gone, ["id"]) for name, schema in kinds.items()}
