@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -14,16 +14,23 @@ def dealt(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's checkpoint folder, or spark.checkpoint.dir, or a new one for a local session without it."""
+    known = spark.sparkContext.getCheckpointDir()
+    if known:
+        return known
+    where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        where = f"file://{tempfile.mkdtemp(prefix='spanloom-')}"
+    spark.sparkContext.setCheckpointDir(where)
+    return spark.sparkContext.getCheckpointDir()
+
+
 def kept(df: DataFrame) -> DataFrame:
-    """df as written to the checkpoint folder: spark.checkpoint.dir, or a new one for a local session without it."""
-    spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
-        where = spark.conf.get("spark.checkpoint.dir", None)
-        if not where:
-            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            where = f"file://{tempfile.mkdtemp(prefix='spanloom-')}"
-        spark.sparkContext.setCheckpointDir(where)
+    """df as written to the checkpoint folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
 from spanloom.sources.tables import read, verses
-from spanloom.streaming import folds, live, tracking
+from spanloom.streaming import folds, live, tracking, transcribe
 from spanloom.streaming import segments as S
 from spanloom.streaming import windows as W
 
@@ -201,6 +202,41 @@ def track_recitals(spark: SparkSession, d: str) -> DataFrame:
     return tracking.track(rows)
 
 
+@query()
+def windowed_words(spark: SparkSession, d: str) -> DataFrame:
+    """session, word, start, end: conversations as frames of 0.08 seconds, a word three frames and a blank, in windows of 30 seconds, overlapping or cut after every fifth turn."""
+    said = verses(spark, d).select(F.col("chapter").alias("session"), "verse", F.posexplode(T.words(T.normalize(F.col("text")))).alias("at", "w"))
+    last = F.max("at").over(Window.partitionBy("session", "verse"))
+    said = said.withColumn("cut", (F.col("verse") % 5 == 4) & (F.col("at") == last))
+    token = (F.pmod(F.crc32(F.col("w").cast("binary")), F.lit(997)) + 1).cast("int")
+    frames = said.select("session", (F.col("verse") * 1_000_000 + F.col("at") * 4).alias("n"), F.explode(F.array(*(F.struct(F.lit(k).alias("k"), token.alias("token")) for k in range(3)), F.struct(F.lit(3).alias("k"), F.lit(0).alias("token")))).alias("f"), "cut")
+    rows = frames.select("session", (F.col("n") + F.col("f.k")).alias("n"), F.lit(0.08).alias("seconds"), F.col("f.token").alias("token"), (F.col("cut") & (F.col("f.k") == 3)).alias("pause"))
+    out = transcribe.transcribed(rows, {k: f"\u2581w{k}" for k in range(1, 998)}, 0)
+    return out.select("session", "word", F.round("start", 3).alias("start"), F.round("end", 3).alias("end"))
+
+
+@query("""WITH d AS (SELECT CAST(o_orderkey AS VARCHAR) AS id, o_orderstatus = 'F' AS again, o_orderpriority AS text FROM orders),
+m AS (SELECT CAST(l_orderkey AS VARCHAR) AS id, count(*) AS n, count(*) FILTER (l_linenumber = 1) AS first FROM lineitem GROUP BY 1)
+SELECT d.id, CASE WHEN again THEN upper(text) || '!' ELSE text END AS text, row_number() OVER (ORDER BY d.id) AS display_sequence,
+       CAST(CASE WHEN again THEN 2 ELSE 1 END AS BIGINT) AS revision, CASE WHEN again THEN coalesce(first, 0) ELSE coalesce(n, 0) END AS n_matches
+FROM d LEFT JOIN m ON m.id = d.id""")
+def saved_in_versions(spark: SparkSession, d: str) -> DataFrame:
+    """Orders saved as records with their lines, those that are done a second time, and that batch once more: records, revisions and matches of the last version."""
+    from spanloom.operators import store
+    from spanloom.operators.deal import checkpoint_folder
+    from spanloom.sources.versions import Versions
+
+    o = read(spark, d, "orders").select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_orderpriority").alias("text"), F.col("o_orderdate").cast("timestamp").alias("at"), "o_orderstatus")
+    lines = read(spark, d, "lineitem").select(F.col("l_orderkey").cast("string").alias("id"), F.col("l_linenumber").cast("int").alias("ordinal"), F.col("l_partkey").cast("int").alias("chapter"), F.col("l_suppkey").cast("int").alias("verse"))
+    again = o.where("o_orderstatus = 'F'").withColumn("text", F.concat(F.upper("text"), F.lit("!")))
+    versions = Versions(spark, f"{checkpoint_folder(spark)}/versions-{uuid.uuid4().hex}")
+    for number, drafts, matches in ((0, o, lines), (1, again, lines.where("ordinal = 1")), (1, again, lines)):
+        versions.update(lambda tables, drafts=drafts, matches=matches: store.saved_records(tables, drafts, matches, ["en"]), ("orders", number))
+    n = versions.table("matches").groupBy("id").agg(F.count("*").alias("n_matches"))
+    revision = versions.table("jobs").select("id", "revision")
+    return versions.table("records").join(revision, "id").join(n, "id", "left").select("id", "text", "display_sequence", "revision", F.coalesce("n_matches", F.lit(0)).cast("long").alias("n_matches"))
+
+
 @query()
 def audio_segments(spark: SparkSession, d: str) -> DataFrame:
     """user_id, start, end: each user's events as frames of 0.2 seconds, cut at pauses."""
