@@ -34,6 +34,8 @@ BLOCK = 4_000_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Characters scanned at once; longer texts are scanned in pieces that overlap by a q-gram.
 PIECE = 1 << 21
+#: Shared q-grams that are held at once, and the least diagonals of a range of them.
+HITS, LEAST = 1 << 19, 64
 
 
 def plain(text: str | None) -> str:
@@ -128,8 +130,10 @@ class Block:
         of = np.repeat(np.arange(len(items)), [len(h) for h in hashes])
         at = np.concatenate([np.arange(len(h)) for h in hashes]) if hashes else np.empty(0, int)
         h = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-        order = np.argsort(h, kind="stable")
-        self.hash, self.item, self.at = h[order], of[order], at[order].astype(np.int64)
+        order = np.lexsort((at, h))
+        self.item, self.at, h = of[order], at[order].astype(np.int64), h[order]
+        self.hash, rank, self.times = np.unique(h, return_inverse=True, return_counts=True)
+        self.place = rank.astype(np.int64) << 32 | self.at
         n = np.array([min(len(c), span) for c in self.codes], np.int64)
         self.width = np.maximum(1, (n * errors).astype(np.int64))
         self.least = np.array([max(1, self.need(int(x))) for x in n], np.int64)
@@ -141,20 +145,40 @@ class Block:
         """Shared q-grams that a window of n characters has at least."""
         return n + 1 - (int(n * self.errors) + 1) * self.q
 
-    def hits(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Position in the text, item and position in the item of each shared q-gram."""
-        where, left, right = [], [], []
+    def shared(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions in the text of q-grams that items have, and which of the grams each is."""
+        where, rank = [], []
         for i in range(0, len(codes), PIECE):
             h = grams(codes[i : i + PIECE + self.q - 1], self.q)
             p = np.flatnonzero(self.seen[(h >> np.uint64(64 - self.bits)).astype(np.int64)])
-            lo, hi = np.searchsorted(self.hash, h[p], "left"), np.searchsorted(self.hash, h[p], "right")
-            there = hi > lo
+            k = np.minimum(np.searchsorted(self.hash, h[p]), max(len(self.hash) - 1, 0))
+            there = self.hash[k] == h[p] if len(self.hash) else np.zeros(len(p), bool)
             where.append(p[there] + i)
-            left.append(lo[there])
-            right.append(hi[there])
-        where, left, n = np.concatenate(where), np.concatenate(left), np.concatenate(right) - np.concatenate(left)
-        k = np.repeat(left, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        return np.repeat(where, n), self.item[k], self.at[k]
+            rank.append(k[there])
+        return np.concatenate(where), np.concatenate(rank)
+
+    def hits(self, codes: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int, int]]:
+        """Position in the text, item and position in the item of each shared q-gram, for one range of diagonals after the other, and the range.
+
+        A range holds about ``HITS``, however often a gram repeats in text and items, and what a band that begins in it may have beyond it.
+        """
+        where, rank = self.shared(codes)
+        if not len(where):
+            return
+        total, longest, room = np.cumsum(self.times[rank]), int(self.at.max()) + 1, 2 * int(self.width.max()) + 1
+        first, last = int(where[0]) - longest - room, int(where[-1]) + 1
+        while first < last:
+            begun = int(np.searchsorted(where, first))
+            k = int(np.searchsorted(total, (total[begun - 1] if begun else 0) + HITS))
+            end = max(int(where[k]) if k < len(where) else last, first + LEAST)
+            mine = slice(begun, int(np.searchsorted(where, end + room + longest)))
+            p, of = where[mine], rank[mine] << 32
+            lo = np.searchsorted(self.place, of | np.clip(p - end - room + 1, 0, longest))
+            hi = np.searchsorted(self.place, of | np.clip(p - first, 0, longest), "right")
+            n = np.where(p >= first, np.maximum(hi - lo, 0), 0)
+            at = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            yield np.repeat(p, n), self.item[at], self.at[at], first, end
+            first = end
 
     def leaks(self, text: str | None) -> list[tuple[int, int, int, int, int, int]]:
         """Item, first and end in the text made plain, first and end in the item, edits; the best one of each item."""
@@ -168,14 +192,14 @@ class Block:
                     found.append((self.ids[k], p, p + len(self.codes[k]), 0, len(self.codes[k]), 0))
         if len(codes) >= self.q:
             best: dict[int, tuple] = {}
-            for k, low, p, at in self.regions(*self.hits(codes)):
+            for k, low, p, at in (r for part in self.hits(codes) for r in self.regions(*part)):
                 if (k not in best or best[k][4]) and (got := self._align(codes, self.codes[k], low, p, at)) and (k not in best or got[4] < best[k][4]):
                     best[k] = got
             found += [(self.ids[k], *x) for k, x in best.items()]
         return sorted(found)
 
-    def regions(self, p: np.ndarray, item: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """Item, first diagonal, and hits, of every diagonal band with as many hits as a window needs.
+    def regions(self, p: np.ndarray, item: np.ndarray, at: np.ndarray, first: int, end: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Item, first diagonal, and hits, of every diagonal band that begins in a range and has as many hits as a window needs.
 
         A window's q-grams keep within as many diagonals as it may have edits; bands are twice as wide and overlap by half.
         """
@@ -188,9 +212,10 @@ class Block:
             order = np.argsort(group, kind="stable")
             of, start, n = np.unique(group[order], return_index=True, return_counts=True)
             for g, s, c in zip(of.tolist(), start.tolist(), n.tolist(), strict=True):
-                if c >= self.least[k := g >> 40]:
+                low = int(((g & (1 << 40) - 1) - (1 << 39)) * 2 - shift) * int(self.width[k := g >> 40])
+                if c >= self.least[k] and first <= low < end:
                     mine = order[s : s + c]
-                    yield k, int(((g & (1 << 40) - 1) - (1 << 39)) * 2 - shift) * int(self.width[k]), p[mine], at[mine]
+                    yield k, low, p[mine], at[mine]
 
     def _align(self, text: np.ndarray, item: np.ndarray, low: int, p: np.ndarray, at: np.ndarray) -> tuple | None:
         """The best window of an item in one band of diagonals from low."""

@@ -191,9 +191,10 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
 
 def redacted(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFrame:
-    """docs with every span of every text replaced by a mark. Rows are told apart by a number of their own, so keys may be null or repeat."""
-    docs, names = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "secrets-rows"), docs.columns
-    found = scan(docs, "_row", text).where(F.size("spans") > 0).select("_row", F.col("spans").alias("_spans"))
+    """docs with every span of every text replaced by a mark. Rows are told apart by a number of their own, so keys may be null or repeat; columns may have any names, as they have none of theirs inside."""
+    names, whole = docs.columns, f"c{docs.columns.index(text)}"
+    docs = stored(docs.toDF(*(f"c{i}" for i in range(len(names)))).withColumn("_row", F.monotonically_increasing_id()), "secrets-rows")
+    found = scan(docs, "_row", whole).where(F.size("spans") > 0).select("_row", F.col("spans").alias("_spans"))
     found = running(found.withColumn("_ends", F.transform("_spans", lambda s: s["end"])), {"_reach": ("_ends", F.greatest)})
     # from where on each span's text before it is kept: the furthest end of the spans before
     at = F.zip_with("_spans", F.slice(F.concat(F.array(F.lit(0)), "_reach"), F.lit(1), F.size("_spans")), lambda s, a: F.struct(a.alias("at"), s["start"].alias("start"), s["end"].alias("end")))
@@ -203,8 +204,9 @@ def redacted(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> Dat
     # pieces are taken from blocks of the text, since counting characters from its start for each would be their square
     piece = lambda whole, first: lambda s: whole.substr(s["at"] - first + 1, F.greatest(s["start"] - s["at"], F.lit(0)))
     chunks = F.transform(F.sequence(F.lit(0), F.greatest(F.size("_cuts") - 1, F.lit(0)), F.lit(CHUNK)), lambda i: F.slice("_cuts", i + 1, CHUNK))
-    blocks = F.transform(chunks, lambda c: F.struct(c.alias("cuts"), c[0]["at"].alias("at"), F.col(text).substr(c[0]["at"] + 1, F.element_at(c, -1)["end"] - c[0]["at"]).alias("block")))
+    blocks = F.transform(chunks, lambda c: F.struct(c.alias("cuts"), c[0]["at"].alias("at"), F.col(whole).substr(c[0]["at"] + 1, F.element_at(c, -1)["end"] - c[0]["at"]).alias("block")))
     joined = joined.withColumn("_blocks", F.when(F.size("_cuts") > 0, blocks))
     kept = F.flatten(F.transform("_blocks", lambda b: F.transform(b["cuts"], piece(b["block"], b["at"]))))
-    new = F.concat(F.array_join(kept, mark), F.lit(mark), F.col(text).substr(F.col("_rest") + 1, F.char_length(text)))
-    return joined.withColumn(text, F.when(F.col("_blocks").isNotNull(), new).otherwise(F.col(text))).select(names)
+    new = F.concat(F.array_join(kept, mark), F.lit(mark), F.col(whole).substr(F.col("_rest") + 1, F.char_length(whole)))
+    out = joined.withColumn(whole, F.when(F.col("_blocks").isNotNull(), new).otherwise(F.col(whole)))
+    return out.select(*(f"c{i}" for i in range(len(names)))).toDF(*names)

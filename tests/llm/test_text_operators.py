@@ -612,3 +612,40 @@ def test_components_that_do_not_settle_are_an_error(spark):
 def test_language_stage_without_profiles(spark):
     docs = spark.createDataFrame([(1, "plain words", None), (None, "more words", None), (3, "12 34", None), (4, None, None)], "doc_id long, text string, lang string")
     assert {r["text"] for r in langid.known_language(docs, langid.learn(docs)).collect()} == {"plain words", "more words"}
+
+
+def test_ranges_of_diagonals_find_the_same_leaks(monkeypatch):
+    """Repetitive items and texts, windows anywhere, edits: whatever is held at once."""
+    rng = random.Random(23)
+    line = lambda n, letters="abc": "".join(rng.choice(letters) for _ in range(n))
+    items = [(k, line(rng.randint(20, 200))) for k in range(12)] + [(20, "a" * 150), (21, "ab" * 60), (22, line(90, "abcdefgh "))]
+    texts = [line(rng.randint(0, 60)) + t[rng.randint(0, 9) :] + line(rng.randint(0, 60)) for _, t in items] + ["a" * 400, "ab" * 200, line(500), "", None]
+    whole = decontaminate.Block(items, 12, 80, 0.0625)
+    expected = [whole.leaks(t) for t in texts]
+    assert sum(map(len, expected)) >= 12
+    for hits, least in ((50, 1), (400, 7)):
+        monkeypatch.setattr(decontaminate, "HITS", hits)
+        monkeypatch.setattr(decontaminate, "LEAST", least)
+        for t, want in zip(texts, expected, strict=True):
+            assert [(x[0], x[5]) for x in whole.leaks(t)] == [(x[0], x[5]) for x in want]
+
+
+def test_repetitive_texts_take_bounded_memory():
+    import tracemalloc
+
+    block = decontaminate.Block([(1, "=" * 80 + line) for line in ("", " title")] + [(2, "x" * 2000), (3, "y" * 300 + "z" * 40)], 12, 80, 0.0625)
+    tracemalloc.start()
+    found = {x[0] for x in block.leaks("head " + "=" * 1_000_000 + " tail")}
+    found |= {x[0] for x in block.leaks("x" * 20_000)} | {x[0] for x in block.leaks("y" * 60 + "z" * 30_000)}
+    assert tracemalloc.get_traced_memory()[1] < 1e9
+    tracemalloc.stop()
+    assert found == {1, 2, 3}
+
+
+def test_redaction_takes_columns_of_any_name(spark):
+    names = ["_row", "_cuts", "_rest", "_spans", "_blocks", "uid", "c0", "text", "base", "a b.c", "n"]
+    rows = [tuple(f"v{k}" if n != "text" else ("key: password=hunter22secret end" if k else None) for n in names) for k in range(2)]
+    out = secrets.redacted(spark.createDataFrame(rows, ", ".join(f"`{n}` string" for n in names)))
+    assert out.columns == names
+    got = sorted((tuple(r) for r in out.collect()), key=lambda r: r[0])
+    assert got == [rows[0], tuple("key: [secret] end" if n == "text" else "v1" for n in names)]
