@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
+from spanloom.plans.relations import normal
 from spanloom.sources.tables import read, verses
 from spanloom.streaming import folds, live, tracking, transcribe
 from spanloom.streaming import segments as S
@@ -115,13 +116,37 @@ def bounded_windows(spark: SparkSession, d: str) -> DataFrame:
     return grid.select("user_id", "event_id", "n", moved.alias("start")).distinct().select("user_id", "event_id", "start", F.least(at + 30, n).alias("end"))
 
 
-@query()
+@query("""WITH RECURSIVE l AS (SELECT user_id AS session, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k,
+  round(abs(value) / 1000 * CASE WHEN event_id % 7 < 4 THEN 0.01 ELSE 1.0 END, 9) AS rms, round(abs(value) / 1000 * 4, 9) AS peak FROM events),
+f AS (
+  SELECT DISTINCT session, CAST(0 AS BIGINT) AS k, CAST(0 AS DOUBLE) AS start, CAST(0 AS DOUBLE) AS now, CAST(0 AS DOUBLE) AS silent, CAST(-1 AS DOUBLE) AS level, CAST(0 AS DOUBLE) AS peak,
+    CAST(0 AS DOUBLE) AS began, CAST(NULL AS VARCHAR) AS reason, false AS speech FROM l
+  UNION ALL
+  SELECT session, k2, CASE WHEN why = 'maxDuration' THEN now2 - least(now2 - start, 1.0) WHEN why IS NOT NULL THEN now2 ELSE start END, now2,
+    CASE WHEN why IS NULL THEN silent2 ELSE 0 END, level2, CASE WHEN why IS NULL THEN peak2 ELSE 0 END, start, why, peak2 >= greatest(0.008, level2) * 3.0
+  FROM (SELECT *, CASE WHEN silent2 >= 1.2 AND now2 - start >= 0.8 THEN 'silence' WHEN now2 - start >= 30.0 THEN 'maxDuration' END AS why
+    FROM (SELECT *, CASE WHEN rms < greatest(0.008, level2 * 2.0) THEN silent + 0.5 ELSE 0 END AS silent2
+      FROM (SELECT f.*, l.k AS k2, l.rms, least(l.rms, CASE WHEN f.level < 0 THEN 0.008 ELSE f.level * 1.02 END) AS level2, f.now + 0.5 AS now2, greatest(f.peak, l.peak) AS peak2
+        FROM f JOIN l ON l.session = f.session AND l.k = f.k + 1) a) b) c)
+SELECT session, round(began, 6) AS start, round(now, 6) AS "end", reason, speech AS has_speech FROM f WHERE reason IS NOT NULL
+UNION ALL
+SELECT session, round(start, 6), round(now, 6), 'stopped', peak >= greatest(0.008, level) * 3.0
+FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY session ORDER BY k DESC) = 1) z WHERE now - start >= 0.4""")
 def segment_utterances(spark: SparkSession, d: str) -> DataFrame:
     c = S.SegmenterConfig()
     return folds.run_batch(S.levels(events(spark, d)), "session", "n", S.Segmenter, lambda s, x: S.segment_step(s, x, c), S.SEGMENT, lambda s: S.segment_flush(s, c))
 
 
-@query()
+@query(f"""WITH RECURSIVE l AS (SELECT CAST(conv_id AS INTEGER) AS chapter, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k,
+  list_filter(string_split(regexp_replace(coalesce(text, ''), '{T.SPACES}', ' ', 'g'), ' '), lambda w: w <> '') AS new FROM conversations),
+n AS (SELECT *, list_transform(new, lambda w: {normal("w")}) AS flat FROM l),
+f AS (
+  SELECT DISTINCT chapter, CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS tail, 0 AS count, CAST([] AS VARCHAR[]) AS added FROM l
+  UNION ALL
+  SELECT chapter, k2, list_slice(list_concat(tail, flat[same + 1:]), -80, -1), CAST(count + len(new) - same AS INTEGER), new[same + 1:]
+  FROM (SELECT f.*, n.k AS k2, n.new, n.flat, coalesce(list_max(list_filter(range(1, least(len(n.new), 80, len(f.tail)) + 1), lambda i: (i >= 2 OR i = len(n.flat)) AND list_slice(f.tail, -i, -1) = n.flat[1:i])), 0) AS same
+    FROM f JOIN n ON n.chapter = f.chapter AND n.k = f.k + 1) a)
+SELECT chapter, count, md5(array_to_string(added, ' ')) AS digest FROM f WHERE len(added) > 0""")
 def stitch_stream(spark: SparkSession, d: str) -> DataFrame:
     v = verses(spark, d).select("chapter", F.col("verse").alias("n"), "text")
     return folds.run_batch(v, "chapter", "n", S.Stitcher, S.stitch_step, S.STITCHED).select("chapter", "count", F.md5("added").alias("digest"))
@@ -145,7 +170,41 @@ def timed_reconcile(spark: SparkSession, d: str) -> DataFrame:
     return folds.run_batch(rows, "chapter", "n", S.Reconciler, step_of, S.TIMED)
 
 
-@query()
+#: SQL of a look of live_windows at the columns start, now2, ref, leader, rounds, committed, read, end_frame and follows.
+LOOK = """(SELECT *, CASE WHEN commits AND (follows OR committed = '') AND ahead > 0 AND start < cut AND cut < now2 THEN cut ELSE start END AS start2
+  FROM (SELECT *, from2 + least(ahead, 0.6 * (now2 - from2)) AS cut, stable AND ref <> committed AND read >= 6 - 1e-9 AS commits
+    FROM (SELECT *, (end_frame + 1) / 50 * (now2 - from2) - 1.0 AS ahead, ref <> '' AND rounds2 >= 2 AS stable
+      FROM (SELECT *, greatest(start, now2 - 15.0) AS from2, CASE WHEN ref <> '' AND ref = leader THEN rounds + 1 WHEN ref <> '' THEN 1 ELSE rounds END AS rounds2 FROM {of}) a) b) c)"""
+#: SQL of a chunk that is added to the window: whether it ends, is looked at, holds speech, and gives a row; and of the windows that sessions end with.
+HEARD = """(SELECT * EXCLUDE (stable, commits), speech AND (ends OR looks AND now2 - start >= 1.2 - 1e-9) AS shows
+      FROM (SELECT *, p90 >= greatest(0.004, 2.5 * median, 2.0 * room2) AS speech
+        FROM (SELECT *, CASE WHEN NOT ends AND NOT looks THEN room WHEN room = 0 THEN median ELSE least(median, room * 1.02) END AS room2
+          FROM (SELECT *, now2 - sounded2 > 1.5 - 1e-9 AS ends, NOT (now2 - sounded2 > 1.5 - 1e-9) AND now2 - looked >= 0.75 - 1e-9 AS looks
+            FROM (SELECT f.*, l.k AS k2, l.median, l.p90, l.ref, l.read, l.end_frame, l.follows, f.now + 0.5 AS now2, CASE WHEN l.rms >= 0.012 THEN f.now + 0.5 ELSE f.sounded END AS sounded2
+              FROM f JOIN l ON l.session = f.session AND l.k = f.k + 1) x) y) z) v) w"""
+LAST = "(SELECT z.* FROM z JOIN ends USING (session, k)) zz"
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT user_id AS session, event_id, abs(value) / 1000 AS level, CASE WHEN event_id % 13 = 0 THEN '' ELSE '1:' || CAST(event_id // 300 AS VARCHAR) END AS ref FROM events),
+l AS (SELECT session, row_number() OVER w AS k, round(level * CASE WHEN event_id % 29 < 6 THEN 0.01 ELSE 1.0 END, 9) AS rms, round(level * 0.3, 9) AS median, round(level * CASE WHEN event_id % 5 = 0 THEN 0.5 ELSE 1.0 END, 9) AS p90,
+  ref, event_id % 9 AS read, event_id % 40 AS end_frame,
+  coalesce(CAST(nullif(split_part(ref, ':', 2), '') AS BIGINT) - CAST(nullif(split_part(lag(ref) OVER w, ':', 2), '') AS BIGINT) BETWEEN 0 AND 3, true) AS follows FROM e WINDOW w AS (PARTITION BY session ORDER BY event_id)),
+f AS (
+  SELECT DISTINCT session, CAST(0 AS BIGINT) AS k, CAST(0 AS DOUBLE) AS start, CAST(0 AS DOUBLE) AS now, CAST(0 AS DOUBLE) AS looked, CAST(0 AS DOUBLE) AS sounded, CAST(0 AS DOUBLE) AS room, '' AS leader, 0 AS rounds, '' AS committed,
+    false AS shown, false AS final, '' AS told, false AS stable, false AS commits, CAST(0 AS DOUBLE) AS seconds, CAST(0 AS DOUBLE) AS advanced FROM l
+  UNION ALL
+  SELECT session, k2, CASE WHEN ends THEN now2 WHEN shows THEN start2 ELSE start END, now2, CASE WHEN ends OR looks AND (NOT speech OR shows) THEN now2 ELSE looked END, CASE WHEN ends THEN now2 ELSE sounded2 END, room2,
+    CASE WHEN ends THEN '' WHEN shows AND ref <> '' THEN ref ELSE leader END, CASE WHEN ends THEN 0 WHEN shows THEN rounds2 ELSE rounds END, CASE WHEN shows AND commits2 THEN ref ELSE committed END,
+    shows, ends, ref, stable2, commits2, now2 - from2, start2 - start
+  FROM (SELECT * EXCLUDE (stable, commits), stable AS stable2, commits AS commits2
+    FROM {LOOK.format(of=HEARD)} u) t),
+z AS (SELECT f.* EXCLUDE (stable, commits), f.now AS now2, l.ref, l.read, l.end_frame, l.follows FROM f JOIN l USING (session, k)
+  WHERE f.now > f.start AND l.p90 >= greatest(0.004, 2.5 * l.median, 2.0 * CASE WHEN f.room = 0 THEN l.median ELSE least(l.median, f.room * 1.02) END)
+  QUALIFY f.k = max(f.k) OVER (PARTITION BY session)),
+ends AS (SELECT session, max(k) AS k FROM f GROUP BY session)
+SELECT session, final, told AS ref, stable, commits AS committed, round(seconds, 6) AS seconds, round(advanced, 6) AS advanced FROM f WHERE shown
+UNION ALL
+SELECT session, true, ref, stable, commits, round(now2 - from2, 6), round(start2 - start, 6) FROM {LOOK.format(of=LAST)}""")
 def live_windows(spark: SparkSession, d: str) -> DataFrame:
     """session and the windows listened to: events as half seconds of sound with what a recogniser would say of them."""
     e = events(spark, d)
@@ -175,7 +234,22 @@ def final_sequence(spark: SparkSession, d: str) -> DataFrame:
     return folds.run_batch(rows, "session", "n", live.Hypotheses, step, live.FINAL, live.hypothesis_flush)
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id AS session, row_number() OVER w AS k, ref, lag(ref) OVER w AS before, score, margin
+  FROM (SELECT *, CASE WHEN event_id % 9 = 0 THEN '' ELSE '1:' || CAST(event_id // 150 AS VARCHAR) END AS ref, round(least(abs(value) / 100, 1.0), 6) AS score, round((event_id % 20) / 100, 6) AS margin FROM events) x
+  WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
+l AS (SELECT *, coalesce(CAST(nullif(split_part(ref, ':', 2), '') AS BIGINT) - CAST(nullif(split_part(before, ':', 2), '') AS BIGINT) BETWEEN 1 AND 3, false) AS next FROM e),
+f AS (
+  SELECT DISTINCT session, CAST(0 AS BIGINT) AS k, '' AS committed, '' AS leader, 0 AS repeats, 0 AS stale, CAST(NULL AS VARCHAR) AS kind, '' AS told, CAST(0 AS DOUBLE) AS score FROM l
+  UNION ALL
+  SELECT session, k2, CASE WHEN gone THEN '' WHEN commits THEN ref ELSE committed END, ref, CASE WHEN ref = '' THEN 0 ELSE again END,
+    CASE WHEN gone OR commits THEN 0 WHEN ref = '' THEN stale + 1 WHEN ref = committed THEN 0 ELSE stale END,
+    CASE WHEN gone THEN 'rollback' WHEN ref = '' THEN NULL WHEN commits THEN 'verse_match' ELSE 'verse_candidate' END, CASE WHEN gone THEN committed ELSE ref END, CASE WHEN gone THEN 0 ELSE score2 END
+  FROM (SELECT *, ref = '' AND committed <> '' AND stale + 1 >= 4 AS gone,
+      ref <> '' AND ref <> committed AND score2 >= CASE WHEN committed <> '' THEN 0.45 ELSE 0.75 END AND NOT (committed <> '' AND NOT follows AND again < 2)
+      AND (margin >= CASE WHEN follows THEN 0.06 ELSE 0.12 END OR again >= 2) AS commits
+    FROM (SELECT f.*, l.k AS k2, l.ref, l.score AS score2, l.margin, l.next AND f.committed <> '' AS follows, CASE WHEN l.ref = f.leader THEN f.repeats + 1 ELSE 1 END AS again
+      FROM f JOIN l ON l.session = f.session AND l.k = f.k + 1) a) b)
+SELECT session, kind, told AS ref, score FROM f WHERE kind IS NOT NULL""")
 def flush_tracker(spark: SparkSession, d: str) -> DataFrame:
     """session and tracker events: events as recognised refs with scores and margins."""
     ref = F.when(F.col("event_id") % 9 == 0, "").otherwise(T.ref_key(F.lit(1), F.floor(F.col("event_id") / 150)))

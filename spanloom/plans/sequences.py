@@ -261,7 +261,10 @@ def best_path(spark: SparkSession, d: str) -> DataFrame:
     return cycles.mapInPandas(run, "conv_id long, path string")
 
 
-@query
+@query_sql("""WITH b AS (SELECT conv_id, turn, role, hex(encode(coalesce(text, ''))) AS h FROM conversations),
+f AS (SELECT *, list_reduce(list_prepend(CAST(14695981039346656037 AS HUGEINT), list_transform(range(1, len(h), 2), lambda i: CAST(CAST('0x' || substr(h, i, 2) AS INTEGER) AS HUGEINT))),
+  lambda a, x: (xor(a, x) * 1099511628211) % 18446744073709551616) AS fnv FROM b)
+SELECT conv_id, turn, concat_ws('|', lower(printf('%016x', CAST(fnv AS UBIGINT))), role, '1') AS cache_key FROM f""")
 def stable_hash(spark: SparkSession, d: str) -> DataFrame:
     """conv_id, turn, cache_key: FNV-1a of the text, in a key of several parts."""
     @F.pandas_udf("string")
