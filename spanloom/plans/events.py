@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
-from spanloom.plans.relations import normal
+from spanloom.plans.relations import normal, split
 from spanloom.sources.tables import read, verses
 from spanloom.streaming import folds, live, tracking, transcribe
 from spanloom.streaming import segments as S
@@ -152,7 +152,17 @@ def stitch_stream(spark: SparkSession, d: str) -> DataFrame:
     return folds.run_batch(v, "chapter", "n", S.Stitcher, S.stitch_step, S.STITCHED).select("chapter", "count", F.md5("added").alias("digest"))
 
 
-@query()
+@query(f"""WITH RECURSIVE w AS (SELECT CAST(conv_id AS INTEGER) AS chapter, turn, row_number() OVER v AS k, turn = max(turn) OVER (PARTITION BY conv_id) AS final, turn * CAST(4 AS DOUBLE) AS begun, {split("text")} AS w FROM conversations WINDOW v AS (PARTITION BY conv_id ORDER BY turn)),
+l AS (SELECT chapter, k, final, begun, list_transform(range(1, len(w) + 1), lambda i: struct_pack(w := w[i], a := round(begun + (i - 1) * (CAST(5 AS DOUBLE) / len(w)), 6), b := round(begun + i * (CAST(5 AS DOUBLE) / len(w)), 6))) AS words FROM w),
+f AS (
+  SELECT DISTINCT chapter, CAST(0 AS BIGINT) AS k, CAST([] AS STRUCT(w VARCHAR, a DOUBLE, b DOUBLE)[]) AS pending, CAST(NULL AS DOUBLE) AS boundary, CAST([] AS STRUCT(w VARCHAR, a DOUBLE, b DOUBLE)[]) AS told FROM l
+  UNION ALL
+  SELECT chapter, k2, waiting[settled + 1:], CASE WHEN settled > 0 THEN waiting[settled].b ELSE boundary END, waiting[1:settled]
+  FROM (SELECT *, CASE WHEN final THEN len(waiting) ELSE least(len(list_filter(range(1, len(waiting) + 1), lambda i: list_max(list_transform(waiting[1:i], lambda x: x.b)) <= begun + 5 - 2.0)), greatest(len(waiting) - 1, 0)) END AS settled
+    FROM (SELECT f.chapter, f.boundary, l.k AS k2, l.final, l.begun, list_concat(list_filter(f.pending, lambda x: x.b < l.begun), list_filter(l.words, lambda x: f.boundary IS NULL OR x.b > f.boundary + 0.12 AND (x.a >= f.boundary - 0.12 OR (x.a + x.b) / 2 > f.boundary))) AS waiting
+      FROM f JOIN l ON l.chapter = f.chapter AND l.k = f.k + 1) a) b),
+o AS (SELECT chapter, unnest(told) AS x FROM f)
+SELECT chapter, x.w AS word, x.a AS start, x.b AS "end" FROM o""")
 def timed_reconcile(spark: SparkSession, d: str) -> DataFrame:
     """chapter and committed words: each verse a window of 5 seconds, 4 after the last, its words evenly spread."""
     w = T.words(T.normalize(F.col("text")))
@@ -311,7 +321,19 @@ def saved_in_versions(spark: SparkSession, d: str) -> DataFrame:
     return versions.table("records").join(revision, "id").join(n, "id", "left").select("id", "text", "display_sequence", "revision", F.coalesce("n_matches", F.lit(0)).cast("long").alias("n_matches"))
 
 
-@query()
+@query("""WITH RECURSIVE e AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, round(abs(value), 6) AS rms FROM events),
+t AS (SELECT user_id, greatest(1e-5, list_sort(list(rms))[count(*) // 2 + 1] * 0.4) AS t, max(rms) AS m, max(n) * CAST(0.2 AS DOUBLE) AS total FROM e GROUP BY 1),
+q AS (SELECT e.user_id, n, n - row_number() OVER (PARTITION BY e.user_id ORDER BY n) AS g FROM e JOIN t ON e.user_id = t.user_id WHERE rms < t AND m >= 1e-5),
+r AS (SELECT user_id, min(n) AS first, max(n) AS last FROM q GROUP BY user_id, g HAVING (max(n) - min(n) + 1) * 0.2 >= 0.4 - 1e-9),
+l AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY first) AS k, (first + last + 1) / 2 * CAST(0.2 AS DOUBLE) AS middle FROM r),
+f AS (
+  SELECT user_id, CAST(total AS DOUBLE) AS total, CAST(0 AS BIGINT) AS k, CAST(0 AS DOUBLE) AS last, CAST(0 AS DOUBLE) AS began, false AS cut FROM t
+  UNION ALL
+  SELECT user_id, total, k2, CASE WHEN cuts THEN middle ELSE last END, last, cuts
+  FROM (SELECT f.*, l.k AS k2, l.middle, l.middle - f.last >= 2.0 AND f.total - l.middle >= 1.0 AS cuts FROM f JOIN l ON l.user_id = f.user_id AND l.k = f.k + 1) a)
+SELECT user_id, began AS start, last AS "end" FROM f WHERE cut
+UNION ALL
+SELECT user_id, last, total FROM (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY k DESC) = 1) z WHERE total > last""")
 def audio_segments(spark: SparkSession, d: str) -> DataFrame:
     """user_id, start, end: each user's events as frames of 0.2 seconds, cut at pauses."""
     from spanloom.operators import choices

@@ -14,6 +14,7 @@ from spanloom.functions import text as T
 from spanloom.operators import kernels as K
 from spanloom.operators import edits, joint, matcher, spans, tokens
 from spanloom.operators.deal import dealt
+from spanloom.plans.relations import normal, split
 from spanloom.sources.tables import frames, read, verses
 
 QUERIES: dict = {}
@@ -26,6 +27,14 @@ def query(f):
     return f
 
 
+def query_sql(sql: str):
+    def keep(f):
+        SQL[f.__name__] = sql
+        return query(f)
+
+    return keep
+
+
 def adjacent(spark: SparkSession, d: str) -> DataFrame:
     """pair_id, reference, hypothesis: each turn and the next."""
     w = Window.partitionBy("conv_id").orderBy("turn")
@@ -167,7 +176,17 @@ def token_table(spark: SparkSession, d: str) -> DataFrame:
     return found.select("chapter", "first", "last", F.size("tokens").alias("n"), F.md5(F.array_join("tokens", ",")).alias("digest"))
 
 
-@query
+@query_sql(f"""WITH RECURSIVE t AS (SELECT conv_id, string_agg(text, ' ' ORDER BY turn) AS text FROM conversations GROUP BY 1),
+w AS (SELECT conv_id, {split("text")} AS w FROM t),
+l AS (SELECT conv_id, unnest(range(1, len(w) + 1, 5)) AS i, w FROM w WHERE len(w) > 0),
+n AS (SELECT conv_id, (i + 4) // 5 AS k, list_slice(w, i, i + 11) AS new FROM l),
+f AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS tail, 0 AS words, '' AS text FROM n
+  UNION ALL
+  SELECT conv_id, k2, list_slice(list_concat(tail, new[same + 1:]), -80, -1), CAST(words + len(new) - same AS INTEGER), CASE WHEN len(new) = same THEN text WHEN text = '' THEN array_to_string(new[same + 1:], ' ') ELSE text || ' ' || array_to_string(new[same + 1:], ' ') END
+  FROM (SELECT f.*, n.k AS k2, n.new, coalesce(list_max(list_filter(range(1, least(len(n.new), 80, len(f.tail)) + 1), lambda i: (i >= 2 OR i = len(n.new)) AND list_slice(f.tail, -i, -1) = n.new[1:i])), 0) AS same
+    FROM f JOIN n ON n.conv_id = f.conv_id AND n.k = f.k + 1) a)
+SELECT conv_id, words, md5(text) AS digest FROM f QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY k DESC) = 1""")
 def stitch_overlap(spark: SparkSession, d: str) -> DataFrame:
     """conv_id, words, digest: sliding windows of 12 words of a conversation, 5 on, put together again."""
     c = read(spark, d, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
@@ -193,14 +212,6 @@ def follow_words(spark: SparkSession, d: str) -> DataFrame:
     return adjacent(spark, d).mapInPandas(run, "pair_id long, at int, found int")
 
 
-def query_sql(sql: str):
-    def keep(f):
-        SQL[f.__name__] = sql
-        return query(f)
-
-    return keep
-
-
 #: Pieces of DuckDB SQL for the similarities of two columns. Its edit distance counts bytes, so the texts are ASCII.
 RATIO = "CASE WHEN {a} = {b} THEN 1.0 WHEN length({a}) = 0 OR length({b}) = 0 THEN 0.0 ELSE 1.0 - levenshtein({a}, {b}) / CAST(greatest(length({a}), length({b})) AS DOUBLE) END"
 SUM_RATIO = "CASE WHEN length({a}) + length({b}) = 0 THEN 1.0 ELSE CAST(length({a}) + length({b}) - levenshtein({a}, {b}) AS DOUBLE) / (length({a}) + length({b})) END"
@@ -315,7 +326,15 @@ def retrieved_best(spark: SparkSession, d: str) -> DataFrame:
     return joint.best_retrieved(joint.retrieve(asked_passages(spark, d), verses(spark, d), longest=3, singles=5, chapters=20, wide=64)).select("text_id", "kind", "chapter", "first", "last", F.round("score", 6).alias("score"))
 
 
-@query
+#: SQL that gives every character of a column's texts an ASCII one of its own, since DuckDB's edit distance counts bytes; for up to 127 different characters.
+LETTERS = "letters AS (SELECT string_agg(c, '' ORDER BY c) AS these, string_agg(chr(CAST(n AS INTEGER)), '' ORDER BY c) AS those FROM (SELECT c, row_number() OVER (ORDER BY c) AS n FROM (SELECT DISTINCT unnest(string_split(text, '')) AS c FROM every) x WHERE c <> '') y)"
+
+
+@query_sql(f"""WITH q AS (SELECT item_id AS text_id, {normal("text")} AS text FROM benchmark), v AS (SELECT CAST(conv_id AS INTEGER) AS chapter, CAST(turn AS INTEGER) AS verse, {normal("text")} AS text FROM conversations),
+every AS (SELECT text FROM q UNION ALL SELECT text FROM v), {LETTERS},
+a AS (SELECT text_id, translate(text, these, those) AS a FROM q, letters WHERE text <> ''), b AS (SELECT chapter, verse, translate(text, these, those) AS b FROM v, letters WHERE text <> ''),
+s AS (SELECT text_id, chapter, verse, 1 - levenshtein(a, b) / CAST(length(a) + length(b) AS DOUBLE) AS score FROM a CROSS JOIN b)
+SELECT text_id, chapter, verse, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY text_id ORDER BY score DESC, chapter, verse) AS INTEGER) AS rank FROM s QUALIFY rank <= 5""")
 def search_verses(spark: SparkSession, d: str) -> DataFrame:
     """The five verses most similar to each passage, of all verses."""
     return joint.search(asked_passages(spark, d), verses(spark, d)).withColumn("score", F.round("score", 6))
