@@ -248,7 +248,7 @@ def repeats(docs: DataFrame, least: int = LEAST, key: str = "doc_id", text: str
     matches = matched(few.repartition("prefix").sortWithinPartitions("prefix"), least, window).unionByName(matched_crowds(many, least, window))
     matches = stored(matches.withColumnRenamed("other", "elsewhere"), "matches")
     classes = known.join(matches, "around", "left").where("n > 1 or after is not null").select("around", "first", "n", "before", "after", "elsewhere")
-    members = stored(found.join(classes, "around"), "members")
+    members = stored(found.join(stored(classes, "classes"), "around"), "members")
     several = F.col("n") > 1
     begin = F.when(several, F.greatest(F.col("at") - half, F.lit(0))).otherwise(F.col("at") - F.col("before"))
     end = F.col("at") + F.when(several, F.col("rest")).otherwise(F.col("after"))
