@@ -76,13 +76,61 @@ def candidates() -> list[list[int]]:
     return [[(7 * k + 3 * j) % BLANK for j in range(1 + k % 6)] for k in range(12)]
 
 
+WORDS_READ = [[5], [9, 12], [20], [33, 4, 18]]
+#: SQL of frames as log-probabilities: l has utt_id, t from 0 on, frames (how many the utterance has) and logs.
+LOGS = """r AS (SELECT vec_id // 20 AS utt_id, vec_id % 20 AS t, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
+l AS (SELECT utt_id, row_number() OVER w - 1 AS t, count(*) OVER (PARTITION BY utt_id) AS frames, list_transform(v, lambda x: x - ln(list_sum(list_transform(v, lambda y: exp(y))))) AS logs, list_position(v, list_max(v)) - 1 AS best FROM r WINDOW w AS (PARTITION BY utt_id ORDER BY t))"""
+
+
+def states_sql(sequences: list[list[int]]) -> str:
+    """SQL of token sequences by number, with blanks between: q has k, n, and states."""
+    rows = ", ".join(f"({k}, {c})" for k, c in enumerate(sequences))
+    return f"""c(k, tokens) AS (VALUES {rows}),
+q AS (SELECT k, tokens, len(tokens) AS n, list_transform(range(1, 2 * len(tokens) + 2), lambda i: CASE WHEN i % 2 = 1 THEN {BLANK} ELSE tokens[i // 2] END) AS states FROM c)"""
+
+
+def forward_sql(sequences: list[list[int]]) -> str:
+    """SQL of all alignments' summed log-probability: z has utt_id, k, n, frames and total, null if a sequence doesn't fit."""
+    skip = "i > 2 AND i % 2 = 0 AND states[i] <> states[i - 2]"
+    three = [("a[i]"), ("CASE WHEN i > 1 THEN a[i - 1] ELSE CAST('-inf' AS DOUBLE) END"), (f"CASE WHEN {skip} THEN a[i - 2] ELSE CAST('-inf' AS DOUBLE) END")]
+    most = f"greatest({', '.join(three)})"
+    total = f"CASE WHEN {most} = CAST('-inf' AS DOUBLE) THEN {most} ELSE {most} + ln({' + '.join(f'exp({x} - {most})' for x in three)}) END"
+    return f"""{LOGS},
+{states_sql(sequences)},
+f AS (
+  SELECT utt_id, frames, k, n, states, CAST(0 AS BIGINT) AS t, list_transform(range(1, 2 * n + 2), lambda i: CASE WHEN i <= 2 THEN logs[states[i] + 1] ELSE CAST('-inf' AS DOUBLE) END) AS a FROM l CROSS JOIN q WHERE t = 0 AND n > 0 AND 2 * n + 1 <= frames
+  UNION ALL
+  SELECT utt_id, frames, k, n, states, t2, list_transform(range(1, 2 * n + 2), lambda i: logs[states[i] + 1] + {total})
+  FROM (SELECT f.utt_id, f.frames, f.k, f.n, f.states, f.a, l.t AS t2, l.logs FROM f JOIN l ON l.utt_id = f.utt_id AND l.t = f.t + 1) x),
+u AS (SELECT DISTINCT utt_id, frames FROM l),
+z AS (SELECT u.utt_id, q.k, q.n, u.frames, CASE WHEN greatest(a[-1], a[-2]) = CAST('-inf' AS DOUBLE) THEN NULL ELSE greatest(a[-1], a[-2]) + ln(1 + exp(least(a[-1], a[-2]) - greatest(a[-1], a[-2]))) END AS total
+  FROM u CROSS JOIN q LEFT JOIN f ON f.utt_id = u.utt_id AND f.k = q.k AND f.t = u.frames - 1)"""
+
+
+def best_way_sql(sequences: list[list[int]]) -> str:
+    """SQL of the best alignment: z has utt_id, k, n, tokens and way (the state of each frame) of the sequences that fit."""
+    one, two = "CASE WHEN i > 1 THEN a[i - 1] ELSE CAST('-inf' AS DOUBLE) END", "CASE WHEN i > 2 AND i % 2 = 0 AND states[i] <> states[i - 2] THEN a[i - 2] ELSE CAST('-inf' AS DOUBLE) END"
+    return f"""{LOGS},
+{states_sql(sequences)},
+f AS (
+  SELECT utt_id, frames, k, n, tokens, states, CAST(0 AS BIGINT) AS t, list_transform(range(1, 2 * n + 2), lambda i: CASE WHEN i <= 2 THEN logs[states[i] + 1] ELSE CAST('-inf' AS DOUBLE) END) AS a, list_transform(range(1, 2 * n + 2), lambda i: [i]) AS ways FROM l CROSS JOIN q WHERE t = 0 AND n > 0 AND 2 * n + 1 <= frames
+  UNION ALL
+  SELECT utt_id, frames, k, n, tokens, states, t2, list_transform(range(1, 2 * n + 2), lambda i: logs[states[i] + 1] + greatest(a[i], {one}, {two})), list_transform(range(1, 2 * n + 2), lambda i: list_append(CASE WHEN a[i] >= {one} AND a[i] >= {two} THEN ways[i] WHEN {one} >= {two} THEN ways[i - 1] ELSE ways[i - 2] END, i))
+  FROM (SELECT f.utt_id, f.frames, f.k, f.n, f.tokens, f.states, f.a, f.ways, l.t AS t2, l.logs FROM f JOIN l ON l.utt_id = f.utt_id AND l.t = f.t + 1) x),
+z AS (SELECT utt_id, k, n, tokens, CASE WHEN a[-1] >= a[-2] THEN ways[-1] ELSE ways[-2] END AS way FROM f WHERE t = frames - 1)"""
+
+
 def logs(scores) -> np.ndarray:
     """Frame scores as log-probabilities."""
     m = np.stack(scores).astype(np.float64)
     return m - np.log(np.exp(m).sum(axis=1, keepdims=True))
 
 
-@query
+@query_sql(f"""WITH RECURSIVE {forward_sql([*candidates(), *(c[2:] for c in candidates() if c[:2] == [7, 10] and len(c) > 2)])},
+s AS (SELECT utt_id, k, coalesce(-total / frames, 1e9) AS score FROM z),
+short(k, of) AS (VALUES {", ".join(f"({len(candidates()) + i}, {k})" for i, k in enumerate(k for k, c in enumerate(candidates()) if c[:2] == [7, 10] and len(c) > 2))})
+SELECT s.utt_id, CAST(s.k AS INTEGER) AS candidate, round(s.score, 6) AS score, round(least(s.score, coalesce(x.score, s.score)), 6) AS tolerant
+FROM s LEFT JOIN short ON short.of = s.k LEFT JOIN s x ON x.utt_id = s.utt_id AND x.k = short.k WHERE s.k < {len(candidates())}""")
 def ctc_score(spark: SparkSession, d: str) -> DataFrame:
     """utt_id, candidate, score, tolerant: every utterance's evidence is read once for all candidates."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -98,7 +146,10 @@ def ctc_score(spark: SparkSession, d: str) -> DataFrame:
     return out.select("utt_id", "candidate", F.round("score", 6).alias("score"), F.round("tolerant", 6).alias("tolerant"))
 
 
-@query
+@query_sql(f"""WITH RECURSIVE {best_way_sql(candidates())},
+o AS (SELECT utt_id, k, unnest(range(0, n)) AS ordinal, tokens, way FROM z WHERE list_bool_and(list_transform(range(1, n + 1), lambda j: list_contains(way, 2 * j))))
+SELECT utt_id, CAST(k AS INTEGER) AS candidate, CAST(ordinal AS INTEGER) AS ordinal, CAST(tokens[ordinal + 1] AS INTEGER) AS token, CAST(list_position(way, 2 * ordinal + 2) - 1 AS INTEGER) AS first,
+       CAST(len(way) - list_position(list_reverse(way), 2 * ordinal + 2) AS INTEGER) AS last FROM o""")
 def ctc_align(spark: SparkSession, d: str) -> DataFrame:
     """utt_id, candidate, token, first, last, read: frames of each token, and words read up to the last content frame."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -114,26 +165,31 @@ def ctc_align(spark: SparkSession, d: str) -> DataFrame:
     return utterances(spark, d).mapInPandas(run, "utt_id long, candidate int, ordinal int, token int, first int, last int")
 
 
-@query
+@query_sql(f"""WITH RECURSIVE {forward_sql([[t for w in WORDS_READ[: k + 1] for t in w] for k in range(len(WORDS_READ))])},
+s AS (SELECT utt_id, k, coalesce(-total / n, 1e9) AS score FROM z)
+SELECT utt_id, CAST(coalesce(max(k + 1) FILTER (score <= least + 0.35 AND least < 1e9), 0) AS INTEGER) AS words FROM (SELECT *, min(score) OVER (PARTITION BY utt_id) AS least FROM s) m GROUP BY utt_id""")
 def words_read(spark: SparkSession, d: str) -> DataFrame:
     """utt_id, words: how far into a fixed sequence of words an utterance has come, by prefix scores."""
-    words = [[5], [9, 12], [20], [33, 4, 18]]
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"utt_id": pdf["utt_id"], "words": [K.words_read(logs(s), words, BLANK) for s in pdf["scores"]]})
+            yield pd.DataFrame({"utt_id": pdf["utt_id"], "words": [K.words_read(logs(s), WORDS_READ, BLANK) for s in pdf["scores"]]})
 
     return utterances(spark, d).mapInPandas(run, "utt_id long, words int")
 
 
-@query
+@query_sql(f"""WITH RECURSIVE {best_way_sql([[t for w in WORDS_READ for t in w]])},
+content AS (SELECT utt_id, max(t) FILTER (best <> {BLANK}) AS held FROM l GROUP BY utt_id),
+p AS (SELECT utt_id, list_transform(range(1, n + 1), lambda j: list_position(way, 2 * j) - 1) AS first, list_transform(range(1, n + 1), lambda j: len(way) - list_position(list_reverse(way), 2 * j)) AS last FROM z
+  WHERE list_bool_and(list_transform(range(1, n + 1), lambda j: list_contains(way, 2 * j)))),
+e AS (SELECT content.utt_id, held, last, len(list_filter({[1 + sum(map(len, WORDS_READ[:k])) for k in range(len(WORDS_READ))]}, lambda i: first[i] <= held)) AS read FROM content LEFT JOIN p USING (utt_id))
+SELECT e.utt_id, CAST(CASE WHEN last IS NULL THEN b.words WHEN held IS NULL THEN 0 ELSE read END AS INTEGER) AS words,
+       CAST(CASE WHEN last IS NULL OR held IS NULL OR read = 0 THEN -1 ELSE last[{[sum(map(len, WORDS_READ[: k + 1])) for k in range(len(WORDS_READ))]}[read]] END AS INTEGER) AS frame
+FROM e JOIN ({SQL["words_read"]}) b USING (utt_id)""")
 def word_progress(spark: SparkSession, d: str) -> DataFrame:
     """utt_id, words, frame: how far into a fixed sequence of words an utterance has come, by its best path."""
-    words = [[5], [9, 12], [20], [33, 4, 18]]
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            found = [K.progress(logs(s), words, BLANK) for s in pdf["scores"]]
+            found = [K.progress(logs(s), WORDS_READ, BLANK) for s in pdf["scores"]]
             yield pd.DataFrame({"utt_id": pdf["utt_id"], "words": [f[0] for f in found], "frame": [f[1] for f in found]})
 
     return utterances(spark, d).mapInPandas(run, "utt_id long, words int, frame int")
