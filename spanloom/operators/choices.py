@@ -7,6 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.functions import text as T
+from spanloom.operators import kernels
+from spanloom.operators.deal import dealt
+
 
 def first_of(rows: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key in an order."""
@@ -170,3 +174,48 @@ def head_cut(words: Column, groups: Column) -> Column:
     """struct(words, groups) of one length: more groups than words lose their first ones, more words than groups their last."""
     n, m = F.size(words), F.size(groups)
     return F.struct(F.when(m < n, F.slice(words, F.lit(1), m)).otherwise(words).alias("words"), F.when(m > n, F.slice(groups, m - n + 1, n)).otherwise(groups).alias("groups"))
+
+
+#: Fixed value: a match whose reference has more than so many times the window's words is inflated.
+INFLATED = 1.6
+
+
+def tuning(outcomes: DataFrame, setting: str = "setting", order: str = "n") -> DataFrame:
+    """A row for each setting: windows, match_rate, mean_coverage, inflation_rate, regress_rate, mean_span, mean_verses, spans (span:count, ascending).
+
+    outcomes have (setting, n, first, last, verses, coverage, reference_words, words), first null for windows without a match. A match regresses if it
+    begins before the one matched last. Rates are shares of the matches, of regressions of those with one before; 0 without any.
+    """
+    found = outcomes.where("first is not null").withColumn("_before", F.lag("first").over(Window.partitionBy(setting).orderBy(order))).withColumn("_span", F.col("last") - F.col("first") + 1)
+    share = lambda c: F.avg(c.cast("double"))
+    inflated, back = F.col("reference_words") > F.col("words") * INFLATED, F.col("first") < F.col("_before")
+    told = found.groupBy(setting).agg(F.count("*").alias("_k"), F.avg(F.coalesce("coverage", F.lit(0.0))).alias("mean_coverage"), share(inflated).alias("inflation_rate"), share(back).alias("regress_rate"), share(F.col("_span")).alias("mean_span"), share(F.col("verses")).alias("mean_verses"))
+    one = F.concat_ws(":", F.col("_span").cast("string"), F.col("_c").cast("string"))
+    seen = found.groupBy(setting, "_span").agg(F.count("*").alias("_c")).groupBy(setting).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_span", one.alias("one")))), lambda x: x["one"]), ",").alias("spans"))
+    every = outcomes.groupBy(setting).agg(F.count("*").alias("windows")).join(told, setting, "left").join(seen, setting, "left")
+    zero = lambda c: F.coalesce(c, F.lit(0.0)).alias(c)
+    rate = (F.coalesce("_k", F.lit(0)) / F.col("windows")).alias("match_rate")
+    return every.select(setting, "windows", rate, *(zero(c) for c in ("mean_coverage", "inflation_rate", "regress_rate", "mean_span", "mean_verses")), F.coalesce("spans", F.lit("")).alias("spans"))
+
+
+#: Fixed value: the least F1, precision and recall of a clip that passes.
+PASSES = 0.9
+
+
+def accuracy(words: DataFrame, references: DataFrame) -> DataFrame:
+    """clip, f1, precision, recall, rate (word errors), reference_words, hypothesis_words, passed: what was transcribed of every clip against what it should be.
+
+    words are (clip, word, start), references (clip, text). Clips are aligned one by one, in tasks of their own; one of which nothing was heard has no words.
+    """
+    heard = words.groupBy("clip").agg(F.array_sort(F.collect_list(F.struct("start", "word"))).alias("h"))
+    pairs = references.join(heard, "clip", "left").select(F.col("clip").alias("pair_id"), T.words(T.normalize(F.col("text"))).alias("reference"), F.coalesce(F.transform("h", lambda x: x["word"]), F.array().cast("array<string>")).alias("hypothesis"))
+    pairs = dealt(pairs, "pair_id")
+    sizes = pairs.select("pair_id", F.size("reference").alias("reference_words"), F.size("hypothesis").alias("hypothesis_words"))
+    every = kernels.alignments(pairs).select("pair_id", "f1", "precision", "recall").join(kernels.word_error_rates(pairs).select("pair_id", "rate"), "pair_id").join(sizes, "pair_id")
+    passed = F.least("f1", "precision", "recall") >= PASSES
+    return every.withColumn("passed", passed).withColumnRenamed("pair_id", "clip")
+
+
+def gate(checked: DataFrame) -> DataFrame:
+    """passed, total, ok: whether every clip passes; none is no pass."""
+    return checked.agg(F.count_if("passed").alias("passed"), F.count("*").alias("total")).withColumn("ok", (F.col("passed") == F.col("total")) & (F.col("total") > 0))

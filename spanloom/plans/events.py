@@ -116,6 +116,26 @@ def bounded_windows(spark: SparkSession, d: str) -> DataFrame:
     return grid.select("user_id", "event_id", "n", moved.alias("start")).distinct().select("user_id", "event_id", "start", F.least(at + 30, n).alias("end"))
 
 
+@query("""WITH RECURSIVE l AS (SELECT user_id AS session, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k,
+  round(abs(value) / 1000 * CASE WHEN event_id % 7 < 4 THEN 0.01 ELSE 1.0 END, 9) AS rms, round(abs(value) / 1000 * 4, 9) AS peak FROM events),
+f AS (
+  SELECT DISTINCT session, CAST(0 AS BIGINT) AS k, CAST(0 AS DOUBLE) AS start, CAST(0 AS DOUBLE) AS now, CAST(0 AS DOUBLE) AS silent, CAST(-1 AS DOUBLE) AS level, CAST(0 AS DOUBLE) AS peak,
+    CAST(0 AS DOUBLE) AS began, CAST(NULL AS VARCHAR) AS reason, false AS speech, CAST(0 AS DOUBLE) AS last, CAST(0 AS DOUBLE) AS boundary, false AS due FROM l
+  UNION ALL
+  SELECT session, k2, start2, now2, silent3, level2, peak3, start, why, speech2, CASE WHEN due2 THEN now2 ELSE last END, boundary2, due2
+  FROM (SELECT *, least(now2 - last, now2 - boundary2, now2 - start2) >= 1.0 - 1e-9 AS due2
+  FROM (SELECT *, CASE WHEN why IS NOT NULL THEN now2 ELSE boundary END AS boundary2, CASE WHEN why = 'maxDuration' THEN now2 - least(now2 - start, 1.0) WHEN why IS NOT NULL THEN now2 ELSE start END AS start2, CASE WHEN why IS NULL THEN silent2 ELSE 0 END AS silent3, CASE WHEN why IS NULL THEN peak2 ELSE 0 END AS peak3, peak2 >= greatest(0.008, level2) * 3.0 AS speech2
+  FROM (SELECT *, CASE WHEN silent2 >= 1.2 AND now2 - start >= 0.8 THEN 'silence' WHEN now2 - start >= 30.0 THEN 'maxDuration' END AS why
+    FROM (SELECT *, CASE WHEN rms < greatest(0.008, level2 * 2.0) THEN silent + 0.5 ELSE 0 END AS silent2
+      FROM (SELECT f.*, l.k AS k2, l.rms, least(l.rms, CASE WHEN f.level < 0 THEN 0.008 ELSE f.level * 1.02 END) AS level2, f.now + 0.5 AS now2, greatest(f.peak, l.peak) AS peak2
+        FROM f JOIN l ON l.session = f.session AND l.k = f.k + 1) a) b) c) d) g)
+SELECT session, round(greatest(start, now - 12.0), 6) AS start, round(now, 6) AS "end" FROM f WHERE due""")
+def preview_requests(spark: SparkSession, d: str) -> DataFrame:
+    """session, start, end: the stretches that previews are made of while utterances are open."""
+    c = S.SegmenterConfig()
+    return folds.run_batch(S.levels(events(spark, d)), "session", "n", S.Previews, lambda s, x: S.preview_step(s, x, c), S.PREVIEW)
+
+
 @query("""WITH RECURSIVE l AS (SELECT user_id AS session, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS k,
   round(abs(value) / 1000 * CASE WHEN event_id % 7 < 4 THEN 0.01 ELSE 1.0 END, 9) AS rms, round(abs(value) / 1000 * 4, 9) AS peak FROM events),
 f AS (
@@ -286,13 +306,32 @@ def track_recitals(spark: SparkSession, d: str) -> DataFrame:
     return tracking.track(rows)
 
 
+def token_of(word):
+    return (F.pmod(F.crc32(word.cast("binary")), F.lit(997)) + 1).cast("int")
+
+
+@query()
+def offline_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    """clip and its measures: every turn as a clip of which a chapter's share of words is misheard, transcribed in windows and set against its words."""
+    from spanloom.operators import choices
+
+    clip = (F.col("chapter") * 1000 + F.col("verse")).cast("long")
+    said = verses(spark, d).select(clip.alias("session"), "chapter", F.posexplode(T.words(T.normalize(F.col("text")))).alias("at", "w"))
+    heard = F.when(F.col("at") % 20 < F.col("chapter") % 5, F.lit(998)).otherwise(token_of(F.col("w")))
+    frames = said.select("session", "at", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), (heard if k < 3 else F.lit(0)).alias("token")) for k in range(4)))).alias("f"))
+    rows = frames.select("session", (F.col("at") * 4 + F.col("f.k")).alias("n"), F.lit(0.08).alias("seconds"), F.col("f.token").alias("token"), F.lit(False).alias("pause"))
+    words = transcribe.transcribed(rows, {k: f"\u2581w{k}" for k in range(1, 999)}, 0).withColumnRenamed("session", "clip")
+    references = said.groupBy("session").agg(F.array_sort(F.collect_list(F.struct("at", token_of(F.col("w")).alias("t")))).alias("w")).select(F.col("session").alias("clip"), F.array_join(F.transform("w", lambda x: F.concat(F.lit("w"), x["t"].cast("string"))), " ").alias("text"))
+    return choices.accuracy(words, references).select("clip", *(F.round(c, 6).alias(c) for c in ("f1", "precision", "recall", "rate")), "reference_words", "hypothesis_words", "passed")
+
+
 @query()
 def windowed_words(spark: SparkSession, d: str) -> DataFrame:
     """session, word, start, end: conversations as frames of 0.08 seconds, a word three frames and a blank, in windows of 30 seconds, overlapping or cut after every fifth turn."""
     said = verses(spark, d).select(F.col("chapter").alias("session"), "verse", F.posexplode(T.words(T.normalize(F.col("text")))).alias("at", "w"))
     last = F.max("at").over(Window.partitionBy("session", "verse"))
     said = said.withColumn("cut", (F.col("verse") % 5 == 4) & (F.col("at") == last))
-    token = (F.pmod(F.crc32(F.col("w").cast("binary")), F.lit(997)) + 1).cast("int")
+    token = token_of(F.col("w"))
     frames = said.select("session", (F.col("verse") * 1_000_000 + F.col("at") * 4).alias("n"), F.explode(F.array(*(F.struct(F.lit(k).alias("k"), token.alias("token")) for k in range(3)), F.struct(F.lit(3).alias("k"), F.lit(0).alias("token")))).alias("f"), "cut")
     rows = frames.select("session", (F.col("n") + F.col("f.k")).alias("n"), F.lit(0.08).alias("seconds"), F.col("f.token").alias("token"), (F.col("cut") & (F.col("f.k") == 3)).alias("pause"))
     out = transcribe.transcribed(rows, {k: f"\u2581w{k}" for k in range(1, 998)}, 0)

@@ -239,6 +239,27 @@ def penalty_allowed(spark: SparkSession, d: str) -> DataFrame:
     return recall.allowed_penalty(c).select("text_id", F.round("allowed", 8).alias("allowed"))
 
 
+@query(f"""{SORTED}, p AS (SELECT unnest([0.0, 0.05, 0.1, 0.2]) AS penalty), x AS (SELECT CAST(penalty AS DOUBLE) AS setting, s.*, row_number() OVER (PARTITION BY penalty, text_id ORDER BY round(sort + CAST(penalty AS DOUBLE) * (ref_id % 4), 9), ref_id) AS k FROM s, p),
+w AS (SELECT setting, text_id, n, m, hits, CASE WHEN hits >= 3 THEN ref_id % 50 END AS first, ref_id % 50 + ref_id % 4 AS last FROM x WHERE k = 1),
+o AS (SELECT *, lag(first) OVER (PARTITION BY setting ORDER BY text_id) AS before, last - first + 1 AS span FROM w WHERE first IS NOT NULL),
+told AS (SELECT setting, count(*) AS k, avg(CAST(hits AS DOUBLE) / m) AS coverage, avg(CASE WHEN m > n * 1.6 THEN 1.0 ELSE 0.0 END) AS inflated, avg(CASE WHEN first < before THEN 1.0 WHEN before IS NOT NULL THEN 0.0 END) AS back, avg(span) AS span FROM o GROUP BY 1),
+seen AS (SELECT setting, string_agg(concat(span, ':', k), ',' ORDER BY span) AS spans FROM (SELECT setting, span, count(*) AS k FROM o GROUP BY ALL) y GROUP BY 1),
+e AS (SELECT setting, count(*) AS windows FROM w GROUP BY 1)
+SELECT setting, windows, round(coalesce(k, 0) / CAST(windows AS DOUBLE), 6) AS match_rate, round(coalesce(coverage, 0), 6) AS mean_coverage, round(coalesce(inflated, 0), 6) AS inflation_rate, round(coalesce(back, 0), 6) AS regress_rate, round(coalesce(span, 0), 6) AS mean_span, round(coalesce(span, 0), 6) AS mean_verses, coalesce(spans, '') AS spans
+FROM e LEFT JOIN told USING (setting) LEFT JOIN seen USING (setting)""")
+def tuning_rates(spark: SparkSession, d: str) -> DataFrame:
+    """A row for each span penalty: how often its winners match, inflate and regress, their coverage and spans."""
+    from spanloom.operators import choices
+
+    five = sorted_five(spark, d)
+    swept = recall.penalty_sweep(five.select("text_id", "ref_id", F.col("sort").alias("score"), (F.col("ref_id") % 4 + 1).alias("span")), [0.0, 0.05, 0.1, 0.2])
+    won = swept.join(five, ["text_id", "ref_id"])
+    first = F.when(F.col("hits") >= 3, F.col("ref_id") % 50)
+    rows = won.select(F.col("penalty").alias("setting"), F.col("text_id").alias("n"), first.alias("first"), (F.col("ref_id") % 50 + F.col("ref_id") % 4).alias("last"), (F.col("ref_id") % 4 + 1).alias("verses"), (F.col("hits") / F.col("m")).alias("coverage"), F.col("m").alias("reference_words"), F.col("n").alias("words"))
+    told = choices.tuning(rows)
+    return told.select("setting", "windows", *(F.round(c, 6).alias(c) for c in ("match_rate", "mean_coverage", "inflation_rate", "regress_rate", "mean_span", "mean_verses")), "spans")
+
+
 @query(f"""{SORTED}, g AS (SELECT *, lag(ref_id) OVER (PARTITION BY text_id ORDER BY rank) AS before FROM s)
 SELECT count(*) AS rows, count(DISTINCT text_id) AS texts, round(avg(CASE WHEN hits * 2 >= m THEN 1.0 ELSE 0.0 END), 6) AS matched, round(avg(CAST(hits AS DOUBLE) / m), 6) AS mean_coverage, count(*) FILTER (ref_id < before) AS regressions, round(avg(CASE WHEN m > n THEN 1.0 ELSE 0.0 END), 6) AS inflated,
 round(avg(ref_id % 4 + 1), 6) AS mean_span, (SELECT string_agg(concat(span, ':', k), ',' ORDER BY span) FROM (SELECT ref_id % 4 + 1 AS span, count(*) AS k FROM g GROUP BY 1)) AS spans FROM g""")

@@ -80,6 +80,35 @@ def segment_flush(s: Segmenter, c: SegmenterConfig) -> list[tuple]:
     return [cut_off(s, "stopped", c)] if s.now - s.start >= max(c.least / 2, 1e-12) else []
 
 
+@dataclass
+class Previews:
+    """An open utterance with the last preview and the last boundary, in seconds of the session."""
+
+    segmenter: Segmenter = field(default_factory=Segmenter)
+    last: float = 0.0
+    boundary: float = 0.0
+
+    def __post_init__(self) -> None:
+        if isinstance(self.segmenter, dict):  # as it comes out of a state store
+            self.segmenter = Segmenter(**self.segmenter)
+
+
+PREVIEW = "start double, end double"
+#: Seconds between previews, and the most that one looks back.
+BETWEEN, BACK = 1.0, 12.0
+
+
+def preview_step(s: Previews, chunk: dict, c: SegmenterConfig, slack: float = 1e-9) -> list[tuple]:
+    """The stretch that a preview is due for after a chunk: the open utterance's last seconds, not sooner than a while after the last preview, its boundary and its own start."""
+    if segment_step(s.segmenter, chunk, c):
+        s.boundary = s.segmenter.now
+    now = s.segmenter.now
+    if min(now - s.last, now - s.boundary, now - s.segmenter.start) < BETWEEN - slack:
+        return []
+    s.last = now
+    return [(round(max(s.segmenter.start, now - BACK), 6), round(now, 6))]
+
+
 @dataclass
 class Stitcher:
     """Words of overlapping texts; only the last ones, that an overlap may reach, are kept in state."""

@@ -63,3 +63,23 @@ def test_arbitration(spark):
     assert (out["t"]["ref_id"], out["t"]["status"]) == (1, "partial")
     assert (out["u"]["ref_id"], out["u"]["status"]) == (1, "candidate")
     assert (out["w"]["ref_id"], out["w"]["status"], out["w"]["confidence"]) == (None, "unmatched", None)
+
+
+def test_tuning_rates(spark):
+    from spanloom.operators import choices
+
+    rows = [("a", 1, 5, 5, 1, 1.0, 10, 10), ("a", 2, None, None, None, None, None, 9), ("a", 3, 4, 6, 3, 0.5, 17, 10), ("a", 4, 6, 7, 2, None, 16, 10), ("b", 1, None, None, None, None, None, 3)]
+    out = {r["setting"]: tuple(r)[1:] for r in choices.tuning(spark.createDataFrame(rows, "setting string, n int, first int, last int, verses int, coverage double, reference_words int, words int")).collect()}
+    assert out["a"] == (4, 0.75, 0.5, 1 / 3, 0.5, 2.0, 2.0, "1:1,2:1,3:1") and out["b"] == (1, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, "")
+
+
+def test_accuracy_gate(spark):
+    from spanloom.operators import choices
+
+    words = spark.createDataFrame([(1, w, float(i)) for i, w in enumerate("alpha beta gamma delta epsilon zeta eta theta iota kappa".split())] + [(2, "alpha", 0.0)], "clip long, word string, start double")
+    references = spark.createDataFrame([(1, "alpha beta gamma delta epsilon zeta eta theta iota kappa"), (2, "quite other words"), (3, "nothing heard"), (4, "")], "clip long, text string")
+    out = {r["clip"]: r for r in choices.accuracy(words, references).collect()}
+    assert out[1]["passed"] and out[1]["rate"] == 0.0 and not out[2]["passed"] and out[3]["rate"] == 1.0 and out[3]["hypothesis_words"] == 0 and len(out) == 4
+    assert tuple(choices.gate(choices.accuracy(words, references)).first()) == (1, 4, False)
+    assert tuple(choices.gate(choices.accuracy(words, references.where("clip = 1"))).first()) == (1, 1, True)
+    assert tuple(choices.gate(choices.accuracy(words, references.where("false"))).first()) == (0, 0, False)

@@ -168,3 +168,14 @@ def test_a_stream_of_no_rows(spark):
 def test_empty_texts(text):
     s = S.Stitcher()
     assert S.stitch_step(s, {"text": text}) == [] and s.count == 0
+
+
+def test_previews_keep_their_distance():
+    c, s = S.SegmenterConfig(), S.Previews()
+    loud, still = {"seconds": 0.5, "rms": 0.2, "peak": 0.5}, {"seconds": 0.5, "rms": 0.001, "peak": 0.001}
+    out = [x for k in range(30) for x in S.preview_step(s, loud, c)]
+    assert out[:2] == [(0.0, 1.0), (0.0, 2.0)] and out[-1] == (3.0, 15.0) and len(out) == 15
+    out = [x for k in range(3) for x in S.preview_step(s, still, c)]
+    assert s.boundary == 16.5 and len(out) == 1
+    assert [S.preview_step(s, loud, c) for _ in range(2)] == [[], [(16.5, 17.5)]]
+    assert S.Previews(**json.loads(json.dumps({"segmenter": {"start": 1.0}, "last": 2.0}))).segmenter.start == 1.0
