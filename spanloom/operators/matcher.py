@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.text import normalize, ref_key, words
 from spanloom.operators import kernels, recall
-from spanloom.operators.deal import dealt
+from spanloom.operators.deal import dealt, kept
 
 
 @dataclass(frozen=True)
@@ -143,12 +143,13 @@ def match(fragments: DataFrame, verses: DataFrame, span_tokens: DataFrame, blank
     # the candidate of least sort and the next ones, kept in all
     by_sort = Window.partitionBy("utt_id").orderBy("sort", "chapter", "first", "last")
     found = found.withColumn("place", F.row_number().over(by_sort)).where(F.col("place") <= c.kept)
+    found = kept(found)  # read twice below, as the aligned rows are
     inside = found.select("utt_id", "chapter", "first", "last", F.explode(F.sequence("first", "last")).alias("verse")).join(worded, ["chapter", "verse"])
     texts = inside.groupBy("utt_id", "chapter", "first", "last").agg(F.array_sort(F.collect_list(F.struct("verse", "w"))).alias("v")).select("utt_id", "chapter", "first", "last", F.flatten(F.transform("v", lambda x: x["w"])).alias("ref_words"), F.transform("v", lambda x: F.size(x["w"])).alias("sizes"))
     near = found.join(texts, ["utt_id", "chapter", "first", "last"]).join(live.select("utt_id", "said"), "utt_id")
     far = F.abs(F.size("ref_words") - F.size("said"))
     near = near.withColumn("_n", F.row_number().over(Window.partitionBy("utt_id").orderBy(far, "sort", "chapter", "first", "last"))).where((F.col("_n") <= c.shortlist) | (F.col("place") == 1)).drop("_n")
-    near = near.withColumn("ref", ref_key(F.col("chapter"), F.col("first"), F.col("last")))
+    near = kept(near.withColumn("ref", ref_key(F.col("chapter"), F.col("first"), F.col("last"))))
     best = decided(near.drop("said").join(aligned(near), ["utt_id", "ref"]), c)
     seen = covered(F.col("heard"), F.col("sizes"), F.col("first"))
     best = best.withColumn("matches", F.transform(seen, lambda v: F.struct(v["ordinal"].alias("ordinal"), F.col("chapter").alias("chapter"), v["verse"].alias("verse"), v["word_start"].alias("word_start"), v["word_end"].alias("word_end"))))
