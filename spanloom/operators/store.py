@@ -11,6 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from spanloom.operators.deal import kept, united
+
 
 def latest(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
     """The last row of each key by order."""
@@ -20,25 +22,26 @@ def latest(rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
 
 def upsert(stored: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
     """incoming replaces stored rows of its keys; the rest stays."""
-    return stored.join(incoming.select(*keys).distinct(), keys, "left_anti").unionByName(incoming)
+    return united(stored.join(incoming.select(*keys).distinct(), keys, "left_anti"), incoming)
 
 
 def save(stored: DataFrame, drafts: DataFrame, keys: list[str], sequence: str = "display_sequence", at: str = "at") -> DataFrame:
     """Idempotent save of drafts (no sequence): known keys keep their number, new ones follow the greatest in order of keys.
 
     Of drafts with one key the last by at counts. New rows are numbered partition by partition, with
-    only the partitions' counts added up in one place.
+    only the partitions' counts added up in one place. They are written first: read twice, they could be dealt out in two ways, and rows of
+    partitions that the counts don't know would be lost.
     """
     new = latest(drafts, keys, at)
     known = new.join(stored.select(*keys, sequence), keys)
     fresh = new.join(stored.select(*keys), keys, "left_anti")
-    placed = fresh.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_p", F.spark_partition_id())
+    placed = kept(fresh.repartitionByRange(*keys).withColumn("_p", F.spark_partition_id()))
     inside = placed.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*keys)))
     before = inside.groupBy("_p").agg(F.count("*").alias("_c")).select("_p", (F.sum("_c").over(Window.orderBy("_p")) - F.col("_c")).alias("_before"))
     most = stored.agg(F.coalesce(F.max(sequence), F.lit(0)).alias("_most"))
     # one row of the greatest number, and one per partition
     numbered = inside.join(F.broadcast(before), "_p").join(F.broadcast(most), F.lit(True)).withColumn(sequence, (F.col("_most") + F.col("_before") + F.col("_i")).cast("long")).drop("_p", "_i", "_before", "_most")
-    return upsert(stored, known.unionByName(numbered), keys)
+    return upsert(stored, united(known, numbered), keys)
 
 
 def guarded(incoming: DataFrame, current: DataFrame, keys: list[str]) -> DataFrame:
@@ -125,7 +128,7 @@ def cleared(records: DataFrame, *children: DataFrame) -> tuple[DataFrame, ...]:
 
 def saved_matches(children: DataFrame, drafts: DataFrame, key: str) -> DataFrame:
     """A child table after its records were saved again: the saved records' rows are replaced as a whole, even by none (a draft's row with a null ordinal)."""
-    return children.join(drafts.select(key).distinct(), key, "left_anti").unionByName(drafts.where("ordinal is not null"))
+    return united(children.join(drafts.select(key).distinct(), key, "left_anti"), drafts.where("ordinal is not null"))
 
 
 def retried(jobs: DataFrame, failed: Column, wanted: Column) -> DataFrame:
