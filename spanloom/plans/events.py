@@ -74,12 +74,9 @@ def sliding_window(spark: SparkSession, d: str) -> DataFrame:
 b AS (SELECT user_id, n, least(rms, 0.008) AS base FROM e WHERE n = 1 UNION ALL SELECT e.user_id, e.n, least(e.rms, b.base * 1.02) FROM b JOIN e ON e.user_id = b.user_id AND e.n = b.n + 1)
 SELECT b.user_id, e.event_id, round(b.base, 10) AS baseline FROM b JOIN e ON e.user_id = b.user_id AND e.n = b.n""")
 def baseline_follower(spark: SparkSession, d: str) -> DataFrame:
-    """The level follows down at once and up by 2 % a chunk. With logarithms that is a running minimum: min over earlier k of rms(k) * 1.02 ^ (n - k)."""
-    order = Window.partitionBy("user_id").orderBy("event_id")
-    e = events(spark, d).select("user_id", "event_id", (F.abs("value") / 1000).alias("rms")).withColumn("n", F.row_number().over(order))
-    level = F.when(F.col("n") == 1, F.least("rms", F.lit(0.008))).otherwise(F.col("rms"))
-    lowest = F.min(F.log(level) - F.col("n") * F.log(F.lit(1.02))).over(order)
-    return e.select("user_id", "event_id", F.round(F.coalesce(F.exp(lowest + F.col("n") * F.log(F.lit(1.02))), F.lit(0.0)), 10).alias("baseline"))
+    """The level follows down at once, to silence for good, and up by 2 % a chunk."""
+    e = events(spark, d).select("user_id", "event_id", (F.abs("value") / 1000).alias("rms"))
+    return folds.run_batch(e, "user_id", "event_id", S.Follower, S.follow_step, S.FOLLOWED).withColumn("baseline", F.round("baseline", 10))
 
 
 @query("""WITH v AS (SELECT user_id, list_sort(list(round(abs(value), 6))) AS x FROM events GROUP BY 1)

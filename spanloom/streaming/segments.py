@@ -225,3 +225,20 @@ def cut_step(s: Cutter, chunk: dict, gap: float = 2.0, tail: float = 1.0) -> lis
         out, s.last = (s.last, middle), middle
         return [out]
     return []
+
+
+@dataclass
+class Follower:
+    """The level of the background: no louder than the quietest chunk lately."""
+
+    base: float | None = None
+
+
+FOLLOWED = "event_id long, baseline double"
+
+
+def follow_step(s: Follower, chunk: dict, start: float = 0.008, rise: float = 1.02) -> list[tuple]:
+    """chunk: event_id, rms. A chunk without a level leaves the rise alone."""
+    most = start if s.base is None else s.base * rise
+    s.base = most if chunk["rms"] is None or math.isnan(chunk["rms"]) else min(float(chunk["rms"]), most)
+    return [(chunk["event_id"], s.base)]
