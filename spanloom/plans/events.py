@@ -183,12 +183,12 @@ o AS (SELECT chapter, unnest(told) AS x FROM f)
 SELECT chapter, x.w AS word, x.a AS start, x.b AS "end" FROM o""")
 def timed_reconcile(spark: SparkSession, d: str) -> DataFrame:
     """chapter and committed words: each verse a window of 5 seconds, 4 after the last, its words evenly spread."""
-    w = T.words(T.normalize(F.col("text")))
-    step = F.lit(5.0) / F.greatest(F.size(w), F.lit(1))
-    at = F.col("verse") * 4.0
-    timed_words = F.transform(w, lambda x, i: F.struct(x.alias("word"), F.round(at + i * step, 6).alias("start"), F.round(at + (i + 1) * step, 6).alias("end")))
+    # columns of their own: inside the words' lambda they would be worked out for each of them
+    said = verses(spark, d).withColumn("w", T.words(T.normalize(F.col("text")))).withColumn("step", F.lit(5.0) / F.greatest(F.size("w"), F.lit(1)))
+    step, at = F.col("step"), F.col("verse") * 4.0
+    timed_words = F.transform("w", lambda x, i: F.struct(x.alias("word"), F.round(at + i * step, 6).alias("start"), F.round(at + (i + 1) * step, 6).alias("end")))
     last = F.max("verse").over(Window.partitionBy("chapter"))
-    rows = verses(spark, d).select("chapter", F.col("verse").alias("n"), F.to_json(timed_words).alias("words"), at.alias("window_start"), (at + 5.0).alias("window_end"), (F.col("verse") == last).alias("final"))
+    rows = said.select("chapter", F.col("verse").alias("n"), F.to_json(timed_words).alias("words"), at.alias("window_start"), (at + 5.0).alias("window_end"), (F.col("verse") == last).alias("final"))
 
     def step_of(s, x):
         import json

@@ -37,3 +37,9 @@ def test_the_background_stays_at_silence(spark, tmp_path):
 def test_a_chunk_without_a_level_leaves_the_rise_alone():
     s = S.Follower()
     assert [S.follow_step(s, {"event_id": 1, "rms": x})[0][1] for x in (None, float("nan"), 0.001)] == [0.008, 0.008 * 1.02, 0.001]
+
+
+def test_words_are_split_once_a_verse(spark):
+    """Not for each of its words, inside of what is made of them."""
+    made = plans.queries()["timed_reconcile"](spark, "/root/testdata/sf0.001")
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 2  # marks and spaces, once each
