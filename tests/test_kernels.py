@@ -151,3 +151,39 @@ def test_progress_by_frames_and_letters():
     words = "alpha beta gamma delta epsilon".split()
     assert K.heard_up_to("alpha beta", words) == 1 and K.heard_up_to("beta gamma", words) == 2 and K.heard_up_to("delta", words) == 3
     assert K.heard_up_to("zz", words) == -1 and K.heard_up_to("zzzzzzz", words) == -1 and K.heard_up_to(" ".join(words), words) == -1
+
+
+def test_word_ratios_of_any_length_and_alignments_in_any_company():
+    import random
+
+    import numpy as np
+
+    r = random.Random(5)
+    word = lambda n: "".join(r.choice("abcé") for _ in range(n))
+    a, b = ([word(r.choice([0, 1, 3, 8, 63, 64, 65, 90])) for _ in range(30)] for _ in range(2))
+    expected = [[1.0 if not x and not y else 1 - K.edit_distance(x, y) / max(len(x), len(y)) for y in b] for x in a]
+    assert np.array_equal(K.ratios(a, b), np.array(expected))
+    references = [[word(r.randint(1, 4)) for _ in range(r.randint(0, 40))] for _ in range(60)]
+    hypothesis = [word(r.randint(1, 4)) for _ in range(30)]
+    assert K.align_all(references, hypothesis) == [K.align_all([x], hypothesis)[0] for x in references]
+
+
+def test_pairs_of_one_hypothesis_are_aligned_together(spark, monkeypatch):
+    """A call for each would compare the same words again."""
+    import pandas as pd
+
+    class Pairs:
+        schema = {"pair_id": type("F", (), {"dataType": type("T", (), {"simpleString": lambda self: "long"})()})()}
+        select = lambda self, *c: self
+
+        def mapInPandas(self, run, kind):  # noqa: N802
+            self.calls, real = [], K.align_all
+            monkeypatch.setattr(K, "align_all", lambda refs, hyp: self.calls.append(len(refs)) or real(refs, hyp))
+            self.found = list(run(iter([pd.DataFrame({"pair_id": [1, 2, 3], "reference": [["a", "b"], ["b"], None], "hypothesis": [["b"], ["b"], ["b"]]})])))[0]
+            raise StopIteration
+
+    pairs = Pairs()
+    with pytest.raises(StopIteration):
+        K.alignments(pairs)
+    assert pairs.calls == [3]
+    assert pairs.found.to_numpy().tolist() == [[1, 1, 0, 0, 1, 0], [2, 1, 0, 0, 0, 0], [3, 0, 0, 0, 0, 1]]
