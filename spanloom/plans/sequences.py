@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +21,8 @@ from spanloom.sources.tables import frames, read, verses
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 BLANK = 63
+#: Conversations whose words are held at once.
+TEXTS = 100
 
 
 def query(f):
@@ -249,12 +252,14 @@ def stitch_overlap(spark: SparkSession, d: str) -> DataFrame:
     w = c.select("conv_id", T.words(T.normalize(F.array_join(F.transform("t", lambda x: x["text"]), " "))).alias("w")).where(F.size("w") > 0)
     windows = w.select("conv_id", F.transform(F.sequence(F.lit(1), F.size("w"), F.lit(5)), lambda i: F.array_join(F.slice("w", i, 12), " ")).alias("windows"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = [K.stitch(list(w)) for w in pdf["windows"]]
-            yield pd.DataFrame({"conv_id": pdf["conv_id"], "words": [len(x) for x in out], "text": [" ".join(x) for x in out]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, TEXTS):
+                part = batch.slice(at, TEXTS)
+                out = [K.stitch(w) for w in part.column("windows").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("conv_id").cast(pa.int64()), pa.array([len(x) for x in out], pa.int32()), pa.array([" ".join(x) for x in out], pa.string())], names=["conv_id", "words", "text"])
 
-    return windows.mapInPandas(run, "conv_id long, words int, text string").select("conv_id", "words", F.md5("text").alias("digest"))
+    return windows.mapInArrow(run, "conv_id long, words int, text string").select("conv_id", "words", F.md5("text").alias("digest"))
 
 
 @query
