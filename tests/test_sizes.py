@@ -43,3 +43,20 @@ def test_words_are_split_once_a_verse(spark):
     """Not for each of its words, inside of what is made of them."""
     made = plans.queries()["timed_reconcile"](spark, "/root/testdata/sf0.001")
     assert made._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 2  # marks and spaces, once each
+
+
+def test_a_fold_holds_the_results_of_few_rows_at_once():
+    import pandas as pd
+    from pyspark.sql.types import LongType, StructField, StructType
+
+    from spanloom.streaming import folds
+
+    class Rows:
+        schema = StructType([StructField("k", LongType())])
+        repartition = sortWithinPartitions = lambda self, *c: self
+        mapInPandas = lambda self, run, kind: list(run(iter([pd.DataFrame({"k": [1] * 700 + [2] * 500, "n": range(1200)}), pd.DataFrame({"k": [], "n": []})])))  # noqa: E731, N815
+
+    found = folds.run_batch(Rows(), "k", "n", dict, lambda s, x: [(x["n"],)] * 10, "n long", lambda s: [(-1,)])
+    assert max(map(len, found)) <= 10 * folds.ROWS + 1
+    every = pd.concat(found)
+    assert len(every) == 12_002 and every["n"].eq(-1).sum() == 2
