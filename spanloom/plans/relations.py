@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions import text as T
 from spanloom.operators import decode, recall, spans, store
+from spanloom.operators.deal import kept
 from spanloom.sources.tables import frames, passages, read, spread, transcripts, verses
 
 QUERIES: dict = {}
@@ -249,7 +250,7 @@ def tuning_rates(spark: SparkSession, d: str) -> DataFrame:
     """A row for each span penalty: how often its winners match, inflate and regress, their coverage and spans."""
     from spanloom.operators import choices
 
-    five = sorted_five(spark, d)
+    five = kept(sorted_five(spark, d))  # read twice
     swept = recall.penalty_sweep(five.select("text_id", "ref_id", F.col("sort").alias("score"), (F.col("ref_id") % 4 + 1).alias("span")), [0.0, 0.05, 0.1, 0.2])
     won = swept.join(five, ["text_id", "ref_id"])
     first = F.when(F.col("hits") >= 3, F.col("ref_id") % 50)
@@ -263,7 +264,7 @@ SELECT count(*) AS rows, count(DISTINCT text_id) AS texts, round(avg(CASE WHEN h
 round(avg(ref_id % 4 + 1), 6) AS mean_span, (SELECT string_agg(concat(span, ':', k), ',' ORDER BY span) FROM (SELECT ref_id % 4 + 1 AS span, count(*) AS k FROM g GROUP BY 1)) AS spans FROM g""")
 def tuning_report(spark: SparkSession, d: str) -> DataFrame:
     before = F.lag("ref_id").over(Window.partitionBy("text_id").orderBy("rank"))
-    g = sorted_five(spark, d).withColumn("before", before)
+    g = kept(sorted_five(spark, d).withColumn("before", before))  # read twice
     matched = F.avg((F.col("hits") * 2 >= F.col("m")).cast("double"))
     span = F.col("ref_id") % 4 + 1
     spans_seen = g.groupBy(span.alias("span")).agg(F.count("*").alias("k")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("span", "k"))), lambda x: F.concat_ws(":", x["span"].cast("string"), x["k"].cast("string"))), ",").alias("spans"))

@@ -60,3 +60,11 @@ def test_a_fold_holds_the_results_of_few_rows_at_once():
     assert max(map(len, found)) <= 10 * folds.ROWS + 1
     every = pd.concat(found)
     assert len(every) == 12_002 and every["n"].eq(-1).sum() == 2
+
+
+def test_tuning_works_its_five_out_once(spark):
+    """What recalls the passages of a document isn't part of the plan that reads them twice."""
+    from spanloom.plans import relations
+
+    for query in (relations.tuning_rates, relations.tuning_report):
+        assert "MapInArrow" not in query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
