@@ -11,6 +11,7 @@ import json
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -50,8 +51,13 @@ def window_step(s: Windows, frame: dict, c: WindowConfig) -> list[tuple]:
     s.now += frame["seconds"]
     s.tokens.append(int(frame["token"]))
     s.new = True
+    return closed(s, bool(frame["pause"]), c)
+
+
+def closed(s: Windows, pause: bool, c: WindowConfig) -> list[tuple]:
+    """The window, if it ends with its last frame."""
     held = s.now - s.start
-    if frame["pause"] and held >= c.least - ROOM:
+    if pause and held >= c.least - ROOM:
         return [ended(s, s.now, 0)]
     if held >= c.longest - ROOM:
         again = round(len(s.tokens) * c.overlap / held)
@@ -59,6 +65,22 @@ def window_step(s: Windows, frame: dict, c: WindowConfig) -> list[tuple]:
     return []
 
 
+def windows_in(s: Windows, frames: dict[str, np.ndarray], c: WindowConfig) -> list[tuple]:
+    """What window_step gives for a session's next frames, one after the other; only those that end a window are looked at."""
+    now = np.cumsum(np.concatenate([[s.now], frames["seconds"].astype(np.float64)]))[1:]
+    tokens, pauses = frames["token"].astype(np.int64).tolist(), frames["pause"].astype(bool)
+    out, at = [], 0
+    while at < len(now):
+        held = now[at:] - s.start
+        ends = (held >= c.longest - ROOM) | pauses[at:] & (held >= c.least - ROOM)
+        end = at + int(ends.argmax()) if ends.any() else len(now) - 1
+        s.tokens += tokens[at : end + 1]
+        s.now, s.new = float(now[end]), True
+        out += closed(s, bool(pauses[end]), c)
+        at = end + 1
+    return out
+
+
 def ended(s: Windows, start: float, again: int) -> tuple:
     """The window as a row; the next one starts with as many of its tokens again. Without any the row is final."""
     out = round(s.start, 6), round(s.now, 6), s.tokens, not again
@@ -102,7 +124,7 @@ def decoded(windows: DataFrame, pieces: dict[int, str], blank: int, session: str
 def transcribed(frames: DataFrame, pieces: dict[int, str], blank: int, c: WindowConfig | None = None, session: str = "session", order: str = "n") -> DataFrame:
     """session, word, start, end of the frames (session, n, seconds, token, pause) of a table."""
     c = c or WindowConfig()
-    windows = folds.run_batch(frames, session, order, Windows, lambda s, x: window_step(s, x, c), WINDOW, window_flush)
+    windows = folds.run_arrays(frames, session, order, Windows, lambda s, x: windows_in(s, x, c), WINDOW, window_flush)
     return folds.run_batch(decoded(windows, pieces, blank, session), session, "window_end", S.Reconciler, lambda s, x: S.reconcile_step(s, x | {"words": json.loads(x["words"])}, c.lookahead), S.TIMED)
 
 
