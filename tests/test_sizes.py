@@ -1,10 +1,11 @@
 """What shows on tables larger than the smallest: groups after unions, numbers over several partitions, silence that lasts."""
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from spanloom import plans
 from spanloom.operators import store
-from spanloom.operators.deal import united
+from spanloom.operators.deal import dealt, united
 from spanloom.streaming import segments as S
 
 
@@ -68,3 +69,10 @@ def test_tuning_works_its_five_out_once(spark):
 
     for query in (relations.tuning_rates, relations.tuning_report):
         assert "MapInArrow" not in query(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+
+
+def test_rows_dealt_out_by_the_keys_of_a_step_before_go_to_all_tasks(spark):
+    """Spark leaves out a deal by keys that rows are dealt by already, and merges small partitions of the step before."""
+    rows = spark.range(64).select((F.col("id") % 50).alias("id")).distinct()
+    full = lambda batches: (b for b in [pa.RecordBatch.from_pydict({"n": [sum(b.num_rows for b in batches)]})] if b["n"][0].as_py())
+    assert dealt(rows, "id").mapInArrow(full, "n long").count() > 1
