@@ -39,6 +39,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+#: Rows that a Python worker of the pipeline holds at once, beside what Spark's own memory takes.
+FEW_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session hands Python at most FEW_ROWS rows at a time: whole texts and what is made of them are held for a batch."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= FEW_ROWS:
+        spark.conf.set(key, FEW_ROWS)
+
+
 def fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id's decimal text, modulo folds."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds))

@@ -11,6 +11,7 @@ import tracemalloc
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -251,3 +252,19 @@ def test_pipeline_stages_on_an_empty_table(spark):
     docs = table(spark, D, "documents").where("false")
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, D).count() == 0
+
+
+def test_stages_hand_few_rows_at_once_to_python(spark):
+    """What a worker holds beside Spark's memory is that of a batch, 10,000 rows unless told otherwise."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("a few plain words").alias("text"), F.lit("en").alias("lang"))
+    sizes = lambda batches: (pa.RecordBatch.from_pydict({"n": [b.num_rows]}) for b in batches)
+    try:
+        for name, stage in corpus_pipeline.STAGES:
+            if name != "redacted":  # no Python there
+                spark.conf.set(key, 10_000)
+                stage(spark, docs.limit(20), D)
+                assert docs.coalesce(1).mapInArrow(sizes, "n long").agg(F.max("n")).first()[0] == 1000
+    finally:
+        spark.conf.set(key, before)
