@@ -1,13 +1,14 @@
 """Which verses a fragment covers, from its text and its frame scores: recall, spans, CTC scores, alignment, decision.
 
 fragments are (utt_id, text, scores): a transcript and its frames' log-probabilities, an array of arrays. verses are
-(chapter, verse, text), span_tokens (chapter, first, last, tokens). Joins, ranks and choices are plans; only
-the two dynamic programmes run in Python, on one fragment's bounded candidates at a time.
+(chapter, verse, text), span_tokens (chapter, first, last, tokens), or what gives these for some verses. Joins, ranks and choices are plans; only
+word counts and the two dynamic programmes run in Python, on tiles or one fragment's bounded candidates at a time. Verses and spans are many: they
+meet candidates in sorted joins and are never sent out, however small their files.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.text import normalize, ref_key, words
 from spanloom.operators import kernels, recall
-from spanloom.operators.deal import dealt, kept
+from spanloom.operators.deal import dealt, kept, united
 
 
 @dataclass(frozen=True)
@@ -40,16 +41,24 @@ class MatchConfig:
     spare_text: float = 0.35
 
 
+#: Fixed value: a fragment that shares words with fewer verses gets every verse.
+ENOUGH = 8
+
+
 def recalled(fragments: DataFrame, verses: DataFrame, c: MatchConfig) -> DataFrame:
-    """utt_id, chapter, verse, text_score of the verses that lead by words; every verse for fragments that share words with fewer than eight."""
+    """utt_id, chapter, verse, text_score of the verses that lead by words; every verse for fragments that share words with fewer than eight.
+
+    Verses that share nothing have no score, so of all of them only the first can be among the recalled.
+    """
     texts = fragments.select(F.col("utt_id").alias("text_id"), "text")
     references = verses.select(F.struct("chapter", "verse").alias("ref_id"), "text")
-    scores = recall.recall_scores(texts, references, c.balance)
-    rich = scores.groupBy("text_id").agg(F.count("*").alias("_k")).where("_k >= 8").select("text_id")
-    every = texts.select("text_id").join(rich, "text_id", "left_anti").crossJoin(references.select("ref_id"))
-    silent = every.join(scores, ["text_id", "ref_id"], "left_anti").select("text_id", "ref_id", F.lit(0).cast("long").alias("hits"), F.lit(0.0).alias("score"))
-    near = recall.with_edits(recall.within_reach(scores, c.recalled), texts, references)
-    ranked = recall.best(near.unionByName(silent), c.recalled)
+    most = max(c.recalled, ENOUGH)
+    near = kept(recall.best_of_many(texts, references, most, c.balance).drop("rank"))
+    rich = near.groupBy("text_id").agg(F.count("*").alias("_k")).where(F.col("_k") >= ENOUGH).select("text_id")
+    first = references.select("ref_id").orderBy("ref_id").limit(most + ENOUGH)
+    every = texts.select("text_id").join(rich, "text_id", "left_anti").crossJoin(F.broadcast(first))
+    silent = every.join(near, ["text_id", "ref_id"], "left_anti").select("text_id", "ref_id", F.lit(0.0).alias("score"))
+    ranked = recall.best(united(near, silent), c.recalled)
     return ranked.select(F.col("text_id").alias("utt_id"), F.col("ref_id.chapter").alias("chapter"), F.col("ref_id.verse").alias("verse"), F.col("score").alias("text_score"))
 
 
@@ -68,7 +77,7 @@ def scored(fragments: DataFrame, spans: DataFrame, blank: int, opening: list[int
     kind = fragments.schema["utt_id"].dataType.simpleString()
     # spans that can't fit the frames are left out before the kernel
     fit = spans.join(fragments.select("utt_id", F.size("scores").alias("frames")), "utt_id").where((F.size("tokens") > 0) & ((2 * F.size("tokens") + 1 <= F.col("frames")) | (F.size("tokens") > len(opening))))
-    asked = fit.groupBy("utt_id").agg(F.collect_list(F.struct("chapter", "first", "last", "text_score", "tokens")).alias("spans")).join(fragments.select("utt_id", "scores"), "utt_id")
+    asked = fit.groupBy("utt_id").agg(F.collect_list(F.struct("chapter", "first", "last", "text_score", "tokens")).alias("spans")).join(fragments.select("utt_id", "scores").hint("merge"), "utt_id")
     return dealt(asked.select("utt_id", "scores", "spans"), "utt_id").mapInPandas(run, f"utt_id {kind}, chapter int, first int, last int, text_score double, acoustic double")
 
 
@@ -124,7 +133,7 @@ def decided(candidates: DataFrame, c: MatchConfig) -> DataFrame:
 OUTCOME = "utt_id, asr_text, status, scope, matches, ref, precision, coverage, f1, confidence, margin, text_score, acoustic, reason"
 
 
-def match(fragments: DataFrame, verses: DataFrame, span_tokens: DataFrame, blank: int, opening_words: list[str], opening_tokens: list[int], c: MatchConfig = MatchConfig()) -> DataFrame:
+def match(fragments: DataFrame, verses: DataFrame, span_tokens: DataFrame | Callable[[DataFrame], DataFrame], blank: int, opening_words: list[str], opening_tokens: list[int], c: MatchConfig = MatchConfig()) -> DataFrame:
     """One row a fragment, with OUTCOME's columns; measures are null where there is no candidate.
 
     A fragment without words or frames, of the opening alone, or without a candidate is unmatched. So is one whose candidates
@@ -133,24 +142,29 @@ def match(fragments: DataFrame, verses: DataFrame, span_tokens: DataFrame, blank
     formula = F.array(*map(F.lit, opening_words)).cast("array<string>")
     asked = fragments.dropDuplicates(["utt_id"]).select("utt_id", normalize(F.coalesce("text", F.lit(""))).alias("text"), "scores").withColumn("said", words(F.col("text")))
     why = F.when(F.size("said") == 0, "no words").when(F.forall("said", lambda x: F.array_contains(formula, x)), "opening alone").when(F.coalesce(F.size("scores"), F.lit(0)) <= 0, "no frames")
-    asked = asked.withColumn("why", why)
+    asked = kept(asked.withColumn("why", why))  # read by every step below
     known = verses.select("chapter", "verse", normalize(F.col("text")).alias("text"))
-    worded = known.select("chapter", "verse", words(F.col("text")).alias("w"))
     live = asked.where("why is null")
-    spans = recalled(live, known, c).withColumnRenamed("verse", "first").join(span_tokens.where(F.col("last") - F.col("first") < c.longest), ["chapter", "first"])
+    begun = kept(recalled(live, known, c).withColumnRenamed("verse", "first"))
+    # spans begin at recalled verses, so only these and the next ones are put together
+    within = begun.select("chapter", F.explode(F.sequence("first", F.col("first") + c.longest - 1)).alias("verse")).distinct()
+    some = verses.join(within.hint("merge"), ["chapter", "verse"], "left_semi")
+    worded = some.select("chapter", "verse", words(normalize(F.col("text"))).alias("w"))
+    tokens = span_tokens if isinstance(span_tokens, DataFrame) else span_tokens(some)
+    spans = begun.join(tokens.where(F.col("last") - F.col("first") < c.longest).hint("merge"), ["chapter", "first"])
     sort = F.col("acoustic") + c.penalty * (F.col("last") - F.col("first"))
     found = scored(live, spans, blank, opening_tokens).withColumn("sort", sort)
     # the candidate of least sort and the next ones, kept in all
     by_sort = Window.partitionBy("utt_id").orderBy("sort", "chapter", "first", "last")
     found = found.withColumn("place", F.row_number().over(by_sort)).where(F.col("place") <= c.kept)
     found = kept(found)  # read twice below, as the aligned rows are
-    inside = found.select("utt_id", "chapter", "first", "last", F.explode(F.sequence("first", "last")).alias("verse")).join(worded, ["chapter", "verse"])
+    inside = found.select("utt_id", "chapter", "first", "last", F.explode(F.sequence("first", "last")).alias("verse")).join(worded.hint("merge"), ["chapter", "verse"])
     texts = inside.groupBy("utt_id", "chapter", "first", "last").agg(F.array_sort(F.collect_list(F.struct("verse", "w"))).alias("v")).select("utt_id", "chapter", "first", "last", F.flatten(F.transform("v", lambda x: x["w"])).alias("ref_words"), F.transform("v", lambda x: F.size(x["w"])).alias("sizes"))
-    near = found.join(texts, ["utt_id", "chapter", "first", "last"]).join(live.select("utt_id", "said"), "utt_id")
+    near = found.join(texts.hint("merge"), ["utt_id", "chapter", "first", "last"]).join(live.select("utt_id", "said"), "utt_id")
     far = F.abs(F.size("ref_words") - F.size("said"))
     near = near.withColumn("_n", F.row_number().over(Window.partitionBy("utt_id").orderBy(far, "sort", "chapter", "first", "last"))).where((F.col("_n") <= c.shortlist) | (F.col("place") == 1)).drop("_n")
     near = kept(near.withColumn("ref", ref_key(F.col("chapter"), F.col("first"), F.col("last"))))
-    best = decided(near.drop("said").join(aligned(near), ["utt_id", "ref"]), c)
+    best = decided(near.drop("said").join(aligned(near).hint("merge"), ["utt_id", "ref"]), c)
     seen = covered(F.col("heard"), F.col("sizes"), F.col("first"))
     best = best.withColumn("matches", F.transform(seen, lambda v: F.struct(v["ordinal"].alias("ordinal"), F.col("chapter").alias("chapter"), v["verse"].alias("verse"), v["word_start"].alias("word_start"), v["word_end"].alias("word_end"))))
     whole = F.size(F.filter("matches", lambda v: v["word_start"].isNull()))

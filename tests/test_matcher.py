@@ -81,3 +81,21 @@ def test_leading_scores_are_the_best_of_all(spark, monkeypatch):
             monkeypatch.setattr(recall, "SENT", sent)
             assert rank(recall.leading_scores(texts, references, 4, **rule)) == expected
     assert recall.leading_scores(texts, references.where("false"), 3).count() == 0 and recall.leading_scores(texts.where("false"), references, 3).count() == 0
+
+
+def test_spans_begin_at_recalled_verses_only(spark, corpus):
+    """Tokens are asked for these and the next ones, not for spans of the whole corpus; what shares words with few verses gets the first of all."""
+    verses, token, table, spans = corpus
+    fragments = spark.createDataFrame([("a", " ".join(verses[2, 4]), frames([token[w] for w in verses[2, 4]])), ("b", "zzx", frames([190]))], "utt_id string, text string, scores array<array<float>>")
+    c = matcher.MatchConfig(recalled=2, longest=2)
+    asked = []
+
+    def tokens(some):
+        asked.extend((r["chapter"], r["verse"]) for r in some.collect())
+        return spans.join(some.select("chapter", some["verse"].alias("first")), ["chapter", "first"], "left_semi")
+
+    out = {r["utt_id"]: r["ref"] for r in matcher.match(fragments, table, tokens, BLANK, OPENING, [0, 1, 2], c).collect()}
+    found = {(r["utt_id"], r["chapter"], r["verse"], r["text_score"]) for r in matcher.recalled(fragments, table, c).collect()}
+    assert {x[1:] for x in found if x[0] == "b"} == {(1, 1, 0.0), (1, 2, 0.0)} and len(found) == 4
+    assert set(asked) == {(k[1], v) for k in found for v in (k[2], k[2] + 1)} & set(verses) and len(asked) == len(set(asked))
+    assert out["a"] == "2:4"
